@@ -1,3 +1,81 @@
-"""Registered queries."""
+"""Registered queries for transcripts.
+
+Speaker assignment is bound to ``events``: per user (= track), view / signup /
+click events are speech segments of ``value * 600`` s and purchase / error
+events are speaker turns of ``value * 3600`` s.  Rendering is bound to
+``conversations``: a conversation is a track, a turn a segment.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import speech
+from tessera.plans import sqltext as S
+from tessera.plans.registry import query
+from tessera.sources.tables import Tables
+
+
+def _us(ts):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def segments_turns(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events
+    start = _us("ts")
+    seg = ev.filter(F.col("event_type").isin("view", "signup", "click")).select(
+        F.col("user_id").alias("track"), F.col("event_id").alias("seg_id"), start.alias("start_us"),
+        (start + F.round(F.col("value") * 600_000_000).cast("bigint")).alias("end_us"))
+    turns = ev.filter(F.col("event_type").isin("purchase", "error")).select(
+        F.col("user_id").alias("track"),
+        F.when(F.col("event_type") == "purchase", "SPEAKER_00").otherwise("SPEAKER_01").alias("speaker"),
+        start.alias("start_us"),
+        (start + F.round(F.col("value") * 3_600_000_000).cast("bigint")).alias("end_us"))
+    return seg, turns
+
+
+@query("speaker_assign", oracle="""
+WITH seg AS (SELECT user_id AS track, event_id AS seg_id, epoch_us(ts) AS s,
+               epoch_us(ts) + CAST(round(value * 600000000) AS BIGINT) AS e
+             FROM events WHERE event_type IN ('view', 'signup', 'click')),
+tu AS (SELECT user_id AS track, CASE WHEN event_type = 'purchase' THEN 'SPEAKER_00' ELSE 'SPEAKER_01' END AS speaker,
+         epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 3600000000) AS BIGINT) AS e
+       FROM events WHERE event_type IN ('purchase', 'error')),
+ov AS (SELECT seg.track, seg.seg_id, tu.speaker, sum(least(seg.e, tu.e) - greatest(seg.s, tu.s)) AS ov
+       FROM seg JOIN tu ON seg.track = tu.track AND tu.s < seg.e AND tu.e > seg.s
+       WHERE least(seg.e, tu.e) - greatest(seg.s, tu.s) > 0
+       GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY track, seg_id ORDER BY ov DESC, speaker) AS rn FROM ov)
+SELECT seg.track, seg.seg_id, coalesce(b.speaker, 'UNKNOWN') AS speaker, coalesce(b.ov, 0)::BIGINT AS overlap_us
+FROM seg LEFT JOIN best b ON seg.track = b.track AND seg.seg_id = b.seg_id AND b.rn = 1""")
+def speaker_assign(spark, sf_dir):
+    """Speaker with the largest total overlap per segment (binned range join)."""
+    seg, turns = segments_turns(spark, sf_dir)
+    return speech.assign_speakers(seg, turns)
+
+
+def conversation_segments(spark, sf_dir):
+    c = Tables(spark, sf_dir).conversations
+    start = F.col("turn") * 1.5
+    return c.select(
+        F.col("conv_id").alias("track"), F.col("turn").alias("seg_no"), start.alias("start"),
+        (start + (F.length("text") % 400) / 100.0).alias("end"),
+        F.when(F.col("role") == "user", "SPEAKER_00").when(F.col("role") == "assistant", "SPEAKER_01")
+        .alias("speaker"), "text")
+
+
+_RENDER = """
+WITH s AS (SELECT conv_id AS track, turn AS seg_no, turn * 1.5 AS st,
+             turn * 1.5 + (length(text) % 400) / 100.0 AS en,
+             CASE role WHEN 'user' THEN 'SPEAKER_00' WHEN 'assistant' THEN 'SPEAKER_01' END AS speaker, text
+           FROM conversations)
+SELECT track, string_agg('[' || cast(round(st, 2) AS varchar) || 's - ' || cast(round(en, 2) AS varchar) || 's] '
+    || coalesce(speaker, 'UNKNOWN') || ': ' || {strip} || chr(10), '' ORDER BY seg_no) AS text,
+  count(*) AS n_segments
+FROM s GROUP BY track""".replace("{strip}", S.ustrip("text"))
+
+
+@query("transcript_render", oracle=_RENDER)
+def transcript_render(spark, sf_dir):
+    """Readable transcript per track."""
+    return speech.render_transcripts(conversation_segments(spark, sf_dir))
