@@ -1,3 +1,53 @@
-"""Registered queries."""
+"""Registered streaming queries (T-1 .. T-5), each checked against batch SQL.
+
+The stream reads the ``events`` file of the scale folder with
+``availableNow``, runs to completion, and the query returns the sink table.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import fifo
+from tessera.plans.registry import query
+from tessera.streaming import jobs
+
+STREAM_NOW = "2024-01-31 00:00:00"
+STREAM_MAX_AGE_HOURS = 24 * 7
+
+
+@query("stream_unsent", oracle=f"""
+SELECT 'https://news.example/s/' || json_extract_string(props, '$.k') AS link, min(event_id) AS first_event
+FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '{STREAM_NOW}' - INTERVAL {STREAM_MAX_AGE_HOURS} HOUR
+GROUP BY 1""")
+def stream_unsent(spark, sf_dir):
+    """T-1 T-2 T-4 T-5: streamed feed items, first event of every new link."""
+    ev = jobs.file_stream(spark, sf_dir, "events.parquet")
+    stories = ev.filter(F.col("event_type") == "view").select(
+        F.concat(F.lit("https://news.example/s/"), F.get_json_object("props", "$.k")).alias("link"),
+        "event_id", "ts")
+    out, ckpt = jobs.run_dirs(spark, "stream-unsent")
+    jobs.stream_unsent(stories, out, ckpt, STREAM_NOW, STREAM_MAX_AGE_HOURS)
+    return spark.read.parquet(out).select("link", "first_event")
+
+
+@query("stream_fifo", oracle="""
+WITH e AS (SELECT user_id AS queue_id, event_id AS seq, CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS d
+           FROM events WHERE event_type IN ('view', 'click')),
+s AS (SELECT *, sum(d) OVER (PARTITION BY queue_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM e),
+m AS (SELECT *, least(0, min(s) OVER (PARTITION BY queue_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS m FROM s),
+z AS (SELECT *, coalesce(lag(s - m) OVER (PARTITION BY queue_id ORDER BY seq), 0) AS size_before FROM m),
+enq AS (SELECT queue_id, seq, row_number() OVER (PARTITION BY queue_id ORDER BY seq) AS k FROM z WHERE d = 1),
+deq AS (SELECT queue_id, seq, row_number() OVER (PARTITION BY queue_id ORDER BY seq) AS k
+        FROM z WHERE d = -1 AND size_before > 0)
+SELECT enq.queue_id, enq.seq AS enq_seq, deq.seq AS deq_seq
+FROM enq JOIN deq ON enq.queue_id = deq.queue_id AND enq.k = deq.k""")
+def stream_fifo(spark, sf_dir):
+    """T-3: stateful FIFO per queue in Structured Streaming (pairs of popped stories)."""
+    ev = jobs.file_stream(spark, sf_dir, "events.parquet")
+    q = ev.filter(F.col("event_type").isin("view", "click")).select(
+        F.col("user_id").alias("queue_id"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "view", F.lit(fifo.ENQUEUE)).otherwise(F.lit(fifo.POP)).alias("op"))
+    out, ckpt = jobs.run_dirs(spark, "stream-fifo")
+    jobs.stream_fifo(q, out, ckpt)
+    return spark.read.parquet(out)
