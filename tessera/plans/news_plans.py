@@ -309,3 +309,37 @@ def json_file_stats(spark, sf_dir):
     return c.agg(F.count_if(F.col("kind_b").isNotNull()).cast("bigint").alias("n_files"),
                  F.coalesce(F.sum(F.when(F.col("kind_b") == "array", F.json_array_length("clean_b"))
                                   .otherwise(0)), F.lit(0)).cast("bigint").alias("n_cards"))
+
+
+# ---------------------------------------------------------------------------
+# Block skip and noise lines on documents (W3 E7 F8 E6): marker lines are
+# injected at positions derived from (doc_id, line number), then cleaned.
+# ---------------------------------------------------------------------------
+from tessera.functions.html import clean_lines  # noqa: E402
+
+_MARKERS = [(0, "Más leídas: hoy"), (5, "Final de Más leídas"), (11, "El nuevo podcast de BBC Mundo"),
+            (17, "Fin de Podcast"), (21, "12 mayo 2024"), (23, "02:27"), (25, "Pie de foto, algo"),
+            (27, "Autor, Nombre")]
+
+
+def _inject(doc_id, i, line):
+    out = None
+    for k, m in _MARKERS:
+        cond = ((doc_id * 7 + i) % 29) == k
+        out = F.when(cond, F.lit(m)) if out is None else out.when(cond, F.lit(m))
+    return out.otherwise(line)
+
+
+_INJECT_SQL = ("array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE (doc_id * 7 + i - 1) % 29 "
+               + " ".join(f"WHEN {k} THEN {S.lit(m)}" for k, m in _MARKERS) + " ELSE l END), chr(10))")
+_dc_ctes, _dc_final = S.clean_text_ctes("dsrc", "doc_id", "txt", "dc")
+
+
+@query("doc_clean_lines", oracle=f"""WITH dsrc AS (SELECT doc_id, {_INJECT_SQL} AS txt FROM documents), {_dc_ctes}
+SELECT doc_id, text FROM {_dc_final}""")
+def doc_clean_lines(spark, sf_dir):
+    """Block skip, noise phrases / prefixes, date and duration lines."""
+    d = Tables(spark, sf_dir).documents
+    injected = F.array_join(F.transform(F.split(F.col("text"), "\n"),
+                                        lambda l, i: _inject(F.col("doc_id"), i, l)), "\n")
+    return d.select("doc_id", F.nullif(F.array_join(clean_lines(injected), "\n"), F.lit("")).alias("text"))
