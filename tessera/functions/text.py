@@ -44,6 +44,12 @@ def splitlines(c: Column) -> Column:
     ).otherwise(parts)
 
 
+def first_line(c: Column) -> Column:
+    """``s.splitlines()[0]`` (null for an empty string) without splitting the whole text."""
+    line = F.regexp_extract(c, r"^([^\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]*)", 1)
+    return F.when(c == "", F.lit(None).cast("string")).otherwise(line)
+
+
 def truncate_text(c: Column, max_chars: int = 20000,
                   marker: str = "\n[... texto truncado ...]") -> Column:
     """Cut text longer than ``max_chars`` code points and add a marker."""

@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.html import article_text, clean_lines, strip_markup, extract_body
+from tessera.functions.html import clean_lines, extract_body, strip_markup
 
 
 def pages_to_text(pages: DataFrame, html_col: str = "html", keep=("page_id",)) -> DataFrame:
     """One row per page with ``text`` = cleaned article text (null if none).
 
-    A narrow projection: every page is handled inside its own task.
+    Narrow projections only: every page is handled inside its own task.  The
+    steps are separate projections on purpose: the line steps use SQL
+    higher-order functions, which run interpreted and would otherwise
+    re-evaluate the whole regex chain for every reference to their input.
+    Catalyst keeps such projections apart (it does not collapse projects
+    when that would duplicate non-trivial expressions).
     """
-    return pages.select(*keep, article_text(F.col(html_col)).alias("text"))
+    keep = list(keep)
+    staged = pages.select(*keep, extract_body(F.col(html_col)).alias("_body"))
+    staged = staged.select(*keep, "_body", strip_markup(F.col("_body")).alias("_markup"))
+    staged = staged.select(*keep, "_body", clean_lines(F.col("_markup")).alias("_lines"))
+    text = F.nullif(F.array_join(F.col("_lines"), "\n"), F.lit(""))
+    return staged.select(*keep, F.when(F.col("_body").isNull(), F.lit(None).cast("string"))
+                         .otherwise(text).alias("text"))
 
 
 def page_lines(pages: DataFrame, html_col: str = "html", keep=("page_id",)) -> DataFrame:

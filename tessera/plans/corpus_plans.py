@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import output_key, splitlines
+from tessera.functions.text import first_line, output_key
 from tessera.operators import corpus
 from tessera.plans import sqltext as S
 from tessera.plans.registry import query
@@ -119,7 +119,7 @@ def prompts(spark, sf_dir):
     """Vocabulary and chained-cheatsheet prompts per transcript."""
     f = transcript_files(spark, sf_dir)
     f = f.withColumn("sheet", F.concat(F.lit("# "), F.col("name"), F.lit("\n"),
-                                       F.element_at(splitlines(F.col("text")), 1)))
+                                       first_line(F.col("text"))))
     return corpus.prompts(f, RULES)
 
 

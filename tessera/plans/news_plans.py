@@ -23,7 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tessera.functions.dates import parse_rfc822  # noqa: E402
 from tessera.functions.jsonx import json_kind, unfence, unfence_array  # noqa: E402
-from tessera.functions.text import cap, splitlines, truncate_text, ustrip  # noqa: E402
+from tessera.functions.text import cap, first_line, truncate_text, ustrip  # noqa: E402
 from tessera.operators import choose, feeds, messages  # noqa: E402
 
 NOW = "2001-08-01 00:00:00"          # job parameter: the run's "now"
@@ -144,7 +144,7 @@ def _doc_items(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     return d.select(
         (F.col("doc_id") / 15).cast("bigint").alias("batch"), F.col("doc_id").alias("pos"),
-        ustrip(F.element_at(splitlines(F.col("text")), 1)).alias("title"),
+        ustrip(first_line(F.col("text"))).alias("title"),
         F.col("source"),
         F.concat(F.lit("2024-01-"), F.lpad(((F.col("doc_id") % 28) + 1).cast("string"), 2, "0"),
                  F.lit("T08:00:00+00:00")).alias("pub_date"),
@@ -193,7 +193,7 @@ def title_match(spark, sf_dir):
 
 def _payloads(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
-    title = ustrip(F.element_at(splitlines(F.col("text")), 1))
+    title = ustrip(first_line(F.col("text")))
     return d.select("doc_id", messages.headline(title).alias("headline"),
                     cap(F.col("text"), 2500).alias("summary"),
                     F.concat(F.lit("• "), F.col("lang"), F.lit("\n• "), F.col("source")).alias("bullets"),
@@ -342,4 +342,6 @@ def doc_clean_lines(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     injected = F.array_join(F.transform(F.split(F.col("text"), "\n"),
                                         lambda l, i: _inject(F.col("doc_id"), i, l)), "\n")
-    return d.select("doc_id", F.nullif(F.array_join(clean_lines(injected), "\n"), F.lit("")).alias("text"))
+    # separate projections: the line fold is interpreted and would re-run its input
+    staged = d.select("doc_id", injected.alias("_t")).select("doc_id", clean_lines(F.col("_t")).alias("_l"))
+    return staged.select("doc_id", F.nullif(F.array_join(F.col("_l"), "\n"), F.lit("")).alias("text"))
