@@ -105,25 +105,29 @@ def later_cards(cards: DataFrame, firsts: DataFrame) -> DataFrame:
     return j.withColumn("accepted", ~missing)
 
 
-def _array_merge(cards_ok: DataFrame, name: str) -> DataFrame:
-    """(key, merged array) for one array field over accepted cards."""
-    # Per card: each distinct item with all its positions (row-local, tiny).
-    per_card = cards_ok.filter(F.col(name).isNotNull()).select(
-        "key", *ORDER,
-        F.explode(F.transform(
-            F.array_distinct(F.col(name)),
-            lambda x: F.struct(
-                x.alias("item"),
-                F.filter(F.sequence(F.lit(1), F.size(F.col(name))),
-                         lambda i: F.element_at(F.col(name), i) == x).alias("pos")))).alias("e"))
-    # The first card holding the item keeps all its occurrences.
-    first_holder = per_card.groupBy("key", F.col("e.item").alias("item")).agg(
+def _array_merge(cards_ok: DataFrame, names: list[str]) -> DataFrame:
+    """(key, merged array per field) for all array fields in one pass.
+
+    Each card contributes (field, distinct item, positions) rows (row-local);
+    the first card holding an item keeps all of its occurrences, decided by a
+    partial-aggregating ``min`` per (key, field, item); the survivors are put
+    back in (file, idx, position) order per key.
+    """
+    def entries(n):
+        arr = F.col(n)
+        return F.transform(F.array_distinct(arr), lambda x: F.struct(
+            F.lit(n).alias("field"), x.alias("item"),
+            F.filter(F.sequence(F.lit(1), F.size(arr)), lambda i: F.element_at(arr, i) == x).alias("pos")))
+    all_entries = F.flatten(F.array(*[F.coalesce(entries(n), F.array().cast(
+        "array<struct<field:string,item:string,pos:array<int>>>")) for n in names]))
+    per_card = cards_ok.select("key", *ORDER, F.explode(all_entries).alias("e"))
+    first_holder = per_card.groupBy("key", F.col("e.field").alias("field"), F.col("e.item").alias("item")).agg(
         F.min(F.struct(*[F.col(c) for c in ORDER], F.col("e.pos").alias("pos"))).alias("h"))
-    occ = first_holder.select("key", "item", F.col("h.file").alias("file"),
+    occ = first_holder.select("key", "field", "item", F.col("h.file").alias("file"),
                               F.col("h.idx").alias("idx"), F.explode("h.pos").alias("pos"))
-    return occ.groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("file", "idx", "pos", "item"))),
-                    lambda s: s["item"]).alias(name))
+    return occ.groupBy("key").agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == n, F.struct("file", "idx", "pos", "item")))),
+                    lambda s: s["item"]).alias(n) for n in names])
 
 
 def merge_cards(cards: DataFrame) -> dict[str, DataFrame]:
@@ -147,13 +151,12 @@ def merge_cards(cards: DataFrame) -> dict[str, DataFrame]:
         first_rows = firsts.select("key", *[F.col(f"f.{c}").alias(c) for c in ORDER],
                                    *[F.col(f"f.{n}").alias(n) for n in arrays])
         accepted = first_rows.unionByName(ok_later.select("key", *ORDER, *arrays))
-        for n in arrays:
-            merged = _array_merge(accepted, n)
-            present = firsts.select("key", F.col(f"f.{n}").isNotNull().alias("_has"))
-            arr = present.join(merged, "key", "left").select(
-                "key", F.when(F.col("_has"), F.coalesce(F.col(n), F.array().cast("array<string>")))
-                .alias(n))
-            out = out.join(arr, "key")
+        merged = _array_merge(accepted, arrays)
+        present = firsts.select("key", *[F.col(f"f.{n}").isNotNull().alias(f"_has_{n}") for n in arrays])
+        arr = present.join(merged, "key", "left").select("key", *[
+            F.when(F.col(f"_has_{n}"), F.coalesce(F.col(n), F.array().cast("array<string>"))).alias(n)
+            for n in arrays])
+        out = out.join(arr, "key")
 
     # String folds: only the values from the first differing card on matter.
     folds = [n for n, k in kinds.items() if k == "fold"]

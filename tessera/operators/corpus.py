@@ -69,9 +69,10 @@ def hard_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
                words: list[str] | None = None) -> DataFrame:
     """Occurrences of list words and phrases per document.
 
-    Tokens and their n-grams (n = words per phrase) are built row-locally and
-    filtered against the list, which is a small literal set, so there is no
-    join and no shuffle until the final per-(doc, term) count.
+    The list is a small literal set (16 fixed entries), so matching is
+    row-local: single words are filtered directly; an n-word phrase is only
+    assembled at positions whose token is the first word of a listed phrase.
+    No join, no shuffle until the final per-(doc, term) count.
     """
     words = words or hard_word_list()
     by_n: dict[int, list[str]] = {}
@@ -80,9 +81,13 @@ def hard_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
     toks = docs.select(key, tokens(F.col(text)).alias("_t"))
     hits = []
     for n, ws in sorted(by_n.items()):
-        grams = F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1),
-                            lambda i: F.array_join(F.slice(F.col("_t"), i, n), " ")) if n > 1 else F.col("_t")
-        grams = F.when(F.size("_t") >= n, grams).otherwise(F.array().cast("array<string>"))
+        if n == 1:
+            hits.append(F.filter(F.col("_t"), lambda t: t.isin(ws)))
+            continue
+        firsts = sorted({w.split()[0] for w in ws})
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1))),
+                          lambda i: (F.size("_t") >= i + n - 1) & F.element_at(F.col("_t"), i).isin(firsts))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(F.col("_t"), i, n), " "))
         hits.append(F.filter(grams, lambda g: g.isin(ws)))
     return toks.select(key, F.explode(F.flatten(F.array(*hits))).alias("term")) \
         .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
@@ -157,23 +162,31 @@ def prompts(files: DataFrame, rules: str, skip_vocab: str = "track01.txt") -> Da
 BROADCAST_TERMS = 100_000  # broadcast a word-list table only up to this many rows
 
 
+def ngrams(toks: Column, n: int) -> Column:
+    """All n-grams of a token array joined by a space (``zip_with`` over
+    shifted copies: one pass, no per-position slices)."""
+    g = toks
+    for k in range(1, n):
+        g = F.zip_with(g, F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0))),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(g, lambda x: x.isNotNull())
+
+
 def hard_words_table(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text",
                      max_n: int = 3) -> DataFrame:
     """J11 with the list as a table ``words(term)`` (single or multi-word).
 
-    Document n-grams (n <= ``max_n`` and only the lengths present in the list)
-    are exploded and equi-joined on the gram.  The list is broadcast only
-    after its row count has been checked against ``BROADCAST_TERMS``;
-    otherwise Spark shuffles both sides on the gram.
+    Document n-grams (only the phrase lengths present in the list, at most
+    ``max_n``) are exploded and equi-joined on the gram.  The list is
+    broadcast only after its row count has been checked against
+    ``BROADCAST_TERMS``; otherwise Spark shuffles both sides on the gram.
     """
     terms = words.select(F.lower(ustrip(F.col("term"))).alias("term")).filter(F.col("term") != "") \
-        .distinct().withColumn("n", F.size(F.split("term", " ")))
-    terms = terms.filter(F.col("n") <= max_n)
-    n_terms = terms.count()                      # the size check behind the broadcast
-    side = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
+        .distinct().withColumn("n", F.size(F.split("term", " "))).filter(F.col("n") <= max_n)
+    stats = terms.agg(F.count(F.lit(1)).alias("c"), F.collect_set("n").alias("ns")).first()
+    # the size check behind the broadcast (and the few phrase lengths in use)
+    side = F.broadcast(terms) if stats["c"] <= BROADCAST_TERMS else terms
     toks = docs.select(key, tokens(F.col(text)).alias("_t"))
-    grams = toks.select(key, F.explode(F.flatten(F.array(*[
-        F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1),
-                                              lambda i: F.array_join(F.slice(F.col("_t"), i, n), " ")))
-        .otherwise(F.array().cast("array<string>")) for n in range(1, max_n + 1)]))).alias("term"))
+    grams = toks.select(key, F.explode(F.flatten(F.array(*[ngrams(F.col("_t"), n)
+                                                           for n in sorted(stats["ns"])]))).alias("term"))
     return grams.join(side.select("term"), "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
