@@ -40,3 +40,21 @@ def message_texts(p: DataFrame) -> DataFrame:
                                                          "topic_title")],
                     plain.alias("plain_text"), webhook.alias("webhook_text"),
                     thread.alias("thread_body"), teaser.alias("teaser"), name.alias("thread_name"))
+
+
+def fill_template(template: str, **values: Column) -> Column:
+    """``template.format(**values)`` as a column: the template (a job
+    parameter) is split once on the driver into literal parts and
+    placeholders, so inserted text is never substituted again; ``{{`` and
+    ``}}`` are literal braces."""
+    import string
+
+    parts = []
+    for lit, field, spec, conv in string.Formatter().parse(template):
+        if lit:
+            parts.append(F.lit(lit))
+        if field is not None:
+            if spec or conv:
+                raise ValueError("format specs are not supported")
+            parts.append(values[field].cast("string"))
+    return F.concat(*parts) if parts else F.lit("")

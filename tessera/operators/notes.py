@@ -76,3 +76,23 @@ def media_manifest(collections: DataFrame, files: DataFrame) -> DataFrame:
     and keep entries whose numbered file exists (equi-join on collection, id)."""
     m = collections.select("collection", F.explode("media").alias("id", "original_name"))
     return m.join(files.select("collection", "id"), ["collection", "id"])
+
+
+def snapshot_fields(field_names: Column, fields: Column) -> Column:
+    """``{name: value}`` over the zipped lists (shorter side wins); a
+    repeated name keeps its first position and its last value, like a
+    Python dict built in order."""
+    n = F.least(F.size(field_names), F.size(fields))
+    pairs = F.arrays_zip(F.slice(field_names, 1, n).alias("name"), F.slice(fields, 1, n).alias("value"))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+    vals = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["name"] == k), -1)["value"])
+    return F.map_from_arrays(keys, vals)
+
+
+NOTE_PROMPT_MID = "\n\nHere is the note data:\n"   # fixed value
+NOTE_PROMPT_END = "\n\nExtract the relevant information into a JSON format as per the instructions."
+
+
+def note_prompt(rules: str, note_str: Column) -> Column:
+    """E12 (note): extraction rules, the note text, closing instruction."""
+    return F.concat(F.lit(rules + NOTE_PROMPT_MID), note_str, F.lit(NOTE_PROMPT_END))

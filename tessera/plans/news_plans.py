@@ -345,3 +345,24 @@ def doc_clean_lines(spark, sf_dir):
     # separate projections: the line fold is interpreted and would re-run its input
     staged = d.select("doc_id", injected.alias("_t")).select("doc_id", clean_lines(F.col("_t")).alias("_l"))
     return staged.select("doc_id", F.nullif(F.array_join(F.col("_l"), "\n"), F.lit("")).alias("text"))
+
+
+from tessera.operators.corpus import HARD_WORDS  # noqa: E402
+
+REWRITE_TEMPLATE = ("Profile: {profile}\nHard words: {hard_words}\nKeep {{braces}}.\n"
+                    "Article:\n{article_text}")          # job parameter: the prompt template
+PROFILE = "B1 learner"                                    # job parameter
+
+
+@query("rewrite_prompts", oracle=f"""
+SELECT doc_id, {S.sql_text('Profile: ' + PROFILE + chr(10) + 'Hard words: ' + HARD_WORDS + chr(10)
+                           + 'Keep {braces}.' + chr(10) + 'Article:' + chr(10))}
+  || CASE WHEN length(text) > 20000 THEN left(text, 20000) || chr(10) || '[... texto truncado ...]' ELSE text END
+  AS prompt
+FROM documents""")
+def rewrite_prompts(spark, sf_dir):
+    """Rewrite prompt per article from a user template."""
+    d = Tables(spark, sf_dir).documents
+    return d.select("doc_id", messages.fill_template(
+        REWRITE_TEMPLATE, profile=F.lit(PROFILE), hard_words=F.lit(HARD_WORDS),
+        article_text=truncate_text(F.col("text"))).alias("prompt"))

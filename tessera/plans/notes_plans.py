@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import notes as N
+from tessera.plans import sqltext as S
 from tessera.plans.registry import query
 from tessera.sources.tables import Tables
 
@@ -131,3 +132,46 @@ def media_manifest(spark, sf_dir):
     files = nat.filter(F.col("n_nationkey") % 3 != 0).select(
         F.col("r_name").alias("collection"), F.col("n_nationkey").cast("string").alias("id"))
     return N.media_manifest(cols, files)
+
+
+from tessera.functions.text import urlsafe_b64  # noqa: E402
+
+RULES = "RULES: one card per meaning."   # job parameter: the prompt file's text
+
+_SNAP_BASE = f"""WITH {_NOTE_DECK_SQL},
+n AS (SELECT o_orderkey AS note_id, 'g' || cast(o_orderkey AS varchar) AS guid,
+    string_split(cast(o_orderkey AS varchar) || chr(31) || o_orderstatus || chr(31) || o_orderpriority || chr(31)
+      || strftime(o_orderdate, '%Y-%m-%d') || chr(31) || cast(o_custkey AS varchar), chr(31)) AS fields,
+    list_filter(string_split(trim({_TAGS_SQL}), ' '), lambda t: t <> '') AS tags, o_custkey AS mid FROM orders),
+m AS (SELECT c_custkey AS mid, {_MODEL_FIELDS_SQL.replace('{A}', '[').replace('{Z}', ']')} AS names FROM customer),
+j AS (SELECT n.*, m.names, nd.did, least(len(m.names), len(n.fields)) AS k
+      FROM n JOIN m ON n.mid = m.mid JOIN nd ON nd.note_id = n.note_id
+      WHERE nd.did IN (SELECT n_nationkey FROM nation)),
+s AS (SELECT *, array_to_string(list_filter(list_transform(range(1, k + 1),
+      lambda i: CASE WHEN names[i] NOT IN ('Index', 'word_audio', 'sentence_audio')
+                     THEN names[i] || ': ' || fields[i] END), lambda x: x IS NOT NULL), chr(10)) AS llm_str FROM j)"""
+
+
+@query("note_snapshot", oracle=f"""{_SNAP_BASE}
+SELECT guid, did AS deck_id, to_json(map(names[1:k], fields[1:k])) AS fields_json, to_json(tags) AS tags_json,
+  llm_str FROM s""")
+def note_snapshot(spark, sf_dir):
+    """Snapshot row per exported note (known deck and model)."""
+    nd = N.note_deck(notes_table(spark, sf_dir), cards_table(spark, sf_dir), CARD_ORDER)
+    nd = nd.join(decks_table(spark, sf_dir).select(F.col("deck_id").alias("did")), "did", "left_semi")
+    n = N.with_model(nd, models_table(spark, sf_dir))
+    fields = N.split_fields(F.col("flds"))
+    return n.select("guid", F.col("did").alias("deck_id"),
+                    F.to_json(N.snapshot_fields(F.col("field_names"), fields)).alias("fields_json"),
+                    F.to_json(N.split_tags(F.col("tags"))).alias("tags_json"),
+                    N.note_text(F.col("field_names"), fields).alias("llm_str"))
+
+
+@query("note_prompts", oracle=f"""{_SNAP_BASE}
+SELECT guid, replace(replace(to_base64(encode(guid)), '+', '-'), '/', '_') || '.json' AS out_key,
+  {S.sql_text(RULES + N.NOTE_PROMPT_MID)} || llm_str || {S.sql_text(N.NOTE_PROMPT_END)} AS prompt FROM s""")
+def note_prompts(spark, sf_dir):
+    """E12 E17 J7 key: extraction prompt and output file key per exported note."""
+    snap = note_snapshot(spark, sf_dir)
+    return snap.select("guid", F.concat(urlsafe_b64(F.col("guid")), F.lit(".json")).alias("out_key"),
+                       N.note_prompt(RULES, F.col("llm_str")).alias("prompt"))
