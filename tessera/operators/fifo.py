@@ -90,3 +90,17 @@ def queued_lookup(stories: DataFrame, probes: DataFrame, probe_col: str = "probe
         .filter(F.col("k").isNotNull()).distinct().withColumn("_hit", F.lit(True))
     return probes.join(keys, probes[probe_col] == keys["k"], "left") \
         .select(*probes.columns, F.coalesce(F.col("_hit"), F.lit(False)).alias("queued"))
+
+
+def validate_events(raw: DataFrame) -> dict[str, DataFrame]:
+    """S8 + V2: split a queue log into typed events and a quarantine.
+
+    A row is valid when it has a queue id, a sequence number and a known op;
+    invalid rows go to ``quarantine`` with a reason instead of turning the
+    whole queue into "empty" (the source's behaviour for a corrupt file)."""
+    reason = (F.when(F.col("queue_id").isNull(), F.lit("missing queue_id"))
+              .when(F.col("seq").isNull(), F.lit("missing seq"))
+              .when(~F.col("op").isin(ENQUEUE, POP) | F.col("op").isNull(), F.lit("unknown op")))
+    tagged = raw.withColumn("_reason", reason)
+    return {"events": tagged.filter(F.col("_reason").isNull()).drop("_reason"),
+            "quarantine": tagged.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason")}

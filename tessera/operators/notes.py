@@ -96,3 +96,25 @@ NOTE_PROMPT_END = "\n\nExtract the relevant information into a JSON format as pe
 def note_prompt(rules: str, note_str: Column) -> Column:
     """E12 (note): extraction rules, the note text, closing instruction."""
     return F.concat(F.lit(rules + NOTE_PROMPT_MID), note_str, F.lit(NOTE_PROMPT_END))
+
+
+DECKS_SCHEMA = "map<string, struct<id: bigint, name: string>>"
+MODELS_SCHEMA = ("map<string, struct<id: bigint, name: string, flds: array<struct<name: string>>, "
+                 "tmpls: array<struct<name: string, qfmt: string, afmt: string>>, css: string>>")
+
+
+def collection_tables(col: DataFrame) -> dict[str, DataFrame]:
+    """S4 + M16: decks and models from the collection's JSON maps.
+
+    ``col(decks STRING, models STRING)``; one row per collection (a package),
+    the maps are parsed with a typed schema and exploded, so each deck and
+    model becomes a row.  Field names keep the order of ``flds``.
+    """
+    extra = [c for c in col.columns if c not in ("decks", "models")]
+    decks = col.select(*extra, F.explode(F.from_json("decks", DECKS_SCHEMA)).alias("_k", "d")).select(
+        *extra, F.col("d.id").alias("deck_id"), F.col("d.name").alias("deck_name"))
+    models = col.select(*extra, F.explode(F.from_json("models", MODELS_SCHEMA)).alias("_k", "m")).select(
+        *extra, F.col("m.id").alias("mid"), F.col("m.name").alias("model_name"),
+        F.transform(F.coalesce(F.col("m.flds"), F.array()), lambda f: f["name"]).alias("field_names"),
+        F.coalesce(F.col("m.css"), F.lit("")).alias("css"))
+    return {"decks": decks, "models": models}

@@ -80,3 +80,10 @@ def test_global_rank_and_previous(spark):
     prev = {r.name: r.prev_name for r in with_previous(df.withColumn("v", F.col("name")), ["name"], ["name"]).collect()}
     names = sorted(prev)
     assert prev[names[0]] is None and all(prev[names[i]] == names[i - 1] for i in range(1, 500))
+
+
+def test_validate_events_quarantine(spark):
+    raw = spark.createDataFrame([(1, 1, "enqueue", None), (1, None, "pop", None), (2, 3, "peek", None)], EV)
+    out = fifo.validate_events(raw)
+    assert out["events"].count() == 1
+    assert sorted(r.reason for r in out["quarantine"].collect()) == ["missing seq", "unknown op"]

@@ -91,3 +91,23 @@ def test_batch_complete_errors_do_not_stop(spark):
     assert parts["ok"].count() == 5 and parts["quarantine"].count() == 1
     done = spark.createDataFrame([(0,), (1,)], "k long")
     assert complete.resume(df, done, "k").count() == 4
+
+
+def test_collection_tables_and_sinks(spark):
+    import json
+    from tessera.operators import notes as N
+    col = spark.createDataFrame([(json.dumps({"1": {"id": 1, "name": "Default"}, "77": {"id": 77, "name": "ES"}}),
+                                  json.dumps({"5": {"id": 5, "name": "Basic", "flds": [{"name": "Front"}, {"name": "Back"}],
+                                                    "tmpls": []}}))], "decks string, models string")
+    t = N.collection_tables(col)
+    assert sorted((r.deck_id, r.deck_name) for r in t["decks"].collect()) == [(1, "Default"), (77, "ES")]
+    assert [(r.mid, r.field_names) for r in t["models"].collect()] == [(5, ["Front", "Back"])]
+    d = tempfile.mkdtemp(prefix="sinks-")
+    cards = spark.createDataFrame([("k1", "A1"), ("k2", None)], "key string, level string")
+    files.write_by_level(cards, d + "/by_level")
+    assert {x for x in os.listdir(d + "/by_level") if x.startswith("level=")} == {"level=A1", "level=Uncategorized"}
+    files.write_json_by_bucket(cards, d + "/json", "key", 4)
+    assert spark.read.json(d + "/json").count() == 2
+    files.append_sent(spark.createDataFrame([(" http://a ",)], "url string"), d + "/sent")
+    files.append_sent(spark.createDataFrame([("http://a",)], "url string"), d + "/sent")
+    assert [r.url for r in files.read_sent_log(spark, d + "/sent").collect()] == ["http://a"]
