@@ -91,12 +91,15 @@ def first_cards(cards: DataFrame) -> DataFrame:
     return cards.groupBy("key").agg(first, F.count(F.lit(1)).alias("n_cards"))
 
 
-def later_cards(cards: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Cards after the first of their key, with ``accepted`` and ``f`` (first)."""
+def later_cards(cards: DataFrame, firsts: DataFrame, keep_first: bool = False) -> DataFrame:
+    """Cards joined with the first card ``f`` of their key and ``n_cards``;
+    ``is_first`` marks the first card itself, ``accepted`` the later cards
+    that have every field the first card has."""
     kinds = field_kinds(cards)
-    j = cards.join(firsts.select("key", "f"), "key")
-    is_first = (F.col("file") == F.col("f.file")) & (F.col("idx") == F.col("f.idx"))
-    j = j.filter(~is_first)
+    j = cards.join(firsts.select("key", "f", "n_cards"), "key")
+    j = j.withColumn("is_first", (F.col("file") == F.col("f.file")) & (F.col("idx") == F.col("f.idx")))
+    if not keep_first:
+        j = j.filter(~F.col("is_first"))
     missing = F.lit(False)
     for name, kind in kinds.items():
         if kind == "unsupported":
@@ -130,29 +133,37 @@ def _array_merge(cards_ok: DataFrame, names: list[str]) -> DataFrame:
                     lambda s: s["item"]).alias(n) for n in names])
 
 
-def merge_cards(cards: DataFrame) -> dict[str, DataFrame]:
+def merge_cards(cards: DataFrame, materialize_join: bool = True) -> dict[str, DataFrame]:
     """A1/A2/A3/V8: returns ``merged``, ``conflicts`` and ``rejected`` frames.
 
     ``merged`` has one row per key: the merged card, ``n_cards`` (all cards of
     the key) and the first card's ``file``/``idx``.
+
+    The cards joined with the first card of their key feed five branches
+    (base row, arrays, fold starts, fold tails, conflicts); that join is
+    written once to the shared checkpoint folder (``materialize_join``), so the
+    input is scanned twice in total instead of once per branch.
     """
     cards = with_key(cards)
     kinds = field_kinds(cards)
     firsts = first_cards(cards)
-    later = later_cards(cards, firsts)
+    joined = later_cards(cards, firsts, keep_first=True)
+    if materialize_join:
+        from tessera.session import materialize
+        joined = materialize(joined, "card-merge")
+    first_rows = joined.filter("is_first")
+    later = joined.filter(~F.col("is_first"))
     ok_later = later.filter("accepted")
 
-    out = firsts.select("key", "n_cards", F.col("f.file").alias("file"), F.col("f.idx").alias("idx"),
-                        *[F.col(f"f.{n}").alias(n) for n, k in kinds.items() if k in ("first", "level")])
+    out = first_rows.select("key", "n_cards", "file", "idx",
+                            *[F.col(n) for n, k in kinds.items() if k in ("first", "level")])
 
-    # Arrays: first card + accepted later cards.
+    # Arrays: first card + accepted later cards, all array fields in one pass.
     arrays = [n for n, k in kinds.items() if k == "array"]
     if arrays:
-        first_rows = firsts.select("key", *[F.col(f"f.{c}").alias(c) for c in ORDER],
-                                   *[F.col(f"f.{n}").alias(n) for n in arrays])
-        accepted = first_rows.unionByName(ok_later.select("key", *ORDER, *arrays))
+        accepted = joined.filter(F.col("is_first") | F.col("accepted")).select("key", *ORDER, *arrays)
         merged = _array_merge(accepted, arrays)
-        present = firsts.select("key", *[F.col(f"f.{n}").isNotNull().alias(f"_has_{n}") for n in arrays])
+        present = first_rows.select("key", *[F.col(n).isNotNull().alias(f"_has_{n}") for n in arrays])
         arr = present.join(merged, "key", "left").select("key", *[
             F.when(F.col(f"_has_{n}"), F.coalesce(F.col(n), F.array().cast("array<string>"))).alias(n)
             for n in arrays])
@@ -172,7 +183,7 @@ def merge_cards(cards: DataFrame) -> dict[str, DataFrame]:
                                                                           F.col(n).alias("v")))))
                        .alias(f"_t_{n}"))
         tails = tail.groupBy("key").agg(*agg)
-        fold_df = firsts.select("key", *[F.col(f"f.{n}").alias(n) for n in folds]).join(tails, "key", "left")
+        fold_df = first_rows.select("key", *folds).join(tails, "key", "left")
         cols = []
         for n in folds:
             t = F.coalesce(F.col(f"_t_{n}"), F.array())

@@ -52,10 +52,17 @@ def _scan(events: DataFrame, chunk: int) -> DataFrame:
                     m_prev.alias("m_prev"))
 
 
-def fifo_pairs(events: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+def fifo_pairs(events: DataFrame, chunk: int = 1 << 16, materialize_scan: bool = True) -> DataFrame:
     """One row per enqueue: ``queue_id, enq_seq, deq_seq`` (null = still pending)
-    plus the enqueue's other columns and ``deq_ts`` when ``ts`` exists."""
+    plus the enqueue's other columns and ``deq_ts`` when ``ts`` exists.
+
+    The scanned log feeds both the enqueue and the pop side of the pairing
+    join; it is written once to the shared checkpoint folder
+    (``materialize_scan``) instead of being recomputed per side."""
     scanned = _scan(events, chunk)
+    if materialize_scan:
+        from tessera.session import materialize
+        scanned = materialize(scanned, "fifo-scan")
     m_now = F.least(F.col("m_prev"), F.col("S"))
     enq = scanned.filter(F.col("op") == ENQUEUE).withColumn("k", F.col("E"))
     # effective pop: S did not fall to a new strict minimum below zero

@@ -69,3 +69,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(base)
     else:
         shared_dir(spark, "init")
+
+
+def materialize(df, purpose: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a DataFrame reading it back.
+
+    Used where several branches of one operator consume the same expensive
+    intermediate (a join or scan): the branches then read a columnar table
+    with column pruning instead of recomputing its lineage, and a lost
+    executor costs a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
