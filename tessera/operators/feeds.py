@@ -48,6 +48,9 @@ def unsent(items: DataFrame, sent: DataFrame, link: str = "link",
     """
     s = sent_set(sent)
     if items_are_small:
+        # the bounded item set is used twice; write it once (a few rows)
+        from tessera.session import materialize
+        items = materialize(items, "candidates")
         keys = items.select(_link_key(link).alias("url")).distinct()
         s = s.join(F.broadcast(keys), "url", "left_semi")
         s = F.broadcast(s)

@@ -32,8 +32,15 @@ def global_rank(df: DataFrame, order: list[str], n_parts: int | None = None,
     return out.withColumn(name, F.col("_off") + F.col("_pos") + 1).drop("_mid", "_pid", "_pos", "_off")
 
 
-def with_previous(df: DataFrame, order: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
-    """``lag(col) OVER (ORDER BY order)`` for each col, via rank + equi-join."""
+def with_previous(df: DataFrame, order: list[str], cols: list[str], prefix: str = "prev_",
+                  materialize_rank: bool = True) -> DataFrame:
+    """``lag(col) OVER (ORDER BY order)`` for each col, via rank + equi-join.
+
+    The ranked table feeds both sides of the join; it is written once to the
+    shared checkpoint folder instead of being ranked twice."""
     ranked = global_rank(df, order)
+    if materialize_rank:
+        from tessera.session import materialize
+        ranked = materialize(ranked, "global-rank")
     prev = ranked.select((F.col("rank") + 1).alias("rank"), *[F.col(c).alias(prefix + c) for c in cols])
     return ranked.join(prev, "rank", "left")
