@@ -11,12 +11,14 @@ from tessera.functions.text import cap, ustrip
 def numbered_list(items: DataFrame, batch: str = "batch", pos: str = "pos") -> DataFrame:
     """A8 + W1: ``[i] title / Fuente | Fecha / description[:300]`` joined by a
     blank line, one string per batch (batches are bounded candidate lists)."""
-    w = Window.partitionBy(batch).orderBy(pos)
-    i = F.row_number().over(w)
-    block = F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.col("title"),
-                     F.lit("\n    Fuente: "), F.col("source"), F.lit(" | Fecha: "), F.col("pub_date"),
-                     F.lit("\n    "), cap(F.col("description"), 300))
-    numbered = items.select(batch, i.alias("i"), block.alias("block"))
+    # Build the (capped) block text before the window so the shuffle carries
+    # at most ~300 characters of description per item, not whole texts.
+    body = F.concat(F.lit("] "), F.col("title"), F.lit("\n    Fuente: "), F.col("source"),
+                    F.lit(" | Fecha: "), F.col("pub_date"), F.lit("\n    "), cap(F.col("description"), 300))
+    slim = items.select(batch, pos, body.alias("_body"))
+    i = F.row_number().over(Window.partitionBy(batch).orderBy(pos))
+    numbered = slim.select(batch, i.alias("i"),
+                           F.concat(F.lit("["), i.cast("string"), F.col("_body")).alias("block"))
     return numbered.groupBy(batch).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "block"))),
                                  lambda s: s["block"]), "\n\n").alias("story_list"),

@@ -7,8 +7,8 @@
   retry, and the anti-join ignores the batch's own earlier attempt.
 * ``stream_fifo``: the shared queue as a stateful operator per ``queue_id``
   (T-3) with ``transformWithStateInPandas``: a value state holds the head and
-  tail counters and a map state the pending stories by position, so an
-  enqueue or a pop touches one state entry (no list is rewritten).
+  chunk pointers and a map state one array of pending stories per
+  micro-batch, so a batch touches a few state entries per queue.
 * ``dedup_within_watermark``: the bounded variant of never-send-twice: keeps
   the first event per link while the watermark (= maximum age) holds it.
 
@@ -82,39 +82,51 @@ def dedup_within_watermark(stories: DataFrame, max_age: str = "24 hours") -> Dat
 # T-3: stateful FIFO queue
 # ---------------------------------------------------------------------------
 class FifoProcessor(StatefulProcessor):
-    """Per queue: ``ptr = (head, tail)``, ``items[pos] = enqueue seq``.
+    """Per queue: ``ptr = (head_chunk, head_off, next_chunk)`` and
+    ``chunks[c] = [enqueue seq, ...]`` - the stories a micro-batch left
+    pending, stored as one entry.  A pop reads the head chunk once, advances
+    ``head_off`` and deletes the chunk when it is used up; so a micro-batch
+    costs a few state calls per queue, not one per story.
 
     Rows of one micro-batch are applied in ``seq`` order; a pop on an empty
     queue is ignored.  Emits ``(queue_id, enq_seq, deq_seq)`` per effective pop.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ptr = handle.getValueState("ptr", "head long, tail long")
-        self.items = handle.getMapState("items", "pos long", "seq long")
+        self.ptr = handle.getValueState("ptr", "head_chunk long, head_off long, next_chunk long")
+        self.chunks = handle.getMapState("chunks", "chunk long", "seqs array<long>")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        head, tail = self.ptr.get() if self.ptr.exists() else (0, 0)
-        local = {}  # enqueues of this batch not yet written to state
+        head_chunk, head_off, next_chunk = self.ptr.get() if self.ptr.exists() else (0, 0, 0)
+        cur = None          # the loaded head chunk
+        new, new_head = [], 0
         out_e, out_d = [], []
         for seq, op in zip(pdf["seq"].tolist(), pdf["op"].tolist()):
             if op == "enqueue":
-                local[tail] = seq
-                tail += 1
-            elif head < tail:
-                if head in local:
-                    enq = local.pop(head)
-                else:
-                    (enq,) = self.items.getValue((head,))
-                    self.items.removeKey((head,))
-                out_e.append(enq)
-                out_d.append(seq)
-                head += 1
-        for pos, seq in local.items():
-            self.items.updateValue((pos,), (seq,))
-        self.ptr.update((head, tail))
+                new.append(seq)
+                continue
+            if head_chunk < next_chunk:            # older stories first
+                if cur is None:
+                    cur = list(self.chunks.getValue((head_chunk,))[0])
+                enq = cur[head_off]
+                head_off += 1
+                if head_off == len(cur):
+                    self.chunks.removeKey((head_chunk,))
+                    head_chunk, head_off, cur = head_chunk + 1, 0, None
+            elif new_head < len(new):
+                enq = new[new_head]
+                new_head += 1
+            else:
+                continue                           # pop on an empty queue
+            out_e.append(enq)
+            out_d.append(seq)
+        if new_head < len(new):
+            self.chunks.updateValue((next_chunk,), (new[new_head:],))
+            next_chunk += 1
+        self.ptr.update((head_chunk, head_off, next_chunk))
         if out_e:
             yield pd.DataFrame({"queue_id": [key[0]] * len(out_e), "enq_seq": out_e, "deq_seq": out_d})
 
