@@ -37,7 +37,7 @@ PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 
 
 def ustrip(c: Column) -> Column:
-    """Python ``str.strip()`` (Unicode whitespace incl. U+001C-U+001F).
+    r"""Python ``str.strip()`` (Unicode whitespace incl. U+001C-U+001F).
 
     A character-set ``trim`` (no regex: a trailing ``\s+$`` regex rescans
     every whitespace run of a long text)."""

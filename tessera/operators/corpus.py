@@ -65,31 +65,60 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
+def token_text(text: Column) -> Column:
+    """Lower-cased tokens separated by single spaces (same tokens as ``tokens``)."""
+    return F.trim(F.regexp_replace(F.lower(text), TOKEN_SPLIT, " "))
+
+
+def _gram_regex(body: str) -> str:
+    # zero-width match at every token start, capturing ``body`` ahead of it
+    return r"(?<![^ ])(?=(" + body + r")(?![^ ]))"
+
+
+def ngrams_of(tt: Column, n: int) -> Column:
+    """All n-grams of a ``token_text`` (overlapping, in order), via one
+    code-generated ``regexp_extract_all``."""
+    if n == 1:
+        return F.regexp_extract_all(tt, F.lit("([^ ]+)"), 1)
+    return F.regexp_extract_all(tt, F.lit(_gram_regex("[^ ]+" + "(?: [^ ]+)" * (n - 1))), 1)
+
+
+def _prefix_free_groups(phrases: list[str]) -> list[list[str]]:
+    """Split phrases into groups in which no phrase is a token-prefix of
+    another, so one regex pass per group finds every occurrence."""
+    groups: list[list[list[str]]] = []
+    for p in sorted({" ".join(w.lower().split()) for w in phrases if w.strip()}, key=len):
+        toks = p.split()
+        for g in groups:
+            if not any(q[:len(toks)] == toks or toks[:len(q)] == q for q in g):
+                g.append(toks)
+                break
+        else:
+            groups.append([toks])
+    return [[" ".join(t) for t in g] for g in groups]
+
+
 def hard_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
                words: list[str] | None = None) -> DataFrame:
     """Occurrences of list words and phrases per document.
 
     The list is a small literal set (16 fixed entries), so matching is
-    row-local: single words are filtered directly; an n-word phrase is only
-    assembled at positions whose token is the first word of a listed phrase.
-    No join, no shuffle until the final per-(doc, term) count.
+    row-local regex work on the token text: at every token start where a
+    listed phrase begins, the phrase is captured.  Phrases are grouped so
+    that no phrase in a group is a token-prefix of another (then at most one
+    can start at a position); the fixed list needs one pass.  Only matches
+    are exploded; no join, no shuffle until the per-(doc, term) count.
     """
-    words = words or hard_word_list()
-    by_n: dict[int, list[str]] = {}
-    for w in words:
-        by_n.setdefault(len(w.split()), []).append(w.lower())
-    toks = docs.select(key, tokens(F.col(text)).alias("_t"))
-    hits = []
-    for n, ws in sorted(by_n.items()):
-        if n == 1:
-            hits.append(F.filter(F.col("_t"), lambda t: t.isin(ws)))
-            continue
-        firsts = sorted({w.split()[0] for w in ws})
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1))),
-                          lambda i: (F.size("_t") >= i + n - 1) & F.element_at(F.col("_t"), i).isin(firsts))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(F.col("_t"), i, n), " "))
-        hits.append(F.filter(grams, lambda g: g.isin(ws)))
-    return toks.select(key, F.explode(F.flatten(F.array(*hits))).alias("term")) \
+    tt = docs.select(key, token_text(F.col(text)).alias("_tt"))
+
+    def pattern(ws: list[str]) -> str:
+        firsts = "".join(sorted({w[0] for w in ws}))
+        alts = "|".join(r"\Q" + w + r"\E" for w in sorted(ws, key=len, reverse=True))
+        return r"(?<![^ ])(?=[\Q" + firsts + r"\E])(?=((?:" + alts + r"))(?![^ ]))"
+
+    hits = [F.regexp_extract_all(F.col("_tt"), F.lit(pattern(g)), 1)
+            for g in _prefix_free_groups(words or hard_word_list())]
+    return tt.select(key, F.explode(F.flatten(F.array(*hits))).alias("term")) \
         .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -162,16 +191,6 @@ def prompts(files: DataFrame, rules: str, skip_vocab: str = "track01.txt") -> Da
 BROADCAST_TERMS = 100_000  # broadcast a word-list table only up to this many rows
 
 
-def ngrams(toks: Column, n: int) -> Column:
-    """All n-grams of a token array joined by a space (``zip_with`` over
-    shifted copies: one pass, no per-position slices)."""
-    g = toks
-    for k in range(1, n):
-        g = F.zip_with(g, F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(g, lambda x: x.isNotNull())
-
-
 def hard_words_table(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text",
                      max_n: int = 3) -> DataFrame:
     """J11 with the list as a table ``words(term)`` (single or multi-word).
@@ -186,7 +205,7 @@ def hard_words_table(docs: DataFrame, words: DataFrame, key: str = "doc_id", tex
     stats = terms.agg(F.count(F.lit(1)).alias("c"), F.collect_set("n").alias("ns")).first()
     # the size check behind the broadcast (and the few phrase lengths in use)
     side = F.broadcast(terms) if stats["c"] <= BROADCAST_TERMS else terms
-    toks = docs.select(key, tokens(F.col(text)).alias("_t"))
-    grams = toks.select(key, F.explode(F.flatten(F.array(*[ngrams(F.col("_t"), n)
-                                                           for n in sorted(stats["ns"])]))).alias("term"))
+    tt = docs.select(key, token_text(F.col(text)).alias("_tt"))
+    grams = tt.select(key, F.explode(F.flatten(F.array(*[ngrams_of(F.col("_tt"), n)
+                                                         for n in sorted(stats["ns"])]))).alias("term"))
     return grams.join(side.select("term"), "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))

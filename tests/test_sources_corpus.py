@@ -111,3 +111,9 @@ def test_collection_tables_and_sinks(spark):
     files.append_sent(spark.createDataFrame([(" http://a ",)], "url string"), d + "/sent")
     files.append_sent(spark.createDataFrame([("http://a",)], "url string"), d + "/sent")
     assert [r.url for r in files.read_sent_log(spark, d + "/sent").collect()] == ["http://a"]
+
+
+def test_hard_words_overlapping_phrases(spark):
+    docs = spark.createDataFrame([(1, "Los aliados y los otros; los.")], "doc_id long, text string")
+    got = {r.term: r.n for r in corpus.hard_words(docs, words=["los", "los aliados", "aliados", "otros"]).collect()}
+    assert got == {"los": 3, "los aliados": 1, "aliados": 1, "otros": 1}
