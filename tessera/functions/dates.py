@@ -39,3 +39,29 @@ def parse_rfc822(c: Column, naive_zone: str = "+0000") -> Column:
     base = F.when(zone == "", s).otherwise(F.regexp_replace(s, r" ([A-Za-z]+|[+-]\d{4})$", ""))
     full = F.concat(base, F.lit(" "), F.coalesce(mapped, F.when(zone == "", F.lit(naive_zone))))
     return F.try_to_timestamp(full, F.lit("d MMM yyyy H:mm:ss Z"))
+
+
+def utc_wall_clock(instant: Column) -> Column:
+    """TIMESTAMP (an instant) -> TIMESTAMP_NTZ of its UTC wall-clock time,
+    independent of the session time zone."""
+    return _utc_ntz(instant)
+
+
+def _utc_ntz(instant: Column) -> Column:
+    # epoch micros are zone-free; NTZ epoch + micros is the UTC wall clock
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.to_timestamp_ntz(F.lit(_EPOCH_NTZ)))
+
+
+def epoch_micros_ntz(ts: Column) -> Column:
+    """TIMESTAMP_NTZ read as UTC -> microseconds since the epoch (zone-free)."""
+    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH_NTZ)), ts)
+
+
+def ts_literal(value, like_ntz: bool) -> Column:
+    """A timestamp literal of the column's kind, parsed without a zone shift
+    for TIMESTAMP_NTZ columns."""
+    s = value if isinstance(value, str) else value.isoformat(sep=" ")
+    return F.to_timestamp_ntz(F.lit(s)) if like_ntz else F.to_timestamp(F.lit(s))
+
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"

@@ -7,6 +7,9 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import TimestampNTZType
+
+from tessera.functions.dates import ts_literal
 from tessera.functions.text import ustrip
 
 
@@ -23,7 +26,8 @@ def recent(items: DataFrame, now, max_age_hours: float = 24, ts: str = "ts") ->
     if isinstance(now, str):
         now = _dt.datetime.fromisoformat(now)
     cutoff = now - _dt.timedelta(hours=max_age_hours)
-    return items.filter(F.col(ts) >= F.lit(cutoff))
+    ntz = isinstance(items.schema[ts].dataType, TimestampNTZType)
+    return items.filter(F.col(ts) >= ts_literal(cutoff, ntz))
 
 
 def sent_set(sent: DataFrame, url: str = "url") -> DataFrame:

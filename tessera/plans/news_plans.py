@@ -21,7 +21,7 @@ def pages_to_text(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from pyspark.sql import functions as F  # noqa: E402
 
-from tessera.functions.dates import parse_rfc822  # noqa: E402
+from tessera.functions.dates import parse_rfc822, utc_wall_clock  # noqa: E402
 from tessera.functions.jsonx import json_kind, unfence, unfence_array  # noqa: E402
 from tessera.functions.text import cap, first_line, truncate_text, ustrip  # noqa: E402
 from tessera.operators import choose, feeds, messages  # noqa: E402
@@ -134,7 +134,7 @@ FROM orders""")
 def rfc822_parse(spark, sf_dir):
     """Feed dates to UTC instants; unparsable -> null."""
     o = Tables(spark, sf_dir).orders.select("o_orderkey", _rfc_raw().alias("raw"))
-    return o.select("o_orderkey", "raw", parse_rfc822(F.col("raw")).cast("timestamp_ntz").alias("pub_ts"))
+    return o.select("o_orderkey", "raw", utc_wall_clock(parse_rfc822(F.col("raw"))).alias("pub_ts"))
 
 
 # ---------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.dates import epoch_micros_ntz
 from tessera.operators import speech
 from tessera.plans import sqltext as S
 from tessera.plans.registry import query
@@ -17,7 +18,7 @@ from tessera.sources.tables import Tables
 
 
 def _us(ts):
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    return epoch_micros_ntz(F.col(ts))
 
 
 def segments_turns(spark, sf_dir):

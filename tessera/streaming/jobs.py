@@ -18,8 +18,6 @@ checkpoints and sinks live under the cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -56,8 +54,8 @@ def stream_unsent(stories: DataFrame, out_dir: str, ckpt: str, now: str | None =
     """
     spark = stories.sparkSession
     if now is not None:
-        cutoff = _dt.datetime.fromisoformat(now) - _dt.timedelta(hours=max_age_hours)
-        stories = stories.filter(F.col("ts") >= F.lit(cutoff))
+        from tessera.operators.feeds import recent
+        stories = recent(stories, now, max_age_hours)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         first = batch.groupBy("link").agg(F.min("event_id").alias("first_event"))

@@ -5,12 +5,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from conftest import one_col
-from tessera.functions.dates import parse_rfc822
+from tessera.functions.dates import parse_rfc822, utc_wall_clock
 from tessera.functions.text import first_line, output_key, splitlines, urlsafe_b64, ustrip
 
 
 def parse(spark, s):
-    v = one_col(spark, parse_rfc822(F.col("x")).cast("timestamp_ntz"), s)
+    v = one_col(spark, utc_wall_clock(parse_rfc822(F.col("x"))), s)
     return v
 
 
