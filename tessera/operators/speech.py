@@ -51,11 +51,21 @@ def segment_line(start, end, speaker, text):
                     F.coalesce(speaker, F.lit(UNKNOWN)), F.lit(": "), ustrip(text), F.lit("\n"))
 
 
-def render_transcripts(segments: DataFrame) -> DataFrame:
-    """Segment lines concatenated in ``seg_no`` order per track."""
+def render_transcripts(segments: DataFrame, block: int = 1024) -> DataFrame:
+    """Segment lines concatenated in ``seg_no`` order per track.
+
+    Two levels: lines are first joined per ``(track, seg_no div block)`` -
+    many tasks work on one long track in parallel - then the block strings
+    are joined in order per track.  The last step holds only the output
+    text of a track (one value per track is the result), never its rows.
+    """
     lines = segments.select("track", "seg_no", segment_line(
         F.col("start"), F.col("end"), F.col("speaker"), F.col("text")).alias("line"))
-    return lines.groupBy("track").agg(
+    blocks = lines.groupBy("track", F.floor(F.col("seg_no") / block).alias("blk")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "line"))),
-                                 lambda x: x["line"]), "").alias("text"),
-        F.count(F.lit(1)).alias("n_segments"))
+                                 lambda x: x["line"]), "").alias("part"),
+        F.count(F.lit(1)).alias("n"))
+    return blocks.groupBy("track").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk", "part"))),
+                                 lambda x: x["part"]), "").alias("text"),
+        F.sum("n").alias("n_segments"))

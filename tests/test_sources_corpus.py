@@ -117,3 +117,13 @@ def test_hard_words_overlapping_phrases(spark):
     docs = spark.createDataFrame([(1, "Los aliados y los otros; los.")], "doc_id long, text string")
     got = {r.term: r.n for r in corpus.hard_words(docs, words=["los", "los aliados", "aliados", "otros"]).collect()}
     assert got == {"los": 3, "los aliados": 1, "aliados": 1, "otros": 1}
+
+
+def test_render_blocks_keep_order(spark):
+    from tessera.operators import speech
+    segs = spark.createDataFrame([(1, i, i * 1.0, i + 0.5, "SPEAKER_00" if i % 2 else None, f" t{i} ")
+                                  for i in range(25)], "track long, seg_no long, start double, end double, "
+                                 "speaker string, text string")
+    r = speech.render_transcripts(segs, block=4).first()
+    want = "".join(f"[{float(i)}s - {i + 0.5}s] {'SPEAKER_00' if i % 2 else 'UNKNOWN'}: t{i}\n" for i in range(25))
+    assert r.text == want and r.n_segments == 25
