@@ -127,3 +127,38 @@ def test_render_blocks_keep_order(spark):
     r = speech.render_transcripts(segs, block=4).first()
     want = "".join(f"[{float(i)}s - {i + 0.5}s] {'SPEAKER_00' if i % 2 else 'UNKNOWN'}: t{i}\n" for i in range(25))
     assert r.text == want and r.n_segments == 25
+
+
+def test_dedup_within_watermark_and_unsent_stream(spark):
+    """T-2 bounded variant and T-1/T-2/T-5 foreachBatch job on a two-file stream."""
+    import datetime as dt
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from tessera.streaming import jobs
+    src = tempfile.mkdtemp(prefix="feed-")
+    t0 = dt.datetime(2026, 5, 8, 12)
+    batches = [[("a", 1, t0), ("b", 2, t0), ("a", 3, t0)], [("a", 4, t0), ("c", 5, t0), ("old", 6, t0 - dt.timedelta(days=3))]]
+    for i, b in enumerate(batches):
+        link, eid, ts = zip(*b)
+        pq.write_table(pa.table({"link": pa.array(link), "event_id": pa.array(eid, pa.int64()),
+                                 "ts": pa.array(ts, pa.timestamp("us"))}), os.path.join(src, f"s{i}.parquet"))
+    stream = jobs.file_stream(spark, src, "s*.parquet", max_files=1)
+    out, ckpt = jobs.run_dirs(spark, "test-unsent")
+    jobs.stream_unsent(stream, out, ckpt, now="2026-05-08 12:00:00", max_age_hours=24)
+    got = sorted((r.link, r.first_event, r.batch_id) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1, 0), ("b", 2, 0), ("c", 5, 1)]
+    # bounded variant: one row per link while the watermark holds it
+    d = jobs.dedup_within_watermark(jobs.file_stream(spark, src, "s*.parquet"))
+    out2, ckpt2 = jobs.run_dirs(spark, "test-dedup")
+    jobs._run(d.writeStream.format("parquet").option("path", out2), ckpt2)
+    assert sorted(r.link for r in spark.read.parquet(out2).collect()) == ["a", "b", "c", "old"]
+
+
+def test_transcript_sink_writes_both(spark):
+    from tessera.operators import speech
+    d = tempfile.mkdtemp(prefix="tr-")
+    segs = spark.createDataFrame([(1, 0, 0.0, 1.25, None, "hola")],
+                                 "track long, seg_no long, start double, end double, speaker string, text string")
+    files.write_transcripts(segs, speech.render_transcripts(segs), d)
+    assert spark.read.parquet(d + "/text").first().text == "[0.0s - 1.25s] UNKNOWN: hola\n"
+    assert spark.read.parquet(d + "/segments").count() == 1
