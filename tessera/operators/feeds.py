@@ -72,3 +72,24 @@ def first_n(items: DataFrame, n: int = 15, order=("feed_pos", "item_pos")) -> Da
     """O2: the first ``n`` items in feed order.  The limit is the feature and
     comes *before* the unsent filter (so fewer than ``n`` may remain)."""
     return items.orderBy(*order).limit(n)
+
+
+def with_pub_ts(items: DataFrame, raw: str = "pub_date_raw", observation=None) -> DataFrame:
+    """E1 + F2: parse the feed date; items whose date does not parse are
+    dropped.  With a ``pyspark.sql.Observation`` the rejects are counted as
+    a side metric of the same job (the source logs each one)."""
+    from tessera.functions.dates import parse_rfc822
+
+    parsed = items.withColumn("pub_ts", parse_rfc822(F.col(raw)))
+    if observation is not None:
+        parsed = parsed.observe(observation, F.count_if(F.col("pub_ts").isNull()).alias("bad_dates"),
+                                F.count(F.lit(1)).alias("items"))
+    return parsed.filter(F.col("pub_ts").isNotNull())
+
+
+def feed_candidates(items: DataFrame, sent: DataFrame, now, max_age_hours: float = 24, n: int = 15,
+                    observation=None) -> DataFrame:
+    """The scheduled flow: valid items (F1) -> dates (E1/F2) -> age cut-off
+    (F3) -> first ``n`` in feed order (O2) -> not yet sent (J4)."""
+    fresh = recent(with_pub_ts(valid_items(items), observation=observation), now, max_age_hours, ts="pub_ts")
+    return unsent(first_n(fresh, n), sent, items_are_small=True)

@@ -162,3 +162,22 @@ def test_transcript_sink_writes_both(spark):
     files.write_transcripts(segs, speech.render_transcripts(segs), d)
     assert spark.read.parquet(d + "/text").first().text == "[0.0s - 1.25s] UNKNOWN: hola\n"
     assert spark.read.parquet(d + "/segments").count() == 1
+
+
+def test_feed_flow_end_to_end(spark):
+    """Four XML feeds -> candidates, with reject counting."""
+    from pyspark.sql import Observation
+    from tessera.operators import feeds
+    d = tempfile.mkdtemp(prefix="flow-")
+    item = "<item><title>{t}</title><link>http://x/{t}</link><pubDate>{d}</pubDate></item>"
+    docs = []
+    for f in range(4):
+        items = "".join(item.format(t=f"f{f}i{i}", d=("Fri, 08 May 2026 1%d:00:00 GMT" % i) if i != 2 else "bad date")
+                        for i in range(4))
+        docs.append(_write(d, f"feed{f}.xml", f"<rss><channel><title>S{f}</title>{items}</channel></rss>"))
+    obs = Observation("feed")
+    sent = spark.createDataFrame([("http://x/f0i1",)], "url string")
+    got = feeds.feed_candidates(files.read_feeds(spark, docs), sent, "2026-05-08 13:30:00", 24, 5, obs)
+    rows = [r.title for r in got.orderBy("feed_pos", "item_pos").collect()]
+    assert rows == ["f0i0", "f0i3", "f1i0", "f1i1"]   # limit 5 first, then f0i1 removed
+    assert obs.get == {"bad_dates": 4, "items": 16}
