@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessera.functions.dates import parse_rfc822, utc_wall_clock
+from tessera.functions.html import clean_lines
+from tessera.functions.jsonx import json_kind, unfence, unfence_array
+from tessera.functions.text import cap, first_line, truncate_text, ustrip
+from tessera.operators import choose, feeds, messages
+from tessera.operators.corpus import HARD_WORDS
 from tessera.operators.pagetext import pages_to_text as _pages_to_text
 from tessera.plans import sqltext as S
 from tessera.plans.registry import query
@@ -19,12 +27,7 @@ def pages_to_text(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Feed candidates (orders stand in for feed items, events for the sent log)
 # ---------------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from tessera.functions.dates import parse_rfc822, utc_wall_clock  # noqa: E402
-from tessera.functions.jsonx import json_kind, unfence, unfence_array  # noqa: E402
-from tessera.functions.text import cap, first_line, truncate_text, ustrip  # noqa: E402
-from tessera.operators import choose, feeds, messages  # noqa: E402
 
 NOW = "2001-08-01 00:00:00"          # job parameter: the run's "now"
 MAX_AGE_HOURS = 24 * 60
@@ -315,7 +318,6 @@ def json_file_stats(spark, sf_dir):
 # Block skip and noise lines on documents (W3 E7 F8 E6): marker lines are
 # injected at positions derived from (doc_id, line number), then cleaned.
 # ---------------------------------------------------------------------------
-from tessera.functions.html import clean_lines  # noqa: E402
 
 _MARKERS = [(0, "Más leídas: hoy"), (5, "Final de Más leídas"), (11, "El nuevo podcast de BBC Mundo"),
             (17, "Fin de Podcast"), (21, "12 mayo 2024"), (23, "02:27"), (25, "Pie de foto, algo"),
@@ -347,7 +349,6 @@ def doc_clean_lines(spark, sf_dir):
     return staged.select("doc_id", F.nullif(F.array_join(F.col("_l"), "\n"), F.lit("")).alias("text"))
 
 
-from tessera.operators.corpus import HARD_WORDS  # noqa: E402
 
 REWRITE_TEMPLATE = ("Profile: {profile}\nHard words: {hard_words}\nKeep {{braces}}.\n"
                     "Article:\n{article_text}")          # job parameter: the prompt template
