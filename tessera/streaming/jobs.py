@@ -146,3 +146,31 @@ def run_dirs(spark: SparkSession, purpose: str) -> tuple[str, str]:
     """Fresh sink and checkpoint folders under the shared checkpoint folder."""
     base = shared_dir(spark, purpose)
     return f"{base}/out", f"{base}/checkpoint"
+
+
+def feed_stream(spark: SparkSession, folder: str, glob: str = "*.xml",
+                max_files: int | None = None) -> DataFrame:
+    """T-1: RSS documents arriving in ``folder`` as a stream of items
+    (``feed``, ``source``, ``item_pos``, ``title``, ``link``, ``description``,
+    ``pub_date_raw``, ``pub_ts``).  Items without title/link or with an
+    unparsable date are dropped (F1, F2)."""
+    from tessera.functions.dates import parse_rfc822
+    from tessera.functions.text import ustrip
+    from tessera.operators.feeds import valid_items
+    from tessera.sources.files import CHANNEL
+
+    r = (spark.readStream.format("xml").option("rowTag", "channel").schema(CHANNEL)
+         .option("pathGlobFilter", glob))
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    raw = r.load(folder).withColumn("feed", F.col("_metadata.file_path"))
+    items = raw.select("feed", F.coalesce(ustrip(F.col("title")), F.col("feed")).alias("source"),
+                       F.posexplode("item").alias("item_pos", "it"))
+    items = items.select(
+        "feed", "source", "item_pos",
+        F.coalesce(ustrip(F.col("it.title")), F.lit("")).alias("title"),
+        F.coalesce(ustrip(F.col("it.link")), F.lit("")).alias("link"),
+        F.coalesce(ustrip(F.col("it.description")), F.lit("")).alias("description"),
+        F.col("it.pubDate").alias("pub_date_raw"))
+    items = valid_items(items).withColumn("pub_ts", parse_rfc822(F.col("pub_date_raw")))
+    return items.filter(F.col("pub_ts").isNotNull())

@@ -180,3 +180,23 @@ def test_feed_flow_end_to_end(spark):
     rows = [r.title for r in got.orderBy("feed_pos", "item_pos").collect()]
     assert rows == ["f0i0", "f0i3", "f1i0", "f1i1"]   # limit 5 first, then f0i1 removed
     assert obs.get == {"bad_dates": 4, "items": 16}
+
+
+def test_xml_feed_stream_never_sends_twice(spark):
+    """T-1 + T-2: XML feed files arrive one per micro-batch; a link already
+    sent in an earlier batch is not sent again; old items never enter."""
+    from pyspark.sql import functions as F
+    from tessera.streaming import jobs
+    d = tempfile.mkdtemp(prefix="xmlstream-")
+    item = "<item><title>{t}</title><link>http://x/{l}</link><pubDate>{p}</pubDate></item>"
+    recent_d, old_d = "Fri, 08 May 2026 11:00:00 GMT", "Mon, 04 May 2026 11:00:00 GMT"
+    _write(d, "a.xml", "<rss><channel><title>A</title>" + item.format(t="t1", l="1", p=recent_d)
+           + item.format(t="t2", l="2", p=recent_d) + "</channel></rss>")
+    _write(d, "b.xml", "<rss><channel><title>B</title>" + item.format(t="t1 again", l="1", p=recent_d)
+           + item.format(t="t3", l="3", p=recent_d) + item.format(t="old", l="4", p=old_d) + "</channel></rss>")
+    s = jobs.feed_stream(spark, d, max_files=1).withColumn(
+        "event_id", F.xxhash64("feed", "item_pos")).withColumnRenamed("pub_ts", "ts")
+    out, ckpt = jobs.run_dirs(spark, "test-xml")
+    jobs.stream_unsent(s.select("link", "event_id", "ts"), out, ckpt, now="2026-05-08 12:00:00",
+                       max_age_hours=24)
+    assert sorted(r.link for r in spark.read.parquet(out).collect()) == ["http://x/1", "http://x/2", "http://x/3"]
