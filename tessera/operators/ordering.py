@@ -44,3 +44,21 @@ def with_previous(df: DataFrame, order: list[str], cols: list[str], prefix: str
         ranked = materialize(ranked, "global-rank")
     prev = ranked.select((F.col("rank") + 1).alias("rank"), *[F.col(c).alias(prefix + c) for c in cols])
     return ranked.join(prev, "rank", "left")
+
+
+def chunked_running_sums(df: DataFrame, part: list[str], order: list[str], chunk: str,
+                         sums: list[str]) -> DataFrame:
+    """Running sums of ``sums`` per ``part`` in ``order`` (inclusive), computed
+    as a segmented prefix scan: windows per ``part + [chunk]`` (``chunk`` must
+    be non-decreasing in ``order``), chunk totals, and chunk offsets from a
+    window over the (few) chunks of each ``part``.  A partition key holding a
+    large share of the rows is thereby spread over many tasks.  Adds
+    ``run_<col>`` for each summed column."""
+    w = Window.partitionBy(*part, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sums])
+    tot = df.groupBy(*part, chunk).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    wc = Window.partitionBy(*part).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*part, chunk, *[F.coalesce(F.sum(f"_t_{c}").over(wc), F.lit(0)).alias(f"_o_{c}")
+                                      for c in sums])
+    j = local.join(offs, [*part, chunk])
+    return j.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"run_{c}") for c in sums])

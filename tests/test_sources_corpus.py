@@ -200,3 +200,36 @@ def test_xml_feed_stream_never_sends_twice(spark):
     jobs.stream_unsent(s.select("link", "event_id", "ts"), out, ckpt, now="2026-05-08 12:00:00",
                        max_age_hours=24)
     assert sorted(r.link for r in spark.read.parquet(out).collect()) == ["http://x/1", "http://x/2", "http://x/3"]
+
+
+def test_speaker_assignment_matches_brute_force(spark):
+    import random
+    from tessera.operators import speech
+    rnd = random.Random(3)
+    segs, turns = [], []
+    for tr in range(3):
+        for i in range(40):
+            s = rnd.randrange(0, 5000)
+            segs.append((tr, tr * 1000 + i, s, s + rnd.randrange(0, 300)))
+        for i in range(25):
+            s = rnd.randrange(0, 5000)
+            turns.append((tr, rnd.choice(["A", "B", "C"]), s, s + rnd.randrange(1, 900)))
+
+    def brute():
+        out = {}
+        for tr, sid, s, e in segs:
+            ov = {}
+            for tr2, spk, s2, e2 in turns:
+                if tr2 == tr and min(e, e2) - max(s, s2) > 0:
+                    ov[spk] = ov.get(spk, 0) + min(e, e2) - max(s, s2)
+            best = min(ov.items(), key=lambda kv: (-kv[1], kv[0])) if ov else ("UNKNOWN", 0)
+            out[sid] = best
+        return out
+
+    sdf = spark.createDataFrame(segs, "track long, seg_id long, start_us long, end_us long")
+    tdf = spark.createDataFrame(turns, "track long, speaker string, start_us long, end_us long")
+    want = brute()
+    for fn in (lambda: speech.assign_speakers(sdf, tdf, chunk_us=700),
+               lambda: speech.assign_speakers_binned(sdf, tdf, bin_us=250)):
+        got = {r.seg_id: (r.speaker, r.overlap_us) for r in fn().collect()}
+        assert got == want
