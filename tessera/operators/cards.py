@@ -133,6 +133,39 @@ def _array_merge(cards_ok: DataFrame, names: list[str]) -> DataFrame:
                     lambda s: s["item"]).alias(n) for n in names])
 
 
+FOLD_BLOCK = 4096  # cards per partial string in the two-level fold
+
+
+def _fold_field(tail_rows: DataFrame, n: str) -> DataFrame:
+    """Tail of one string fold per key: ``_tail_<n>`` and ``_exact_<n>``.
+
+    Cards from the first one that differs (ignoring case) from the first
+    card's value on are all that matter.  If none of them contains a newline,
+    each is appended (the accumulated string then holds a newline they
+    cannot equal), so the tail is an ordered join built in two levels -
+    blocks of ``FOLD_BLOCK`` cards per (key, file), then the blocks per key.
+    Otherwise the key keeps the exact sequential fold over its tail
+    (``_exact_<n>`` true, ``items`` = the tail in order).
+    """
+    keep = F.col(f"_j_{n}").isNotNull() & (_ord() >= F.col(f"_j_{n}"))
+    t = tail_rows.filter(keep).select("key", *ORDER, F.col(n).alias("v"))
+    nl = t.groupBy("key").agg(F.max(F.col("v").contains("\n")).alias("_nl"))
+    t = t.join(nl, "key")
+    fast = t.filter(~F.col("_nl"))
+    blocks = fast.groupBy("key", "file", F.floor(F.col("idx") / FOLD_BLOCK).alias("_b")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]),
+                     "\n").alias("part"))
+    fast_tail = blocks.groupBy("key").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("file", "_b", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    slow_tail = t.filter(F.col("_nl")).groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ORDER], "v"))).alias("items"))
+    item_type = slow_tail.schema["items"].dataType
+    return fast_tail.select("key", F.struct(F.col("text"), F.lit(None).cast(item_type).alias("items"))
+                            .alias(f"_tail_{n}"), F.lit(False).alias(f"_exact_{n}")).unionByName(
+        slow_tail.select("key", F.struct(F.lit(None).cast("string").alias("text"), F.col("items"))
+                         .alias(f"_tail_{n}"), F.lit(True).alias(f"_exact_{n}")))
+
+
 def merge_cards(cards: DataFrame, materialize_join: bool = True) -> dict[str, DataFrame]:
     """A1/A2/A3/V8: returns ``merged``, ``conflicts`` and ``rejected`` frames.
 
@@ -175,24 +208,19 @@ def merge_cards(cards: DataFrame, materialize_join: bool = True) -> dict[str, Da
         starts = ok_later.groupBy("key").agg(*[
             F.min(F.when(F.lower(F.col(n)) != F.lower(F.col(f"f.{n}")), _ord())).alias(f"_j_{n}")
             for n in folds])
-        tail = ok_later.join(starts, "key")
-        agg = []
-        for n in folds:
-            keep = F.col(f"_j_{n}").isNotNull() & (_ord() >= F.col(f"_j_{n}"))
-            agg.append(F.array_sort(F.collect_list(F.when(keep, F.struct(*[F.col(c) for c in ORDER],
-                                                                          F.col(n).alias("v")))))
-                       .alias(f"_t_{n}"))
-        tails = tail.groupBy("key").agg(*agg)
-        fold_df = first_rows.select("key", *folds).join(tails, "key", "left")
-        cols = []
+        tail_rows = ok_later.join(starts, "key")
+        fold_df = first_rows.select("key", *folds)
         for n in folds:
-            t = F.coalesce(F.col(f"_t_{n}"), F.array())
-            folded = F.aggregate(
-                t, F.col(n),
+            fold_df = fold_df.join(_fold_field(tail_rows, n), "key", "left")
+        out = out.join(fold_df.select("key", *[
+            F.when(F.col(n).isNull(), F.lit(None).cast("string"))
+            .when(F.col(f"_tail_{n}").isNull(), F.col(n))
+            .when(F.col(f"_exact_{n}"), F.aggregate(
+                F.col(f"_tail_{n}.items"), F.col(n),
                 lambda acc, y: F.when(F.lower(acc) == F.lower(y["v"]), acc)
-                .otherwise(F.concat(acc, F.lit("\n"), y["v"])))
-            cols.append(F.when(F.col(n).isNull(), F.lit(None).cast("string")).otherwise(folded).alias(n))
-        out = out.join(fold_df.select("key", *cols), "key")
+                .otherwise(F.concat(acc, F.lit("\n"), y["v"]))))
+            .otherwise(F.concat(F.col(n), F.lit("\n"), F.col(f"_tail_{n}.text"))).alias(n)
+            for n in folds]), "key")
 
     firsts_only = [n for n, k in kinds.items() if k == "first"]
     conflicts = ok_later.select(

@@ -78,3 +78,41 @@ def test_level_distribution_zero_fill(spark):
     assert got[("earliest", "A1")] == (1, True) and got[("earliest", "C2")] == (0, True)
     assert got[("mandatory", "B2")] == (2, True) and got[("mandatory", "Z9")] == (1, False)
     assert ("earliest", "") not in got
+
+
+def _py_fold(vals):
+    acc = vals[0]
+    for y in vals[1:]:
+        if acc.lower() != y.lower():
+            acc += "\n" + y
+    return acc
+
+
+def test_fold_exact_path_with_multiline_values(spark):
+    vals = ["a", "B", "a\nb", "c"]          # "a\nb" equals the accumulated "a\nB" -> kept
+    rows = [("f1", i, "spanish_to_target", "w", ["a"], v, "", "A1", "t") for i, v in enumerate(vals)]
+    _, m = merged(spark, rows)
+    assert m["spanish_to_target|w||"].example_sentence_es == _py_fold(vals) == "a\nB\nc"
+
+
+def test_fold_block_path_many_files(spark):
+    import random
+    from tessera.operators import cards as C
+    rnd = random.Random(5)
+    rows, by_key = [], {}
+    for f in range(6):
+        for i in range(300):
+            k = rnd.choice(["w1", "w2", "w3"])
+            v = rnd.choice(["Hola", "hola", "adios", "", "x"])
+            rows.append((f"f{f}", i, "spanish_to_target", k, ["a"], v, v, "A1", "t"))
+            by_key.setdefault(k, []).append(((f"f{f}", i), v))
+    old = C.FOLD_BLOCK
+    C.FOLD_BLOCK = 7
+    try:
+        _, m = merged(spark, rows)
+    finally:
+        C.FOLD_BLOCK = old
+    for k, items in by_key.items():
+        want = _py_fold([v for _, v in sorted(items)])
+        r = m[f"spanish_to_target|{k}||"]
+        assert r.example_sentence_es == want and r.notes == want
