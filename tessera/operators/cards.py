@@ -136,34 +136,38 @@ def _array_merge(cards_ok: DataFrame, names: list[str]) -> DataFrame:
 FOLD_BLOCK = 4096  # cards per partial string in the two-level fold
 
 
-def _fold_field(tail_rows: DataFrame, n: str) -> DataFrame:
-    """Tail of one string fold per key: ``_tail_<n>`` and ``_exact_<n>``.
+def _fold_tails(tail_rows: DataFrame, folds: list[str]) -> DataFrame:
+    """Tails of all string folds per key, one row per key with, per field,
+    ``_text_<n>`` (ordered join of the tail) or ``_items_<n>`` (the tail in
+    order, for keys that need the sequential fold).
 
     Cards from the first one that differs (ignoring case) from the first
-    card's value on are all that matter.  If none of them contains a newline,
-    each is appended (the accumulated string then holds a newline they
-    cannot equal), so the tail is an ordered join built in two levels -
-    blocks of ``FOLD_BLOCK`` cards per (key, file), then the blocks per key.
-    Otherwise the key keeps the exact sequential fold over its tail
-    (``_exact_<n>`` true, ``items`` = the tail in order).
+    card's value on are all that matter.  If no later card of the key
+    contains a newline in that field (``_nl_<n>``, a superset of the tail),
+    each tail value is appended (the accumulated string then holds a newline
+    they cannot equal), so the tail is an ordered join built in two levels -
+    blocks of ``FOLD_BLOCK`` cards per (key, field, file), then per key.
+    Otherwise the key keeps the exact sequential fold over its tail.  All
+    fold fields share the same passes.
     """
-    keep = F.col(f"_j_{n}").isNotNull() & (_ord() >= F.col(f"_j_{n}"))
-    t = tail_rows.filter(keep).select("key", *ORDER, F.col(n).alias("v"))
-    nl = t.groupBy("key").agg(F.max(F.col("v").contains("\n")).alias("_nl"))
-    t = t.join(nl, "key")
-    fast = t.filter(~F.col("_nl"))
-    blocks = fast.groupBy("key", "file", F.floor(F.col("idx") / FOLD_BLOCK).alias("_b")).agg(
+    t = tail_rows.select("key", *ORDER, F.explode(F.array(*[F.struct(
+        F.lit(n).alias("field"), F.col(n).alias("v"), F.col(f"_nl_{n}").alias("nl"),
+        (F.col(f"_j_{n}").isNotNull() & (_ord() >= F.col(f"_j_{n}"))).alias("keep")) for n in folds])).alias("x"))
+    t = t.filter("x.keep").select("key", *ORDER, "x.field", "x.v", "x.nl")
+    fast = t.filter(~F.col("nl"))
+    blocks = fast.groupBy("key", "field", "file", F.floor(F.col("idx") / FOLD_BLOCK).alias("_b")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]),
                      "\n").alias("part"))
-    fast_tail = blocks.groupBy("key").agg(F.array_join(F.transform(
+    fast_tail = blocks.groupBy("key", "field").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("file", "_b", "part"))), lambda x: x["part"]), "\n").alias("text"))
-    slow_tail = t.filter(F.col("_nl")).groupBy("key").agg(
+    slow_tail = t.filter(F.col("nl")).groupBy("key", "field").agg(
         F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ORDER], "v"))).alias("items"))
-    item_type = slow_tail.schema["items"].dataType
-    return fast_tail.select("key", F.struct(F.col("text"), F.lit(None).cast(item_type).alias("items"))
-                            .alias(f"_tail_{n}"), F.lit(False).alias(f"_exact_{n}")).unionByName(
-        slow_tail.select("key", F.struct(F.lit(None).cast("string").alias("text"), F.col("items"))
-                         .alias(f"_tail_{n}"), F.lit(True).alias(f"_exact_{n}")))
+    both = fast_tail.select("key", "field", "text", F.lit(None).cast(slow_tail.schema["items"].dataType)
+                            .alias("items")).unionByName(
+        slow_tail.select("key", "field", F.lit(None).cast("string").alias("text"), "items"))
+    return both.groupBy("key").agg(*[x for n in folds for x in (
+        F.max(F.when(F.col("field") == n, F.col("text"))).alias(f"_text_{n}"),
+        F.first(F.when(F.col("field") == n, F.col("items")), ignorenulls=True).alias(f"_items_{n}"))])
 
 
 def merge_cards(cards: DataFrame, materialize_join: bool = True) -> dict[str, DataFrame]:
@@ -205,21 +209,21 @@ def merge_cards(cards: DataFrame, materialize_join: bool = True) -> dict[str, Da
     # String folds: only the values from the first differing card on matter.
     folds = [n for n, k in kinds.items() if k == "fold"]
     if folds:
+        # first differing card per field, and whether any later card has a
+        # newline in that field (then the key needs the sequential fold)
         starts = ok_later.groupBy("key").agg(*[
             F.min(F.when(F.lower(F.col(n)) != F.lower(F.col(f"f.{n}")), _ord())).alias(f"_j_{n}")
-            for n in folds])
+            for n in folds], *[F.max(F.col(n).contains("\n")).alias(f"_nl_{n}") for n in folds])
         tail_rows = ok_later.join(starts, "key")
-        fold_df = first_rows.select("key", *folds)
-        for n in folds:
-            fold_df = fold_df.join(_fold_field(tail_rows, n), "key", "left")
+        fold_df = first_rows.select("key", *folds).join(_fold_tails(tail_rows, folds), "key", "left")
         out = out.join(fold_df.select("key", *[
             F.when(F.col(n).isNull(), F.lit(None).cast("string"))
-            .when(F.col(f"_tail_{n}").isNull(), F.col(n))
-            .when(F.col(f"_exact_{n}"), F.aggregate(
-                F.col(f"_tail_{n}.items"), F.col(n),
+            .when(F.col(f"_items_{n}").isNotNull(), F.aggregate(
+                F.col(f"_items_{n}"), F.col(n),
                 lambda acc, y: F.when(F.lower(acc) == F.lower(y["v"]), acc)
                 .otherwise(F.concat(acc, F.lit("\n"), y["v"]))))
-            .otherwise(F.concat(F.col(n), F.lit("\n"), F.col(f"_tail_{n}.text"))).alias(n)
+            .when(F.col(f"_text_{n}").isNotNull(), F.concat(F.col(n), F.lit("\n"), F.col(f"_text_{n}")))
+            .otherwise(F.col(n)).alias(n)
             for n in folds]), "key")
 
     firsts_only = [n for n, k in kinds.items() if k == "first"]
