@@ -128,7 +128,7 @@ SELECT key, coalesce(mandatory_level, 'Uncategorized') AS level,
   CASE WHEN {_FWD} THEN {_EN} || '<br>' || {_DE}
        ELSE {_ES} || coalesce(example_sentence_es, '') END AS back_sentence,
   substr(sha256(key), 1, 16) AS note_guid,
-  'Refold Es1K::level' || coalesce(mandatory_level, 'Uncategorized') AS deck_name
+  'Spanish Core 2K::level' || coalesce(mandatory_level, 'Uncategorized') AS deck_name
 FROM m
 WHERE direction IN ('spanish_to_target', 'spanish_sentence_to_target', 'target_to_spanish',
                     'target_sentence_to_spanish')"""
@@ -138,7 +138,7 @@ WHERE direction IN ('spanish_to_target', 'spanish_sentence_to_target', 'target_t
 def card_faces(spark, sf_dir):
     """Rendered faces, stable guid and deck name per merged card."""
     m = C.merge_cards(cards_view(spark, sf_dir))["merged"]
-    faces = C.stable_ids(C.card_faces(m), "decks/refold_es1k")
+    faces = C.stable_ids(C.card_faces(m), "decks/spanish_core_2k")
     return faces.drop("deck_id")
 
 

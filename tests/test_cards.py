@@ -68,7 +68,7 @@ def test_totals_and_faces(spark):
     faces = C.card_faces(C.merge_cards(df)["merged"]).collect()
     assert len(faces) == 1 and faces[0].front_sentence == '"s"'
     assert faces[0].back_word.endswith("a, b<br><span class='lang-label'>DE:</span> ")
-    assert C.deck_title("x/refold_es1k") == "Refold Es1K"
+    assert C.deck_title("x/spanish_core_2k") == "Spanish Core 2K"
 
 
 def test_level_distribution_zero_fill(spark):
