@@ -46,19 +46,33 @@ def with_previous(df: DataFrame, order: list[str], cols: list[str], prefix: str
     return ranked.join(prev, "rank", "left")
 
 
-def chunked_running_sums(df: DataFrame, part: list[str], order: list[str], chunk: str,
-                         sums: list[str]) -> DataFrame:
-    """Running sums of ``sums`` per ``part`` in ``order`` (inclusive), computed
-    as a segmented prefix scan: windows per ``part + [chunk]`` (``chunk`` must
-    be non-decreasing in ``order``), chunk totals, and chunk offsets from a
-    window over the (few) chunks of each ``part``.  A partition key holding a
-    large share of the rows is thereby spread over many tasks.  Adds
-    ``run_<col>`` for each summed column."""
-    w = Window.partitionBy(*part, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sums])
-    tot = df.groupBy(*part, chunk).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+def chunked_running(df: DataFrame, part: list[str], order: list[str], chunk: str,
+                    aggs: dict[str, str], exclusive: bool = False) -> DataFrame:
+    """Running ``sum``/``max`` of columns per ``part`` in ``order`` as a
+    segmented prefix scan: windows per ``part + [chunk]`` (``chunk`` must be
+    non-decreasing in ``order``), chunk totals, and chunk offsets from a window
+    over the (few) chunks of each ``part``.  A partition key holding a large
+    share of the rows is thereby spread over many tasks.  Adds ``run_<col>``
+    (inclusive of the row, or only earlier rows with ``exclusive``); a max
+    over no rows is null."""
+    fn = {"sum": F.sum, "max": F.max}
+    hi = -1 if exclusive else 0
+    w = Window.partitionBy(*part, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
+    local = df.select("*", *[fn[a](c).over(w).alias(f"_l_{c}") for c, a in aggs.items()])
+    tot = df.groupBy(*part, chunk).agg(*[fn[a](c).alias(f"_t_{c}") for c, a in aggs.items()])
     wc = Window.partitionBy(*part).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*part, chunk, *[F.coalesce(F.sum(f"_t_{c}").over(wc), F.lit(0)).alias(f"_o_{c}")
-                                      for c in sums])
+    offs = tot.select(*part, chunk, *[fn[a](f"_t_{c}").over(wc).alias(f"_o_{c}") for c, a in aggs.items()])
     j = local.join(offs, [*part, chunk])
-    return j.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"run_{c}") for c in sums])
+
+    def combine(c, a):
+        o, loc = F.col(f"_o_{c}"), F.col(f"_l_{c}")
+        if a == "sum":
+            return F.coalesce(o, F.lit(0)) + F.coalesce(loc, F.lit(0))
+        return F.greatest(o, loc)  # greatest skips nulls
+    return j.select(*df.columns, *[combine(c, a).alias(f"run_{c}") for c, a in aggs.items()])
+
+
+def chunked_running_sums(df: DataFrame, part: list[str], order: list[str], chunk: str,
+                         sums: list[str]) -> DataFrame:
+    """Inclusive running sums (see ``chunked_running``)."""
+    return chunked_running(df, part, order, chunk, {c: "sum" for c in sums})

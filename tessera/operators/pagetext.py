@@ -31,3 +31,34 @@ def page_lines(pages: DataFrame, html_col: str = "html", keep=("page_id",)) -> D
     """Kept lines of each page with their position (``posexplode``)."""
     lines = clean_lines(strip_markup(extract_body(F.col(html_col))))
     return pages.select(*keep, F.posexplode(lines).alias("line_no", "line"))
+
+
+def skip_blocks(lines: DataFrame, key: str, pos: str, text: str, chunk: int = 1 << 16) -> DataFrame:
+    """W3 + E7 + F8 for text that arrives as rows of lines (one row per line,
+    ``pos`` ordered within ``key``): returns the kept lines, stripped.
+
+    The most-read state of a line is "the last most-read marker before it
+    opens a block", i.e. the running max of ``2*pos + is_open`` over marker
+    lines is odd; the podcast state is the same over the lines the first
+    block let through.  Both running maxima come from a chunked prefix scan
+    (``chunk`` positions per chunk), so a very long document is spread over
+    many tasks instead of one window.
+    """
+    from tessera.functions.html import (MOST_READ_CLOSE, MOST_READ_OPEN, PODCAST_CLOSE, PODCAST_OPEN,
+                                        _is_noise)
+    from tessera.functions.text import ustrip
+    from tessera.operators.ordering import chunked_running
+
+    t = F.col("_t")
+    base = lines.select(key, pos, ustrip(F.col(text)).alias("_t")) \
+        .withColumn("_c", F.floor(F.col(pos) / F.lit(chunk)))
+    mr_open = t.contains(MOST_READ_OPEN) & ~t.contains(MOST_READ_CLOSE)
+    mark1 = F.when(mr_open, F.col(pos) * 2 + 1).when(t.contains(MOST_READ_CLOSE), F.col(pos) * 2)
+    s1 = chunked_running(base.withColumn("_m1", mark1), [key], [pos], "_c", {"_m1": "max"}, exclusive=True)
+    in_mr = mr_open | (F.coalesce(F.col("run__m1"), F.lit(0)) % 2 == 1)
+    rest = s1.filter(~in_mr).drop("_m1", "run__m1")
+    pod_open = t.contains(PODCAST_OPEN)
+    mark2 = F.when(pod_open, F.col(pos) * 2 + 1).when(t.contains(PODCAST_CLOSE), F.col(pos) * 2)
+    s2 = chunked_running(rest.withColumn("_m2", mark2), [key], [pos], "_c", {"_m2": "max"}, exclusive=True)
+    in_pod = pod_open | (F.coalesce(F.col("run__m2"), F.lit(0)) % 2 == 1)
+    return s2.filter(~in_pod & ~_is_noise(t)).select(key, pos, t.alias("line"))

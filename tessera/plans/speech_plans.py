@@ -80,3 +80,47 @@ FROM s GROUP BY track""".replace("{strip}", S.ustrip("text"))
 def transcript_render(spark, sf_dir):
     """Readable transcript per track."""
     return speech.render_transcripts(conversation_segments(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# W3 E7 F8 on line rows: conversation turns are the lines of a conversation;
+# marker lines are placed by (conv_id + turn).
+# ---------------------------------------------------------------------------
+from tessera.functions.html import (MOST_READ_CLOSE, MOST_READ_OPEN, PODCAST_CLOSE,  # noqa: E402
+                                    PODCAST_OPEN)
+from tessera.functions.text import first_line  # noqa: E402
+from tessera.operators.pagetext import skip_blocks  # noqa: E402
+
+_TURN_MARKERS = [(0, MOST_READ_OPEN), (4, MOST_READ_CLOSE), (7, PODCAST_OPEN), (10, PODCAST_CLOSE), (12, "02:27")]
+
+
+def turn_lines(spark, sf_dir):
+    c = Tables(spark, sf_dir).conversations
+    k = (F.col("conv_id") + F.col("turn")) % 13
+    line = None
+    for v, m in _TURN_MARKERS:
+        line = F.when(k == v, F.lit(m)) if line is None else line.when(k == v, F.lit(m))
+    return c.select("conv_id", "turn", line.otherwise(first_line(F.col("text"))).alias("line"))
+
+
+_MR_OPEN = f"(contains(t, {S.lit(MOST_READ_OPEN)}) AND NOT contains(t, {S.lit(MOST_READ_CLOSE)}))"
+_W = "PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_BLOCK_SQL = f"""
+WITH l AS (
+  SELECT conv_id, turn, {S.ustrip('CASE (conv_id + turn) % 13 ' + ' '.join(
+      f"WHEN {v} THEN {S.lit(m)}" for v, m in _TURN_MARKERS) + ' ELSE ' + S.split_lines('text') + '[1] END')} AS t
+  FROM conversations),
+a AS (SELECT *, {_MR_OPEN} AS mo,
+        coalesce(last_value(CASE WHEN {_MR_OPEN} THEN true WHEN contains(t, {S.lit(MOST_READ_CLOSE)}) THEN false END
+                 IGNORE NULLS) OVER ({_W}), false) AS mr_before FROM l),
+b AS (SELECT *, coalesce(last_value(CASE WHEN contains(t, {S.lit(PODCAST_OPEN)}) THEN true
+                 WHEN contains(t, {S.lit(PODCAST_CLOSE)}) THEN false END IGNORE NULLS) OVER ({_W}), false) AS pod_before
+      FROM a WHERE NOT (mo OR mr_before))
+SELECT conv_id, turn, t AS line FROM b
+WHERE NOT (contains(t, {S.lit(PODCAST_OPEN)}) OR pod_before) AND NOT {S.is_noise('t')}"""
+
+
+@query("block_skip", oracle=_BLOCK_SQL)
+def block_skip(spark, sf_dir):
+    """Block skip and noise filter over line rows (conversation turns)."""
+    return skip_blocks(turn_lines(spark, sf_dir), "conv_id", "turn", "line")

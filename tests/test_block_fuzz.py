@@ -27,3 +27,18 @@ def test_fold_equals_window_formulation(spark):
     ctes, final = S.clean_text_ctes("d", "doc_id", "text", "fz")
     want = dict(con.execute(f"WITH {ctes} SELECT doc_id, text FROM {final}").fetchall())
     assert got == want
+
+
+def test_row_based_skip_equals_fold(spark):
+    from tessera.operators.pagetext import skip_blocks
+    rnd = random.Random(12)
+    docs = [(i, [rnd.choice(VOCAB) for _ in range(rnd.randrange(0, 14))]) for i in range(300)]
+    rows = [(i, p, ln) for i, lines in docs for p, ln in enumerate(lines)]
+    lines_df = spark.createDataFrame(rows, "doc_id long, pos long, line string")
+    kept = skip_blocks(lines_df, "doc_id", "pos", "line", chunk=3).collect()
+    got = {}
+    for r in sorted(kept, key=lambda r: (r.doc_id, r.pos)):
+        got.setdefault(r.doc_id, []).append(r.line)
+    texts = spark.createDataFrame([(i, "\n".join(lines)) for i, lines in docs], "doc_id long, text string")
+    want = {r.doc_id: r.k for r in texts.select("doc_id", clean_lines(F.col("text")).alias("k")).collect() if r.k}
+    assert got == want
