@@ -79,3 +79,17 @@ def test_pages_to_text_null_when_no_body(spark):
                                 (3, "<article><script>x</script></article>")], "page_id long, html string")
     got = {r.page_id: r.text for r in pages_to_text(df).collect()}
     assert got == {1: None, 2: "Hi", 3: None}
+
+
+def test_column_form_and_line_rows_agree_with_staged(spark):
+    from tessera.functions.html import article_text
+    from tessera.operators.pagetext import page_lines
+    from tessera.sources.tables import Tables
+    pages = Tables(spark, "/root/testdata/sf0.001").pages
+    staged = {r.page_id: r.text for r in pages_to_text(pages).collect()}
+    column = {r.page_id: r.t for r in pages.select("page_id", article_text(F.col("html")).alias("t")).collect()}
+    assert staged == column
+    rows = {}
+    for r in page_lines(pages).orderBy("page_id", "line_no").collect():
+        rows.setdefault(r.page_id, []).append(r.line)
+    assert {k: "\n".join(v) for k, v in rows.items()} == {k: v for k, v in staged.items() if v}
