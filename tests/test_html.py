@@ -93,3 +93,15 @@ def test_column_form_and_line_rows_agree_with_staged(spark):
     for r in page_lines(pages).orderBy("page_id", "line_no").collect():
         rows.setdefault(r.page_id, []).append(r.line)
     assert {k: "\n".join(v) for k, v in rows.items()} == {k: v for k, v in staged.items() if v}
+
+
+def test_fetch_cases_as_page_rows(spark):
+    """Success, article-body extraction, and failed fetches (null page)."""
+    df = spark.createDataFrame([
+        (1, "<html><body><article><p>Noticia de prueba.</p><p>Más información aquí.</p></article></body></html>"),
+        (2, '<html><body><article data-component="article-body"><p>From article body</p></article></body></html>'),
+        (3, None)], "page_id long, html string")
+    got = {r.page_id: r.text for r in pages_to_text(df).collect()}
+    assert got[1] == "Noticia de prueba.\nMás información aquí."
+    assert got[2] == "From article body"
+    assert got[3] is None
