@@ -35,3 +35,24 @@ def json_kind(text: Column) -> Column:
     return (F.when(v.isNull() & ~ustrip(text).isin("null"), F.lit(None).cast("string"))
             .when(first == "[", F.lit("array")).when(first == "{", F.lit("object"))
             .otherwise(F.lit("scalar")))
+
+
+def _is_int(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "BIGINT", F.lit(False))
+
+
+def required_int_key_rules(text: Column, key: str) -> Column:
+    """Q5: rule violations (array<string>) for one parsed model answer: it
+    must be valid JSON, an object with an integer ``key`` or a non-empty array
+    of such objects."""
+    v = F.try_parse_json(text)
+    kind = json_kind(text)
+    path = f"$.{key}"
+    elems = F.try_variant_get(v, "$", "array<variant>")
+    return F.filter(F.array(
+        F.when(kind.isNull(), F.lit("invalid_json")),
+        F.when(kind == "scalar", F.lit("not_object_or_array")),
+        F.when((kind == "object") & ~_is_int(F.variant_get(v, path, "variant")), F.lit(f"{key}_not_integer")),
+        F.when((kind == "array") & (F.size(elems) == 0), F.lit("empty_array")),
+        F.when((kind == "array") & F.exists(elems, lambda e: ~_is_int(F.variant_get(e, path, "variant"))),
+               F.lit(f"element_{key}_not_integer"))), lambda r: r.isNotNull())

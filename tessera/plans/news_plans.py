@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.dates import parse_rfc822, utc_wall_clock
 from tessera.functions.html import clean_lines
-from tessera.functions.jsonx import json_kind, unfence, unfence_array
+from tessera.functions.jsonx import json_kind, required_int_key_rules, unfence, unfence_array
 from tessera.functions.text import cap, first_line, truncate_text, ustrip
 from tessera.operators import choose, feeds, messages
 from tessera.operators.corpus import HARD_WORDS
@@ -367,3 +367,45 @@ def rewrite_prompts(spark, sf_dir):
     return d.select("doc_id", messages.fill_template(
         REWRITE_TEMPLATE, profile=F.lit(PROFILE), hard_words=F.lit(HARD_WORDS),
         article_text=truncate_text(F.col("text"))).alias("prompt"))
+
+
+def _mutated_outputs(spark, sf_dir):
+    e = Tables(spark, sf_dir).events
+    p = (F.when(F.col("event_id") % 7 == 0, F.replace(F.col("props"), F.lit('"k"'), F.lit('"key"')))
+         .when(F.col("event_id") % 11 == 0, F.regexp_replace("props", r": (\d+)", ': "$1"'))
+         .otherwise(F.col("props")))
+    k = F.col("event_id") % 5
+    raw = (F.when(F.col("event_id") % 13 == 0, F.lit("```json\n[]\n```"))
+           .when(k == 0, p)
+           .when(k == 1, F.concat(F.lit("```json\n["), p, F.lit("]\n```")))
+           .when(k == 2, F.concat(F.lit("Sure! "), p))
+           .when(k == 3, F.lit("42"))
+           .otherwise(F.concat(F.lit("["), p, F.lit(", "), p, F.lit("]"))))
+    return e.select("event_id", raw.alias("raw"))
+
+
+_INT = "coalesce(json_type({x}, '$.k') IN ('BIGINT', 'UBIGINT'), false)"
+
+
+@query("json_required_keys", oracle=f"""
+WITH m AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN replace(props, '"k"', '"key"')
+                                 WHEN event_id % 11 = 0 THEN regexp_replace(props, ': (\\d+)', ': "\\1"')
+                                 ELSE props END AS p FROM events),
+r AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN '```json' || chr(10) || '[]' || chr(10) || '```'
+        WHEN event_id % 5 = 0 THEN p
+        WHEN event_id % 5 = 1 THEN '```json' || chr(10) || '[' || p || ']' || chr(10) || '```'
+        WHEN event_id % 5 = 2 THEN 'Sure! ' || p
+        WHEN event_id % 5 = 3 THEN '42'
+        ELSE '[' || p || ', ' || p || ']' END AS raw FROM m),
+c AS (SELECT event_id, {S.ustrip("regexp_replace(raw, '```(?:json)?\\s*', '', 'g')")} AS t FROM r),
+k AS (SELECT event_id, t, CASE WHEN json_valid(t) THEN json_type(t::JSON) END AS ty FROM c)
+SELECT event_id, 'invalid_json' AS rule FROM k WHERE ty IS NULL
+UNION ALL SELECT event_id, 'not_object_or_array' FROM k WHERE ty NOT IN ('OBJECT', 'ARRAY')
+UNION ALL SELECT event_id, 'k_not_integer' FROM k WHERE ty = 'OBJECT' AND NOT {_INT.format(x='t')}
+UNION ALL SELECT event_id, 'empty_array' FROM k WHERE ty = 'ARRAY' AND json_array_length(t) = 0
+UNION ALL SELECT event_id, 'element_k_not_integer' FROM k
+  WHERE ty = 'ARRAY' AND NOT list_bool_and(list_transform(json_extract(t, '$[*]'), lambda e: {_INT.format(x='e')}))""")
+def json_required_keys(spark, sf_dir):
+    """Q5: required key present and integer, arrays non-empty (violations)."""
+    c = _mutated_outputs(spark, sf_dir).select("event_id", unfence(F.col("raw")).alias("t"))
+    return c.select("event_id", F.explode(required_int_key_rules(F.col("t"), "k")).alias("rule"))
