@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.text import urlsafe_b64
 from tessera.operators import notes as N
 from tessera.plans import sqltext as S
 from tessera.plans.registry import query
@@ -134,8 +135,6 @@ def media_manifest(spark, sf_dir):
     return N.media_manifest(cols, files)
 
 
-from tessera.functions.text import urlsafe_b64  # noqa: E402
-
 RULES = "RULES: one card per meaning."   # job parameter: the prompt file's text
 
 _SNAP_BASE = f"""WITH {_NOTE_DECK_SQL},

@@ -1,4 +1,4 @@
-"""Registered queries for transcripts.
+"""Registered queries for transcripts (J9 E21 A9) and block skip on line rows.
 
 Speaker assignment is bound to ``events``: per user (= track), view / signup /
 click events are speech segments of ``value * 600`` s and purchase / error
@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import epoch_micros_ntz
+from tessera.functions.html import MOST_READ_CLOSE, MOST_READ_OPEN, PODCAST_CLOSE, PODCAST_OPEN
+from tessera.functions.text import first_line
 from tessera.operators import speech
+from tessera.operators.pagetext import skip_blocks
 from tessera.plans import sqltext as S
 from tessera.plans.registry import query
 from tessera.sources.tables import Tables
@@ -86,10 +89,6 @@ def transcript_render(spark, sf_dir):
 # W3 E7 F8 on line rows: conversation turns are the lines of a conversation;
 # marker lines are placed by (conv_id + turn).
 # ---------------------------------------------------------------------------
-from tessera.functions.html import (MOST_READ_CLOSE, MOST_READ_OPEN, PODCAST_CLOSE,  # noqa: E402
-                                    PODCAST_OPEN)
-from tessera.functions.text import first_line  # noqa: E402
-from tessera.operators.pagetext import skip_blocks  # noqa: E402
 
 _TURN_MARKERS = [(0, MOST_READ_OPEN), (4, MOST_READ_CLOSE), (7, PODCAST_OPEN), (10, PODCAST_CLOSE), (12, "02:27")]
 
