@@ -152,7 +152,7 @@ s AS (SELECT *, array_to_string(list_filter(list_transform(range(1, k + 1),
 
 
 @query("note_snapshot", oracle=f"""{_SNAP_BASE}
-SELECT guid, did AS deck_id, to_json(map(names[1:k], fields[1:k])) AS fields_json, to_json(tags) AS tags_json,
+SELECT guid, did AS deck_id, to_json(map(names[1:k], fields[1:k]))::VARCHAR AS fields_json, to_json(tags)::VARCHAR AS tags_json,
   llm_str FROM s""")
 def note_snapshot(spark, sf_dir):
     """Snapshot row per exported note (known deck and model)."""
