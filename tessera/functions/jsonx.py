@@ -41,12 +41,12 @@ def _is_int(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v) == "BIGINT", F.lit(False))
 
 
-def required_int_key_rules(text: Column, key: str) -> Column:
+def required_int_key_rules(v: Column, kind: Column, key: str) -> Column:
     """Q5: rule violations (array<string>) for one parsed model answer: it
     must be valid JSON, an object with an integer ``key`` or a non-empty array
-    of such objects."""
-    v = F.try_parse_json(text)
-    kind = json_kind(text)
+    of such objects.  ``v`` is the parsed VARIANT and ``kind`` its
+    ``json_kind``; pass them as columns of an earlier projection so the text
+    is parsed once (the array check runs as an interpreted lambda)."""
     path = f"$.{key}"
     elems = F.try_variant_get(v, "$", "array<variant>")
     return F.filter(F.array(

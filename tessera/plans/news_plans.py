@@ -408,4 +408,6 @@ UNION ALL SELECT event_id, 'element_k_not_integer' FROM k
 def json_required_keys(spark, sf_dir):
     """Q5: required key present and integer, arrays non-empty (violations)."""
     c = _mutated_outputs(spark, sf_dir).select("event_id", unfence(F.col("raw")).alias("t"))
-    return c.select("event_id", F.explode(required_int_key_rules(F.col("t"), "k")).alias("rule"))
+    parsed = c.select("event_id", F.try_parse_json("t").alias("v"), json_kind(F.col("t")).alias("kind"))
+    return parsed.select("event_id", F.explode(required_int_key_rules(F.col("v"), F.col("kind"), "k"))
+                         .alias("rule"))
