@@ -52,22 +52,32 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     too.  Each call returns a new unique sub-folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+    sc = _context(spark)
+    if not base and sc is not None:
+        base = sc.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if sc is not None:
+            sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None on Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable: point it at the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        spark.sparkContext.setCheckpointDir(base)
-    else:
+    sc = _context(spark)
+    if base and sc is not None:
+        sc.setCheckpointDir(base)
+    elif not base:
         shared_dir(spark, "init")
 
 
