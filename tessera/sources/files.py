@@ -117,11 +117,19 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Sinks
 # ---------------------------------------------------------------------------
-def write_json_by_bucket(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+def _row_salt(df: DataFrame, n: int):
+    """Deterministic salt in [0, n) from the whole row (retries write the same rows)."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n))
+
+
+def write_json_by_bucket(df: DataFrame, path: str, key: str, buckets: int = 64,
+                         files_per_bucket: int = 8) -> None:
     """K1: JSON records (non-ASCII kept), grouped into ``buckets`` folders by
-    key hash; never one file per key at scale."""
-    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))) \
-        .repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+    key hash; never one file per key at scale.  A salt spreads a bucket that
+    holds a hot key over ``files_per_bucket`` writing tasks."""
+    out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    out.repartition("bucket", _row_salt(df, files_per_bucket)) \
+        .write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def append_sent(urls: DataFrame, path: str) -> None:
@@ -135,10 +143,12 @@ def append_queue_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def write_by_level(cards: DataFrame, path: str, level: str = "level") -> None:
-    """K5: one output folder per level (missing level -> Uncategorized)."""
-    cards.withColumn(level, F.coalesce(F.col(level), F.lit("Uncategorized"))) \
-        .repartition(level).write.mode("overwrite").partitionBy(level).parquet(path)
+def write_by_level(cards: DataFrame, path: str, level: str = "level", files_per_level: int = 8) -> None:
+    """K5: one output folder per level (missing level -> Uncategorized); a
+    salt spreads a level holding most cards over ``files_per_level`` tasks."""
+    out = cards.withColumn(level, F.coalesce(F.col(level), F.lit("Uncategorized")))
+    out.repartition(level, _row_salt(cards, files_per_level)) \
+        .write.mode("overwrite").partitionBy(level).parquet(path)
 
 
 def write_transcripts(segments: DataFrame, rendered: DataFrame, path: str) -> None:
