@@ -22,12 +22,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import chunked_running
+
 ENQUEUE, POP = "enqueue", "pop"
 
 
-def _scan(events: DataFrame, chunk: int) -> DataFrame:
+def _scan(events: DataFrame, chunk: int, super_chunk: int = 4096) -> DataFrame:
     """Adds S (running sum of d), E (running enqueues), m_prev (min(0, min S
-    before this event)) per queue, via per-chunk windows + chunk offsets."""
+    before this event)) per queue, via per-chunk windows + chunk offsets.
+
+    The chunk offsets are themselves running sums/minima over the chunk
+    summaries of a queue; they come from the same chunked scan one level up
+    (``super_chunk`` chunks per group), so no step runs a window over all the
+    chunks of a hot queue."""
     e = events.withColumn("d", F.when(F.col("op") == ENQUEUE, 1).otherwise(-1)) \
         .withColumn("is_enq", (F.col("op") == ENQUEUE).cast("long")) \
         .withColumn("chunk", F.floor(F.col("seq") / F.lit(chunk)))
@@ -39,11 +46,13 @@ def _scan(events: DataFrame, chunk: int) -> DataFrame:
     loc = loc.withColumn("lmin_excl", F.min("ls").over(w_excl))
     summ = loc.groupBy("queue_id", "chunk").agg(
         F.sum("d").alias("tot_d"), F.sum("is_enq").alias("tot_e"), F.min("ls").alias("min_ls"))
-    wc = Window.partitionBy("queue_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.withColumn("off_d", F.coalesce(F.sum("tot_d").over(wc), F.lit(0))) \
-        .withColumn("off_e", F.coalesce(F.sum("tot_e").over(wc), F.lit(0)))
+    summ = summ.withColumn("_sc", F.floor(F.col("chunk") / F.lit(super_chunk)))
+    summ = chunked_running(summ, ["queue_id"], ["chunk"], "_sc", {"tot_d": "sum", "tot_e": "sum"},
+                           exclusive=True)
+    summ = summ.withColumnRenamed("run_tot_d", "off_d").withColumnRenamed("run_tot_e", "off_e")
     # min S over all earlier chunks = min over them of (their offset + their local min)
-    summ = summ.withColumn("prev_min", F.min(F.col("off_d") + F.col("min_ls")).over(wc))
+    summ = chunked_running(summ.withColumn("_lo", F.col("off_d") + F.col("min_ls")), ["queue_id"], ["chunk"],
+                           "_sc", {"_lo": "min"}, exclusive=True).withColumnRenamed("run__lo", "prev_min")
     j = loc.join(summ.select("queue_id", "chunk", "off_d", "off_e", "prev_min"), ["queue_id", "chunk"])
     s = F.col("off_d") + F.col("ls")
     m_prev = F.least(F.lit(0), F.coalesce(F.col("prev_min"), F.lit(0)),
@@ -52,14 +61,15 @@ def _scan(events: DataFrame, chunk: int) -> DataFrame:
                     m_prev.alias("m_prev"))
 
 
-def fifo_pairs(events: DataFrame, chunk: int = 1 << 16, materialize_scan: bool = True) -> DataFrame:
+def fifo_pairs(events: DataFrame, chunk: int = 1 << 16, materialize_scan: bool = True,
+               super_chunk: int = 4096) -> DataFrame:
     """One row per enqueue: ``queue_id, enq_seq, deq_seq`` (null = still pending)
     plus the enqueue's other columns and ``deq_ts`` when ``ts`` exists.
 
     The scanned log feeds both the enqueue and the pop side of the pairing
     join; it is written once to the shared checkpoint folder
     (``materialize_scan``) instead of being recomputed per side."""
-    scanned = _scan(events, chunk)
+    scanned = _scan(events, chunk, super_chunk)
     if materialize_scan:
         from tessera.session import materialize
         scanned = materialize(scanned, "fifo-scan")

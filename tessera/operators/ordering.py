@@ -48,14 +48,14 @@ def with_previous(df: DataFrame, order: list[str], cols: list[str], prefix: str
 
 def chunked_running(df: DataFrame, part: list[str], order: list[str], chunk: str,
                     aggs: dict[str, str], exclusive: bool = False) -> DataFrame:
-    """Running ``sum``/``max`` of columns per ``part`` in ``order`` as a
+    """Running ``sum``/``max``/``min`` of columns per ``part`` in ``order`` as a
     segmented prefix scan: windows per ``part + [chunk]`` (``chunk`` must be
     non-decreasing in ``order``), chunk totals, and chunk offsets from a window
     over the (few) chunks of each ``part``.  A partition key holding a large
     share of the rows is thereby spread over many tasks.  Adds ``run_<col>``
-    (inclusive of the row, or only earlier rows with ``exclusive``); a max
-    over no rows is null."""
-    fn = {"sum": F.sum, "max": F.max}
+    (inclusive of the row, or only earlier rows with ``exclusive``); a
+    max/min over no rows is null, a sum over no rows is 0."""
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}
     hi = -1 if exclusive else 0
     w = Window.partitionBy(*part, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
     local = df.select("*", *[fn[a](c).over(w).alias(f"_l_{c}") for c, a in aggs.items()])
@@ -68,7 +68,7 @@ def chunked_running(df: DataFrame, part: list[str], order: list[str], chunk: str
         o, loc = F.col(f"_o_{c}"), F.col(f"_l_{c}")
         if a == "sum":
             return F.coalesce(o, F.lit(0)) + F.coalesce(loc, F.lit(0))
-        return F.greatest(o, loc)  # greatest skips nulls
+        return F.greatest(o, loc) if a == "max" else F.least(o, loc)  # both skip nulls
     return j.select(*df.columns, *[combine(c, a).alias(f"run_{c}") for c, a in aggs.items()])
 
 

@@ -8,9 +8,9 @@ from tessera.operators.ordering import global_rank, with_previous
 EV = "queue_id long, seq long, op string, ts timestamp"
 
 
-def pairs(spark, rows, chunk):
+def pairs(spark, rows, chunk, super_chunk=4096):
     df = spark.createDataFrame([(q, s, o, None) for q, s, o in rows], EV)
-    return sorted((r.enq_seq, r.deq_seq) for r in fifo.fifo_pairs(df, chunk).collect())
+    return sorted((r.enq_seq, r.deq_seq) for r in fifo.fifo_pairs(df, chunk, super_chunk=super_chunk).collect())
 
 
 def brute(rows):
@@ -35,8 +35,8 @@ def test_chunked_scan_matches_brute_force(spark):
     rnd = random.Random(7)
     rows = [(rnd.randrange(3), s, rnd.choice(["enqueue", "pop", "pop"])) for s in range(400)]
     want = brute(rows)
-    for chunk in (3, 17, 1000):
-        assert pairs(spark, rows, chunk) == want
+    for chunk, sup in ((3, 2), (3, 4096), (17, 3), (1000, 4096)):
+        assert pairs(spark, rows, chunk, sup) == want
 
 
 def test_depth_and_lookup(spark):
