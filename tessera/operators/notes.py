@@ -39,7 +39,9 @@ def split_tags(tags: Column) -> Column:
 
 def note_text(field_names: Column, fields: Column, deny: list[str] = DENY_FIELDS) -> Column:
     """E15 + F7: ``name: value`` lines in model order; pairs beyond the
-    shorter list are dropped (Python ``zip``), deny-listed names removed."""
+    shorter list are dropped (Python ``zip``), deny-listed names removed.
+    Pass columns (e.g. the ``_names``/``_values`` staged by ``zip_fields``),
+    not expressions: the lambda is interpreted and would re-evaluate them."""
     n = F.least(F.size(field_names), F.size(fields))
     pairs = F.arrays_zip(F.slice(field_names, 1, n).alias("name"), F.slice(fields, 1, n).alias("value"))
     kept = F.filter(pairs, lambda p: ~p["name"].isin(deny))
@@ -78,15 +80,26 @@ def media_manifest(collections: DataFrame, files: DataFrame) -> DataFrame:
     return m.join(files.select("collection", "id"), ["collection", "id"])
 
 
-def snapshot_fields(field_names: Column, fields: Column) -> Column:
-    """``{name: value}`` over the zipped lists (shorter side wins); a
-    repeated name keeps its first position and its last value, like a
-    Python dict built in order."""
-    n = F.least(F.size(field_names), F.size(fields))
-    pairs = F.arrays_zip(F.slice(field_names, 1, n).alias("name"), F.slice(fields, 1, n).alias("value"))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
-    vals = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["name"] == k), -1)["value"])
-    return F.map_from_arrays(keys, vals)
+def zip_fields(df: DataFrame, field_names: str = "field_names", flds: str = "flds") -> DataFrame:
+    """Stage the zipped note fields as columns (Python ``zip`` truncates to
+    the shorter side): ``_names``, ``_values`` and ``_rnames`` (names
+    reversed).  Separate projections keep the interpreted lambdas of
+    ``snapshot_fields`` / ``note_text`` from re-splitting the fields."""
+    staged = df.withColumn("_vals", split_fields(F.col(flds)))
+    n = F.least(F.size(field_names), F.size("_vals"))
+    staged = staged.select("*", F.slice(field_names, 1, n).alias("_names"),
+                           F.slice(F.col("_vals"), 1, n).alias("_values"))
+    return staged.withColumn("_rnames", F.reverse("_names"))
+
+
+def snapshot_fields(names: Column, values: Column, rnames: Column) -> Column:
+    """``{name: value}`` in name order; a repeated name keeps its first
+    position and its last value, like a Python dict built in order.  Takes
+    the columns staged by ``zip_fields``."""
+    keys = F.array_distinct(names)
+    last = F.transform(keys, lambda k: F.element_at(
+        values, F.size(names) - F.array_position(rnames, k).cast("int") + 1))
+    return F.map_from_arrays(keys, last)
 
 
 NOTE_PROMPT_MID = "\n\nHere is the note data:\n"   # fixed value

@@ -84,11 +84,10 @@ SELECT note_id,
 FROM j""")
 def note_text(spark, sf_dir):
     """Note -> prompt text in model field order, tags split."""
-    n = N.with_model(notes_table(spark, sf_dir), models_table(spark, sf_dir))
-    fields = N.split_fields(F.col("flds"))
-    return n.select(F.col("id").alias("note_id"), N.note_text(F.col("field_names"), fields).alias("note_text"),
+    n = N.zip_fields(N.with_model(notes_table(spark, sf_dir), models_table(spark, sf_dir)))
+    return n.select(F.col("id").alias("note_id"), N.note_text(F.col("_names"), F.col("_values")).alias("note_text"),
                     F.array_join(N.split_tags(F.col("tags")), "~").alias("tags"),
-                    F.size(fields).cast("bigint").alias("n_fields"))
+                    F.size("_vals").cast("bigint").alias("n_fields"))
 
 
 @query("collection_checks", oracle=f"""WITH {_NOTE_DECK_SQL}
@@ -158,12 +157,12 @@ def note_snapshot(spark, sf_dir):
     """Snapshot row per exported note (known deck and model)."""
     nd = N.note_deck(notes_table(spark, sf_dir), cards_table(spark, sf_dir), CARD_ORDER)
     nd = nd.join(decks_table(spark, sf_dir).select(F.col("deck_id").alias("did")), "did", "left_semi")
-    n = N.with_model(nd, models_table(spark, sf_dir))
-    fields = N.split_fields(F.col("flds"))
+    n = N.zip_fields(N.with_model(nd, models_table(spark, sf_dir)))
     return n.select("guid", F.col("did").alias("deck_id"),
-                    F.to_json(N.snapshot_fields(F.col("field_names"), fields)).alias("fields_json"),
+                    F.to_json(N.snapshot_fields(F.col("_names"), F.col("_values"), F.col("_rnames")))
+                    .alias("fields_json"),
                     F.to_json(N.split_tags(F.col("tags"))).alias("tags_json"),
-                    N.note_text(F.col("field_names"), fields).alias("llm_str"))
+                    N.note_text(F.col("_names"), F.col("_values")).alias("llm_str"))
 
 
 @query("note_prompts", oracle=f"""{_SNAP_BASE}

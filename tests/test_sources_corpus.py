@@ -233,3 +233,16 @@ def test_speaker_assignment_matches_brute_force(spark):
                lambda: speech.assign_speakers_binned(sdf, tdf, bin_us=250)):
         got = {r.seg_id: (r.speaker, r.overlap_us) for r in fn().collect()}
         assert got == want
+
+
+def test_snapshot_fields_dict_semantics(spark):
+    """Repeated names keep the first position and the last value; zip truncates."""
+    from pyspark.sql import functions as F
+    from tessera.operators import notes as N
+    df = spark.createDataFrame([(["a", "b", "a", "c"], "1\x1f2\x1f3")], "field_names array<string>, flds string")
+    z = N.zip_fields(df)
+    r = z.select(F.to_json(N.snapshot_fields(F.col("_names"), F.col("_values"), F.col("_rnames"))).alias("j"),
+                 N.note_text(F.col("_names"), F.col("_values")).alias("t")).first()
+    names, vals = ["a", "b", "a", "c"], ["1", "2", "3"]
+    assert r.j == '{"a":"3","b":"2"}' == __import__("json").dumps(dict(zip(names, vals)), separators=(",", ":"))
+    assert r.t == "a: 1\nb: 2\na: 3"
