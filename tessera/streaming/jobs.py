@@ -46,6 +46,21 @@ def _run(writer, ckpt: str) -> None:
 # ---------------------------------------------------------------------------
 # T-1 / T-2 / T-4 / T-5
 # ---------------------------------------------------------------------------
+SMALL_BATCH_LINKS = 100_000  # broadcast a micro-batch's links only up to this count
+
+
+def _sent_links(spark: SparkSession, out_dir: str, batch_id: int):
+    """Links sent by earlier micro-batches (this batch's own earlier attempt
+    excluded, so a retried batch rewrites the same rows); None before the
+    first write."""
+    try:
+        return spark.read.parquet(out_dir).filter(F.col("batch_id") != batch_id).select("link")
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
 def stream_unsent(stories: DataFrame, out_dir: str, ckpt: str, now: str | None = None,
                   max_age_hours: float = 24) -> None:
     """Append the first event of every link not sent before to ``out_dir``.
@@ -58,14 +73,21 @@ def stream_unsent(stories: DataFrame, out_dir: str, ckpt: str, now: str | None =
         stories = recent(stories, now, max_age_hours)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy("link").agg(F.min("event_id").alias("first_event"))
+        first = batch.groupBy("link").agg(F.min("event_id").alias("first_event")).persist()
         try:
-            sent = spark.read.parquet(out_dir).filter(F.col("batch_id") != batch_id).select("link")
-            first = first.join(sent, "link", "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        first.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+            new = first
+            sent = _sent_links(spark, out_dir, batch_id)
+            if sent is not None:
+                if first.count() <= SMALL_BATCH_LINKS:
+                    # semi-join reduction: one scan of the sent table probing
+                    # the batch's links, then a broadcast anti-join
+                    hits = sent.join(F.broadcast(first.select("link")), "link", "left_semi")
+                    new = first.join(F.broadcast(hits), "link", "left_anti")
+                else:
+                    new = first.join(sent, "link", "left_anti")
+            new.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        finally:
+            first.unpersist()
 
     _run(stories.writeStream.foreachBatch(per_batch), ckpt)
 
