@@ -98,6 +98,33 @@ def _prefix_free_groups(phrases: list[str]) -> list[list[str]]:
     return [[" ".join(t) for t in g] for g in groups]
 
 
+def _lit(ch: str) -> str:
+    return ch if ch.isalnum() else "\\" + ch
+
+
+def trie_regex(words: list[str]) -> str:
+    """An alternation of literal words as a character trie, e.g.
+    ``apoyo|además|aliados`` -> ``a(?:poyo|demás|liados)``: at each position
+    the regex engine only follows branches that match the next character,
+    instead of trying every word."""
+    trie: dict = {}
+    for w in set(words):
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        end = "" in node
+        branches = [_lit(ch) + emit(child) for ch, child in sorted(node.items()) if ch != ""]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        return "(?:" + body + ")?" if end else body
+
+    return "(?:" + emit(trie) + ")"
+
+
 def hard_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
                words: list[str] | None = None) -> DataFrame:
     """Occurrences of list words and phrases per document.
@@ -113,8 +140,7 @@ def hard_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def pattern(ws: list[str]) -> str:
         firsts = "".join(sorted({w[0] for w in ws}))
-        alts = "|".join(r"\Q" + w + r"\E" for w in sorted(ws, key=len, reverse=True))
-        return r"(?<![^ ])(?=[\Q" + firsts + r"\E])(?=((?:" + alts + r"))(?![^ ]))"
+        return r"(?<![^ ])(?=[\Q" + firsts + r"\E])(?=(" + trie_regex(ws) + r")(?![^ ]))"
 
     hits = [F.regexp_extract_all(F.col("_tt"), F.lit(pattern(g)), 1)
             for g in _prefix_free_groups(words or hard_word_list())]
@@ -189,6 +215,7 @@ def prompts(files: DataFrame, rules: str, skip_vocab: str = "track01.txt") -> Da
 
 
 BROADCAST_TERMS = 100_000  # broadcast a word-list table only up to this many rows
+REGEX_TERMS = 5_000  # up to this many terms the list is matched as one trie regex
 
 
 def hard_words_table(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text",
@@ -203,6 +230,10 @@ def hard_words_table(docs: DataFrame, words: DataFrame, key: str = "doc_id", tex
     terms = words.select(F.lower(ustrip(F.col("term"))).alias("term")).filter(F.col("term") != "") \
         .distinct().withColumn("n", F.size(F.split("term", " "))).filter(F.col("n") <= max_n)
     stats = terms.agg(F.count(F.lit(1)).alias("c"), F.collect_set("n").alias("ns")).first()
+    if stats["c"] <= REGEX_TERMS:
+        # a checked-small list goes into the plan as a trie regex: one pass
+        # over the token text per prefix-free group, no n-gram explode or join
+        return hard_words(docs, key, text, [r["term"] for r in terms.select("term").collect()])
     # the size check behind the broadcast (and the few phrase lengths in use)
     side = F.broadcast(terms) if stats["c"] <= BROADCAST_TERMS else terms
     tt = docs.select(key, token_text(F.col(text)).alias("_tt"))
