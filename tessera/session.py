@@ -93,4 +93,26 @@ def materialize(df, purpose: str):
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+_WRITTEN: list[str] = []  # folders written by ``materialize`` in this process
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the intermediates this process wrote with ``materialize``.
+
+    Call it when the job's results have been written: DataFrames built on
+    an intermediate cannot be evaluated after it is gone.  Returns the number
+    of folders removed.  Needs a classic session (Hadoop FileSystem API)."""
+    sc = _context(spark)
+    if sc is None:
+        return 0
+    jvm = sc._jvm
+    conf = sc._jsc.hadoopConfiguration()
+    removed = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed

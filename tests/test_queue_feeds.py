@@ -109,3 +109,13 @@ def test_stream_fifo_across_micro_batches(spark):
     jobs.stream_fifo(stream, out, ckpt)
     got = sorted((r.queue_id, r.enq_seq, r.deq_seq) for r in spark.read.parquet(out).collect())
     assert got == [(1, 1, 4), (1, 2, 7), (1, 5, 8), (2, 6, 10)]
+
+
+def test_drop_materialized(spark):
+    import os
+    from tessera.session import _WRITTEN, drop_materialized, materialize
+    df = materialize(spark.range(10), "test-drop")
+    path = _WRITTEN[-1]
+    assert df.count() == 10 and os.path.isdir(path.replace("file:", ""))
+    assert drop_materialized(spark) >= 1
+    assert not os.path.exists(path.replace("file:", ""))
