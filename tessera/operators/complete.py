@@ -30,6 +30,9 @@ def batch_complete(df: DataFrame, key: str, prompt: str, completer: Callable[[st
                    max_in_flight: int = 8) -> DataFrame:
     """``(key, raw, error)`` per input row; ``raw`` is the function's
     answer, ``error`` the exception text when it failed."""
+    from tessera.session import ship_package
+
+    ship_package(df.sparkSession)   # the workers import this module
     key_type = df.schema[key].dataType
     schema = StructType([StructField(key, key_type), StructField("raw", StringType()),
                          StructField("error", StringType())])

@@ -116,3 +116,37 @@ def drop_materialized(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         removed += bool(path.getFileSystem(conf).delete(path, True))
     return removed
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in Python workers (executors).
+
+    Operators that run Python inside tasks (``mapInPandas`` completion, the
+    stateful streaming queue) pickle their functions by module reference, so
+    the workers must be able to import this package.  The package's ``.py``
+    files are zipped once per application and added with ``addPyFile``, which
+    also distributes them to the executors of a cluster.
+    """
+    import zipfile
+
+    app = spark.conf.get("spark.app.id", "") or str(id(spark))
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="tessera-pyfiles-"), "tessera.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for base, _, names in os.walk(pkg_dir):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc = _context(spark)
+    if sc is not None:
+        sc.addPyFile(zpath)
+    else:  # Spark Connect
+        spark.addArtifacts(zpath, pyfile=True)
+    _SHIPPED.add(app)

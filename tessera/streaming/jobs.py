@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.session import shared_dir
+from tessera.session import ship_package, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -157,6 +157,14 @@ class FifoProcessor(StatefulProcessor):
 def stream_fifo(events: DataFrame, out_dir: str, ckpt: str) -> None:
     """Run the FIFO over a stream of ``queue_id, seq, op`` into ``out_dir``."""
     spark = events.sparkSession
+    ship_package(spark)
+    # The state function's pre-initialisation runner does not see files
+    # added with addPyFile: ship the processor class by value instead (it
+    # only needs pandas and PySpark on the workers).
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     pairs = events.groupBy("queue_id").transformWithStateInPandas(
