@@ -15,6 +15,6 @@ partitioned across the cluster.  The sub-packages are:
                    stateful queue)
 """
 
-from tessera.session import get_spark, shared_dir
+from tessera.session import drop_materialized, get_spark, materialize, shared_dir, ship_package
 
-__all__ = ["get_spark", "shared_dir"]
+__all__ = ["get_spark", "shared_dir", "materialize", "drop_materialized", "ship_package"]
