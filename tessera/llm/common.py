@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, ship_package  # noqa: F401  (re-exported)
+from tessera.session import materialize, shared_dir, ship_package  # noqa: F401  (re-exported)
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20  # text handled at once by the Arrow-side operators
@@ -102,3 +102,10 @@ def partition_starts(totals: DataFrame, pid: str, *sums: str) -> DataFrame:
 
 def empty_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``materialize`` with zstd: for intermediates that hold tokens or hashes."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
