@@ -8,9 +8,11 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
+from tessera.llm import decontaminate, golay_simhash, packing, quality_rules, substring_dedup
 from tessera.session import materialize
 
 
@@ -19,8 +21,39 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep(docs)
 
 
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each SimHash group."""
+    return golay_simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 13-word passages that a document of smaller id has.
+
+    A text that loses words becomes its kept words joined by one space, and
+    ``n_chars`` follows; other texts stay as they are.
+    """
+    cut = substring_dedup.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences of token ids, with their place."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", keep_by_rules),
+    ("near_dedup", keep_one_of_group),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
 ]
 
 ORACLE_SQL = None  # hashing, decoding, BM25 and tokenizing are not SQL; tested against brute force

@@ -114,8 +114,8 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
              .join(F.broadcast(sample), "_id").select("turn", "label", "text"))  # max_rows rows at most
     vectors = arrow_map(texts, _vectors(bits), "turn long, label int, features binary, x binary")
     one = vectors.repartition(1).sortWithinPartitions("turn", "label", "features")
-    model = arrow_map(one, _learn(bits, ALPHA, BETA, L1, L2), "weights binary").first()
-    return np.frombuffer(model["weights"], "<f4") if model else np.zeros(1 << bits, "<f4")
+    model = arrow_map(one, _learn(bits, ALPHA, BETA, L1, L2), "weights binary").collect()  # one row of fixed size
+    return np.frombuffer(model[0]["weights"], "<f4") if model else np.zeros(1 << bits, "<f4")
 
 
 def score_column(text: Column, weights: np.ndarray) -> Column:
