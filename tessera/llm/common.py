@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -100,8 +100,13 @@ def partition_starts(totals: DataFrame, pid: str, *sums: str) -> DataFrame:
     return totals.select(pid, *[F.coalesce(F.sum(s).over(w), F.lit(0)).cast("long").alias(f"{s}_before") for s in sums])
 
 
-def empty_if_null(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+def neutral(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named c0, c1, ... and the new names of some of its columns.
+
+    Operators that keep all input columns work on these, so no input name can
+    clash with theirs, and give the old names back at the end.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

@@ -226,5 +226,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with the input's columns (null ids stay)."""
-    found = leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias("_leak")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("_leak"), "left_anti")
+    found = leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias(id_col)).distinct()
+    return docs.join(found, id_col, "left_anti").select(*docs.columns)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialize, ship_package
+from tessera.llm.common import arrow_map, materialize, neutral, ship_package
 from tessera.llm.url_filter import host_of
 
 MIN_PAGES = 5
@@ -227,8 +227,10 @@ def _extract(markup: pa.Array, main_path: pa.Array, claimed: pa.Array) -> pa.Arr
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of ``pages`` plus ``text`` (a column of that name is replaced)."""
-    found = materialize(templates(pages, url_col, html_col, min_pages), "page-templates").withColumnRenamed("host", "_host")
+    found = materialize(templates(pages, url_col, html_col, min_pages), "page-templates")
     run = F.arrow_udf(_extract, "string").asNondeterministic()
-    joined = pages.withColumn("_host", host_of(F.col(url_col))).join(found, "_host", "left")
-    return joined.withColumn("text", run(F.col(html_col), "main_path", "template_texts")).select(
+    plain, (url, markup) = neutral(pages, url_col, html_col)
+    joined = plain.withColumn("host", host_of(F.col(url))).join(found, "host", "left")
+    kept = [f"c{i}" for i, c in enumerate(pages.columns) if c != "text"]
+    return joined.select(*kept, run(F.col(markup), "main_path", "template_texts").alias("text")).toDF(
         *[c for c in pages.columns if c != "text"], "text")

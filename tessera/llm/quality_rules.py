@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_WORDS, rolling, ship_package, text_bytes
+from tessera.llm.common import CACHE_WORDS, neutral, rolling, ship_package, text_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words",
             "n_plain_words")
@@ -124,7 +124,8 @@ def passes(policy: str = CURRENT, bits: str = "fail_bits") -> Column:
 
 def keep(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The documents that the policy accepts, with the input's columns."""
-    return ledger(docs, text_col).where(passes(policy)).select(*docs.columns)
+    plain, (text,) = neutral(docs, text_col)
+    return ledger(plain, text).where(passes(policy)).select(*plain.columns).toDF(*docs.columns)
 
 
 def ablations(ledger_df: DataFrame, policy: str = CURRENT) -> DataFrame:

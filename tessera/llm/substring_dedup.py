@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, arrow_map, materialize, rolling, shared_dir, slices, text_bytes, written
+from tessera.llm.common import WordHashes, arrow_map, materialize, neutral, rolling, shared_dir, slices, text_bytes, written
 
 WINDOW = 13
 CHUNK = 8 << 20  # bytes of text in a chunk
@@ -324,6 +324,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined by one space) and ``removed_spans`` (maximal repeats as word positions)."""
     added = ("n_words", "n_removed", "kept_text", "removed_spans")
     docs = docs.select(*[c for c in docs.columns if c not in added])
+    names = docs.columns
+    docs, (id_col, text_col) = neutral(docs, id_col, text_col)
     chunks = _write_chunks(docs, id_col, text_col)
     facts = chunks.where((F.col("_words") >= window) & F.col("_id").isNotNull()).select("_chunk", "_row", "_id", "_seq", "_words")
     first = facts.groupBy("_seq").agg(F.min("_id").alias("first"))
@@ -345,7 +347,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = f"{fields}, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:long,len:long>>"
-    return passed(told.unionByName(smaller), _cut_for(docs, text_col, window, ranges), out, chunks)
+    return passed(told.unionByName(smaller), _cut_for(docs, text_col, window, ranges), out, chunks).toDF(*names, *added)
 
 
 def _cut_for(docs: DataFrame, text_col: str, window: int, ranges: int):
