@@ -11,37 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def global_rank(df: DataFrame, order: list[str], n_parts: int | None = None,
                 name: str = "rank") -> DataFrame:
     """Adds ``name`` = 1-based position in the total order of ``order``
-    (which must be unique).  Deterministic on recomputation: the range
-    bounds are fixed by the exchange and the order inside a partition is a
-    sort on a unique key."""
+    (which must be unique).
+
+    The range-partitioned rows are written once with their partition number
+    and position.  The counts are taken from that table: a second range
+    exchange would sample its own bounds, and its counts would not fit."""
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order) \
         .withColumn("_mid", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = materialize(ranged.withColumn("_pid", F.shiftright("_mid", 33))
+                         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid"), "ranked")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row per range partition
     out = ranged.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-    return out.withColumn(name, F.col("_off") + F.col("_pos") + 1).drop("_mid", "_pid", "_pos", "_off")
-
+    return out.withColumn(name, F.col("_off") + F.col("_pos") + 1).drop("_pid", "_pos", "_off")
 
-def with_previous(df: DataFrame, order: list[str], cols: list[str], prefix: str = "prev_",
-                  materialize_rank: bool = True) -> DataFrame:
-    """``lag(col) OVER (ORDER BY order)`` for each col, via rank + equi-join.
 
-    The ranked table feeds both sides of the join; it is written once to the
-    shared checkpoint folder instead of being ranked twice."""
+def with_previous(df: DataFrame, order: list[str], cols: list[str], prefix: str = "prev_") -> DataFrame:
+    """``lag(col) OVER (ORDER BY order)`` for each col, via rank + equi-join
+    (both sides read the table that ``global_rank`` wrote)."""
     ranked = global_rank(df, order)
-    if materialize_rank:
-        from tessera.session import materialize
-        ranked = materialize(ranked, "global-rank")
     prev = ranked.select((F.col("rank") + 1).alias("rank"), *[F.col(c).alias(prefix + c) for c in cols])
     return ranked.join(prev, "rank", "left")
 

@@ -1,8 +1,8 @@
 """Session construction and the shared folder used to cut lineage.
 
 On a cluster the session is created by the platform; ``get_spark`` only fills
-in settings that are unset, so cluster values (shuffle partitions, checkpoint
-folder, ...) always win.
+in settings that nobody has set, so submitted and cluster values (master,
+shuffle partitions, checkpoint folder, ...) always win.
 """
 
 from __future__ import annotations
@@ -10,36 +10,60 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-# Defaults for local runs (tests, bench).  A cluster session keeps its own.
-_LOCAL_DEFAULTS = {
+# Settings of a session without values of its own, wherever it runs.
+_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+# Further settings of a local session that this process starts (tests, bench).
+_LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.shuffle.partitions": "8",
     "spark.driver.memory": "16g",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
+def _submitted() -> bool:
+    """Whether spark-submit (or submit arguments) decide about master and settings."""
+    return "PYSPARK_GATEWAY_PORT" in os.environ or "master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+
+
 def get_spark(master: str | None = None, app: str = "tessera", **conf) -> SparkSession:
-    """Return the active session or build a local one with sane defaults."""
+    """The active session, or a new one.
+
+    ``master`` (or ``$TESSERA_MASTER``) and ``conf`` are for sessions that this
+    process starts; a submitted application keeps what it was submitted with.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
     builder = SparkSession.builder.appName(app)
-    builder = builder.master(master or os.environ.get("TESSERA_MASTER", "local[8]"))
-    for k, v in {**_LOCAL_DEFAULTS, **conf}.items():
-        builder = builder.config(k, v)
+    if not _submitted():
+        master = master or os.environ.get("TESSERA_MASTER")
+        if master:
+            builder = builder.master(master)
+            if master.startswith("local"):
+                conf = {**_LOCAL_DEFAULTS, **conf}
+        for k, v in conf.items():
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
+        given = sc.getConf()
+        for k, v in _DEFAULTS.items():
+            if not given.contains(k):
+                spark.conf.set(k, v)
     return spark
 
 
@@ -47,15 +71,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir`` (the shared store the
-    cluster names).  Only when it is unset (local tests) do we create one in
-    the system temp folder and register it, so ``DataFrame.checkpoint`` works
-    too.  Each call returns a new unique sub-folder.
+    cluster names).  Only a local master may go without: then one is created
+    in the system temp folder and registered, so ``DataFrame.checkpoint``
+    works too.  Elsewhere executors would write to their own disks, so a
+    missing setting is an error.  Each call returns a new unique sub-folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not base and sc is not None:
         base = sc.getCheckpointDir()
     if not base:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         if sc is not None:
@@ -118,6 +146,16 @@ def drop_materialized(spark: SparkSession) -> int:
     return removed
 
 
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Deletes what ``materialize`` wrote inside the block when it ends, so
+    write or collect results inside it."""
+    try:
+        yield
+    finally:
+        drop_materialized(spark)
+
+
 _SHIPPED: set[str] = set()
 
 
