@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import ustrip
 
 # ---------------------------------------------------------------------------
-# Named zones of RFC 822 and their offsets.
+# Named zones of RFC 822 and their offsets, month names.
 # ---------------------------------------------------------------------------
 ZONES = {
     "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000",
@@ -16,29 +16,54 @@ ZONES = {
     "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600",
     "PST": "-0800", "PDT": "-0700",
 }
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+          "december")
 # ---------------------------------------------------------------------------
 
 
+_SHAPE = r"^(\d{1,2}),? ([A-Za-z]+),? (\d{1,4}),? (\d{1,2})[:.](\d{1,2})(?:[:.](\d{1,2}))?(?:,? ?([+-]\d+|[A-Za-z]+))?(?: .*)?$"
+
+
 def parse_rfc822(c: Column, naive_zone: str = "+0000") -> Column:
-    """``parsedate_to_datetime`` as a column: optional (unchecked) day name,
-    ``d Mon yyyy HH:MM[:SS]``, numeric or named zone.  Blank, null and
-    unparsable strings give null.  A string without zone is read in
-    ``naive_zone`` (deviation V6: the source uses the host's local zone).
-    Returns TIMESTAMP (an instant).
+    """``parsedate_to_datetime`` as a column (an instant, or null).
+
+    Read: a day name (unchecked; short, or anything that ends in a comma) or
+    none; ``d Mon yyyy``, ``Mon d yyyy`` or ``d-Mon-yyyy`` with short or full
+    English month names and commas after any part; years of two digits (69 to
+    99: 19xx, else 20xx); ``H:MM`` or ``H:MM:SS``, also with dots; a numeric or
+    named zone; anything after the zone (comments) is ignored.  An unknown
+    zone, ``-0000`` or none is read in ``naive_zone`` (deviation V6: the source
+    uses the host's local zone).  Blank, null, incomplete and impossible dates
+    give null.
     """
-    s = ustrip(c)
-    s = F.regexp_replace(s, r"^[A-Za-z]{3},\s*", "")          # day name, never checked
-    s = F.regexp_replace(s, r"\s+", " ")
-    # HH:MM without seconds -> HH:MM:00
-    s = F.regexp_replace(s, r"^(\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2})(?=$| )", "$1:00")
-    zone = F.regexp_extract(s, r" ([A-Za-z]+|[+-]\d{4})$", 1)
-    mapped = F.coalesce(
-        F.element_at(F.create_map(*[x for k, v in ZONES.items() for x in (F.lit(k), F.lit(v))]),
-                     F.upper(zone)),
-        F.when(zone.rlike(r"^[+-]\d{4}$"), zone))
-    base = F.when(zone == "", s).otherwise(F.regexp_replace(s, r" ([A-Za-z]+|[+-]\d{4})$", ""))
-    full = F.concat(base, F.lit(" "), F.coalesce(mapped, F.when(zone == "", F.lit(naive_zone))))
-    return F.try_to_timestamp(full, F.lit("d MMM yyyy H:mm:ss Z"))
+    s = F.regexp_replace(ustrip(c), r"\s+", " ")
+    s = F.regexp_replace(s, r"^(?:\S*,(?: |$)|(?i:mon|tue|wed|thu|fri|sat|sun) )", "")
+    s = F.regexp_replace(s, r"^[A-Za-z]+,(?=\d)", "")
+    s = F.regexp_replace(s, r"^(\d+)-([A-Za-z]+)-(\d+)(?= )", "$1 $2 $3")
+    # the month may come first, the time before the year
+    s = F.regexp_replace(s, r"^([A-Za-z]+),? (\d+)(,?) ", "$2 $1$3 ")
+    s = F.regexp_replace(s, r"^(\d+,? [A-Za-z]+,?) (\d+[:.][\d:.]+),? (\d+)(?= |$)", "$1 $3 $2")
+    # the parts are taken inside a lambda, so the steps above run once per date
+    return F.get(F.transform(F.array(s), lambda x: _instant(x, naive_zone)), F.lit(0))
+
+
+def _instant(s: Column, naive_zone: str) -> Column:
+    """The instant of a date whose parts stand in the order of ``_SHAPE``."""
+    part = [F.regexp_extract(s, _SHAPE, i) for i in range(8)]
+    name = F.lower(part[2])
+    month = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(name, 1, 3))
+    month = F.when(name.isin(*MONTHS, *[m[:3] for m in MONTHS]), month)
+    year = part[3].try_cast("int")
+    year = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    zone = F.coalesce(
+        F.element_at(F.create_map(*[x for k, v in ZONES.items() for x in (F.lit(k), F.lit(v))]), F.upper(part[7])),
+        F.when(part[7].rlike(r"^[+-]\d+$") & (part[7] != "-0000"), part[7]), F.lit(naive_zone))
+    digits = F.substring(zone, 2, 10).try_cast("int")
+    east = (F.floor(digits / 100) * 3600 + digits % 100 * 60) * F.when(zone.startswith("-"), -1).otherwise(1)
+    text = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", year, month.cast("int"), part[1].try_cast("int"),
+                           part[4].try_cast("int"), part[5].try_cast("int"), F.coalesce(part[6].try_cast("int"), F.lit(0)))
+    wall = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit("yyyy-MM-dd HH:mm:ss Z"))
+    return F.when(month.isNotNull() & (F.abs(east) < 86_400), F.timestamp_add("SECOND", -east, wall))
 
 
 def utc_wall_clock(instant: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.dates import parse_rfc822, utc_wall_clock
 from tessera.functions.html import clean_lines
-from tessera.functions.jsonx import json_kind, required_int_key_rules, unfence, unfence_array
-from tessera.functions.text import cap, first_line, truncate_text, ustrip
+from tessera.functions.jsonx import json_kind, object_field, required_int_key_rules, unfence, unfence_array
+from tessera.functions.text import first_line, truncate_text, ustrip
 from tessera.operators import choose, feeds, messages
 from tessera.operators.corpus import HARD_WORDS
 from tessera.operators.pagetext import pages_to_text as _pages_to_text
@@ -78,7 +78,7 @@ SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM sent WHERE sent.url = {S.ustrip(
 def candidates_limit_then_unsent(spark, sf_dir):
     """First 15 fresh items in feed order, then drop sent ones."""
     cands = feeds.first_n(_fresh(spark, sf_dir), N_CANDIDATES)
-    return feeds.unsent(cands, sent_log(spark, sf_dir), items_are_small=True)
+    return feeds.unsent(cands, sent_log(spark, sf_dir))
 
 
 @query("unsent_all", oracle=f"""WITH {_ITEMS_SQL}
@@ -198,7 +198,7 @@ def _payloads(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     title = ustrip(first_line(F.col("text")))
     return d.select("doc_id", messages.headline(title).alias("headline"),
-                    cap(F.col("text"), 2500).alias("summary"),
+                    F.col("text").alias("summary"),
                     F.concat(F.lit("• "), F.col("lang"), F.lit("\n• "), F.col("source")).alias("bullets"),
                     F.concat(F.lit("https://news.example/doc/"), F.col("doc_id").cast("string")).alias("url"),
                     title.alias("topic_title"))
@@ -209,7 +209,7 @@ _T = S.ustrip(S.split_lines("text") + "[1]")
 
 @query("message_texts", oracle=f"""
 WITH p AS (
-  SELECT doc_id, '📰 **' || coalesce({_T}, '') || '**' AS headline, left(text, 2500) AS summary,
+  SELECT doc_id, '📰 **' || coalesce({_T}, '') || '**' AS headline, text AS summary,
     '• ' || lang || chr(10) || '• ' || source AS bullets,
     'https://news.example/doc/' || cast(doc_id AS varchar) AS url, {_T} AS topic_title
   FROM documents)
@@ -243,8 +243,11 @@ def truncate_docs(spark, sf_dir):
 # ---------------------------------------------------------------------------
 def _raw_outputs(spark, sf_dir):
     e = Tables(spark, sf_dir).events
-    p, k = F.col("props"), F.col("event_id") % 5
+    p, k = F.col("props"), F.col("event_id") % 8
     raw = (F.when(k == 0, p)
+           .when(k == 5, F.concat(p, F.lit("\nHope this helps!")))
+           .when(k == 6, F.concat(F.lit('{"k": "first", '), F.substring(p, 2, 1000)))
+           .when(k == 7, F.concat(p, F.lit(" "), p))
            .when(k == 1, F.concat(F.lit("```json\n["), p, F.lit("]\n```")))
            .when(k == 2, F.concat(F.lit("Sure! "), p))
            .when(k == 3, F.concat(F.lit("```\n"), p, F.lit("\n```")))
@@ -252,7 +255,10 @@ def _raw_outputs(spark, sf_dir):
     return e.select("event_id", raw.alias("raw"))
 
 
-_RAW_SQL = """raw AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN props
+_RAW_SQL = """raw AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN props
+    WHEN 5 THEN props || chr(10) || 'Hope this helps!'
+    WHEN 6 THEN '{"k": "first", ' || substr(props, 2)
+    WHEN 7 THEN props || ' ' || props
     WHEN 1 THEN '```json' || chr(10) || '[' || props || ']' || chr(10) || '```'
     WHEN 2 THEN 'Sure! ' || props
     WHEN 3 THEN '```' || chr(10) || props || chr(10) || '```'
@@ -283,14 +289,16 @@ def _clean(spark, sf_dir):
 
 @query("json_extract", oracle=f"""WITH {_CLEAN_SQL}
 SELECT event_id, clean_b, kind_a, kind_b,
-  CASE kind_b WHEN 'object' THEN json_extract_string(clean_b, '$.k')
-              WHEN 'array' THEN json_extract_string(clean_b, '$[0].k') END AS k
+  CASE WHEN kind_b IN ('object', 'array') THEN (SELECT json_extract_string(e.props, '$.k') FROM events e
+                                                WHERE e.event_id = k.event_id) END AS k
 FROM k""")
 def json_extract(spark, sf_dir):
-    """Both fence dialects, strict parse, required key ``k``."""
+    """Both fence dialects, strict parse, required key ``k`` (of a repeated key the last)."""
     c = _clean(spark, sf_dir)
-    k = (F.when(F.col("kind_b") == "object", F.get_json_object("clean_b", "$.k"))
-         .when(F.col("kind_b") == "array", F.get_json_object("clean_b", "$[0].k")))
+    first = F.get(F.from_json("clean_b", "array<string>"), 0)
+    k = (F.when(F.col("kind_b") == "object", object_field(F.col("clean_b"), "k"))
+         .when(F.col("kind_b") == "array", object_field(first, "k")))
+    k = F.variant_get(k, "$", "string")
     return c.select("event_id", "clean_b", "kind_a", "kind_b", k.alias("k"))
 
 
@@ -408,6 +416,6 @@ UNION ALL SELECT event_id, 'element_k_not_integer' FROM k
 def json_required_keys(spark, sf_dir):
     """Q5: required key present and integer, arrays non-empty (violations)."""
     c = _mutated_outputs(spark, sf_dir).select("event_id", unfence(F.col("raw")).alias("t"))
-    parsed = c.select("event_id", F.try_parse_json("t").alias("v"), json_kind(F.col("t")).alias("kind"))
-    return parsed.select("event_id", F.explode(required_int_key_rules(F.col("v"), F.col("kind"), "k"))
+    parsed = c.select("event_id", "t", json_kind(F.col("t")).alias("kind"))
+    return parsed.select("event_id", F.explode(required_int_key_rules(F.col("t"), F.col("kind"), "k"))
                          .alias("rule"))

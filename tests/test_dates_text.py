@@ -34,3 +34,46 @@ def test_keys(spark):
     s = "https://x.example/ä?q=1&r=~" * 5
     assert one_col(spark, urlsafe_b64(F.col("x")), s) == base64.urlsafe_b64encode(s.encode()).decode()
     assert one_col(spark, output_key(F.col("x"), "_vocab.json"), "a/b/track01.txt") == "track01_vocab.json"
+
+
+SHAPES = ["Fri, 08 May 2026 12:00:00 GMT", "08 May 26 12:00:00 GMT", "08 May 99 12:00:00 GMT", "08 May 69 1:00:00 EST",
+          "Fri, 08 May 2026 12:00:00 GMT (UTC)", "Friday, 08 May 2026 12:00:00 GMT", "08-May-2026 12:00:00 GMT",
+          "Friday, 08-May-26 12:00:00 GMT", "May 08 2026 12:00:00 GMT", "May 08, 2026 12:00:00 +0200", "8 May 2026 12:00 +0200",
+          "8 May 2026 12:00", "8 May 2026", "Fri 08 May 2026 12:00:00 PDT", "Friday 08 May 2026 12:00:00 GMT",
+          "08 May 2026 12:00:00 -0000", "08 May 2026 12:00:00 XYZ", "08 May 2026 12:00:00 z", "08 August 2026 12:00:00 GMT",
+          "08 Augusto 2026 12:00:00 GMT", "31 Feb 2026 12:00:00 GMT", "08 May 2026 25:00:00 GMT", "08 May 2026 12.30.15 GMT",
+          "Fri,08 May 2026 12:00:00 GMT", "08 May 2026 12:00:00+0530", "08 May 2026 12:00:00 +0530", "08 May 2026 12:00:00 -0330",
+          "08 May 2026 12:00:60 GMT", "", "not a valid date", "08 MAY 2026 12:00:00 gmt", "Fri, 8 May 2026  12:00:00   GMT",
+          "08 May 12:00:00 2026 GMT", "08 May 2026 12:00:00 +02:00", "1 Jan 0026 00:00:00 GMT", "8 May 2026, 12:00 GMT",
+          "2026-05-08 12:00:00", "08 May 2026 7:5:3 GMT", "08 May 126 12:00:00 GMT"]
+
+
+def test_dates_agree_with_the_standard_parser(spark):
+    from email.utils import parsedate_to_datetime
+    df = spark.createDataFrame([(x,) for x in SHAPES], "x string")
+    got = {r.x: r.t for r in df.select("x", utc_wall_clock(parse_rfc822(F.col("x"))).alias("t")).collect()}
+    for x in SHAPES:
+        try:
+            want = parsedate_to_datetime(x)
+            want = want.astimezone(dt.timezone.utc).replace(tzinfo=None) if want.tzinfo else want
+        except Exception:
+            want = None
+        assert got[x] == want, x
+
+
+def test_json_is_strict_like_the_standard_parser(spark):
+    import json
+    from tessera.functions.jsonx import json_kind
+    texts = ['{"k":1}\nHope this helps!', '{"k":1,"k":2}', '{"k":1} {"k":2}', "1,2", "", "  ", " [1,2] ", '{"k":1}]',
+             '1],"a":[2', "nan", '"x"', "null", "true", "[1,", '{"a":"b\nc"}', "{'a':1}", "\ufeff{}", '[{"k":1,"k":2}]', "01", "1.",
+             '{"k":1,}', "[1,2,]", "12345678901234567890123", '"\\u12"', "[]", "{}", "1]", '1,"end of text"]', '"it\'s"', '"a\\"b"',
+             '"' + "\\n" * 50_000 + '"', "\x00", '\t{"a" :\r\n[1, "b"]}\n']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = {r.i: r.k for r in df.select("i", json_kind(F.col("x")).alias("k")).collect()}
+    for i, x in enumerate(texts):
+        try:
+            v = json.loads(x)
+            want = "array" if isinstance(v, list) else "object" if isinstance(v, dict) else "scalar"
+        except ValueError:
+            want = None
+        assert got[i] == want, x[:40]
