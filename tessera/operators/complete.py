@@ -21,9 +21,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tessera.functions.jsonx import json_kind, unfence
 
 
-def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Inputs whose key has no output yet."""
-    return todo.join(done.select(key).distinct(), key, "left_anti")
+def resume(todo: DataFrame, done: DataFrame, key: str, *more: DataFrame) -> DataFrame:
+    """Inputs whose key has no output yet.  With several kinds of output
+    (``more``) an input is done as soon as any of them exists."""
+    keys = done.select(key)
+    for other in more:
+        keys = keys.union(other.select(key))
+    return todo.join(keys.distinct(), key, "left_anti")
 
 
 def batch_complete(df: DataFrame, key: str, prompt: str, completer: Callable[[str], str],

@@ -3,17 +3,16 @@ sections, prompts (A10 W5 O1 J11 C1 C2 C3 E12 W4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ustrip
-from tessera.operators.ordering import with_previous
+from tessera.operators.ordering import global_rank, with_previous
 
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
 BATCH_SIZE = 10
-MAX_BATCHES = 9
 COMPACT_INSTRUCTION = (
     "\nNow, based on the combined content of these 10 cheatsheets, create a single, compact "
     "cheatsheet that summarizes all the key information. Follow the same formatting and structure "
@@ -41,20 +40,18 @@ def hard_word_list() -> list[str]:
 
 
 def compact_batches(sheets: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
-    """A10 + W5 + O1: sheets in code-point name order, batches of 10, at most
-    9 batches (the rest is not compacted), each sheet wrapped as
-    ``<name>\\n...\\n</>\\n\\n`` and the instruction appended.
+    """A10 + W5 + O1: sheets in code-point name order, batches of 10, each sheet
+    wrapped as ``<name>\\n...\\n</>\\n\\n`` and the instruction appended.
 
-    The cut to 90 sheets is the feature; ``orderBy().limit(90)`` is a
-    per-partition top-k, so only 90 rows ever reach one task.
+    Batches are cut from the global rank, so no task sees more than the ten
+    sheets of a batch.  Deviation: the source stops after nine batches; here
+    every sheet is compacted.
     """
-    top = sheets.select(name, text).orderBy(name).limit(BATCH_SIZE * MAX_BATCHES)
-    w = Window.orderBy(name)  # at most 90 rows
-    numbered = top.withColumn("_rn", F.row_number().over(w))
-    numbered = numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / BATCH_SIZE).cast("int") + 1)
+    ranked = global_rank(sheets.select(name, text), [name])
     block = F.concat(F.lit("<"), F.col(name), F.lit(">\n"), F.col(text), F.lit("\n</>\n\n"))
-    return numbered.groupBy("batch").agg(
-        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", block.alias("b")))),
+    numbered = ranked.select(((F.col("rank") - 1) / BATCH_SIZE).cast("bigint").alias("batch"), "rank", block.alias("b"))
+    return numbered.groupBy((F.col("batch") + 1).alias("batch")).agg(
+        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))),
                                           lambda s: s["b"]), ""), F.lit(COMPACT_INSTRUCTION)).alias("text"),
         F.count(F.lit(1)).alias("n_sheets")
     ).select(F.concat(F.lit("compacted_"), F.col("batch").cast("string"), F.lit(".md")).alias("out_name"),
@@ -70,82 +67,66 @@ def token_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), TOKEN_SPLIT, " "))
 
 
-def _gram_regex(body: str) -> str:
-    # zero-width match at every token start, capturing ``body`` ahead of it
-    return r"(?<![^ ])(?=(" + body + r")(?![^ ]))"
-
-
-def ngrams_of(tt: Column, n: int) -> Column:
-    """All n-grams of a ``token_text`` (overlapping, in order), via one
-    code-generated ``regexp_extract_all``."""
-    if n == 1:
-        return F.regexp_extract_all(tt, F.lit("([^ ]+)"), 1)
-    return F.regexp_extract_all(tt, F.lit(_gram_regex("[^ ]+" + "(?: [^ ]+)" * (n - 1))), 1)
-
-
-def _prefix_free_groups(phrases: list[str]) -> list[list[str]]:
-    """Split phrases into groups in which no phrase is a token-prefix of
-    another, so one regex pass per group finds every occurrence."""
-    groups: list[list[list[str]]] = []
-    for p in sorted({" ".join(w.lower().split()) for w in phrases if w.strip()}, key=len):
-        toks = p.split()
-        for g in groups:
-            if not any(q[:len(toks)] == toks or toks[:len(q)] == q for q in g):
-                g.append(toks)
-                break
-        else:
-            groups.append([toks])
-    return [[" ".join(t) for t in g] for g in groups]
-
-
-def _lit(ch: str) -> str:
-    return ch if ch.isalnum() else "\\" + ch
-
-
-def trie_regex(words: list[str]) -> str:
-    """An alternation of literal words as a character trie, e.g.
-    ``apoyo|además|aliados`` -> ``a(?:poyo|demás|liados)``: at each position
-    the regex engine only follows branches that match the next character,
-    instead of trying every word."""
-    trie: dict = {}
-    for w in set(words):
-        node = trie
-        for ch in w:
-            node = node.setdefault(ch, {})
-        node[""] = {}
-
-    def emit(node: dict) -> str:
-        end = "" in node
-        branches = [_lit(ch) + emit(child) for ch, child in sorted(node.items()) if ch != ""]
-        if not branches:
-            return ""
-        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-        return "(?:" + body + ")?" if end else body
-
-    return "(?:" + emit(trie) + ")"
-
-
-def hard_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
-               words: list[str] | None = None) -> DataFrame:
-    """Occurrences of list words and phrases per document.
-
-    The list is a small literal set (16 fixed entries), so matching is
-    row-local regex work on the token text: at every token start where a
-    listed phrase begins, the phrase is captured.  Phrases are grouped so
-    that no phrase in a group is a token-prefix of another (then at most one
-    can start at a position); the fixed list needs one pass.  Only matches
-    are exploded; no join, no shuffle until the per-(doc, term) count.
-    """
-    tt = docs.select(key, token_text(F.col(text)).alias("_tt"))
+def _anchors(tt: Column) -> Column:
+    """Distinct single tokens and token pairs of a ``token_text``: a phrase can
+    only occur where its first two tokens (or its only one) do."""
+    t = F.split(tt, " ")
+    pairs = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t)),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.concat(t, pairs))
+
 
-    def pattern(ws: list[str]) -> str:
-        firsts = "".join(sorted({w[0] for w in ws}))
-        return r"(?<![^ ])(?=[\Q" + firsts + r"\E])(?=(" + trie_regex(ws) + r")(?![^ ]))"
+def _matches(docs: DataFrame, words: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(key, text, terms): per document the list terms (structs of term and
+    ``more``) whose anchor it holds.
 
-    hits = [F.regexp_extract_all(F.col("_tt"), F.lit(pattern(g)), 1)
-            for g in _prefix_free_groups(words or hard_word_list())]
-    return tt.select(key, F.explode(F.flatten(F.array(*hits))).alias("term")) \
-        .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    One algorithm for every list size and phrase length: documents are reduced
+    to distinct anchors inside their own row, the anchors are equi-joined with
+    the list (Spark broadcasts it when it is small), and what is found goes
+    back to the document.  Terms are compared as tokens, so case, punctuation
+    and inner spaces do not matter.
+    """
+    terms = words.select(token_text(F.col("term")).alias("term"), *more).filter(F.col("term") != "")
+    if more:
+        terms = terms.groupBy("term").agg(*[F.min(m).alias(m) for m in more])
+    else:
+        terms = terms.distinct()
+    terms = terms.withColumn("_anchor", F.substring_index("term", " ", 2))
+    found = docs.select(key, F.explode(_anchors(token_text(F.col(text)))).alias("_anchor")) \
+        .join(terms, "_anchor").groupBy(key).agg(F.collect_set(F.struct("term", *more)).alias("terms"))
+    return docs.select(key, text).join(found, key)
+
+
+def hard_words(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, n): how often the terms of ``words(term)``, single words
+    or phrases of any length, occur in each document (overlaps count).  An
+    empty list finds nothing; ``key`` must be unique."""
+    # tokens with a space of their own on either side, so matches share none
+    spaced = F.concat(F.lit(" "), F.replace(token_text(F.col(text)), F.lit(" "), F.lit("  ")), F.lit(" "))
+    hits = _matches(docs, words, key, text).select(key, spaced.alias("_s"), F.explode("terms.term").alias("term"))
+    n = F.regexp_count("_s", F.concat(F.lit("(?= "), F.replace("term", F.lit(" "), F.lit("  ")), F.lit(" )")))
+    return hits.select(key, "term", n.cast("bigint").alias("n")).filter("n > 0")
+
+
+def gloss(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The text with ``||(gloss)||`` after every list term that has a gloss
+    in ``words(term, gloss)``; of overlapping terms the longest first one wins.
+    Documents without a term are returned unchanged; ``key`` must be unique."""
+    listed = words.filter(F.coalesce(ustrip(F.col("gloss")), F.lit("")) != "")
+    m = _matches(docs, listed, key, text, "gloss")
+    by_size = F.array_sort("terms", lambda a, b: F.when(F.length(a["term"]) > F.length(b["term"]), -1)
+                           .when(F.length(a["term"]) < F.length(b["term"]), 1)
+                           .when(a["term"] < b["term"], -1).otherwise(1))
+    any_term = F.array_join(F.transform(by_size, lambda t: F.replace(t["term"], F.lit(" "), F.lit(TOKEN_SPLIT))), "|")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), any_term, F.lit(r")(?![\p{L}\p{N}])"))
+    m = m.select(key, text, F.map_from_entries("terms").alias("_gloss"), pattern.alias("_p"))
+    m = m.select(key, "_gloss", F.regexp_extract_all(F.col(text), F.col("_p"), 1).alias("_hit"),
+                 F.split(F.col(text), F.col("_p"), -1).alias("_rest"))
+    marked = F.zip_with("_rest", F.transform("_hit", lambda h: F.concat(h, F.coalesce(F.concat(
+        F.lit(" ||("), F.element_at("_gloss", token_text(h)), F.lit(")||")), F.lit("")))),
+        lambda rest, hit: F.concat(rest, F.coalesce(hit, F.lit(""))))
+    found = m.select(key, F.array_join(marked, "").alias("_glossed"))
+    return docs.join(found, key, "left").withColumn(text, F.coalesce("_glossed", text)).select(*docs.columns)
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,20 +152,23 @@ def doc_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Markdown sections per document: heading level and title, first line
-    and number of lines; lines before the first heading form section 0."""
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    is_h = F.col("line").rlike(HEADING)
-    lines = lines.withColumn("h_pos", F.when(is_h, F.col("pos")))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("sec", F.coalesce(F.last("h_pos", ignorenulls=True).over(w), F.lit(-1)))
-    heads = lines.filter(is_h).select(key, F.col("pos").alias("sec"),
-                                      F.length(F.regexp_extract("line", HEADING, 1)).alias("level"),
-                                      F.regexp_extract("line", HEADING, 2).alias("title"))
-    counts = lines.groupBy(key, "sec").agg(F.count(F.lit(1)).alias("n_lines"))
-    return counts.join(heads, [key, "sec"], "left").select(
-        key, F.col("sec").cast("bigint").alias("start_line"),
-        F.coalesce(F.col("level"), F.lit(0)).cast("bigint").alias("level"),
-        F.coalesce(F.col("title"), F.lit("")).alias("title"), "n_lines")
+    and number of lines; lines before the first heading form section 0.  All
+    within the document's own row."""
+    lines = docs.select(key, F.split(F.col(text), "\n").alias("_lines"))
+    heads = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))),
+                     lambda h: h["line"].rlike(HEADING))
+    staged = lines.select(key, F.size("_lines").alias("_n"), heads.alias("_heads"))
+    first = F.coalesce(F.get("_heads", F.lit(0))["at"], F.col("_n"))
+
+    def section(at, level, title, until):
+        return F.struct(at.cast("bigint").alias("start_line"), level.cast("bigint").alias("level"), title.alias("title"),
+                        (until - F.greatest(at, F.lit(0))).cast("bigint").alias("n_lines"))
+
+    headed = F.transform("_heads", lambda h, i: section(
+        h["at"], F.length(F.regexp_extract(h["line"], HEADING, 1)), F.regexp_extract(h["line"], HEADING, 2),
+        F.coalesce(F.get("_heads", i + 1)["at"], F.col("_n"))))
+    before = F.filter(F.array(section(F.lit(-1), F.lit(0), F.lit(""), first)), lambda s: s["n_lines"] > 0)
+    return staged.select(key, F.explode(F.concat(before, headed)).alias("s")).select(key, "s.*")
 
 
 def vocab_prompt(transcript: Column, rules: str) -> Column:
@@ -212,31 +196,3 @@ def prompts(files: DataFrame, rules: str, skip_vocab: str = "track01.txt") -> Da
         "name",
         F.when(F.col("name") != skip_vocab, vocab_prompt(F.col("text"), rules)).alias("vocab_prompt"),
         sheet_prompt(F.col("text"), F.col("prev_sheet"), F.col("name"), rules).alias("sheet_prompt"))
-
-
-BROADCAST_TERMS = 100_000  # broadcast a word-list table only up to this many rows
-REGEX_TERMS = 5_000  # up to this many terms the list is matched as one trie regex
-
-
-def hard_words_table(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text",
-                     max_n: int = 3) -> DataFrame:
-    """J11 with the list as a table ``words(term)`` (single or multi-word).
-
-    Document n-grams (only the phrase lengths present in the list, at most
-    ``max_n``) are exploded and equi-joined on the gram.  The list is
-    broadcast only after its row count has been checked against
-    ``BROADCAST_TERMS``; otherwise Spark shuffles both sides on the gram.
-    """
-    terms = words.select(F.lower(ustrip(F.col("term"))).alias("term")).filter(F.col("term") != "") \
-        .distinct().withColumn("n", F.size(F.split("term", " "))).filter(F.col("n") <= max_n)
-    stats = terms.agg(F.count(F.lit(1)).alias("c"), F.collect_set("n").alias("ns")).first()
-    if stats["c"] <= REGEX_TERMS:
-        # a checked-small list goes into the plan as a trie regex: one pass
-        # over the token text per prefix-free group, no n-gram explode or join
-        return hard_words(docs, key, text, [r["term"] for r in terms.select("term").collect()])
-    # the size check behind the broadcast (and the few phrase lengths in use)
-    side = F.broadcast(terms) if stats["c"] <= BROADCAST_TERMS else terms
-    tt = docs.select(key, token_text(F.col(text)).alias("_tt"))
-    grams = tt.select(key, F.explode(F.flatten(F.array(*[ngrams_of(F.col("_tt"), n)
-                                                         for n in sorted(stats["ns"])]))).alias("term"))
-    return grams.join(side.select("term"), "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))

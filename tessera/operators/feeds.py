@@ -40,30 +40,11 @@ def _link_key(link: str) -> Column:
     return ustrip(F.col(link))
 
 
-SMALL_ITEMS = 10_000  # largest item set whose keys are broadcast in ``unsent``
-
-
-def unsent(items: DataFrame, sent: DataFrame, link: str = "link",
-           items_are_small: bool = False) -> DataFrame:
+def unsent(items: DataFrame, sent: DataFrame, link: str = "link") -> DataFrame:
     """Items whose stripped link is not in the sent set; item values,
-    order columns and duplicates are kept.
-
-    ``items_are_small`` is for a side with a bound (e.g. the 15 candidates
-    after a limit): it is written once, its row count is checked against
-    ``SMALL_ITEMS``, and then its keys are broadcast to cut the sent log down
-    first (semi-join reduction) and the few hits are broadcast back for the
-    anti-join, so the sent log is scanned once and never shuffled.  Above
-    the limit the plain (shuffle or AQE-chosen) anti-join is used.
-    """
+    order columns and duplicates are kept.  Spark chooses the join from the
+    measured sizes."""
     s = sent_set(sent)
-    if items_are_small:
-        # the bounded item set is used twice; write it once (a few rows) and
-        # check its size before broadcasting anything derived from it
-        from tessera.session import materialize
-        items = materialize(items, "candidates")
-        if items.count() <= SMALL_ITEMS:
-            keys = items.select(_link_key(link).alias("url")).distinct()
-            s = F.broadcast(s.join(F.broadcast(keys), "url", "left_semi"))
     return items.join(s, _link_key(link) == s["url"], "left_anti")
 
 
@@ -98,4 +79,4 @@ def feed_candidates(items: DataFrame, sent: DataFrame, now, max_age_hours: float
     """The scheduled flow: valid items (F1) -> dates (E1/F2) -> age cut-off
     (F3) -> first ``n`` in feed order (O2) -> not yet sent (J4)."""
     fresh = recent(with_pub_ts(valid_items(items), observation=observation), now, max_age_hours, ts="pub_ts")
-    return unsent(first_n(fresh, n), sent, items_are_small=True)
+    return unsent(first_n(fresh, n), sent)

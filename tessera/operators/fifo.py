@@ -87,13 +87,23 @@ def fifo_pairs(events: DataFrame, chunk: int = 1 << 16, materialize_scan: bool =
         .join(pops, ["queue_id", "k"], "left").drop("k")
 
 
-def queue_depth(pairs: DataFrame) -> DataFrame:
-    """A11 + O4: pending count, popped count and oldest pending per queue."""
-    pending = F.col("deq_seq").isNull()
-    return pairs.groupBy("queue_id").agg(
-        F.count_if(pending).cast("bigint").alias("pending"),
-        F.count_if(~pending).cast("bigint").alias("popped"),
-        F.min(F.when(pending, F.col("enq_seq"))).alias("oldest_pending_seq"))
+def queue_depth(events: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """A11 + O4: pending count, popped count and oldest pending per queue.
+
+    No pairing: what is pending at the end is ``S - min(0, min S)``, the rest
+    of the enqueues were popped, and the oldest pending story is the enqueue
+    that follows them.  Only the key columns of the log are scanned."""
+    from tessera.session import materialize
+
+    scanned = materialize(_scan(events.select("queue_id", "seq", "op"), chunk), "queue-scan")
+    ends = scanned.groupBy("queue_id").agg(
+        F.max("E").alias("enqueued"), F.least(F.lit(0), F.min("S")).alias("low"),
+        F.max_by("S", "seq").alias("last")).where("enqueued > 0").select(
+        "queue_id", (F.col("last") - F.col("low")).cast("bigint").alias("pending"),
+        (F.col("enqueued") - (F.col("last") - F.col("low"))).cast("bigint").alias("popped"))
+    oldest = scanned.filter(F.col("op") == ENQUEUE).select("queue_id", (F.col("E") - 1).cast("bigint").alias("popped"),
+                                                           F.col("seq").alias("oldest_pending_seq"))
+    return ends.join(oldest, ["queue_id", "popped"], "left").select("queue_id", "pending", "popped", "oldest_pending_seq")
 
 
 def queued_lookup(stories: DataFrame, probes: DataFrame, probe_col: str = "probe") -> DataFrame:

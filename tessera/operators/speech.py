@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ustrip
+from tessera.operators.ordering import global_rank
+from tessera.session import ship_package
 
 UNKNOWN = "UNKNOWN"  # fixed value: label of a segment no turn overlaps
 
@@ -45,55 +47,71 @@ def assign_speakers_binned(segments: DataFrame, turns: DataFrame, bin_us: int =
         F.coalesce(-F.col("b.neg"), F.lit(0)).cast("bigint").alias("overlap_us"))
 
 
-def assign_speakers(segments: DataFrame, turns: DataFrame, chunk_us: int = 86_400_000_000) -> DataFrame:
-    """Each segment gets the speaker whose turns overlap it most, without
-    forming (segment, turn) pairs.
+def assign_speakers(segments: DataFrame, turns: DataFrame, chunk_rows: int = 8192) -> DataFrame:
+    """Each segment gets the speaker whose turns overlap it most.
 
-    For one speaker, the total overlap of ``[s, e)`` with its turns is
-    ``G(e) - G(s)`` where ``G(t) = t*#starts<=t - sum(starts<=t) - t*#ends<=t
-    + sum(ends<=t)`` (overlapping turns of one speaker count twice, as a sum
-    of intersections does).  Turn endpoints and segment endpoints (one query
-    per speaker of the track) are merged into one stream per (track, speaker)
-    and ``G`` is read off running sums computed by a chunked prefix scan
-    (``chunk_us`` of time per chunk), so a long, dense track is spread over
-    many tasks.  Ties go to the smaller speaker name; no positive overlap
-    gives ``UNKNOWN``.  Products use decimal(38,0) (no overflow).
+    ``segments(track, seg_id, start_us, end_us)``, ``turns(track, speaker,
+    start_us, end_us)``.  The endpoints of all intervals are ranked by (track,
+    time) and cut into chunks of ``chunk_rows`` endpoints, so a dense or long
+    track is spread over many tasks of equal size.  An interval is cut at the
+    chunk borders it crosses; inside a chunk the overlap of a segment with a
+    speaker's turns comes from prefix sums of the turns' endpoints (relative
+    to the chunk, so nothing overflows), and only overlaps above zero leave
+    the chunk.  No (segment, turn) or (segment, speaker) pairs are formed
+    beyond those.  Overlapping turns of one speaker count twice, as a sum of
+    intersections does.  Ties go to the smaller speaker name; no overlap gives
+    ``UNKNOWN``; empty and null intervals overlap nothing.
     """
-    from tessera.operators.ordering import chunked_running_sums
-
-    dec = "decimal(38,0)"
-    speakers = turns.select("track", "speaker").distinct()
-    ends = turns.select("track", "speaker", F.explode(F.array(
-        F.struct(F.col("start_us").alias("t"), F.lit(1).alias("ns"), F.col("start_us").alias("ss"),
-                 F.lit(0).alias("ne"), F.lit(0).cast("long").alias("se")),
-        F.struct(F.col("end_us").alias("t"), F.lit(0).alias("ns"), F.lit(0).cast("long").alias("ss"),
-                 F.lit(1).alias("ne"), F.col("end_us").alias("se")))).alias("x")
-    ).select("track", "speaker", "x.*", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seg_id"),
-             F.lit(None).cast("string").alias("side"))
-    queries = segments.join(speakers, "track").select(
-        "track", "speaker", F.explode(F.array(
-            F.struct(F.col("start_us").alias("t"), F.lit("s").alias("side")),
-            F.struct(F.col("end_us").alias("t"), F.lit("e").alias("side")))).alias("q"), "seg_id"
-    ).select("track", "speaker", F.col("q.t").alias("t"), F.lit(0).alias("ns"),
-             F.lit(0).cast("long").alias("ss"), F.lit(0).alias("ne"), F.lit(0).cast("long").alias("se"),
-             F.lit(1).alias("kind"), "seg_id", F.col("q.side").alias("side"))
-    stream = ends.unionByName(queries).withColumn("chunk", F.floor(F.col("t") / F.lit(chunk_us)))
-    run = chunked_running_sums(stream, ["track", "speaker"], ["t", "kind"], "chunk",
-                               ["ns", "ss", "ne", "se"])
-    t = F.col("t").cast(dec)
-    g = (t * F.col("run_ns").cast(dec) - F.col("run_ss").cast(dec)
-         - t * F.col("run_ne").cast(dec) + F.col("run_se").cast(dec))
-    at = run.filter(F.col("kind") == 1).select("track", "speaker", "seg_id", "side", g.alias("g"))
-    ov = at.groupBy("track", "seg_id", "speaker").agg(
-        (F.sum(F.when(F.col("side") == "e", F.col("g"))) - F.sum(F.when(F.col("side") == "s", F.col("g"))))
-        .cast("bigint").alias("ov")).filter(F.col("ov") > 0)
-    best = ov.groupBy("track", "seg_id").agg(
+    fields = {f.name: f.dataType.simpleString() for f in segments.schema}
+    intervals = turns.select("track", "speaker", F.lit(0).cast(fields["seg_id"]).alias("seg_id"), F.col("start_us").alias("s"),
+                             F.col("end_us").alias("e")).where("speaker IS NOT NULL").unionByName(
+        segments.select("track", F.lit(None).cast("string").alias("speaker"), "seg_id", F.col("start_us").alias("s"),
+                        F.col("end_us").alias("e"))).where("e > s").withColumn("uid", F.monotonically_increasing_id())
+    points = intervals.select("*", F.explode(F.array("s", "e")).alias("t"))
+    points = points.withColumn("side", (F.col("t") == F.col("e")).cast("int"))
+    ranked = global_rank(points, ["track", "t", "uid", "side"]).withColumn(
+        "chunk", F.floor((F.col("rank") - 1) / chunk_rows))
+    borders = ranked.groupBy("track", "chunk").agg(F.min("t").alias("begin"))
+    borders = borders.withColumn("until", F.lead("begin").over(Window.partitionBy("track").orderBy("chunk")))
+    whole = ranked.groupBy("uid").agg(*[F.any_value(c).alias(c) for c in ("track", "speaker", "seg_id", "s", "e")],
+                                      F.min("chunk").alias("c0"), F.max("chunk").alias("c1"))
+    pieces = whole.select("*", F.explode(F.sequence("c0", "c1")).alias("chunk")).join(borders, ["track", "chunk"]).select(
+        "chunk", "track", "speaker", "seg_id", F.when(F.col("chunk") == F.col("c0"), F.col("s")).otherwise(F.col("begin")).alias("s"),
+        F.when(F.col("chunk") == F.col("c1"), F.col("e")).otherwise(F.col("until")).alias("e"))
+    ship_package(segments.sparkSession)
+    found = pieces.groupBy("chunk").applyInPandas(
+        _chunk_overlaps, f"track {fields['track']}, seg_id {fields['seg_id']}, speaker string, ov long")
+    total = found.groupBy("track", "seg_id", "speaker").agg(F.sum(F.col("ov").cast("decimal(38,0)")).alias("ov"))
+    best = total.groupBy("track", "seg_id").agg(
         F.min(F.struct((-F.col("ov")).alias("neg"), F.col("speaker"))).alias("b"))
     return segments.select("track", "seg_id").join(best, ["track", "seg_id"], "left").select(
         "track", "seg_id", F.coalesce(F.col("b.speaker"), F.lit(UNKNOWN)).alias("speaker"),
         F.coalesce(-F.col("b.neg"), F.lit(0)).cast("bigint").alias("overlap_us"))
 
 
+def _chunk_overlaps(pdf):
+    """Overlap of every segment piece with every speaker it meets inside one chunk."""
+    import numpy as np
+    import pandas as pd
+
+    out = []
+    for track, rows in pdf.groupby("track", sort=False):
+        segs, said = rows[rows["speaker"].isna()], rows[rows["speaker"].notna()]
+        if segs.empty or said.empty:
+            continue
+        zero = rows["s"].min()
+        lo, hi = segs["s"].to_numpy() - zero, segs["e"].to_numpy() - zero
+        for speaker, mine in said.groupby("speaker", sort=False):
+            starts, ends = (np.sort(mine[c].to_numpy() - zero) for c in ("s", "e"))
+            ov = np.zeros(len(lo), np.int64)
+            for sign, at in ((1, hi), (-1, lo)):  # time talked up to a point
+                for times, kind in ((starts, 1), (ends, -1)):
+                    n = np.searchsorted(times, at, side="right")
+                    ov += sign * kind * (at * n - np.r_[0, np.cumsum(times)][n])
+            out += [(track, i, speaker, int(x)) for i, x in zip(segs["seg_id"].tolist(), ov.tolist()) if x > 0]
+    return pd.DataFrame(out, columns=["track", "seg_id", "speaker", "ov"]).astype({"speaker": object})
+
+
 def segment_line(start, end, speaker, text):
     """``[start s - end s] SPK: text`` + newline, rounded to 2 digits."""
     return F.concat(F.lit("["), F.round(start, 2).cast("string"), F.lit("s - "),

@@ -11,8 +11,8 @@ from tessera.sources.tables import Tables
 
 
 def stub_completer(prompt: str) -> str:
-    """Deterministic stand-in for a model: first 50 characters and the length."""
-    return prompt[:50] + "|" + str(len(prompt))
+    """Deterministic stand-in for a model: the length and the whole prompt."""
+    return f"{len(prompt)}|{prompt}"
 
 
 @query("batch_complete_stub", oracle="""
@@ -20,7 +20,7 @@ WITH todo AS (SELECT doc_id, 'Simplify: ' || CASE WHEN length(text) > 20000
                 THEN left(text, 20000) || chr(10) || '[... texto truncado ...]' ELSE text END AS prompt
               FROM documents
               WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0))
-SELECT doc_id, left(prompt, 50) || '|' || cast(length(prompt) AS varchar) AS raw, NULL::VARCHAR AS error
+SELECT doc_id, cast(length(prompt) AS varchar) || '|' || prompt AS raw, NULL::VARCHAR AS error
 FROM todo""")
 def batch_complete_stub(spark, sf_dir):
     """Completion over every pending document with a stub model."""

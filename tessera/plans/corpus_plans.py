@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import first_line, output_key
+from tessera.functions.text import output_key
 from tessera.operators import corpus
 from tessera.plans import sqltext as S
 from tessera.plans.registry import query
@@ -21,40 +21,62 @@ RULES = "RULES: list every useful word.\n"   # job parameter: the prompt file's
 def _sheets(spark, sf_dir):
     p = Tables(spark, sf_dir).pages
     return p.select(F.concat(F.lit("sheet"), F.col("page_id").cast("string"), F.lit("_cheat.md")).alias("name"),
-                    F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("text"))
+                    F.col("html").alias("text"))
 
 
 @query("compact_batches", oracle=f"""
 WITH s AS (SELECT 'sheet' || cast(page_id AS varchar) || '_cheat.md' AS name,
-             regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS text FROM pages),
+             html AS text FROM pages),
 n AS (SELECT *, row_number() OVER (ORDER BY name COLLATE "C") AS rn FROM s),
-b AS (SELECT *, (rn - 1) // 10 + 1 AS batch FROM n WHERE rn <= 90)
-SELECT 'compacted_' || cast(batch AS varchar) || '.md' AS out_name, batch::INTEGER AS batch,
+b AS (SELECT *, (rn - 1) // 10 + 1 AS batch FROM n)
+SELECT 'compacted_' || cast(batch AS varchar) || '.md' AS out_name, batch,
   string_agg('<' || name || '>' || chr(10) || text || chr(10) || '</>' || chr(10) || chr(10), '' ORDER BY rn)
     || {S.sql_text(corpus.COMPACT_INSTRUCTION)} AS text,
   count(*) AS n_sheets
 FROM b GROUP BY batch""")
 def compact_batches(spark, sf_dir):
-    """Compaction input text for the first 9 batches of 10 sheets."""
+    """Compaction input text of every batch of 10 sheets."""
     return corpus.compact_batches(_sheets(spark, sf_dir))
 
 
-_WORDS = ", ".join(S.lit(w) for w in corpus.hard_word_list())
-_TOKS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+# fixed values of the oracle, written out on their own
+_WORDS = ["suponiendo", "sorprendente", "discretas", "medida busca protegerla", "conquistaron", "relacionados", "fuente",
+          "dispositivo", "los aliados", "ofrecer", "conocida", "fronterizo", "apoyo", "aparcamiento", "señalar", "además"]
+_TOKS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_INJECTED = ("text || CASE doc_id % 17 " + " ".join(
+    f"WHEN {i} THEN ' ' || upper({S.lit(w)}) || '; ' || replace({S.lit(w)}, ' ', ', ')" for i, w in enumerate(_WORDS)) + " ELSE '' END")
 
 
-@query("hard_words", oracle=f"""
-WITH t AS (SELECT doc_id, {_TOKS} AS toks FROM documents),
-g AS (
-  SELECT doc_id, unnest(toks) AS term FROM t
-  UNION ALL
-  SELECT doc_id, array_to_string(toks[i:i+1], ' ') FROM t, range(1, len(toks)) r(i)
-  UNION ALL
-  SELECT doc_id, array_to_string(toks[i:i+2], ' ') FROM t, range(1, len(toks) - 1) r(i))
-SELECT doc_id, term, count(*) AS n FROM g WHERE term IN ({_WORDS}) GROUP BY ALL""")
+def _counts_sql(docs: str, terms: str) -> str:
+    """Occurrences by comparing token lists at every position."""
+    return f"""
+t AS (SELECT doc_id, {_TOKS.format('text')} AS toks FROM {docs}),
+w AS (SELECT DISTINCT {_TOKS.format('term')} AS ws FROM {terms}),
+l AS (SELECT ws, len(ws) AS n, ws[1] AS first FROM w WHERE len(ws) > 0),
+p AS (SELECT doc_id, toks, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM t)
+SELECT doc_id, array_to_string(ws, ' ') AS term, count(*) AS n
+FROM p JOIN l ON p.tok = l.first AND toks[i:i + n - 1] = ws GROUP BY ALL"""
+
+
+def _word_docs(spark, sf_dir):
+    """The documents, most with a listed word or phrase put at their end, twice."""
+    d = Tables(spark, sf_dir).documents
+    tail = None
+    for i, w in enumerate(corpus.hard_word_list()):
+        put = F.lit(f" {w.upper()}; {w.replace(' ', ', ')}")
+        tail = F.when(F.col("doc_id") % 17 == i, put) if tail is None else tail.when(F.col("doc_id") % 17 == i, put)
+    return d.select("doc_id", F.concat("text", tail.otherwise("")).alias("text"))
+
+
+def _list_frame(spark):
+    return spark.createDataFrame([(w,) for w in corpus.hard_word_list()], "term string")
+
+
+@query("hard_words", oracle=f"""WITH d AS (SELECT doc_id, {_INJECTED} AS text FROM documents),
+f AS (SELECT unnest([{', '.join(S.lit(w) for w in _WORDS)}]) AS term), {_counts_sql('d', 'f')}""")
 def hard_words(spark, sf_dir):
     """Occurrences of the hard-word list (single and multi-word) per document."""
-    return corpus.hard_words(Tables(spark, sf_dir).documents)
+    return corpus.hard_words(_word_docs(spark, sf_dir), _list_frame(spark))
 
 
 _LINES = f"""l AS (SELECT doc_id, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS line
@@ -103,7 +125,7 @@ _FILES_SQL = """f AS (SELECT doc_id, 'track' || CASE WHEN doc_id < 10 THEN '0' E
 
 
 @query("prompts", oracle=f"""WITH {_FILES_SQL},
-s AS (SELECT *, '# ' || name || chr(10) || {S.split_lines('text')}[1] AS sheet FROM f),
+s AS (SELECT *, '# ' || name || chr(10) || text AS sheet FROM f),
 p AS (SELECT *, lag(sheet) OVER (ORDER BY name COLLATE "C") AS prev_sheet FROM s)
 SELECT name,
   CASE WHEN name <> 'track01.txt' THEN {S.sql_text(corpus.VOCAB_INTRO + '<transcript>' + chr(10))} || text
@@ -118,8 +140,7 @@ FROM p""")
 def prompts(spark, sf_dir):
     """Vocabulary and chained-cheatsheet prompts per transcript."""
     f = transcript_files(spark, sf_dir)
-    f = f.withColumn("sheet", F.concat(F.lit("# "), F.col("name"), F.lit("\n"),
-                                       first_line(F.col("text"))))
+    f = f.withColumn("sheet", F.concat(F.lit("# "), F.col("name"), F.lit("\n"), F.col("text")))
     return corpus.prompts(f, RULES)
 
 
@@ -141,23 +162,16 @@ def resume_pending(spark, sf_dir):
 
 
 def benchmark_terms(spark, sf_dir):
+    """The whole item texts, and their first one and two tokens, as list terms."""
     b = Tables(spark, sf_dir).benchmark
     t = corpus.tokens(F.col("text"))
-    return b.select(F.explode(F.array(F.element_at(t, 1), F.array_join(F.slice(t, 1, 2), " "))).alias("term"))
+    return b.select(F.explode(F.array(F.col("text"), F.element_at(t, 1), F.array_join(F.slice(t, 1, 2), "  "))).alias("term"))
 
 
 @query("hard_words_table", oracle=f"""
-WITH bt AS (SELECT {_TOKS} AS toks FROM benchmark),
-terms AS (SELECT DISTINCT term FROM (SELECT toks[1] AS term FROM bt UNION ALL
-                                     SELECT array_to_string(toks[1:2], ' ') FROM bt) WHERE term <> ''),
-t AS (SELECT doc_id, {_TOKS} AS toks FROM documents),
-g AS (
-  SELECT doc_id, unnest(toks) AS term FROM t
-  UNION ALL
-  SELECT doc_id, array_to_string(toks[i:i+1], ' ') FROM t, range(1, len(toks)) r(i)
-  UNION ALL
-  SELECT doc_id, array_to_string(toks[i:i+2], ' ') FROM t, range(1, len(toks) - 1) r(i))
-SELECT doc_id, term, count(*) AS n FROM g WHERE term IN (SELECT term FROM terms) GROUP BY ALL""")
+WITH bt AS (SELECT text, {_TOKS.format('text')} AS toks FROM benchmark),
+bw AS (SELECT text AS term FROM bt UNION ALL SELECT toks[1] FROM bt UNION ALL SELECT array_to_string(toks[1:2], ' ') FROM bt),
+{_counts_sql('documents', 'bw')}""")
 def hard_words_table(spark, sf_dir):
-    """J11 with a table word list (terms from ``benchmark``; size-checked broadcast)."""
-    return corpus.hard_words_table(Tables(spark, sf_dir).documents, benchmark_terms(spark, sf_dir))
+    """J11 with a table word list (whole texts and first words of ``benchmark``)."""
+    return corpus.hard_words(Tables(spark, sf_dir).documents, benchmark_terms(spark, sf_dir))

@@ -60,7 +60,7 @@ SELECT queue_id, count(*) FILTER (WHERE deq_seq IS NULL) AS pending,
 FROM pairs GROUP BY queue_id""")
 def queue_depth(spark, sf_dir):
     """Pending count and oldest pending story per queue."""
-    return fifo.queue_depth(fifo.fifo_pairs(queue_events(spark, sf_dir), CHUNK))
+    return fifo.queue_depth(queue_events(spark, sf_dir), CHUNK)
 
 
 @query("queued_lookup", oracle="""

@@ -35,7 +35,7 @@ def _load_all() -> None:
     # Import the plan modules for their registration side effect.
     from tessera.plans import (  # noqa: F401
         cards_plans, complete_plans, corpus_plans, news_plans, notes_plans, queue_plans,
-        speech_plans, stream_plans)
+        source_plans, speech_plans, stream_plans)
 
 
 def queries() -> dict[str, QueryFn]:

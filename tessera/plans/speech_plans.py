@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.dates import epoch_micros_ntz
 from tessera.functions.html import MOST_READ_CLOSE, MOST_READ_OPEN, PODCAST_CLOSE, PODCAST_OPEN
-from tessera.functions.text import first_line
 from tessera.operators import speech
 from tessera.operators.pagetext import skip_blocks
 from tessera.plans import sqltext as S
@@ -53,7 +52,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY track, seg_id ORDER BY ov DES
 SELECT seg.track, seg.seg_id, coalesce(b.speaker, 'UNKNOWN') AS speaker, coalesce(b.ov, 0)::BIGINT AS overlap_us
 FROM seg LEFT JOIN best b ON seg.track = b.track AND seg.seg_id = b.seg_id AND b.rn = 1""")
 def speaker_assign(spark, sf_dir):
-    """Speaker with the largest total overlap per segment (binned range join)."""
+    """Speaker with the largest total overlap per segment (row-balanced chunks, prefix sums)."""
     seg, turns = segments_turns(spark, sf_dir)
     return speech.assign_speakers(seg, turns)
 
@@ -90,36 +89,42 @@ def transcript_render(spark, sf_dir):
 # marker lines are placed by (conv_id + turn).
 # ---------------------------------------------------------------------------
 
+LINES_PER_TURN = 1 << 20  # line positions reserved for a turn
 _TURN_MARKERS = [(0, MOST_READ_OPEN), (4, MOST_READ_CLOSE), (7, PODCAST_OPEN), (10, PODCAST_CLOSE), (12, "02:27")]
 
 
 def turn_lines(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations
-    k = (F.col("conv_id") + F.col("turn")) % 13
+    # every line of every turn; the first line of some turns becomes a marker
+    lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    k = F.when(F.col("i") == 0, (F.col("conv_id") + F.col("turn")) % 13)
     line = None
     for v, m in _TURN_MARKERS:
         line = F.when(k == v, F.lit(m)) if line is None else line.when(k == v, F.lit(m))
-    return c.select("conv_id", "turn", line.otherwise(first_line(F.col("text"))).alias("line"))
+    return lines.select("conv_id", (F.col("turn") * LINES_PER_TURN + F.col("i")).alias("pos"), line.otherwise(F.col("line")).alias("line"))
 
 
 _MR_OPEN = f"(contains(t, {S.lit(MOST_READ_OPEN)}) AND NOT contains(t, {S.lit(MOST_READ_CLOSE)}))"
-_W = "PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_W = "PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _BLOCK_SQL = f"""
-WITH l AS (
-  SELECT conv_id, turn, {S.ustrip('CASE (conv_id + turn) % 13 ' + ' '.join(
-      f"WHEN {v} THEN {S.lit(m)}" for v, m in _TURN_MARKERS) + ' ELSE ' + S.split_lines('text') + '[1] END')} AS t
-  FROM conversations),
+WITH x AS (
+  SELECT conv_id, turn, generate_subscripts(arr, 1) - 1 AS i, unnest(arr) AS line
+  FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS arr FROM conversations)),
+l AS (
+  SELECT conv_id, turn * 1048576 + i AS pos, {S.ustrip('CASE WHEN i > 0 THEN line ' + ' '.join(
+      f"WHEN (conv_id + turn) % 13 = {v} THEN {S.lit(m)}" for v, m in _TURN_MARKERS) + ' ELSE line END')} AS t
+  FROM x),
 a AS (SELECT *, {_MR_OPEN} AS mo,
         coalesce(last_value(CASE WHEN {_MR_OPEN} THEN true WHEN contains(t, {S.lit(MOST_READ_CLOSE)}) THEN false END
                  IGNORE NULLS) OVER ({_W}), false) AS mr_before FROM l),
 b AS (SELECT *, coalesce(last_value(CASE WHEN contains(t, {S.lit(PODCAST_OPEN)}) THEN true
                  WHEN contains(t, {S.lit(PODCAST_CLOSE)}) THEN false END IGNORE NULLS) OVER ({_W}), false) AS pod_before
       FROM a WHERE NOT (mo OR mr_before))
-SELECT conv_id, turn, t AS line FROM b
+SELECT conv_id, pos, t AS line FROM b
 WHERE NOT (contains(t, {S.lit(PODCAST_OPEN)}) OR pod_before) AND NOT {S.is_noise('t')}"""
 
 
 @query("block_skip", oracle=_BLOCK_SQL)
 def block_skip(spark, sf_dir):
     """Block skip and noise filter over line rows (conversation turns)."""
-    return skip_blocks(turn_lines(spark, sf_dir), "conv_id", "turn", "line")
+    return skip_blocks(turn_lines(spark, sf_dir), "conv_id", "pos", "line")

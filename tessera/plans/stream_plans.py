@@ -1,7 +1,8 @@
 """Registered streaming queries (T-1 .. T-5), each checked against batch SQL.
 
-The stream reads the ``events`` file of the scale folder with
-``availableNow``, runs to completion, and the query returns the sink table.
+The ``events`` table is first written as several files that arrive one after
+the other; the stream reads one file per micro-batch with ``availableNow``,
+runs to completion, and the query returns the sink table.
 """
 
 from __future__ import annotations
@@ -10,19 +11,27 @@ from pyspark.sql import functions as F
 
 from tessera.operators import fifo
 from tessera.plans.registry import query
+from tessera.session import shared_dir
+from tessera.sources.tables import Tables
 from tessera.streaming import jobs
 
 STREAM_NOW = "2024-01-31 00:00:00"
 STREAM_MAX_AGE_HOURS = 24 * 7
 
 
+def _event_stream(spark, sf_dir):
+    folder = shared_dir(spark, "event-files")
+    jobs.write_parts(Tables(spark, sf_dir).events, folder, "event_id")
+    return jobs.file_stream(spark, folder, "*.parquet", max_files=1)
+
+
 @query("stream_unsent", oracle=f"""
 SELECT 'https://news.example/s/' || json_extract_string(props, '$.k') AS link, min(event_id) AS first_event
 FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '{STREAM_NOW}' - INTERVAL {STREAM_MAX_AGE_HOURS} HOUR
 GROUP BY 1""")
 def stream_unsent(spark, sf_dir):
     """T-1 T-2 T-4 T-5: streamed feed items, first event of every new link."""
-    ev = jobs.file_stream(spark, sf_dir, "events.parquet")
+    ev = _event_stream(spark, sf_dir)
     stories = ev.filter(F.col("event_type") == "view").select(
         F.concat(F.lit("https://news.example/s/"), F.get_json_object("props", "$.k")).alias("link"),
         "event_id", "ts")
@@ -31,23 +40,66 @@ def stream_unsent(spark, sf_dir):
     return spark.read.parquet(out).select("link", "first_event")
 
 
-@query("stream_fifo", oracle="""
-WITH e AS (SELECT user_id AS queue_id, event_id AS seq, CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS d
-           FROM events WHERE event_type IN ('view', 'click')),
+_PAIRS = """
+e AS (SELECT user_id AS queue_id, event_id AS seq, CASE WHEN event_type = 'view' THEN 1 ELSE -1 END AS d
+      FROM events WHERE event_type IN ('view', 'click')),
 s AS (SELECT *, sum(d) OVER (PARTITION BY queue_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM e),
 m AS (SELECT *, least(0, min(s) OVER (PARTITION BY queue_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS m FROM s),
 z AS (SELECT *, coalesce(lag(s - m) OVER (PARTITION BY queue_id ORDER BY seq), 0) AS size_before FROM m),
 enq AS (SELECT queue_id, seq, row_number() OVER (PARTITION BY queue_id ORDER BY seq) AS k FROM z WHERE d = 1),
 deq AS (SELECT queue_id, seq, row_number() OVER (PARTITION BY queue_id ORDER BY seq) AS k
-        FROM z WHERE d = -1 AND size_before > 0)
-SELECT enq.queue_id, enq.seq AS enq_seq, deq.seq AS deq_seq
-FROM enq JOIN deq ON enq.queue_id = deq.queue_id AND enq.k = deq.k""")
-def stream_fifo(spark, sf_dir):
-    """T-3: stateful FIFO per queue in Structured Streaming (pairs of popped stories)."""
-    ev = jobs.file_stream(spark, sf_dir, "events.parquet")
-    q = ev.filter(F.col("event_type").isin("view", "click")).select(
+        FROM z WHERE d = -1 AND size_before > 0),
+pairs AS (SELECT enq.queue_id, enq.seq AS enq_seq, deq.seq AS deq_seq
+          FROM enq JOIN deq ON enq.queue_id = deq.queue_id AND enq.k = deq.k)"""
+
+
+def _run_fifo(spark, sf_dir):
+    q = _event_stream(spark, sf_dir).filter(F.col("event_type").isin("view", "click")).select(
         F.col("user_id").alias("queue_id"), F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "view", F.lit(fifo.ENQUEUE)).otherwise(F.lit(fifo.POP)).alias("op"))
     out, ckpt = jobs.run_dirs(spark, "stream-fifo")
     jobs.stream_fifo(q, out, ckpt)
+    return out
+
+
+@query("stream_fifo", oracle=f"WITH {_PAIRS} SELECT queue_id, enq_seq, deq_seq FROM pairs")
+def stream_fifo(spark, sf_dir):
+    """T-3: FIFO per queue in Structured Streaming (pairs of popped stories)."""
+    return spark.read.parquet(_run_fifo(spark, sf_dir)).select("queue_id", "enq_seq", "deq_seq")
+
+
+def flaky_send(payload: str) -> str:
+    """Stand-in for a message service: refuses every seventh story."""
+    if int(payload) % 7 == 0:
+        raise ConnectionError("refused")
+    return "sent"
+
+
+@query("stream_requeue", oracle=f"""WITH {_PAIRS}
+SELECT queue_id, enq_seq AS story, deq_seq, enq_seq % 7 <> 0 AS delivered FROM
+(SELECT queue_id, enq_seq, CASE WHEN enq_seq % 7 <> 0 THEN deq_seq END AS deq_seq FROM pairs)""")
+def stream_requeue(spark, sf_dir):
+    """T-5: popped stories are delivered; those that fail are enqueued again."""
+    out = _run_fifo(spark, sf_dir)
+    schema = spark.read.parquet(out).select("queue_id", "enq_seq", "deq_seq").schema
+    popped = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(out) \
+        .withColumn("payload", F.col("enq_seq").cast("string"))
+    done, ckpt = jobs.run_dirs(spark, "stream-deliver")
+    jobs.stream_deliver(popped, flaky_send, done, ckpt)
+    sent = spark.read.parquet(f"{done}/delivered").select("queue_id", F.col("enq_seq").alias("story"), "deq_seq",
+                                                          F.lit(True).alias("delivered"))
+    back = spark.read.parquet(f"{done}/requeued").where(F.col("op") == fifo.ENQUEUE).select(
+        "queue_id", "story", F.lit(None).cast("long").alias("deq_seq"), F.lit(False).alias("delivered"))
+    return sent.unionByName(back)
+
+
+@query("stream_watermark", oracle="""
+SELECT DISTINCT 'https://news.example/s/' || json_extract_string(props, '$.k') AS link FROM events WHERE event_type = 'view'""")
+def stream_watermark(spark, sf_dir):
+    """T-4 T-2: never-send-twice bounded by an event-time watermark (as long as the table's time span)."""
+    stories = _event_stream(spark, sf_dir).filter(F.col("event_type") == "view").select(
+        F.concat(F.lit("https://news.example/s/"), F.get_json_object("props", "$.k")).alias("link"), "event_id", "ts")
+    out, ckpt = jobs.run_dirs(spark, "stream-watermark")
+    d = jobs.dedup_within_watermark(stories, "3650 days").select("link")
+    jobs._run(d.writeStream.format("parquet").option("path", out), ckpt)
     return spark.read.parquet(out)

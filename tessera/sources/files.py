@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, StringType, StructField, StructType)
 
+from tessera.functions.jsonx import json_kind
 from tessera.functions.text import ustrip
 
 # ---------------------------------------------------------------------------
@@ -29,19 +30,33 @@ def read_feeds(spark: SparkSession, paths: list[str]) -> DataFrame:
     produces a row without items and so contributes nothing (U1: no dedup
     across feeds).  Title/link/description are stripped; the date stays raw.
     """
-    raw = (spark.read.format("xml").option("rowTag", "channel").schema(CHANNEL)
-           .load(paths).withColumn("feed", F.col("_metadata.file_path")))
     order = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(_local(p)), F.lit(i))])
-    items = raw.select(
-        order[F.regexp_replace("feed", "^file:/+", "/")].alias("feed_pos"),
+    raw = spark.read.format("xml").option("rowTag", "channel").schema(CHANNEL).load(paths)
+    items = feed_items(raw)
+    path = F.regexp_replace("feed", "^file:/+", "/")
+    pos = F.coalesce(order[path], order[F.regexp_replace(path, "/[^/]*$", "")])  # a path is a file or its folder
+    return items.select(pos.alias("feed_pos"),
+                        "item_pos", "feed", "source", "title", "link", "description", "pub_date_raw")
+
+
+def feed_items(channels: DataFrame) -> DataFrame:
+    """Items of the channels that an XML read or stream yields.  ``feed`` is
+    the file's path; the metadata give it URL-encoded, so it is decoded."""
+    items = channels.withColumn("feed", _decoded(F.col("_metadata.file_path"))).select(
         "feed", F.coalesce(ustrip(F.col("title")), F.col("feed")).alias("source"),
         F.posexplode("item").alias("item_pos", "it"))
-    return items.select(
-        "feed_pos", "item_pos", "feed", "source",
-        F.coalesce(ustrip(F.col("it.title")), F.lit("")).alias("title"),
-        F.coalesce(ustrip(F.col("it.link")), F.lit("")).alias("link"),
-        F.coalesce(ustrip(F.col("it.description")), F.lit("")).alias("description"),
-        F.col("it.pubDate").alias("pub_date_raw"))
+    text = lambda name: F.coalesce(ustrip(F.col(f"it.{name}")), F.lit("")).alias(name)
+    return items.select("feed", "source", "item_pos", text("title"), text("link"), text("description"),
+                        F.col("it.pubDate").alias("pub_date_raw"))
+
+
+def _decoded(path):
+    """URL-decoded path (``url_decode`` alone would turn ``+`` into a space)."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _base_name():
+    return F.regexp_extract(_decoded(F.col("_metadata.file_path")), r"([^/]*)$", 1)
 
 
 def _local(p: str) -> str:
@@ -60,12 +75,11 @@ def read_json_arrays(spark: SparkSession, folder: str, element_schema: StructTyp
 
     Whole-file read (``wholetext``): one file is one JSON document.
     """
-    txt = (spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
-           .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("file"), "value"))
-    v = F.try_parse_json("value")
-    first = F.substring(ustrip(F.col("value")), 1, 1)
-    files = txt.select("file", "value", v.isNotNull().alias("valid"),
-                       (v.isNotNull() & (first == "[")).alias("is_array"))
+    txt = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder, wholetext=True)
+           .select(_base_name().alias("file"), "value"))
+    kind = json_kind(F.col("value"))
+    files = txt.select("file", "value", kind.isNotNull().alias("valid"),
+                       F.coalesce(kind == "array", F.lit(False)).alias("is_array"))
     arr = F.from_json("value", ArrayType(element_schema))
     rows = files.filter("is_array").select("file", F.posexplode(arr).alias("idx", "card")) \
         .select("file", F.col("idx").cast("long").alias("idx"), "card.*")
@@ -84,9 +98,9 @@ def file_totals(files: DataFrame) -> DataFrame:
 # S3: text corpus, S5: sent log, S7: word lists
 # ---------------------------------------------------------------------------
 def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """One row per file: ``name`` (base name) and whole ``text``."""
+    """One row per file: ``name`` (base name), ``path`` and whole ``text``."""
     return (spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
-            .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("name"),
+            .select(_base_name().alias("name"), _decoded(F.col("_metadata.file_path")).alias("path"),
                     F.col("value").alias("text")))
 
 
@@ -132,6 +146,18 @@ def write_json_by_bucket(df: DataFrame, path: str, key: str, buckets: int = 64,
         .write.mode("overwrite").partitionBy("bucket").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, order: str, per_file: int = 1000) -> None:
+    """K1: JSON array files of ``per_file`` records each, in ``order`` (unique);
+    the counterpart of ``read_json_arrays``."""
+    from tessera.operators.ordering import global_rank
+
+    ranked = global_rank(df, [order])
+    one = F.struct("rank", F.struct(*df.columns).alias("r"))
+    files = ranked.groupBy(F.floor((F.col("rank") - 1) / per_file).alias("file")).agg(
+        F.to_json(F.array_sort(F.collect_list(one))["r"]).alias("value"))
+    files.repartition("file").write.mode("overwrite").partitionBy("file").text(path)
+
+
 def append_sent(urls: DataFrame, path: str) -> None:
     """K3: append stripped URLs to the sent log (duplicates allowed; reads
     de-duplicate)."""

@@ -5,12 +5,12 @@
   of each new link is appended to the sent table.  The write is idempotent
   (T-5): a micro-batch owns the partition ``batch_id=<id>`` and rewrites it on
   retry, and the anti-join ignores the batch's own earlier attempt.
-* ``stream_fifo``: the shared queue as a stateful operator per ``queue_id``
-  (T-3) with ``transformWithStateInPandas``: a value state holds the head and
-  chunk pointers and a map state one array of pending stories per
-  micro-batch, so a batch touches a few state entries per queue.
+* ``stream_fifo``: the shared queue (T-3) as ``foreachBatch`` over the batch
+  operator's chunked scan, with the pending stories carried from micro-batch
+  to micro-batch in a table.
+* ``stream_deliver``: deliveries, and re-queueing of those that fail (T-5).
 * ``dedup_within_watermark``: the bounded variant of never-send-twice: keeps
-  the first event per link while the watermark (= maximum age) holds it.
+  the first event per link while the watermark (= maximum age) holds it (T-4).
 
 Sources are append-only file folders read with ``trigger(availableNow=True)``;
 checkpoints and sinks live under the cluster's shared checkpoint folder.
@@ -20,11 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.session import ship_package, shared_dir
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from tessera.session import shared_dir
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -46,26 +43,33 @@ def _run(writer, ckpt: str) -> None:
 # ---------------------------------------------------------------------------
 # T-1 / T-2 / T-4 / T-5
 # ---------------------------------------------------------------------------
-SMALL_BATCH_LINKS = 100_000  # broadcast a micro-batch's links only up to this count
+SENT_BUCKETS = 64  # folders of the sent table, by link hash
+
 
+def _bucket(link: str = "link"):
+    return F.pmod(F.xxhash64(link), F.lit(SENT_BUCKETS)).cast("int")
 
-def _sent_links(spark: SparkSession, out_dir: str, batch_id: int):
-    """Links sent by earlier micro-batches (this batch's own earlier attempt
-    excluded, so a retried batch rewrites the same rows); None before the
-    first write."""
+
+def _sent_links(spark: SparkSession, out_dir: str, batch_id: int, buckets: list[int]):
+    """Links sent by earlier micro-batches in the given buckets (this batch's
+    own earlier attempt excluded, so a retried batch rewrites the same rows);
+    None before the first write."""
     try:
-        return spark.read.parquet(out_dir).filter(F.col("batch_id") != batch_id).select("link")
+        sent = spark.read.parquet(out_dir)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
+    return sent.filter((F.col("batch_id") != batch_id) & F.col("bucket").isin(buckets)).select("link")
 
 
 def stream_unsent(stories: DataFrame, out_dir: str, ckpt: str, now: str | None = None,
                   max_age_hours: float = 24) -> None:
     """Append the first event of every link not sent before to ``out_dir``.
 
-    ``stories`` is a streaming frame with ``link, event_id, ts``.
+    ``stories`` is a streaming frame with ``link, event_id, ts``.  The sent
+    table is partitioned by batch and link bucket, and a micro-batch reads
+    only the buckets its links fall into.
     """
     spark = stories.sparkSession
     if now is not None:
@@ -73,19 +77,13 @@ def stream_unsent(stories: DataFrame, out_dir: str, ckpt: str, now: str | None =
         stories = recent(stories, now, max_age_hours)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy("link").agg(F.min("event_id").alias("first_event")).persist()
+        first = batch.groupBy("link").agg(F.min("event_id").alias("first_event")) \
+            .withColumn("bucket", _bucket()).persist()
         try:
-            new = first
-            sent = _sent_links(spark, out_dir, batch_id)
-            if sent is not None:
-                if first.count() <= SMALL_BATCH_LINKS:
-                    # semi-join reduction: one scan of the sent table probing
-                    # the batch's links, then a broadcast anti-join
-                    hits = sent.join(F.broadcast(first.select("link")), "link", "left_semi")
-                    new = first.join(F.broadcast(hits), "link", "left_anti")
-                else:
-                    new = first.join(sent, "link", "left_anti")
-            new.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+            touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # at most SENT_BUCKETS
+            sent = _sent_links(spark, out_dir, batch_id, touched)
+            new = first if sent is None else first.join(sent, "link", "left_anti")
+            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/batch_id={batch_id}")
         finally:
             first.unpersist()
 
@@ -98,78 +96,68 @@ def dedup_within_watermark(stories: DataFrame, max_age: str = "24 hours") -> Dat
         .dropDuplicatesWithinWatermark(["link"])
 
 
+def write_parts(df: DataFrame, folder: str, order: str, parts: int = 3) -> None:
+    """``df`` as files that arrive one after the other, cut by ranges of
+    ``order``, so a stream over the folder has several micro-batches."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    for i in range(parts if lo is not None else 0):
+        a, b = lo + (hi + 1 - lo) * i // parts, lo + (hi + 1 - lo) * (i + 1) // parts
+        df.where((F.col(order) >= a) & (F.col(order) < b)).coalesce(1).write.mode("append").parquet(folder)
+
+
 # ---------------------------------------------------------------------------
 # T-3: stateful FIFO queue
 # ---------------------------------------------------------------------------
-class FifoProcessor(StatefulProcessor):
-    """Per queue: ``ptr = (head_chunk, head_off, next_chunk)`` and
-    ``chunks[c] = [enqueue seq, ...]`` - the stories a micro-batch left
-    pending, stored as one entry.  A pop reads the head chunk once, advances
-    ``head_off`` and deletes the chunk when it is used up; so a micro-batch
-    costs a few state calls per queue, not one per story.
-
-    Rows of one micro-batch are applied in ``seq`` order; a pop on an empty
-    queue is ignored.  Emits ``(queue_id, enq_seq, deq_seq)`` per effective pop.
+def stream_fifo(events: DataFrame, out_dir: str, ckpt: str) -> None:
+    """Run the FIFO over a stream of ``queue_id, seq, op`` (a queue's ``seq``
+    grows from batch to batch) into ``out_dir``: ``queue_id, enq_seq, deq_seq``
+    per effective pop.
+
+    The state is a table of pending stories per micro-batch.  Each micro-batch
+    puts what was pending in front of its own events and runs the batch
+    operator's chunked scan over both, so a hot queue is spread over many
+    tasks and no task or state value holds a whole queue.  Output and state
+    folders belong to the micro-batch, so a retry rewrites the same rows.
     """
+    from tessera.operators import fifo
+
+    spark = events.sparkSession
+    state = f"{ckpt}-pending"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ptr = handle.getValueState("ptr", "head_chunk long, head_off long, next_chunk long")
-        self.chunks = handle.getMapState("chunks", "chunk long", "seqs array<long>")
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        head_chunk, head_off, next_chunk = self.ptr.get() if self.ptr.exists() else (0, 0, 0)
-        cur = None          # the loaded head chunk
-        new, new_head = [], 0
-        out_e, out_d = [], []
-        for seq, op in zip(pdf["seq"].tolist(), pdf["op"].tolist()):
-            if op == "enqueue":
-                new.append(seq)
-                continue
-            if head_chunk < next_chunk:            # older stories first
-                if cur is None:
-                    cur = list(self.chunks.getValue((head_chunk,))[0])
-                enq = cur[head_off]
-                head_off += 1
-                if head_off == len(cur):
-                    self.chunks.removeKey((head_chunk,))
-                    head_chunk, head_off, cur = head_chunk + 1, 0, None
-            elif new_head < len(new):
-                enq = new[new_head]
-                new_head += 1
-            else:
-                continue                           # pop on an empty queue
-            out_e.append(enq)
-            out_d.append(seq)
-        if new_head < len(new):
-            self.chunks.updateValue((next_chunk,), (new[new_head:],))
-            next_chunk += 1
-        self.ptr.update((head_chunk, head_off, next_chunk))
-        if out_e:
-            yield pd.DataFrame({"queue_id": [key[0]] * len(out_e), "enq_seq": out_e, "deq_seq": out_d})
-
-    def close(self) -> None:
-        pass
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        log = batch.select("queue_id", "seq", "op")
+        if batch_id:
+            log = spark.read.parquet(f"{state}/batch_id={batch_id - 1}").unionByName(log)
+        pairs = fifo.fifo_pairs(log).persist()
+        try:
+            pairs.where("deq_seq IS NOT NULL").write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+            pairs.where("deq_seq IS NULL").select("queue_id", F.col("enq_seq").alias("seq"), F.lit(fifo.ENQUEUE).alias("op")) \
+                .write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        finally:
+            pairs.unpersist()
 
+    _run(events.writeStream.foreachBatch(per_batch), ckpt)
 
-def stream_fifo(events: DataFrame, out_dir: str, ckpt: str) -> None:
-    """Run the FIFO over a stream of ``queue_id, seq, op`` into ``out_dir``."""
-    spark = events.sparkSession
-    ship_package(spark)
-    # The state function's pre-initialisation runner does not see files
-    # added with addPyFile: ship the processor class by value instead (it
-    # only needs pandas and PySpark on the workers).
-    import sys
 
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    pairs = events.groupBy("queue_id").transformWithStateInPandas(
-        FifoProcessor(), "queue_id long, enq_seq long, deq_seq long", "Append", "None")
-    _run(pairs.writeStream.format("parquet").option("path", out_dir), ckpt)
+def stream_deliver(popped: DataFrame, send, out_dir: str, ckpt: str, key: str = "enq_seq") -> None:
+    """T-5: deliver every popped story of a stream with ``send(text)``; a story
+    whose delivery fails is put back: it appears in ``out_dir/requeued`` as a
+    new enqueue event, the others in ``out_dir/delivered``.  ``popped`` has
+    ``queue_id, enq_seq, deq_seq, payload``; one failure stops nothing, and a
+    retried micro-batch rewrites its own folders."""
+    from tessera.operators import fifo
+    from tessera.operators.complete import batch_complete
+    from tessera.session import materialize
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        sent = materialize(batch_complete(batch, key, "payload", send), "deliveries")  # each story is sent once
+        both = batch.join(sent, key)
+        both.where("error IS NULL").select("queue_id", "enq_seq", "deq_seq").write.mode("overwrite") \
+            .parquet(f"{out_dir}/delivered/batch_id={batch_id}")
+        both.where("error IS NOT NULL").select("queue_id", F.col("enq_seq").alias("story"), F.lit(fifo.ENQUEUE).alias("op")) \
+            .write.mode("overwrite").parquet(f"{out_dir}/requeued/batch_id={batch_id}")
+
+    _run(popped.writeStream.foreachBatch(per_batch), ckpt)
 
 
 def run_dirs(spark: SparkSession, purpose: str) -> tuple[str, str]:
@@ -185,22 +173,12 @@ def feed_stream(spark: SparkSession, folder: str, glob: str = "*.xml",
     ``pub_date_raw``, ``pub_ts``).  Items without title/link or with an
     unparsable date are dropped (F1, F2)."""
     from tessera.functions.dates import parse_rfc822
-    from tessera.functions.text import ustrip
     from tessera.operators.feeds import valid_items
-    from tessera.sources.files import CHANNEL
+    from tessera.sources.files import CHANNEL, feed_items
 
     r = (spark.readStream.format("xml").option("rowTag", "channel").schema(CHANNEL)
          .option("pathGlobFilter", glob))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    raw = r.load(folder).withColumn("feed", F.col("_metadata.file_path"))
-    items = raw.select("feed", F.coalesce(ustrip(F.col("title")), F.col("feed")).alias("source"),
-                       F.posexplode("item").alias("item_pos", "it"))
-    items = items.select(
-        "feed", "source", "item_pos",
-        F.coalesce(ustrip(F.col("it.title")), F.lit("")).alias("title"),
-        F.coalesce(ustrip(F.col("it.link")), F.lit("")).alias("link"),
-        F.coalesce(ustrip(F.col("it.description")), F.lit("")).alias("description"),
-        F.col("it.pubDate").alias("pub_date_raw"))
-    items = valid_items(items).withColumn("pub_ts", parse_rfc822(F.col("pub_date_raw")))
+    items = valid_items(feed_items(r.load(folder))).withColumn("pub_ts", parse_rfc822(F.col("pub_date_raw")))
     return items.filter(F.col("pub_ts").isNotNull())

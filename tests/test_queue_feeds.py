@@ -43,7 +43,7 @@ def test_depth_and_lookup(spark):
     df = spark.createDataFrame([(1, 1, "enqueue", None), (1, 2, "enqueue", None), (1, 3, "pop", None),
                                 (2, 4, "pop", None)], EV)
     d = {r.queue_id: (r.pending, r.popped, r.oldest_pending_seq)
-         for r in fifo.queue_depth(fifo.fifo_pairs(df)).collect()}
+         for r in fifo.queue_depth(df).collect()}
     assert d == {1: (1, 1, 2)}
     stories = spark.createDataFrame([("l1", "u1"), ("l2", None)], "link string, url string")
     probes = spark.createDataFrame([("u1",), ("l2",), ("zz",)], "probe string")
@@ -54,9 +54,8 @@ def test_depth_and_lookup(spark):
 def test_unsent_keeps_order_values_and_duplicates(spark):
     items = spark.createDataFrame([(1, " a "), (2, "b"), (3, "b"), (4, "c")], "pos long, link string")
     sent = spark.createDataFrame([("a",), ("  ",), ("c\n",)], "url string")
-    for small in (False, True):
-        got = [(r.pos, r.link) for r in feeds.unsent(items, sent, items_are_small=small).orderBy("pos").collect()]
-        assert got == [(2, "b"), (3, "b")]
+    got = [(r.pos, r.link) for r in feeds.unsent(items, sent).orderBy("pos").collect()]
+    assert got == [(2, "b"), (3, "b")]
     flags = {r.pos: r.is_sent for r in feeds.sent_flag(items, sent).collect()}
     assert flags == {1: True, 2: False, 3: False, 4: True}
 
@@ -70,7 +69,7 @@ def test_limit_before_filter_and_age(spark):
     assert sorted(r.item_pos for r in fresh.collect()) == [0, 2]
     first = feeds.first_n(fresh, 1)
     sent = spark.createDataFrame([("l0",)], "url string")
-    assert feeds.unsent(first, sent, items_are_small=True).count() == 0   # fewer than n remain
+    assert feeds.unsent(first, sent).count() == 0   # fewer than n remain
 
 
 def test_global_rank_and_previous(spark):
@@ -82,6 +81,35 @@ def test_global_rank_and_previous(spark):
     assert prev[names[0]] is None and all(prev[names[i]] == names[i - 1] for i in range(1, 500))
 
 
+def test_global_rank_of_many_wide_rows(spark):
+    """More rows than the range sample, with a payload that is written out."""
+    from tessera.session import shared_dir
+    n = 1_000_000
+    df = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("name"), F.col("id"),
+                               F.repeat(F.col("id").cast("string"), 5).alias("payload"))
+    path = shared_dir(spark, "rank-test")
+    global_rank(df, ["name"], 16).write.parquet(path)
+    out = spark.read.parquet(path)
+    assert out.select("rank").distinct().count() == n and out.agg(F.min("rank"), F.max("rank")).first() == (1, n)
+    by_name = out.select("rank", "name").sort("rank").select("name").collect()
+    assert all(a.name < b.name for a, b in zip(by_name, by_name[1:]))
+
+
+def test_queue_depth_without_pairs(spark):
+    import random
+    rnd = random.Random(4)
+    rows = [(q, q * 1000 + i, rnd.choice(["enqueue", "pop"])) for q in range(9) for i in range(60)] + [(77, 1, "pop")]
+    pairs = fifo.fifo_pairs(spark.createDataFrame(rows, "queue_id long, seq long, op string"), 16).collect()
+    want = {}
+    for r in pairs:
+        p, d, o = want.get(r.queue_id, (0, 0, None))
+        pending = r.deq_seq is None
+        want[r.queue_id] = (p + pending, d + (not pending), min(x for x in (o, r.enq_seq) if x is not None) if pending else o)
+    got = {r.queue_id: (r.pending, r.popped, r.oldest_pending_seq) for r in fifo.queue_depth(
+        spark.createDataFrame(rows, "queue_id long, seq long, op string"), 16).collect()}
+    assert got == want
+
+
 def test_validate_events_quarantine(spark):
     raw = spark.createDataFrame([(1, 1, "enqueue", None), (1, None, "pop", None), (2, 3, "peek", None)], EV)
     out = fifo.validate_events(raw)

@@ -58,23 +58,50 @@ def test_texts_sent_log_word_list(spark):
     assert got == [("hablar", "to speak"), ("Casa", "house - noun"), ("solo", None)]
 
 
-def test_hard_words_literal_and_table(spark):
-    docs = spark.createDataFrame([(1, "Además, la fuente dijo: los aliados, los aliados y además."),
-                                  (2, "Nada aquí. Medida busca protegerla.")], "doc_id long, text string")
-    got = {(r.doc_id, r.term): r.n for r in corpus.hard_words(docs).collect()}
-    assert got == {(1, "además"): 2, (1, "fuente"): 1, (1, "los aliados"): 2, (2, "medida busca protegerla"): 1}
-    words = spark.createDataFrame([(w,) for w in corpus.hard_word_list()], "term string")
-    got2 = {(r.doc_id, r.term): r.n for r in corpus.hard_words_table(docs, words).collect()}
-    assert got2 == got
+def _list(spark, words):
+    return spark.createDataFrame([(w,) for w in words], "term string")
 
 
-def test_compact_batches_limits_to_nine(spark):
-    sheets = spark.createDataFrame([(f"s{i:03d}", f"t{i}") for i in range(95)], "name string, text string")
+def test_hard_words_any_list_size_and_phrase_length(spark):
+    docs = spark.createDataFrame([(1, "Además, la fuente dijo: los aliados, los aliados y además."),
+                                  (2, "Nada aquí. Medida busca protegerla."), (3, None), (4, "a a a a b a a")],
+                                 "doc_id long, text string")
+    want = {(1, "además"): 2, (1, "fuente"): 1, (1, "los aliados"): 2, (2, "medida busca protegerla"): 1}
+    got = lambda words: {(r.doc_id, r.term): r.n for r in corpus.hard_words(docs, _list(spark, words)).collect()}
+    assert got(corpus.hard_word_list()) == want
+    assert got([*corpus.hard_word_list(), *(f"none{i}" for i in range(6000))]) == want  # same answer for a long list
+    assert got(["los  aliados", "LOS, aliados"]) == {(1, "los aliados"): 2}
+    assert got(["a a", "a a a a b a a", "a"]) == {(4, "a a"): 4, (4, "a a a a b a a"): 1, (4, "a"): 6}
+    assert got([]) == {} and got(["", " "]) == {}
+    nested = {(r.doc_id, r.term): r.n for r in corpus.hard_words(
+        docs, _list(spark, ["los", "los aliados", "aliados", "y además"])).collect()}
+    assert nested == {(1, "los"): 2, (1, "los aliados"): 2, (1, "aliados"): 2, (1, "y además"): 1}
+
+
+def test_glosses_follow_the_terms(spark):
+    docs = spark.createDataFrame([(1, "Los Aliados, y la FUENTE: fuentes.", 7), (2, "nada", 8), (3, None, 9)],
+                                 "doc_id long, text string, x int")
+    words = spark.createDataFrame([("los aliados", "the allies"), ("aliados", "allies"), ("fuente", "source - note"),
+                                   ("la", None), ("nada", " ")], "term string, gloss string")
+    got = {r.doc_id: r.text for r in corpus.gloss(docs, words).collect()}
+    assert got == {1: "Los Aliados ||(the allies)||, y la FUENTE ||(source - note)||: fuentes.", 2: "nada", 3: None}
+
+
+def test_compact_batches_takes_every_sheet(spark):
+    sheets = spark.createDataFrame([(f"s{i:03d}", f"t{i}") for i in range(195)], "name string, text string").repartition(3)
     out = corpus.compact_batches(sheets).orderBy("batch").collect()
-    assert [r.n_sheets for r in out] == [10] * 9
+    assert [r.n_sheets for r in out] == [10] * 19 + [5] and [r.batch for r in out] == list(range(1, 21))
     assert out[0].text.startswith("<s000>\nt0\n</>\n\n<s001>") and out[0].text.endswith(corpus.COMPACT_INSTRUCTION)
 
 
+def test_sections_in_one_row(spark):
+    docs = spark.createDataFrame([(1, "a\nb\n# T\nc\n## U \n# V"), (2, "# only"), (3, "plain"), (4, None), (5, "")],
+                                 "doc_id long, text string")
+    got = sorted(tuple(r) for r in corpus.sections(docs).collect())
+    assert got == [(1, -1, 0, "", 2), (1, 2, 1, "T", 2), (1, 4, 2, "U ", 1), (1, 5, 1, "V", 1), (2, 0, 1, "only", 1),
+                   (3, -1, 0, "", 1), (5, -1, 0, "", 1)]
+
+
 def test_batch_complete_errors_do_not_stop(spark):
     df = spark.createDataFrame([(i, "p" * i) for i in range(6)], "k long, prompt string")
 
@@ -112,12 +139,6 @@ def test_collection_tables_and_sinks(spark):
     assert [r.url for r in files.read_sent_log(spark, d + "/sent").collect()] == ["http://a"]
 
 
-def test_hard_words_overlapping_phrases(spark):
-    docs = spark.createDataFrame([(1, "Los aliados y los otros; los.")], "doc_id long, text string")
-    got = {r.term: r.n for r in corpus.hard_words(docs, words=["los", "los aliados", "aliados", "otros"]).collect()}
-    assert got == {"los": 3, "los aliados": 1, "aliados": 1, "otros": 1}
-
-
 def test_render_blocks_keep_order(spark):
     from tessera.operators import speech
     segs = spark.createDataFrame([(1, i, i * 1.0, i + 0.5, "SPEAKER_00" if i % 2 else None, f" t{i} ")
@@ -229,7 +250,7 @@ def test_speaker_assignment_matches_brute_force(spark):
     sdf = spark.createDataFrame(segs, "track long, seg_id long, start_us long, end_us long")
     tdf = spark.createDataFrame(turns, "track long, speaker string, start_us long, end_us long")
     want = brute()
-    for fn in (lambda: speech.assign_speakers(sdf, tdf, chunk_us=700),
+    for fn in (lambda: speech.assign_speakers(sdf, tdf, chunk_rows=16), lambda: speech.assign_speakers(sdf, tdf),
                lambda: speech.assign_speakers_binned(sdf, tdf, bin_us=250)):
         got = {r.seg_id: (r.speaker, r.overlap_us) for r in fn().collect()}
         assert got == want
@@ -246,3 +267,48 @@ def test_snapshot_fields_dict_semantics(spark):
     names, vals = ["a", "b", "a", "c"], ["1", "2", "3"]
     assert r.j == '{"a":"3","b":"2"}' == __import__("json").dumps(dict(zip(names, vals)), separators=(",", ":"))
     assert r.t == "a: 1\nb: 2\na: 3"
+
+
+def test_speakers_of_a_long_dense_track(spark):
+    """100,000 turns of one speaker with epoch microseconds: nothing overflows."""
+    import bisect
+    from pyspark.sql import functions as F
+    from tessera.operators import speech
+    base, n = 1_780_000_000_000_000, 100_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("track"), F.lit("A").alias("speaker"),
+                                  (F.lit(base) + F.col("id") * 1_000_000).alias("start_us"),
+                                  (F.lit(base) + F.col("id") * 1_000_000 + 400_000 + F.col("id") % 7).alias("end_us"))
+    segs = [(1, k, base + k * 37_000_123, base + k * 37_000_123 + 5_500_000 * (1 + k % 50)) for k in range(2500)]
+    segs += [(1, 9000, base - 10**12, base + 10**13), (1, 9001, 0, 5), (1, 9002, base, base), (2, 9003, base, base + 10)]
+    got = {r.seg_id: (r.speaker, r.overlap_us) for r in speech.assign_speakers(
+        spark.createDataFrame(segs, "track long, seg_id long, start_us long, end_us long"), turns).collect()}
+    s = [base + i * 1_000_000 for i in range(n)]
+    e = [x + 400_000 + i % 7 for i, x in enumerate(s)]
+    total = [0]
+    for a, b in zip(s, e):
+        total.append(total[-1] + b - a)
+    for track, k, lo, hi in segs:
+        i, j = bisect.bisect_right(e, lo), bisect.bisect_left(s, hi)
+        want = 0
+        if track == 1 and i < j and lo < hi:
+            want = total[j] - total[i] - max(0, lo - s[i]) - max(0, e[j - 1] - hi)
+        assert got[k] == (("A", want) if want else ("UNKNOWN", 0)), k
+
+
+def test_feed_order_on_encoded_paths(spark):
+    d = tempfile.mkdtemp(prefix="feeds with spaces + 100%25 é-")
+    paths = [_write(d, f"f {i}.xml", RSS.format(src=f"S{i}", t1=f"A{i}", t2="B")) for i in range(3)]
+    rows = files.read_feeds(spark, paths[::-1]).where("link <> ''").collect()
+    assert sorted((r.feed_pos, r.title) for r in rows) == [(0, "A2"), (1, "A1"), (2, "A0")]
+
+
+def test_session_keeps_submitted_values_and_wants_a_shared_folder(spark, monkeypatch):
+    from tessera import session
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("X", (), {"master": "yarn", "getCheckpointDir": staticmethod(lambda: None)})
+    import pytest
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere, "x")
+    monkeypatch.setenv("PYSPARK_SUBMIT_ARGS", "--master spark://h:7077 pyspark-shell")
+    assert session._submitted()
