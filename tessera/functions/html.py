@@ -83,7 +83,7 @@ def extract_body(html: Column) -> Column:
 def strip_markup(body: Column) -> Column:
     """E4 + E5 + space collapse: remove clutter and tags, decode entities."""
     h = body
-    h = F.regexp_replace(h, _IS + r"<(script|style|nav|footer|aside|form)[^>]*>.*?</\1>", "")
+    h = F.regexp_replace(h, _IS + rf"<({'|'.join(DROP_ELEMENTS)})[^>]*>.*?</\1>", "")
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", "")
     h = F.regexp_replace(h, _IS + r"<aside[^>]*>.*?</aside>", "")
     classes = "|".join(DROP_CLASSES)
@@ -109,36 +109,57 @@ def _is_noise(t: Column) -> Column:
             | (t == F.lit("")))
 
 
-def _state(mr: Column, pod: Column, out: Column) -> Column:
-    return F.struct(mr.alias("mr"), pod.alias("pod"), out.alias("out"))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once (lambda bodies re-run what they mention)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _step(s: Column, t: Column) -> Column:
-    """One line of the block-skip loop.  The most-read check runs first on
-    every line; the podcast check only sees lines the first block let through."""
-    mr_open = t.contains(MOST_READ_OPEN) & ~t.contains(MOST_READ_CLOSE)
-    return (F.when(mr_open, _state(F.lit(True), s["pod"], s["out"]))
-            .when(s["mr"], _state(~t.contains(MOST_READ_CLOSE), s["pod"], s["out"]))
-            .when(t.contains(PODCAST_OPEN), _state(s["mr"], F.lit(True), s["out"]))
-            .when(s["pod"], _state(s["mr"], ~t.contains(PODCAST_CLOSE), s["out"]))
-            .when(_is_noise(t), s)
-            .otherwise(_state(s["mr"], s["pod"], F.concat(s["out"], F.array(t)))))
+def _blocks(lines: Column, opens, closes) -> Column:
+    """Blocks of a line array (structs ``i``, ``t``) as (first, last) line numbers.
+
+    Only marker lines are folded.  A block runs from an opening line to the
+    next closing line, both included, or to the end."""
+    block = "array<struct<a:int,b:int>>"
+    state = f"struct<open:int,out:{block}>"
+    start = F.struct(F.lit(None).cast("int").alias("open"), F.array().cast(block).alias("out")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        shut = F.struct(F.lit(None).cast("int").alias("open"), F.concat(s["out"], F.array(
+            F.struct(s["open"].alias("a"), x["i"].alias("b")))).alias("out")).cast(state)
+        begin = F.struct(x["i"].alias("open"), s["out"].alias("out")).cast(state)
+        return F.when(s["open"].isNull() & opens(x["t"]), begin).when(s["open"].isNotNull() & closes(x["t"]), shut).otherwise(s)
+
+    def finish(s: Column) -> Column:
+        return F.when(s["open"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(
+            F.struct(s["open"].alias("a"), F.lit(2 ** 31 - 1).alias("b")))))
+
+    marks = F.filter(lines, lambda x: opens(x["t"]) | closes(x["t"]))
+    return F.aggregate(marks, start, step, finish)
+
+
+def _outside(lines: Column, opens, closes) -> Column:
+    """The lines that are in no block."""
+    return _let(_blocks(lines, opens, closes), lambda found: F.filter(
+        lines, lambda x: ~F.exists(found, lambda k: (x["i"] >= k["a"]) & (x["i"] <= k["b"]))))
 
 
 def clean_lines(text: Column) -> Column:
-    """E6 + W3 + E7 + F8: split into lines, strip each, run the block-skip /
-    noise fold and return the kept lines (array<string>).
+    """E6 + W3 + E7 + F8: split into lines, strip each, leave out the two kinds
+    of blocks and noise, and return the kept lines (array<string>).
 
-    The fold is a per-row ``aggregate`` over the lines of one text, so it is
-    bounded by the size of a single page and never shuffles.
+    The most-read blocks are found first; the podcast blocks only see the
+    lines those let through.  Everything stays inside the row of one text.
     """
     stripped = F.transform(splitlines(text), ustrip)
-    init = _state(F.lit(False), F.lit(False), F.array().cast("array<string>"))
-    fold = F.aggregate(stripped, init, _step, lambda s: s["out"])
-    # Both block states can only switch on at an opening marker, so a text
-    # without one needs just the noise filter (exactly the same result).
+    numbered = F.transform(stripped, lambda t, i: F.struct(i.alias("i"), t.alias("t")))
+    first = _let(numbered, lambda lines: _outside(
+        lines, lambda t: t.contains(MOST_READ_OPEN) & ~t.contains(MOST_READ_CLOSE), lambda t: t.contains(MOST_READ_CLOSE)))
+    second = _let(first, lambda lines: _outside(
+        lines, lambda t: t.contains(PODCAST_OPEN), lambda t: t.contains(PODCAST_CLOSE) & ~t.contains(PODCAST_OPEN)))
+    skipped = F.transform(second, lambda x: x["t"])
+    # a text without an opening marker has no block
     has_marker = text.contains(MOST_READ_OPEN) | text.contains(PODCAST_OPEN)
-    return F.when(has_marker, fold).otherwise(F.filter(stripped, lambda t: ~_is_noise(t)))
+    return F.filter(F.when(has_marker, skipped).otherwise(stripped), lambda t: ~_is_noise(t))
 
 
 def html_to_text(body: Column) -> Column:

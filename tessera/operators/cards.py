@@ -226,16 +226,33 @@ def merge_cards(cards: DataFrame, materialize_join: bool = True) -> dict[str, Da
             .otherwise(F.col(n)).alias(n)
             for n in folds]), "key")
 
-    firsts_only = [n for n, k in kinds.items() if k == "first"]
-    conflicts = ok_later.select(
+    conflicts = _conflicts(ok_later, [n for n, k in kinds.items() if k == "first"])
+    rejected = later.filter(~F.col("accepted")).select("key", *ORDER)
+    return {"merged": out, "conflicts": conflicts, "rejected": rejected}
+
+
+def _conflicts(ok_later: DataFrame, fields: list[str]) -> DataFrame | None:
+    if not fields:
+        return None
+    return ok_later.select(
         "key", *ORDER,
         F.explode(F.filter(
             F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"f.{n}").alias("kept"),
-                               F.col(n).alias("other")) for n in firsts_only]),
+                               F.col(n).alias("other")) for n in fields]),
             lambda s: s["kept"].isNotNull() & (F.lower(s["kept"]) != F.lower(s["other"])))).alias("c")
-    ).select("key", *ORDER, "c.field", "c.kept", "c.other") if firsts_only else None
-    rejected = later.filter(~F.col("accepted")).select("key", *ORDER)
-    return {"merged": out, "conflicts": conflicts, "rejected": rejected}
+    ).select("key", *ORDER, "c.field", "c.kept", "c.other")
+
+
+def card_conflicts(cards: DataFrame) -> DataFrame | None:
+    """A3 on its own: what ``merge_cards`` gives as ``conflicts``, from one
+    narrow join.  Of the fields that cannot conflict only their presence is
+    carried (a card without a field that the first card has is rejected)."""
+    cards = with_key(cards)
+    kinds = field_kinds(cards)
+    fields = [n for n, k in kinds.items() if k == "first"]
+    narrow = cards.select("key", *ORDER, *fields, *[
+        F.when(F.col(n).isNotNull(), F.lit("")).alias(n) for n, k in kinds.items() if k not in ("first", "unsupported")])
+    return _conflicts(later_cards(narrow, first_cards(narrow)).filter("accepted"), fields)
 
 
 def merge_totals(cards: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ WHERE (k.file, k.idx) <> f.o AND lower(k.tag) <> lower(f.kept)
 GROUP BY f.key""")
 def card_conflicts(spark, sf_dir):
     """A3: conflicting non-sentence fields per key (original value kept)."""
-    c = C.merge_cards(cards_view(spark, sf_dir))["conflicts"]
+    c = C.card_conflicts(cards_view(spark, sf_dir))
     return c.groupBy("key", "field").agg(F.count(F.lit(1)).alias("n_conflicts"),
                                          F.min("file").alias("first_file"))
 

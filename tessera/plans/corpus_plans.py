@@ -99,7 +99,12 @@ def doc_dedup(spark, sf_dir):
     return corpus.doc_dedup(Tables(spark, sf_dir).documents)
 
 
-@query("sections", oracle=f"""WITH {_LINES},
+_HEADED = ("array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE (doc_id + i) % 4 WHEN 0 "
+           "THEN repeat('#', (1 + i % 3)::INTEGER) || ' ' || l ELSE l END), chr(10))")
+
+
+@query("sections", oracle=f"""WITH l AS (SELECT doc_id, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS line
+  FROM (SELECT doc_id, string_split({_HEADED}, chr(10)) AS arr FROM documents)),
 h AS (SELECT *, regexp_matches(line, '^(#+)\\s+(.*)$') AS is_h FROM l),
 s AS (SELECT *, coalesce(last_value(CASE WHEN is_h THEN pos END IGNORE NULLS)
         OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS sec FROM h)
@@ -109,8 +114,11 @@ SELECT doc_id, sec AS start_line,
   count(*) AS n_lines
 FROM s GROUP BY doc_id, sec""")
 def sections(spark, sf_dir):
-    """Markdown sections of each document."""
-    return corpus.sections(Tables(spark, sf_dir).documents)
+    """Markdown sections of each document (every fourth line is made a heading)."""
+    d = Tables(spark, sf_dir).documents
+    headed = F.transform(F.split("text", "\n"), lambda x, i: F.when((F.col("doc_id") + i + 1) % 4 == 0, F.concat(
+        F.repeat(F.lit("#"), (F.lit(1) + (i + 1) % 3).cast("int")), F.lit(" "), x)).otherwise(x))
+    return corpus.sections(d.select("doc_id", F.array_join(headed, "\n").alias("text")))
 
 
 def transcript_files(spark, sf_dir):

@@ -120,11 +120,14 @@ def materialize(df, purpose: str):
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
+    for seen in ON_MATERIALIZE:
+        seen(df)
     df.write.mode("overwrite").parquet(path)
     _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+ON_MATERIALIZE: list = []  # called with every DataFrame that ``materialize`` writes (plan report)
 _WRITTEN: list[str] = []  # folders written by ``materialize`` in this process
 
 

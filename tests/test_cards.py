@@ -116,3 +116,15 @@ def test_fold_block_path_many_files(spark):
         want = _py_fold([v for _, v in sorted(items)])
         r = m[f"spanish_to_target|{k}||"]
         assert r.example_sentence_es == want and r.notes == want
+
+
+def test_conflicts_alone_equal_those_of_the_merge(spark):
+    import random
+    rnd = random.Random(8)
+    pick = lambda *v: rnd.choice(v)
+    rows = [(f"f{rnd.randrange(3)}", i, "spanish_to_target", pick("a", "b"), pick("x", "X", "y", None), pick(["p"], None),
+             pick("s1", None), pick("A1", None)) for i in range(120)]
+    cards = spark.createDataFrame(rows, "file string, idx long, direction string, cue_spanish string, tag string, "
+                                  "words array<string>, sentence string, mandatory_level string")
+    both = [sorted(map(str, f.collect())) for f in (C.merge_cards(cards)["conflicts"], C.card_conflicts(cards))]
+    assert both[0] == both[1] and both[0]
