@@ -178,6 +178,14 @@ def test_every_operator_has_one_query():
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_match_their_sql(spark, name):
+    from tessera.plans.compare import compare, duck_connect
+
+    r = compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], SF, duck_connect(SF))
+    assert r["status"] == "match", r
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_table(spark, name):
     out = queries.QUERIES[name](spark, SF)
