@@ -123,7 +123,7 @@ def materialize(df, purpose: str):
     for seen in ON_MATERIALIZE:
         seen(df)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
+    track(path)
     return spark.read.parquet(path)
 
 
@@ -131,6 +131,11 @@ ON_MATERIALIZE: list = []  # called with every DataFrame that ``materialize`` wr
 _WRITTEN: list[str] = []  # folders written by ``materialize`` in this process
 
 
+def track(path: str) -> None:
+    """Count a folder among what ``drop_materialized`` deletes."""
+    _WRITTEN.append(path)
+
+
 def drop_materialized(spark: SparkSession) -> int:
     """Delete the intermediates this process wrote with ``materialize``.
 
