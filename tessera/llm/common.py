@@ -12,15 +12,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, shared_dir, ship_package  # noqa: F401  (re-exported)
+from tessera.session import materialize, shared_dir, ship_package, track  # noqa: F401  (re-exported)
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20  # text handled at once by the Arrow-side operators
-CACHE_WORDS = 1 << 20  # a word cache is emptied beyond this many entries
+CACHE_WORDS = 1 << 18  # a word cache is emptied beyond this many entries (some 50 MB)
 
 
 def text_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -84,9 +84,22 @@ def rolling(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray
         return mix64(acc)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the workers and keep the session's Arrow batches
+    small: texts are large, and a batch is held by Spark and by the worker."""
+    ship_package(spark)
+    now = spark.conf.get(_BATCH, "64m").removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with the package shipped and batches kept small."""
+    prepare(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
@@ -113,4 +126,5 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``materialize`` with zstd: for intermediates that hold tokens or hashes."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
+    track(path)
     return df.sparkSession.read.parquet(path)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialize, ship_package, text_bytes
+from tessera.llm.common import arrow_map, materialize, prepare, text_bytes
 from tessera.llm.components import connected_components
 
 SHINGLE = 4
@@ -222,7 +222,7 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fp, component_id) of every row; ``component_id`` is the smallest id of the group."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")),
                        "simhash-rows")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialize, neutral, ship_package
+from tessera.llm.common import arrow_map, materialize, neutral, prepare
 from tessera.llm.url_filter import host_of
 
 MIN_PAGES = 5
@@ -188,7 +188,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, main_path, template_texts): one row per host."""
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col, html_col).alias("page"), F.col(html_col).alias("html"))
     tokens = arrow_map(rows, _tokens, "host string, page long, path string, text_key long, n long, words long")
     seen = materialize(

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_WORDS, arrow_map, mix64, rolling, ship_package, text_bytes
+from tessera.llm.common import CACHE_WORDS, arrow_map, mix64, prepare, rolling, text_bytes
 
 BITS = 18
 MAX_ROWS = 8192
@@ -46,24 +46,43 @@ def shape(word: str) -> str:
     return _SHAPE.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
-class _Hashes(dict):
-    """word bytes -> (hash of the lower-cased word, hash of its shape)."""
+class _Words(dict):
+    """word bytes -> hash of the lower-cased word."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= CACHE_WORDS // 2:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
             self.clear()
-        got = self[word] = (xxhash.xxh64_intdigest(word.lower(), 1),
-                            xxhash.xxh64_intdigest(shape(word.decode("utf-8", "replace")), 2))
+        got = self[word] = xxhash.xxh64_intdigest(word.lower(), 1)
         return got
 
 
+class _Shapes(dict):
+    """word bytes -> hash of the word's shape (one object per shape)."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+            self.known.clear()
+        form = shape(word.decode("utf-8", "replace"))
+        got = self[word] = self.known.setdefault(form, xxhash.xxh64_intdigest(form, 2))
+        return got
+
+
+class _Hashes:
+    def __init__(self):
+        self.words, self.shapes = _Words(), _Shapes()
+
+
 def features(text: bytes, cache: _Hashes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, values) of the features of a text; number 0 is the bias."""
     words = text.split()
     if not words:
         return np.zeros(1, np.int32), np.ones(1, np.float32)
-    h = np.array([cache[w] for w in words], np.uint64)
-    word, form = h[:, 0].copy(), h[:, 1].copy()
+    word = np.fromiter(map(cache.words.__getitem__, words), np.uint64, len(words))
+    form = np.fromiter(map(cache.shapes.__getitem__, words), np.uint64, len(words))
     pairs = rolling(word, 2)
     pairs[word[1:] == word[:-1]] = _TWICE
     grams = np.concatenate([mix64(word), mix64(form), pairs, rolling(form, 2)])
@@ -121,9 +140,9 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 def score_column(text: Column, weights: np.ndarray) -> Column:
     """Score (0 to 1) of a text under the weights."""
     bits = int(np.log2(len(weights)))
+    cache = _Hashes()  # each task gets its own copy and keeps it from batch to batch
 
     def run(col: pa.Array) -> pa.Array:
-        cache = _Hashes()
         dots = []
         for t in text_bytes(col):
             f, x = features(t, cache, bits)
@@ -134,6 +153,6 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` plus ``score`` and ``predicted`` (1 from ``threshold`` on)."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return (docs.withColumn("score", score_column(F.col(text_col), weights))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_WORDS, neutral, rolling, ship_package, text_bytes
+from tessera.llm.common import CACHE_WORDS, neutral, prepare, rolling, text_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words",
             "n_plain_words")
@@ -61,17 +61,19 @@ def mask(policy: str) -> int:
 
 
 class _Words(dict):
-    """word bytes -> (hash, has letters only at its core, shouted), once per distinct word."""
+    """word bytes -> its hash with two flag bits, once per distinct word.
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int]:
+    Bit 0: shouted (two capitals or more and no small letter); bit 1: mostly letters.
+    """
+
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
         s = word.decode("utf-8", "replace")
         upper = sum(c.isupper() for c in s)
-        letters = sum(c.isalpha() for c in s)
-        # shouted: two capitals or more and no small letter
-        got = self[word] = (xxhash.xxh64_intdigest(word), int(2 * letters > len(s)),
-                            int(upper > 1 and upper == sum(c.isupper() or c.islower() for c in s)))
+        shouted = upper > 1 and not any(c.islower() for c in s)
+        plain = 2 * sum(c.isalpha() for c in s) > len(s)
+        got = self[word] = xxhash.xxh64_intdigest(word) & ~3 | plain << 1 | shouted
         return got
 
 
@@ -80,8 +82,8 @@ def _measure(text: bytes, cache: _Words) -> tuple[int, ...]:
     points = int(hist.sum() - hist[0x80:0xC0].sum())
     words = text.split()
     n = len(words)
-    facts = np.array([cache[w] for w in words], np.uint64).reshape(n, 3)
-    tri = rolling(facts[:, 0].copy(), 3)
+    facts = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
+    tri = rolling(facts, 3)
     repeated = 0
     if len(tri) > 1:
         _, back, counts = np.unique(tri, return_inverse=True, return_counts=True)
@@ -93,25 +95,25 @@ def _measure(text: bytes, cache: _Words) -> tuple[int, ...]:
             repeated = int(covered.sum())
     lines = [x for x in text.split(b"\n") if x.split(None, 1)]
     return (n, points - int(hist[_SPACES].sum()), int(hist[_SYMBOLS].sum()), len(lines), len(lines) - len(set(lines)),
-            repeated, int(facts[:, 2].sum()), int(facts[:, 1].sum()))
-
-
-def _measure_arrays(col: pa.Array) -> pa.Array:
-    cache = _Words()
-    rows = [_measure(t, cache) for t in text_bytes(col)]
-    cols = list(zip(*rows)) or [()] * len(MEASURES)
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(MEASURES))
+            repeated, int((facts & np.uint64(1)).sum()), int((facts >> np.uint64(1) & np.uint64(1)).sum()))
 
 
 def measure(text: Column) -> Column:
     """The measurements of a text as one struct (Arrow batches, one pass)."""
+    cache = _Words()  # each task gets its own copy and keeps it from batch to batch
+
+    def run(col: pa.Array) -> pa.Array:
+        rows = [_measure(t, cache) for t in text_bytes(col)]
+        cols = list(zip(*rows)) or [()] * len(MEASURES)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(MEASURES))
+
     # nondeterministic: the optimizer must not evaluate it again above a filter
-    return F.arrow_udf(_measure_arrays, _TYPE).asNondeterministic()(text)
+    return F.arrow_udf(run, _TYPE).asNondeterministic()(text)
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``measures`` (struct) and ``fail_bits`` (bigint)."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     out = docs.withColumn("measures", measure(F.col(text_col)))
     bits = sum((F.when(failed, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
                 for i, (_, failed) in enumerate(_rules(F.col("measures")))), F.lit(0).cast("long"))

@@ -9,7 +9,7 @@ rolling 7-word window is a probe, and a repeated passage cannot hide from
 both.  Around a hit the 13-word windows are compared exactly (96-bit hashes),
 and the covered words merge into maximal repeats.
 
-Steps, all keyed by *chunk* (a run of about 8 MB of texts from one task):
+Steps, all keyed by *chunk* (a run of about 4 MB of texts from one task):
 
 1. Documents are written once, bucketed by chunk, so later passes over the
    texts meet their hits without shuffling a text again.
@@ -45,11 +45,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, arrow_map, materialize, neutral, rolling, shared_dir, slices, text_bytes, written
+from tessera.llm.common import WordHashes, arrow_map, materialize, neutral, rolling, shared_dir, slices, text_bytes, track, written
 
 WINDOW = 13
-CHUNK = 8 << 20  # bytes of text in a chunk
-RANGE_WORDS = 2 << 20  # words per hash range
+CHUNK = 4 << 20  # bytes of text in a chunk
+RANGE_WORDS = 1 << 20  # words per hash range
 _LOW = 38  # hash bits kept inside a range
 _COPY, _ANCHOR, _SMALLER = 0, 1, 2  # kinds of what a chunk is told
 _SIDE = "_chunk long, kind int, at int, data binary"
@@ -102,6 +102,7 @@ def _write_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (rows.write.format("parquet").option("compression", "zstd").option("path", path)
      .bucketBy(n, "_chunk").saveAsTable(name))
+    track(path)
     return spark.table(name)
 
 
@@ -111,10 +112,10 @@ class _Chunk:
     """Word hashes of the compared documents of a chunk, end to end."""
 
     def __init__(self, texts: list[bytes], ids: list[int | None], skip: np.ndarray, seen: WordHashes):
-        self.words = [t.split() if use else [] for t, use in zip(texts, ~skip)]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        hashed = [seen.of(t.split()) if use else np.empty(0, np.uint64) for t, use in zip(texts, ~skip)]
+        self.sizes = np.array([len(h) for h in hashed], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.hashes = np.concatenate([seen.of(w) for w in self.words] or [np.empty(0, np.uint64)])
+        self.hashes = np.concatenate(hashed or [np.empty(0, np.uint64)])
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.ids = np.array([0 if i is None else i for i in ids], np.int64)
         place = np.arange(len(self.hashes)) - self.starts[self.doc]
@@ -305,7 +306,7 @@ def _cut(text_col: str, window: int, ranges: int, schema: pa.Schema, columns: li
                 spans.append([{"start": 0, "len": sizes[d]}])
             elif gone.any():
                 removed.append(int(gone.sum()))
-                kept.append(b" ".join([w for w, g in zip(chunk.words[d], gone.tolist()) if not g]))
+                kept.append(b" ".join([w for w, g in zip(texts[d].split(), gone.tolist()) if not g]))
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                 spans.append([{"start": int(a), "len": int(b - a)} for a, b in zip(edge[::2], edge[1::2])])
             else:
