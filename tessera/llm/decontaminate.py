@@ -44,12 +44,13 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION, ANSWER = 0.6, 0.6
 SHINGLE = 5
-BLOCK = 16
+BLOCK = 4
 STEP = 64
 PART_BYTES = 8 << 20
 
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
+_ASCII_EDGE = _EDGE.encode("ascii", "ignore")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -134,7 +135,8 @@ class _TermNumbers(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        folded = fold(word.decode("utf-8", "replace"))
+        # in ASCII, lower case is all there is to folding
+        folded = word.lower().strip(_ASCII_EDGE).decode() if word.isascii() else fold(word.decode("utf-8", "replace"))
         n = self[word] = self.terms.get(folded, -1) if folded else -2
         return n
 
