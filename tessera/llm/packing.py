@@ -7,8 +7,10 @@ two cuts the stream every ``length`` ids; each piece is a boundary record that
 tells its window, its place there and whether the document goes on before or
 after it.  Only the very last window is not full.
 
-The tokenizer works inside white space, so ids are looked up by word and a
-word is tokenized once per worker (a bounded cache).
+The tokenizer (lower case; white space dropped; letters, digits and
+punctuation apart) works inside white space, so ids are looked up by word, and
+what is new is tokenized by its core and edges, once per worker (a bounded
+cache).  Only tokenizers of that kind fit; ``check`` tells.
 
 Null and empty texts have only the end mark.  Repeated rows are packed again;
 an empty table gives no pieces; texts of any length are cut as often as
@@ -20,19 +22,25 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_WORDS, arrow_map, partition_starts, slices, text_bytes, written
+from tessera.llm.common import arrow_map, partition_starts, slices, text_bytes, written
 
 LENGTH = 4096
 END_ID = 2
-_RUNS = regex.compile(r"<\||\|>|\p{L}+|[^\p{L}]+")
+CACHE_WORDS = 1 << 18  # whole words kept: cheap to put together again from their parts
+CACHE_PARTS = 1 << 20  # parts kept: dear to tokenize anew
+
+
+_MARK = b"\x01"  # stands between words that are tokenized together
+_EDGE = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # split from letters and digits by the tokenizer
+_TOGETHER, _AT_ONCE = 128, 64  # words in one string, strings in one call
 
 
 class WordIds(dict):
@@ -44,18 +52,75 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
+        # a word's ids do not depend on its neighbours, so words go through in
+        # strings of many, cut again at the id of a mark that is a word of its own
+        mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.check()
+
+        self.parts: dict[bytes, bytes] = {}  # of cores and edges of words
+
+    def check(self) -> None:
+        """Raise when the tokenizer does not work word by word and in lower case."""
+        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        for text in ("Ab cd", "(Abc), \u00e9t\u00e9. x--12;", "a\n\tB %%c"):
+            apart = [i for w in text.split() for p in _pieces(w.encode()) if p for i in whole(p.decode())]
+            if whole(text) != apart:
+                raise ValueError("this tokenizer does not split at white space and punctuation or keeps case")
+
+    def tokenize(self, words: list[bytes]) -> None:
+        """Put the ids of some cores, edges or whole words into ``parts``."""
+        joined = [words[i:i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        between, width = b" " + _MARK + b" ", self.dtype.itemsize
+        for i in range(0, len(joined), _AT_ONCE):
+            part = joined[i:i + _AT_ONCE]
+            texts = [between.join(ws).decode("utf-8", "replace") for ws in part]
+            for ws, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                cuts = (np.flatnonzero(ids == self.mark) * width).tolist()
+                data, begin = ids.tobytes(), 0
+                for w, end in zip(ws, [*cuts, len(data)], strict=True):
+                    self.parts[w] = data[begin:end]
+                    begin = end + width
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
+        cut = {w: _pieces(w) for w in words}
+        plain = {p for w, pieces in cut.items() if pieces for p in pieces if p and p not in self.parts}
+        if len(self.parts) + len(plain) > CACHE_PARTS:
+            self.parts.clear()
+            plain = {p for pieces in cut.values() if pieces for p in pieces if p}
+        if self.mark is not None:
+            self.tokenize(list(plain))
+        for w, pieces in cut.items():
+            if pieces and self.mark is not None:
+                self[w] = b"".join([self.parts[p] for p in pieces if p])
+            else:
+                ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+                self[w] = np.array(ids, self.dtype).tobytes()
+
+    def of_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of every text."""
+        words = [t.split() for t in texts]
+        new = {w for ws in words for w in ws if w not in self}
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-            new = list(words)
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded):
-            self[w] = np.array(e.ids, self.dtype).tobytes()
+            new = {w for ws in words for w in ws}
+        self.learn(new)
+        return [b"".join(map(self.__getitem__, ws)) for ws in words]
+
 
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+def _pieces(word: bytes) -> tuple[bytes, bytes, bytes] | None:
+    """Punctuation before, core with A-Z lower-cased, punctuation after; None
+    where a word must be tokenized as it is (contractions, special tokens, the mark)."""
+    if b"'" in word or b"<|" in word or _MARK in word:
+        return None
+    core = word.strip(_EDGE)
+    if core and not core.isalnum():  # bytes: not all ASCII
+        text = normalize("NFC", core.decode("utf-8", "replace")).lower()
+        if not (text[0].isalnum() and text[-1].isalnum()):
+            return None  # e.g. a combining mark, which belongs to the punctuation beside it
+    at = word.find(core) if core else len(word)
+    return word[:at], core.lower(), word[at + len(core):]
 
 
 @lru_cache(1)
@@ -70,8 +135,7 @@ def _tokenize(path: str, end_id: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = text_bytes(part.column("text"))
-                ids.learn({w for t in texts for w in t.split()})
-                tokens = [ids.of(t) + end for t in texts]
+                tokens = [t + end for t in ids.of_all(texts)]
                 counts = np.array([len(t) // ids.dtype.itemsize for t in tokens], np.int64)
                 ends = before + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(

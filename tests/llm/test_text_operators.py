@@ -237,6 +237,24 @@ def test_pieces_rebuild_every_document(docs, rows, empty):
     assert packing.pack(empty, TOKENS).count() == 0
 
 
+def test_word_ids_equal_the_tokenizer_on_odd_texts(monkeypatch):
+    ids = packing.WordIds(TOKENS)
+    rng = random.Random(1)
+    odd = "abAB.,'\u2019!%e\u0301\u00c9\u00df\u03a3\u03c21\u0663\u00b2\u4e2d \u00a0\u3000<|>\x01\x85-_`$\u0130\u0131\u01c5\u0345\u0958\u2126"
+    texts = ["".join(rng.choices(odd, k=rng.randint(1, 14))) + rng.choice(["", "", "<|endoftext|>", "<|ENDOFTEXT|>"]) for _ in range(6000)]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 900)  # the caches are emptied on the way
+    monkeypatch.setattr(packing, "CACHE_PARTS", 700)
+    for k in range(0, len(texts), 100):
+        got = ids.of_all([t.encode() for t in texts[k:k + 100]])
+        for t, g in zip(texts[k:k + 100], got):
+            assert np.frombuffer(g, ids.dtype).tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_a_tokenizer_of_another_kind_is_refused():
+    with pytest.raises(ValueError, match="white space"):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # ---- classifier ----
 
 def test_classifier_learns_and_scores_everything(spark, empty):
@@ -279,7 +297,7 @@ def brute_cut(rows, n=13):
 @pytest.mark.parametrize("chunk", [substring_dedup.CHUNK, 2000])
 def test_substring_dedup_matches_brute_force(docs, rows, empty, chunk, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(substring_dedup, "RANGE_WORDS", 3000 if chunk == 2000 else 2 << 20)
+    monkeypatch.setattr(substring_dedup, "RANGE_WORDS", 3000 if chunk == 2000 else 1 << 20)
     cut = substring_dedup.remove_repeats(docs)
     assert cut.columns == [c for c in docs.columns if c != "n_words"] + ["n_words", "n_removed", "kept_text", "removed_spans"]
     got = cut.collect()
