@@ -14,8 +14,9 @@ looked up for all passages at once; a (passage, block) pair is scored in full
 only when its bound reaches the threshold.  Nothing above the threshold is
 missed.
 
-A hit is verified against the passage: the share of the question's 5-word
-shingles and of the answer's words that it holds.  An item's answer is its
+Every passage that reaches the threshold is verified: the share of the question's
+5-word shingles and of the answer's words that it holds; the best of those that
+pass is reported.  An item's answer is its
 last sentence, its question what stands before (a single sentence is both).
 
 Words are compared with case folded and without punctuation at either end.
@@ -142,7 +143,7 @@ class _TermNumbers(dict):
 
 
 def _hits(texts: list[bytes], index: Index, numbers: _TermNumbers, step: int) -> Iterator[tuple]:
-    """(row, item position, score, question share, answer share, first word) of verified hits, best passage each."""
+    """(row, item position, score, question share, answer share, first word) of verified hits, best verified passage each."""
     docs = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in (t.split() for t in texts)]
     docs = [d[d != -2] for d in docs]
     sizes = np.array([len(d) for d in docs])
@@ -184,12 +185,13 @@ def _hits(texts: list[bytes], index: Index, numbers: _TermNumbers, step: int) ->
                 grams[size] = set(zip(*(passage[i:] for i in range(size))))
             q = len(index.shingles[k] & grams[size]) / len(index.shingles[k])
             a = sum(x in held_terms for x in index.answers[k]) / len(index.answers[k])
+            if q < QUESTION or a < ANSWER:
+                continue
             old = best.get((d, k))
             if old is None or (q, a, score) > old[:3]:
                 best[d, k] = (q, a, score, first)
     for (d, k), (q, a, score, first) in sorted(best.items()):
-        if q >= QUESTION and a >= ANSWER:
-            yield d, k, score, q, a, first
+        yield d, k, score, q, a, first
 
 
 _HIT = "id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"

@@ -370,3 +370,23 @@ def test_block_max_pruning_misses_nothing_above_the_threshold():
             held = {index.terms.get(x) for x in w[s:s + 128]}
             want |= {(d, k) for k, imp in enumerate(index.impacts) if sum(v for x, v in imp.items() if x in held) >= 0.3}
     assert got == want and want
+
+
+def _found(texts, items):
+    index = decontaminate.Index(items)
+    found = decontaminate._hits([t.encode() for t in texts], index, decontaminate._TermNumbers(index.terms), decontaminate.STEP)
+    return [(d, index.ids[k], round(q, 2), round(a, 2), first) for d, k, _, q, a, first in found]
+
+
+def test_every_retrieved_passage_is_verified_not_only_the_one_that_holds_most_of_the_question():
+    question, answer = [f"q{i}" for i in range(24)], [f"a{i}" for i in range(8)]
+    items = [(1, " ".join(question) + ". " + " ".join(answer) + ".")]
+    items += [(2 + i, " ".join(f"z{i}x{j}" for j in range(30)) + ".") for i in range(20)]
+    filler = lambda n: [f"f{i}" for i in range(n)]
+    quoted = question + filler(300)  # the question alone
+    near = question[:21] + ["other"] + question[22:] + answer  # near copy of the whole item
+    assert [x[:2] for x in _found([" ".join(quoted)], items)] == []
+    (hit,) = _found([" ".join(quoted + near + filler(90))], items)
+    assert hit[:2] == (0, 1) and hit[2] < 1 and hit[3] == 1 and hit[4] >= 256
+    (hit,) = _found([" ".join(filler(10) + question + filler(90) + answer[:3] + filler(20) + question[4:] + answer)], items)
+    assert hit[:2] == (0, 1) and hit[3] == 1
