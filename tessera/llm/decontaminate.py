@@ -19,7 +19,8 @@ Every passage that reaches the threshold is verified: the share of the question'
 pass is reported.  An item's answer is its
 last sentence, its question what stands before (a single sentence is both).
 
-Words are compared with case folded and without punctuation at either end.
+Words are cut at Unicode white space (no-break and thin spaces too) in items and
+documents, and compared with case folded and without punctuation at either end.
 Null and empty texts have no passage; items without words are skipped;
 repeated items and documents are reported each; empty tables give no rows.
 The index is built from at most ``PART_BYTES`` of item texts at a time; a
@@ -53,6 +54,14 @@ PART_BYTES = 8 << 20
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
 _ASCII_EDGE = _EDGE.encode("ascii", "ignore")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+# Unicode white space that bytes.split() does not know: U+001C-1F in ASCII; U+0085 A0 1680 2000-200A 2028 2029 202F 205F 3000
+_ASCII_SPACE = bytes(32 if 0x1C <= c <= 0x1F else c for c in range(256))
+_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+
+
+def words(text: bytes) -> list[bytes]:
+    """Words of items and documents alike: runs without Unicode white space."""
+    return (text.translate(_ASCII_SPACE) if text.isascii() else _SPACE.sub(b" ", text)).split()
 
 
 def fold(word: str) -> str:
@@ -63,7 +72,7 @@ def fold(word: str) -> str:
 def split_item(text: str) -> tuple[list[str], list[str]]:
     """Folded words of question and answer."""
     parts = [p for p in (
-        [x for x in map(fold, s.split()) if x] for s in _SENTENCE.split(text.strip())) if p]
+        [x for x in (fold(w.decode()) for w in words(s.encode())) if x] for s in _SENTENCE.split(text.strip())) if p]
     if not parts:
         return [], []
     return ([w for p in parts[:-1] for w in p] or parts[-1]), parts[-1]
@@ -144,7 +153,7 @@ class _TermNumbers(dict):
 
 def _hits(texts: list[bytes], index: Index, numbers: _TermNumbers, step: int) -> Iterator[tuple]:
     """(row, item position, score, question share, answer share, first word) of verified hits, best verified passage each."""
-    docs = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in (t.split() for t in texts)]
+    docs = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words, texts)]
     docs = [d[d != -2] for d in docs]
     sizes = np.array([len(d) for d in docs])
     n_windows = np.maximum(1, -(-sizes // step))

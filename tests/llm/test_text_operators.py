@@ -390,3 +390,17 @@ def test_every_retrieved_passage_is_verified_not_only_the_one_that_holds_most_of
     assert hit[:2] == (0, 1) and hit[2] < 1 and hit[3] == 1 and hit[4] >= 256
     (hit,) = _found([" ".join(filler(10) + question + filler(90) + answer[:3] + filler(20) + question[4:] + answer)], items)
     assert hit[:2] == (0, 1) and hit[3] == 1
+
+
+def test_items_and_documents_are_cut_into_words_by_one_rule():
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    for c in spaces:
+        assert decontaminate.words(f"a{c}b".encode()) == [b"a", b"b"], hex(ord(c))
+        assert decontaminate.words(f"é{c}b".encode()) == ["é".encode(), b"b"], hex(ord(c))
+    assert decontaminate.words("à\u200b\u2010 Ā\u3001".encode()) == ["à\u200b\u2010".encode(), "Ā\u3001".encode()]
+    plain = "Quel est le prix de 12 500 litres d'eau « pure » à 20 °C en France ? Le prix est de 3 euros !"
+    for c in ("\u00a0", "\u2009", "\u202f", "\u3000"):
+        item = re.sub(r" (?=[?!»°0-9a-f])|(?<=«) ", c, plain)
+        items = [(1, item)] + [(2 + i, " ".join(f"z{i}x{j}" for j in range(30)) + ".") for i in range(20)]
+        got = _found([f"avant {item} après", f"avant {plain} après", "rien d'autre"], items)
+        assert [(x[0], x[1], x[2], x[3]) for x in got] == [(0, 1, 1, 1), (1, 1, 1, 1)], c
