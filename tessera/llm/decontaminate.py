@@ -2,8 +2,9 @@
 
 The benchmark's items are the indexed documents; every training passage is a
 query.  A passage is a window of ``2 * step`` words at every multiple of
-``step``, with ``step`` at least the longest item, so any item-long span lies
-inside one passage and whole texts are covered.
+``step``, with ``step`` at least the item's length, so any item-long span lies
+inside one passage and whole texts are covered.  ``step`` is the item's length
+class (``STEP`` doubled as often as needed), so it depends on no other item.
 
 Scores are BM25 with the item's score against itself scaled to 1, so one
 threshold holds for all items.  Items are kept in blocks, and every (term,
@@ -23,9 +24,10 @@ Words are cut at Unicode white space (no-break and thin spaces too) in items and
 documents, and compared with case folded and without punctuation at either end.
 Null and empty texts have no passage; items without words are skipped;
 repeated items and documents are reported each; empty tables give no rows.
-The index is built from at most ``PART_BYTES`` of item texts at a time; a
-larger benchmark is cut by item hash into parts, each with an index of its own
-that all documents are run against.
+An index is built from at most ``PART_BYTES`` of item texts at a time; a larger
+benchmark is cut by item hash into parts that all documents are run against.
+Item count, mean length and document frequencies are those of the whole
+benchmark in every part, so the parts change no score.
 """
 
 from __future__ import annotations
@@ -34,13 +36,14 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_WORDS, arrow_map, slices, text_bytes
+from tessera.llm.common import CACHE_WORDS, arrow_map, materialize, slices, text_bytes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -78,26 +81,47 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return ([w for p in parts[:-1] for w in p] or parts[-1]), parts[-1]
 
 
+def _whole(question: list, answer: list) -> list:
+    return question if question == answer else question + answer
+
+
+class Stats(NamedTuple):
+    """What BM25 needs of the whole benchmark: items with words, their words, and in how many of them a term is."""
+
+    items: int
+    words: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, wholes: list[list[str]]) -> Stats:
+        return cls(len(wholes), sum(map(len, wholes)), Counter(t for w in wholes for t in set(w)))
+
+
 class Index:
-    """Block-max inverted index of one part of the benchmark."""
+    """Block-max inverted index of some items of the benchmark.
+
+    ``stats`` are those of the whole benchmark (default: of ``items``);
+    indexes of one ``terms`` number their terms alike.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK,
+                 stats: Stats | None = None, terms: dict[str, int] | None = None):
         self.threshold = threshold
         split = [(i, *split_item(t or "")) for i, t in items]
         split = sorted((x for x in split if x[1]), key=lambda x: (len(x[1]) + len(x[2]), x[0]))
+        stats = stats or Stats.of([_whole(q, a) for _, q, a in split])
         self.ids = [x[0] for x in split]
-        self.terms: dict[str, int] = {}
+        self.terms: dict[str, int] = {} if terms is None else terms
         num = lambda words: [self.terms.setdefault(w, len(self.terms)) for w in words]
         self.questions, self.answers = [num(x[1]) for x in split], [num(x[2]) for x in split]
-        whole = [q if q == a else q + a for q, a in zip(self.questions, self.answers)]
-        df = Counter(t for w in whole for t in set(w))
-        mean = sum(map(len, whole)) / max(1, len(whole))
+        whole = [_whole(q, a) for q, a in zip(self.questions, self.answers)]
+        df = {self.terms[t]: stats.df[t] for _, q, a in split for t in q + a}
+        mean = stats.words / max(1, stats.items)
         self.block = block
-        self.longest = max(map(len, whole), default=0)
         self.impacts: list[dict[int, float]] = []  # per item: term -> share of the item's own score
         for w in whole:
             norm = K1 * (1 - B + B * len(w) / mean)
-            raw = {t: math.log(1 + (len(whole) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm)
+            raw = {t: math.log(1 + (stats.items - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm)
                    for t, f in Counter(w).items()}
             own = sum(raw.values())
             self.impacts.append({t: v / own for t, v in raw.items()})
@@ -131,6 +155,24 @@ class Index:
         self.shingles = [_shingles(q) for q in self.questions]
 
 
+def by_length(items: list[tuple[int, str]], threshold: float = THRESHOLD, stats: Stats | None = None) -> list[tuple[int, Index]]:
+    """(step, index) per length class of the items."""
+    classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    wholes, terms = [], {}
+    for i, t in items:
+        w = _whole(*split_item(t or ""))
+        if w:
+            step = STEP
+            while step < len(w):
+                step *= 2
+            classes[step].append((i, t))
+            wholes.append(w)
+            for x in w:
+                terms.setdefault(x, len(terms))
+    stats = stats or Stats.of(wholes)
+    return [(step, Index(classes[step], threshold, BLOCK, stats, terms)) for step in sorted(classes)]
+
+
 def _shingles(terms: list[int]) -> set[tuple[int, ...]]:
     n = min(SHINGLE, len(terms))
     return {tuple(terms[i:i + n]) for i in range(len(terms) - n + 1)}
@@ -151,10 +193,17 @@ class _TermNumbers(dict):
         return n
 
 
+def _numbered(texts: list[bytes], numbers: _TermNumbers) -> list[np.ndarray]:
+    docs = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words, texts)]
+    return [d[d != -2] for d in docs]
+
+
 def _hits(texts: list[bytes], index: Index, numbers: _TermNumbers, step: int) -> Iterator[tuple]:
     """(row, item position, score, question share, answer share, first word) of verified hits, best verified passage each."""
-    docs = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words, texts)]
-    docs = [d[d != -2] for d in docs]
+    return _matches(_numbered(texts, numbers), index, step)
+
+
+def _matches(docs: list[np.ndarray], index: Index, step: int) -> Iterator[tuple]:
     sizes = np.array([len(d) for d in docs])
     n_windows = np.maximum(1, -(-sizes // step))
     base = np.r_[0, np.cumsum(n_windows)]
@@ -206,14 +255,15 @@ def _hits(texts: list[bytes], index: Index, numbers: _TermNumbers, step: int) ->
 _HIT = "id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def _search(index: Index, step: int):
+def _search(indexes: list[tuple[int, Index]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _TermNumbers(index.terms)
+        numbers = _TermNumbers(indexes[0][1].terms if indexes else {})
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = part.column("id").to_pylist()
-                rows = [(ids[d], index.ids[k], s, q, a, f) for d, k, s, q, a, f in
-                        _hits(text_bytes(part.column("text")), index, numbers, step)]
+                docs = _numbered(text_bytes(part.column("text")), numbers) if indexes else []
+                rows = [(ids[d], index.ids[k], s, q, a, f) for step, index in indexes
+                        for d, k, s, q, a, f in _matches(docs, index, step)]
                 cols = list(zip(*rows)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
@@ -221,6 +271,30 @@ def _search(index: Index, step: int):
     return run
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, term, words) of every distinct term of an item; one row without a term counts the item and its words."""
+    for batch in batches:
+        rows = []
+        for part, text in zip(batch.column("part").to_pylist(), batch.column("t").to_pylist()):
+            whole = _whole(*split_item(text))
+            if whole:
+                rows.append((part, None, len(whole)))
+                rows += [(part, t, 0) for t in set(whole)]
+        cols = list(zip(*rows)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64()))],
+                                         names=["part", "term", "words"])
+
+
+def _part_stats(items: DataFrame) -> tuple[int, int, DataFrame]:
+    """Item count and words of the whole benchmark, and (part, term, df): its document frequencies for the terms of a part."""
+    found = materialize(arrow_map(items.select("part", "t"), _item_terms, "part long, term string, words long")
+                        .groupBy("part", "term").agg(F.count("*").alias("n"), F.sum("words").alias("words")), "benchmark-terms")
+    total = found.where("term IS NULL").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    terms = found.where("term IS NOT NULL")
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    return total["n"] or 0, total["words"] or 0, materialize(terms.select("part", "term").join(df, "term"), "benchmark-df")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, item_id, score, question_overlap, answer_overlap, first_word), one row per verified leak."""
@@ -228,11 +302,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     total = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // PART_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if parts == 1:
+        return arrow_map(rows, _search(by_length([(r["item"], r["t"]) for r in items.collect()], threshold)), _HIT)
+    items = items.withColumn("part", F.pmod(F.xxhash64("t"), F.lit(parts)))
+    n_items, n_words, df = _part_stats(items)
     out = None
     for p in range(parts):  # item texts of one part: PART_BYTES on average
-        part = items.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == p).collect()
-        index = Index([(r["item"], r["t"]) for r in part], threshold)
-        hits = arrow_map(rows, _search(index, max(STEP, index.longest)), _HIT)
+        part = [(r["item"], r["t"]) for r in items.where(F.col("part") == p).select("item", "t").collect()]
+        stats = Stats(n_items, n_words, {r["term"]: r["df"] for r in df.where(F.col("part") == p).select("term", "df").collect()})
+        hits = arrow_map(rows, _search(by_length(part, threshold, stats)), _HIT)
         out = hits if out is None else out.unionByName(hits)
     return out
 

@@ -404,3 +404,29 @@ def test_items_and_documents_are_cut_into_words_by_one_rule():
         items = [(1, item)] + [(2 + i, " ".join(f"z{i}x{j}" for j in range(30)) + ".") for i in range(20)]
         got = _found([f"avant {item} après", f"avant {plain} après", "rien d'autre"], items)
         assert [(x[0], x[1], x[2], x[3]) for x in got] == [(0, 1, 1, 1), (1, 1, 1, 1)], c
+
+
+def test_parts_of_the_benchmark_and_long_items_change_no_result(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = ["w%d" % int(rng.paretovariate(0.5)) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choices(vocab, k=n))
+    items = [(i, f"{prose(rng.randint(8, 30))}. {prose(6)}.") for i in range(60)] + [(60, prose(150) + ". " + prose(20) + ".")]
+    items += [(61, items[4][1]), (62, " "), (63, None)]
+    texts = []
+    for d in range(80):
+        w = items[d % 61][1].split()
+        texts.append((d, " ".join([prose(rng.randint(0, 90))] + [x if rng.random() > 0.12 else "other" for x in w] + [prose(80)])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    bench = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    found = lambda rows: {(r["id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.leaks(docs, bench(rows)).collect()}
+    whole = found(items)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 1500)
+    assert found(items) == whole and len(whole) > 20 and any(i == 60 for _, i in whole)
+    # a passage is as long as its item asks for, whatever other items there are
+    (question, answer), other = (" ".join(f"q{i}" for i in range(24)), " ".join(f"a{i}" for i in range(8))), " ".join(f"l{i}" for i in range(900))
+    far = [question + " " + " ".join(f"f{i}" for i in range(300)) + " " + answer]
+    short = [(1, f"{question}. {answer}.")] + [(3 + i, prose(20) + ".") for i in range(20)]
+    for rows in (short, [*short, (2, other + ".")]):
+        indexes = decontaminate.by_length(rows)
+        numbers = decontaminate._TermNumbers(indexes[0][1].terms)
+        assert not [h for step, index in indexes for h in decontaminate._hits([t.encode() for t in far], index, numbers, step)]
