@@ -5,9 +5,10 @@ blocks, named by their path of tag and class, e.g. ``body/div.ad``) and text
 blocks.  A token is a container path, or a text block together with its path.
 
 **Classes.** A token's occurrence vector over the pages of its host is folded
-into one number (an exclusive-or of hash(page, count)), so equal vectors are
-equal numbers and the vectors of a hot host are built by a map-side aggregate;
-no task ever holds the pages of a host.  Tokens of equal vector form a class.
+into one number (two 30-bit sums of hash(page, count), in which repeated rows
+do not cancel), so equal vectors are equal numbers and the vectors of a hot
+host are built by a map-side aggregate; no task ever holds the pages of a host.
+Tokens of equal vector form a class.  Pages are counted as distinct ones.
 
 **Template.** A class is valid when it occurs on at least ``MIN_PAGES`` pages
 of the host and nests: a text belongs to the template of its container when it
@@ -26,7 +27,8 @@ Blocks have character references decoded, white space turned into one space
 and no space at the ends; empty blocks go, the others are joined by two
 newlines.  Null and empty pages give an empty text; broken, cut off or very
 long markup is read as far as it goes; a null url is the host ``''``.  Repeated
-rows are pages like others; empty tables give no rows; other columns are kept.
+rows each get their text and are one page as evidence; empty tables give no
+rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ from tessera.llm.common import arrow_map, materialize, neutral, prepare
 from tessera.llm.url_filter import host_of
 
 MIN_PAGES = 5
+_30_BITS = (1 << 30) - 1
 
 # HTML element names, and class or id words that mark what is not the article.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
@@ -191,10 +194,16 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     prepare(pages.sparkSession)
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col, html_col).alias("page"), F.col(html_col).alias("html"))
     tokens = arrow_map(rows, _tokens, "host string, page long, path string, text_key long, n long, words long")
+    mark = F.xxhash64("page", "n")
+    # containers by distinct page, texts (that have the pages of their container) at once
+    once = (tokens.groupBy("host", "path", "text_key", F.when(F.col("text_key").isNull(), F.col("page")).alias("page"))
+            .agg(F.count("*").alias("rows"), F.sum(mark.bitwiseAND(_30_BITS)).alias("low"),
+                 F.sum(F.shiftrightunsigned(mark, 34)).alias("high"), F.sum("words").alias("words"))
+            .where(F.col("text_key").isNull() | (F.col("rows") >= min_pages)))
     seen = materialize(
-        tokens.groupBy("host", "path", "text_key")
-        .agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("words").alias("words"))
-        .where(F.col("text_key").isNull() | (F.col("pages") >= min_pages)), "page-tokens")
+        once.groupBy("host", "path", "text_key")
+        .agg(F.count("page").alias("pages"), F.struct(F.sum("low").alias("low"), F.sum("high").alias("high")).alias("vector"),
+             F.sum("words").alias("words")), "page-tokens")
     holders = seen.where("text_key IS NULL")
     texts = seen.where("text_key IS NOT NULL").select("host", "path", "text_key", "vector")
     # a text nests in its container when both are in one class

@@ -139,6 +139,28 @@ def test_pages_of_the_test_table(spark):
         assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (want, len(want))
 
 
+def _texts(spark, rows):
+    """Extracted text by page_id of (page_id, url, html) rows."""
+    return {r["page_id"]: r["text"] for r in page_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_repeated_rows_are_one_page_and_do_not_cancel(spark):
+    own = lambda i, more="": f"<article><p>own {i} of many words</p>{more}<p>rules of the house</p></article>"
+    few = [(i, f"http://few.org/{i}", own(i, "<h2>Introduction</h2>" if i < 3 else "")) for i in range(4)]
+    many = [(10 + i, f"http://many.org/{i}", own(i, "<h2>Introduction</h2>" if i < 6 else "")) for i in range(9)]
+    twice = [(100 + i, url, page) for i, url, page in few + many]
+    part = [(200 + i, url, page) for i, url, page in many[:5]]
+    got = _texts(spark, few + many + twice + part)
+    for i, url, page in few + many + twice + part:
+        k = int(url[-1])
+        want = [f"own {k} of many words"]
+        if k < (3 if "few" in url else 6):
+            want.append("Introduction")
+        if "few" in url:  # four distinct pages are no evidence, however often they are loaded
+            want.append("rules of the house")
+        assert got[i] == "\n\n".join(want), i
+
+
 # ---- chats ----
 
 def test_chats_read_back_exactly(spark):
