@@ -8,7 +8,7 @@ blocks.  A token is a container path, or a text block together with its path.
 into one number (two 30-bit sums of hash(page, count), in which repeated rows
 do not cancel), so equal vectors are equal numbers and the vectors of a hot
 host are built by a map-side aggregate; no task ever holds the pages of a host.
-Tokens of equal vector form a class.  Pages are counted as distinct ones.
+Tokens of equal vector form a class.
 
 **Template.** A class is valid when it occurs on at least ``MIN_PAGES`` pages
 of the host and nests: a text belongs to the template of its container when it
@@ -16,6 +16,10 @@ is in the container's own class, i.e. it stands in that container on every
 page and as often.  What remains in a container are its slots.  The host's
 main slot is the container whose slots hold the most words outside links.
 
+Copies of one article are no evidence: pages of equal texts count as one, and
+the class must hold a container with a slot, or one that stands on
+``MIN_PAGES`` pages whose longest other texts (half of the page) differ.
+
 **Extraction.** The slots of the page's article (``article``, else ``main`` or
 an element classed as such, else the host's main container, else the body) are
 returned without the template's texts and without anything inside menus,
@@ -48,6 +52,7 @@ from tessera.llm.common import arrow_map, materialize, neutral, prepare
 from tessera.llm.url_filter import host_of
 
 MIN_PAGES = 5
+REST = 16  # so many of the longest texts tell two articles apart
 _30_BITS = (1 << 30) - 1
 
 # HTML element names, and class or id words that mark what is not the article.
@@ -170,6 +175,27 @@ def _text_key(block: Block) -> int:
     return xxhash.xxh64_intdigest(block.text) >> 1
 
 
+_TOKEN = {"host": "string", "page": "long", "path": "string", "text_key": "long", "n": "long", "words": "long",
+          "blocks": "long", "body": "long", "rest": "long"}
+
+
+def _digest(keys: list[int]) -> int:
+    return xxhash.xxh64_intdigest(b"".join(k.to_bytes(8, "little") for k in keys)) >> 1
+
+
+def _longest_outside(longest: list[tuple[str, int, int]], path: str, size: int) -> list[int]:
+    """Keys of the longest texts outside a container that make up half of the ``size`` that stands there (at most ``REST``)."""
+    out: list[int] = []
+    left = size / 2
+    for at, key, n in longest:
+        if left <= 0 or len(out) == REST:
+            break
+        if at != path and not at.startswith(path + "/"):
+            out.append(key)
+            left -= n
+    return out
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, pages = batch.column("host").to_pylist(), batch.column("page").to_pylist()
@@ -178,36 +204,63 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, opened = read_page(markup or "")
             words: Counter = Counter()
             texts: Counter = Counter()
+            sizes: dict[int, int] = {}
             for b in blocks:
                 if not b.unwanted:
+                    key = _text_key(b)
                     words[b.path] += len(b.text.split()) - b.link_words
-                    texts[b.path, _text_key(b)] += 1
-            rows += [(host, page, path, None, n, words[path]) for path, n in opened.items()]
-            rows += [(host, page, path, key, n, 0) for (path, key), n in texts.items()]
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)],
-                                         names=["host", "page", "path", "text_key", "n", "words"])
+                    texts[b.path, key] += 1
+                    sizes[key] = len(b.text)
+            longest = sorted(((path, key, sizes[key] * n) for (path, key), n in texts.items()), key=lambda t: (-t[2], t[1]))
+            under: Counter = Counter()  # blocks in a container or in one inside it
+            inside: Counter = Counter()  # and the size of their texts
+            for path, key, size in longest:
+                n = texts[path, key]
+                while path:
+                    under[path] += n
+                    inside[path] += size
+                    path = path.rpartition("/")[0]
+            total = sum(size for _, _, size in longest)
+            body = _digest(sorted(key for (_, key), n in texts.items() for _ in range(n)))
+            for path, n in opened.items():
+                held = under[path]
+                rest = _digest(_longest_outside(longest, path, total - inside[path])) if held else None
+                rows.append((host, page, path, None, n, words[path], held, body if held else None, rest))
+            rows += [(host, page, path, key, n, 0, n, None, None) for (path, key), n in texts.items()]
+        cols = list(zip(*rows)) or [()] * len(_TOKEN)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(cols, _TOKEN.values())],
+                                         names=list(_TOKEN))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, main_path, template_texts): one row per host."""
     prepare(pages.sparkSession)
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col, html_col).alias("page"), F.col(html_col).alias("html"))
-    tokens = arrow_map(rows, _tokens, "host string, page long, path string, text_key long, n long, words long")
+    tokens = arrow_map(rows, _tokens, ", ".join(f"{c} {k}" for c, k in _TOKEN.items()))
     mark = F.xxhash64("page", "n")
-    # containers by distinct page, texts (that have the pages of their container) at once
-    once = (tokens.groupBy("host", "path", "text_key", F.when(F.col("text_key").isNull(), F.col("page")).alias("page"))
+    sums = [F.sum(c).alias(c) for c in ("low", "high", "words", "blocks")]
+    # containers by distinct page texts, then by distinct surroundings; texts (that have the pages of their container) at once
+    once = (tokens.groupBy("host", "path", "text_key", "body", "rest")
             .agg(F.count("*").alias("rows"), F.sum(mark.bitwiseAND(_30_BITS)).alias("low"),
-                 F.sum(F.shiftrightunsigned(mark, 34)).alias("high"), F.sum("words").alias("words"))
-            .where(F.col("text_key").isNull() | (F.col("rows") >= min_pages)))
+                 F.sum(F.shiftrightunsigned(mark, 34)).alias("high"), F.sum("words").alias("words"), F.sum("blocks").alias("blocks"))
+            .where(F.col("text_key").isNull() | (F.col("rows") >= min_pages))
+            .groupBy("host", "path", "text_key", "rest").agg(F.count("body").alias("bodies"), *sums))
     seen = materialize(
-        once.groupBy("host", "path", "text_key")
-        .agg(F.count("page").alias("pages"), F.struct(F.sum("low").alias("low"), F.sum("high").alias("high")).alias("vector"),
-             F.sum("words").alias("words")), "page-tokens")
+        once.groupBy("host", "path", "text_key").agg(F.sum("bodies").alias("bodies"), F.count("rest").alias("rests"), *sums)
+        .withColumn("vector", F.struct("low", "high")).drop("low", "high"), "page-tokens")
     holders = seen.where("text_key IS NULL")
-    texts = seen.where("text_key IS NOT NULL").select("host", "path", "text_key", "vector")
+    texts = seen.where("text_key IS NOT NULL").select("host", "vector", "text_key", F.col("path").alias("at"), "blocks")
+    # the containers around a text that are in its class
+    around = (texts.join(holders.where(F.col("bodies") >= min_pages)
+                         .select("host", "vector", "path", F.col("blocks").alias("held"), "rests"), ["host", "vector"])
+              .where((F.col("at") == F.col("path")) | F.col("at").startswith(F.concat("path", F.lit("/")))))
+    # a slot: a container holds more than the texts of its class
+    sound = (around.groupBy("host", "path", "held", "rests").agg(F.sum("blocks").alias("fixed"))
+             .where((F.col("held") > F.col("fixed")) | (F.col("rests") >= min_pages))
+             .select("host", "path", F.lit(True).alias("sound")))
     # a text nests in its container when both are in one class
-    claimed = (texts.join(holders.where(F.col("pages") >= min_pages).select("host", "path", "vector"), ["host", "path", "vector"])
+    claimed = (around.join(sound, ["host", "path"], "left").groupBy("host", "at", "text_key")
+               .agg(F.bool_or(F.col("at") == F.col("path")).alias("nests"), F.bool_or("sound").alias("sound")).where("nests AND sound")
                .groupBy("host").agg(F.sort_array(F.collect_set("text_key")).alias("template_texts")))
     main = holders.groupBy("host").agg(F.max(F.struct("words", "path"))["path"].alias("main_path"))
     return main.join(claimed, "host", "left")

@@ -161,6 +161,32 @@ def test_repeated_rows_are_one_page_and_do_not_cancel(spark):
         assert got[i] == "\n\n".join(want), i
 
 
+def test_copies_of_one_article_are_no_template_evidence(spark):
+    art = lambda i, inner, tail="": f"<body><article><p>own {i} with a number of words</p>{inner}<p>end {i} of the article</p>{tail}</article></body>"
+    base = lambda i: ["own %s with a number of words" % i, "end %s of the article" % i]
+    lists = "<ul><li>first point<li>second point</ul><table><tr><td>cell</table>"
+    rows, want = [], {}
+
+    def add(host, i, page, text):
+        k = len(rows)
+        rows.append((k, f"http://{host}/{i}?ref={k}", page))
+        want[k] = "\n\n".join(text)
+
+    a, b = base("copied")
+    for k in range(7):  # equal copies, and copies with a short text of their own, among other articles
+        add("same.org", "a", art("copied", lists), [a, "first point", "second point", "cell", b])
+        add("near.org", "a", art("copied", lists, f"<p>read {k}</p>"), [a, "first point", "second point", "cell", b, f"read {k}"])
+        add("only.org", "a", art("copied", lists), [a, "first point", "second point", "cell", b])
+    legal = "<section class='legal'><p>This text stands on some pages and is longer than all others.</p></section>"
+    for i in range(9):
+        for host in ("same.org", "near.org"):
+            add(host, i, art(i, ""), base(i))
+        add("some.org", i, art(i, legal if i < 6 else ""), base(i))  # a template part of distinct articles has no slot
+        add("all.org", i, art(i, legal), base(i))
+    got = _texts(spark, rows)
+    assert got == want
+
+
 # ---- chats ----
 
 def test_chats_read_back_exactly(spark):
