@@ -24,7 +24,10 @@ the class must hold a container with a slot, or one that stands on
 an element classed as such, else the host's main container, else the body) are
 returned without the template's texts and without anything inside menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts,
-styles and hidden elements.  A page of which nothing would be left keeps the
+styles and hidden elements.  Class and id words mark an element when a whole
+class is such a word or ends in one (``user-comments``, ``sidebar-left``; not
+``has-sidebar``, ``comments-open``); they do not hold for html, body and main,
+nor for an article or what holds it unless there is another.  A page of which nothing would be left keeps the
 texts that the template claimed (a host of identical pages).
 
 Blocks have character references decoded, white space turned into one space
@@ -69,6 +72,13 @@ consent cookie cookies disclaimer disqus feedback footer gdpr header login masth
 newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended
 related replies reply respond reviews share sharing sidebar signup social sponsor sponsored subscribe subscription
 toolbar topbar widget widgets""".split())
+ITEMS = frozenset("""ad ads advert advertisement adverts comment comments commentlist disqus promo promoted promotion recommended
+related replies reply respond reviews sponsor sponsored widget widgets""".split())  # such elements hold small articles of their own
+STATES = frozenset("has have hide hides is no non not show shows with without".split())  # no-sidebar is no sidebar
+PLACES = frozenset("""area areas article articles bar block bottom box button buttons container count form icons inner item items left
+link links list message outer panel post posts right row section text title top wrap wrapper""".split())
+# What becomes of a block: KEPT; in an article inside or marked as FRAME or ITEM, kept if there is no other; dropped
+KEPT, FRAME_ARTICLE, ITEM_ARTICLE, FRAME, ITEM, GONE = range(6)
 WANTED = frozenset("article articlebody content entry maincontent post story".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)"""
@@ -77,17 +87,45 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
+def _label(token: str) -> int:
+    """KEPT, FRAME or ITEM by one class or id: its head word, before words of place, says what it is."""
+    parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+    parts = [p.rstrip("0123456789") for p in parts if p and not p[0].isdigit()]
+    if not parts or parts[0] in STATES:
+        return KEPT
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    found = {parts[-1], "".join(parts)} & UNWANTED
+    return KEPT if not found else ITEM if found & ITEMS else FRAME
+
+
 @lru_cache(1 << 14)
-def _describe(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(path step, unwanted, wanted) of an element from its name and attributes."""
+def _describe(name: str, attrs: str) -> tuple[str, int, bool, bool]:
+    """(path step, KEPT, FRAME, ITEM or GONE, wanted, article or main) of an element from its name and attributes."""
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)}
     label = f"{found.get('class', '')} {found.get('id', '')}"
     words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower()))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    unwanted = name in DROPPED or hidden or bool(words & UNWANTED) or found.get("role") in ROLES
-    wanted = name in ("article", "main") or found.get("role") in ("main", "article") or bool(words & WANTED)
+    state = max(map(_label, label.split()), default=KEPT)
+    if name in ("html", "body", "main") or found.get("role") == "main":
+        state = KEPT
+    if name in DROPPED or hidden or found.get("role") in ROLES:
+        state = GONE
+    article = name in ("article", "main") or found.get("role") in ("main", "article")
+    wanted = article or (state == KEPT and bool(words & WANTED))
     first = found.get("class", "").split()
-    return name + ("." + first[0] if first else "") + ("#" + re.sub(r"\d+", "0", found["id"]) if found.get("id") else ""), unwanted, wanted and not unwanted
+    return (name + ("." + first[0] if first else "") + ("#" + re.sub(r"\d+", "0", found["id"]) if found.get("id") else ""),
+            state, wanted and state != GONE, article)
+
+
+def _state(inside: int, own: int, article: bool) -> int:
+    """What becomes of the blocks of an element in another one."""
+    if article and GONE not in (inside, own):
+        soft = {FRAME: FRAME_ARTICLE, ITEM: ITEM_ARTICLE}
+        return max(soft.get(inside, inside), soft.get(own, own))
+    if inside in (FRAME_ARTICLE, ITEM_ARTICLE) and own:
+        return GONE
+    return max(inside, own)
 
 
 class Block:
@@ -102,9 +140,10 @@ class Block:
 def read_page(page: str) -> tuple[list[Block], Counter]:
     """The text blocks of a page in order, and how often every container path opens."""
     blocks: list[Block] = []
+    states: list[int] = []
     opened: Counter = Counter()
-    # stack entries: (tag, path, unwanted, rank); rank 2: inside article, 1: inside other wanted element
-    stack: list[tuple[str, str, bool, int]] = []
+    # stack entries: (tag, path, state, rank); rank 2: inside article, 1: inside other wanted element
+    stack: list[tuple[str, str, int, int]] = []
     parts: list[str] = []
     links = 0
     heading = in_link = False
@@ -114,10 +153,11 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                path, unwanted, rank = stack[-1][1:] if stack else ("", False, 0)
-                if unwanted and heading and rank == 2 and stack[-1][0] == "header":
-                    unwanted = False  # the headline in an article's own header
-                blocks.append(Block(path, unwanted, rank, text, links))
+                path, state, rank = stack[-1][1:] if stack else ("", KEPT, 0)
+                if state and heading and rank == 2 and stack[-1][0] == "header":
+                    state = stack[-2][2]  # the headline in an article's own header
+                states.append(state)
+                blocks.append(Block(path, False, rank, text, links))
             parts.clear()
         links = 0
 
@@ -161,13 +201,21 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
                     break
             in_link = False
             continue
-        step, unwanted, wanted = _describe(name, m[3] or m[6] or "")
-        path, inside, rank = stack[-1][1:] if stack else ("", False, 0)
+        step, own, wanted, article = _describe(name, m[3] or m[6] or "")
+        path, inside, rank = stack[-1][1:] if stack else ("", KEPT, 0)
         path = f"{path}/{step}" if len(stack) < 64 else path  # deeper nesting shares its ancestor's path
         opened[path] += 1
-        rank = max(rank, 2 if name == "article" and not unwanted else int(wanted))
-        stack.append((name, path, inside or unwanted, rank))
+        rank = max(rank, 2 if name == "article" and own != GONE else int(wanted))
+        stack.append((name, path, _state(inside, own, article), rank))
     end_block()
+    keep = {KEPT}
+    if not any(s == KEPT and b.rank == 2 for s, b in zip(states, blocks)):
+        if FRAME_ARTICLE in states:
+            keep.add(FRAME_ARTICLE)
+        elif KEPT not in states:
+            keep.add(ITEM_ARTICLE)
+    for s, b in zip(states, blocks):
+        b.unwanted = s not in keep
     return blocks, opened
 
 

@@ -187,6 +187,26 @@ def test_copies_of_one_article_are_no_template_evidence(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("before, after", [
+    ('<body class="has-sidebar"><article>', "</article></body>"), ('<html class="no-footer"><body><div>', "</div>"),
+    ('<body class="sidebar">', "</body>"), ('<div id="content" class="no-sidebar">', "</div>"),
+    ('<article class="post comments-open">', "</article>"), ('<main class="with-header">', "</main>"), ('<main id="menu">', "</main>"),
+    ('<article class="sponsored">', "</article>"), ('<div class="page-sidebar"><div><article>', "</article></div></div>"),
+    ('<div class="menu-open"><p>', "</div>"), ('<div class="widget"><article class="post">', "</article></div>"),
+    ('<div class="content-sidebar-wrap"><main>', "</main></div>"), ('<div role="main" class="banner">', "</div>")])
+def test_label_words_do_not_drop_what_holds_the_article(before, after):
+    assert page_template.main_text(f"{before}<h1>Head</h1><p>text</p><div class='sidebar'>side</div>{after}", None, frozenset()) == "Head\n\ntext"
+
+
+@pytest.mark.parametrize("label", ["comments", "user-comments", "comments-area", "cookieNotice", "sidebar-left", "ad-300x250", "ad1", "related-posts",
+                                   "share_buttons", "comment-list", "page navBar", "post__footer"])
+def test_label_words_drop_what_they_name(label):
+    for own in ("<p>gone</p>", "<article class='comment'><header><h4>gone</h4></header>gone</article>"):
+        other = f'<div class="{label}">{own}</div>'
+        assert page_template.main_text(f"<article><p>text</p>{other}</article>{other}", None, frozenset()) == "text"
+    assert page_template.main_text('<div class="content"><p>text</p><div id="comments"><article>gone</article></div></div>', None, frozenset()) == "text"
+
+
 # ---- chats ----
 
 def test_chats_read_back_exactly(spark):
