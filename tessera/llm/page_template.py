@@ -64,7 +64,8 @@ figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li ma
 table tbody td tfoot th thead title tr ul""".split())
 CONTAINERS = frozenset("""article aside blockquote body center dialog div fieldset figure footer form head header html
 main menu nav ol section table title ul""".split())
-RAW = frozenset("script style textarea title iframe noscript template svg math object canvas xmp select button".split())
+RAW = frozenset("script style textarea title xmp".split())  # text up to the closing tag, or to the end
+SKIPPED = frozenset("iframe noscript template svg math object canvas select button".split())  # nest, and end with their parent
 DROPPED = frozenset("aside dialog footer form head header menu nav title".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 UNWANTED = frozenset("""ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist
@@ -84,6 +85,8 @@ WANTED = frozenset("article articlebody content entry maincontent post story".sp
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)"""
                   r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_RAW_END = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
+_FOREIGN = frozenset(["svg", "math"])  # here "/>" closes an element
 _HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
@@ -137,6 +140,66 @@ class Block:
         self.path, self.unwanted, self.rank, self.text, self.link_words = path, unwanted, rank, text, link_words
 
 
+def _raw_end(page: str, at: int, name: str) -> int:
+    close = _RAW_END[name].search(page, at)
+    return close.end() if close else len(page)
+
+
+def _skipped_ends(page: str) -> dict[int, int]:
+    """Start -> end of the skipped elements of a page, in one pass.
+
+    An element that is not closed before its parent ends at the next block,
+    so a forgotten end tag takes no text of the article with it.
+    """
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []  # open blocks and skipped elements
+    count: Counter = Counter()
+    at = foreign = 0
+    waiting: list[int] = []  # skipped elements after which no block has begun or ended yet
+    while m := _TAG.search(page, at):
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        closing = bool(m[1] or m[4])
+        attrs = m[3] or m[6] or ""
+        if not closing and attrs.endswith("/") and (name in _FOREIGN or foreign):
+            continue
+        if name in BLOCKS and not (foreign and name == "title"):
+            for start in waiting:
+                ends[start] = m.start()
+            waiting.clear()
+        if name in RAW and not closing:
+            at = _raw_end(page, at, name)
+        elif closing or (name in ("button", "select") and count[name]):  # these two end where another begins
+            for k in range(len(stack) - 1, -1, -1) if count[name] else ():
+                if stack[k][0] == name:
+                    break
+                if stack[k][0] in CONTAINERS and (not closing or name not in CONTAINERS and name not in SKIPPED):
+                    k = -1  # it does not reach out of its container
+                    break
+            else:
+                k = -1
+            if k >= 0:
+                start = stack[k][1]
+                if name in SKIPPED:
+                    if closing:
+                        ends[start] = at
+                    else:
+                        ends.setdefault(start, m.start())
+                    while waiting and waiting[-1] >= start:
+                        waiting.pop()
+                for gone, _ in stack[k:]:
+                    count[gone] -= 1
+                    foreign -= gone in _FOREIGN
+                del stack[k:]
+        if not closing and (name in SKIPPED or (name in BLOCKS and name not in RAW and name != "hr")):
+            stack.append((name, m.start()))
+            count[name] += 1
+            foreign += name in _FOREIGN
+            if name in SKIPPED:
+                waiting.append(m.start())
+    return ends
+
+
 def read_page(page: str) -> tuple[list[Block], Counter]:
     """The text blocks of a page in order, and how often every container path opens."""
     blocks: list[Block] = []
@@ -147,6 +210,7 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
     parts: list[str] = []
     links = 0
     heading = in_link = False
+    ends: dict[int, int] | None = None  # start -> end of skipped elements, when there are some
 
     def end_block() -> None:
         nonlocal links
@@ -179,8 +243,13 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
         if name in RAW and not closing:
             if name in BLOCKS:
                 end_block()
-            close = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            at = _raw_end(page, at, name)
+            continue
+        if name in SKIPPED and not closing:
+            if name not in _FOREIGN or not (m[3] or m[6] or "").endswith("/"):
+                if ends is None:
+                    ends = _skipped_ends(page)
+                at = ends.get(m.start(), len(page))
             continue
         if name == "a":
             in_link = not closing

@@ -207,6 +207,21 @@ def test_label_words_drop_what_they_name(label):
     assert page_template.main_text('<div class="content"><p>text</p><div id="comments"><article>gone</article></div></div>', None, frozenset()) == "text"
 
 
+@pytest.mark.parametrize("markup, want", [
+    ('a <svg viewBox="0 0 1 1"/> b', "a b"), ("a <math/> b", "a b"), ("a <svg/>b<p>c</p><svg><path/></svg>d", "a b|c|d"),
+    ("a <svg><title>t</title><svg><g/></svg>x</svg> b", "a b"), ("a <object>x<object>y</object>z</object> b", "a b"),
+    ("<template><p>x</p><template>y</template>z</template><p>b</p>", "b"), ("<svg><style/><title/><path/></svg><p>b</p>", "b"),
+    ("<p>a</p><button>Share<p>b</p><p>c</p>", "a|b|c"), ("<p>a <button>Share</p><p>b</p><button>Like</button><p>c</p>", "a|b|c"),
+    ("<p>a</p><select><option>x<p>b</p>", "a|b"), ("<p>a <select><option>x <select><option>y</select> b</p>", "a b"),
+    ("<div><canvas></div><p>b</p><div><canvas>x</canvas></div><p>c</p>", "b|c"), ("<ul><li><object data=x></ul><p>b</p>", "b"),
+    ("a <button><div>x</div><p>y</p></button> b", "a b"), ("<p>a</p><svg><path><p>b</p>", "a|b"), ("<p>a</p><noscript><p>x</p></noscript>b", "a|b"),
+    ("<p>a</p><script>'<svg>'</script><p>b</p><iframe>x</iframe>c", "a|b|c"), ("<p>a</p><textarea>x<p>y", "a"),
+    ("<p>a</p>" + "<button>" * 3000 + "x" + "<p>b</p>", "a|b")])
+def test_skipped_elements_end_where_they_end(markup, want):
+    page = f"<body><article>{markup}</article><footer><button>x</button><svg></svg><select></select><object></object></footer></body>"
+    assert page_template.main_text(page, None, frozenset()) == want.replace("|", "\n\n")
+
+
 # ---- chats ----
 
 def test_chats_read_back_exactly(spark):
