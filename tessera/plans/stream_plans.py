@@ -1,8 +1,8 @@
 """Registered streaming queries (T-1 .. T-5), each checked against batch SQL.
 
-The ``events`` table is first written as several files that arrive one after
-the other; the stream reads one file per micro-batch with ``availableNow``,
-runs to completion, and the query returns the sink table.
+The ``events`` table arrives in several ranges, each as many files; after each
+the stream runs on with ``availableNow`` from its checkpoint, and the query
+returns the sink table.
 """
 
 from __future__ import annotations
@@ -19,10 +19,8 @@ STREAM_NOW = "2024-01-31 00:00:00"
 STREAM_MAX_AGE_HOURS = 24 * 7
 
 
-def _event_stream(spark, sf_dir):
-    folder = shared_dir(spark, "event-files")
-    jobs.write_parts(Tables(spark, sf_dir).events, folder, "event_id")
-    return jobs.file_stream(spark, folder, "*.parquet", max_files=1)
+def _event_streams(spark, sf_dir):
+    return jobs.arrivals(Tables(spark, sf_dir).events, shared_dir(spark, "event-files"), "event_id")
 
 
 @query("stream_unsent", oracle=f"""
@@ -31,12 +29,12 @@ FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '{STREAM_NOW}' - INTER
 GROUP BY 1""")
 def stream_unsent(spark, sf_dir):
     """T-1 T-2 T-4 T-5: streamed feed items, first event of every new link."""
-    ev = _event_stream(spark, sf_dir)
-    stories = ev.filter(F.col("event_type") == "view").select(
-        F.concat(F.lit("https://news.example/s/"), F.get_json_object("props", "$.k")).alias("link"),
-        "event_id", "ts")
     out, ckpt = jobs.run_dirs(spark, "stream-unsent")
-    jobs.stream_unsent(stories, out, ckpt, STREAM_NOW, STREAM_MAX_AGE_HOURS)
+    for ev in _event_streams(spark, sf_dir):
+        stories = ev.filter(F.col("event_type") == "view").select(
+            F.concat(F.lit("https://news.example/s/"), F.get_json_object("props", "$.k")).alias("link"),
+            "event_id", "ts")
+        jobs.stream_unsent(stories, out, ckpt, STREAM_NOW, STREAM_MAX_AGE_HOURS)
     return spark.read.parquet(out).select("link", "first_event")
 
 
@@ -54,11 +52,12 @@ pairs AS (SELECT enq.queue_id, enq.seq AS enq_seq, deq.seq AS deq_seq
 
 
 def _run_fifo(spark, sf_dir):
-    q = _event_stream(spark, sf_dir).filter(F.col("event_type").isin("view", "click")).select(
-        F.col("user_id").alias("queue_id"), F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "view", F.lit(fifo.ENQUEUE)).otherwise(F.lit(fifo.POP)).alias("op"))
     out, ckpt = jobs.run_dirs(spark, "stream-fifo")
-    jobs.stream_fifo(q, out, ckpt)
+    for ev in _event_streams(spark, sf_dir):
+        q = ev.filter(F.col("event_type").isin("view", "click")).select(
+            F.col("user_id").alias("queue_id"), F.col("event_id").alias("seq"),
+            F.when(F.col("event_type") == "view", F.lit(fifo.ENQUEUE)).otherwise(F.lit(fifo.POP)).alias("op"))
+        jobs.stream_fifo(q, out, ckpt)
     return out
 
 
@@ -97,9 +96,10 @@ def stream_requeue(spark, sf_dir):
 SELECT DISTINCT 'https://news.example/s/' || json_extract_string(props, '$.k') AS link FROM events WHERE event_type = 'view'""")
 def stream_watermark(spark, sf_dir):
     """T-4 T-2: never-send-twice bounded by an event-time watermark (as long as the table's time span)."""
-    stories = _event_stream(spark, sf_dir).filter(F.col("event_type") == "view").select(
-        F.concat(F.lit("https://news.example/s/"), F.get_json_object("props", "$.k")).alias("link"), "event_id", "ts")
     out, ckpt = jobs.run_dirs(spark, "stream-watermark")
-    d = jobs.dedup_within_watermark(stories, "3650 days").select("link")
-    jobs._run(d.writeStream.format("parquet").option("path", out), ckpt)
+    for ev in _event_streams(spark, sf_dir):
+        stories = ev.filter(F.col("event_type") == "view").select(
+            F.concat(F.lit("https://news.example/s/"), F.get_json_object("props", "$.k")).alias("link"), "event_id", "ts")
+        d = jobs.dedup_within_watermark(stories, "3650 days").select("link")
+        jobs._run(d.writeStream.format("parquet").option("path", out), ckpt)
     return spark.read.parquet(out)

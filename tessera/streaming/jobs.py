@@ -18,6 +18,8 @@ checkpoints and sinks live under the cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,13 +98,15 @@ def dedup_within_watermark(stories: DataFrame, max_age: str = "24 hours") -> Dat
         .dropDuplicatesWithinWatermark(["link"])
 
 
-def write_parts(df: DataFrame, folder: str, order: str, parts: int = 3) -> None:
-    """``df`` as files that arrive one after the other, cut by ranges of
-    ``order``, so a stream over the folder has several micro-batches."""
+def arrivals(df: DataFrame, folder: str, order: str, name: str = "*.parquet", parts: int = 3) -> Iterator[DataFrame]:
+    """A stream over ``folder`` for each of ``parts`` ranges of ``order``, when
+    the range has been written there, a file by each task.  A job run on each in turn with one checkpoint gets a range as
+    one micro-batch, in order, and every scan and write is spread over tasks."""
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     for i in range(parts if lo is not None else 0):
         a, b = lo + (hi + 1 - lo) * i // parts, lo + (hi + 1 - lo) * (i + 1) // parts
-        df.where((F.col(order) >= a) & (F.col(order) < b)).coalesce(1).write.mode("append").parquet(folder)
+        df.where((F.col(order) >= a) & (F.col(order) < b)).write.mode("append").parquet(folder)
+        yield file_stream(df.sparkSession, folder, name)
 
 
 # ---------------------------------------------------------------------------

@@ -147,3 +147,15 @@ def test_drop_materialized(spark):
     assert df.count() == 10 and os.path.isdir(path.replace("file:", ""))
     assert drop_materialized(spark) >= 1
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_arrivals_are_written_by_many_tasks_and_read_in_order(spark, tmp_path):
+    from tessera.streaming import jobs
+
+    df = spark.range(0, 900, 1, 6).withColumnRenamed("id", "event_id")
+    seen = []
+    note = lambda b, k: seen.append((k, b.agg({"event_id": "min"}).first()[0], b.count()))
+    for s in jobs.arrivals(df, str(tmp_path / "in"), "event_id"):
+        jobs._run(s.writeStream.foreachBatch(note), str(tmp_path / "checkpoint"))
+    assert seen == [(0, 0, 300), (1, 300, 300), (2, 600, 300)]
+    assert len(list((tmp_path / "in").glob("*.parquet"))) >= 6  # two tasks or more wrote each range
