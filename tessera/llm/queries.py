@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    chat_format, decontaminate, golay_simhash, oracles, packing, page_template, quality_classifier, quality_rules, sharding, substring_dedup,
+    chat_format, decontaminate, fill_in_middle, golay_simhash, oracles, packing, page_template, quality_classifier, quality_rules, sharding, substring_dedup,
     url_filter)
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -83,6 +83,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select(F.col("id").alias("doc_id"), "n", "form", F.length("prefix").cast("long").alias("prefix_chars"),
+                      F.length("middle").cast("long").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"),
+                      digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
