@@ -70,4 +70,17 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
     ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM f"""
 
-ORACLE_SQL = {"op12_fill_in_middle": OP12, "op2_quality_rules": OP2, "op7_chat_format": OP7, "op9_substring_dedup": OP9}
+OP13 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s FROM d),
+t AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b
+    WHERE 100 * common >= 90 * (len(x.s) + len(y.s) - common)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM g UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a AND r.c < e.b)
+SELECT g.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM g JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c
+  ON c.doc_id = g.doc_id"""
+
+ORACLE_SQL = {"op13_jaccard_join": OP13, "op12_fill_in_middle": OP12, "op2_quality_rules": OP2, "op7_chat_format": OP7, "op9_substring_dedup": OP9}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    chat_format, decontaminate, fill_in_middle, golay_simhash, oracles, packing, page_template, quality_classifier, quality_rules, sharding, substring_dedup,
+    chat_format, decontaminate, fill_in_middle, golay_simhash, jaccard_join, oracles, packing, page_template, quality_classifier, quality_rules, sharding, substring_dedup,
     url_filter)
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -91,6 +91,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.components(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
