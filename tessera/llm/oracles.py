@@ -58,6 +58,26 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n F
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
 
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+x AS (SELECT lang, phrase, k, f, unnest(range(2, k)) AS size FROM f WHERE k > 2),
+y AS (SELECT x.lang, x.f, array_to_string(string_split(x.phrase, ' ')[i:i + size - 1], ' ') AS phrase
+    FROM x, range(1, 5) t(i) WHERE i + size - 1 <= x.k),
+z AS (SELECT lang, phrase, max(f) AS longer FROM y GROUP BY lang, phrase),
+c AS (SELECT f.* FROM f LEFT JOIN z ON f.lang = z.lang AND f.phrase = z.phrase WHERE k > 1 AND (longer IS NULL OR 100 * longer < 100 * f)),
+u AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n.n, cut, ((1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM c JOIN range(1, 5) t(cut) ON cut < c.k JOIN n ON n.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score, cut::INTEGER AS cut FROM o WHERE rank <= 2000"""
+
 OP12 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS h,
     regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
@@ -83,4 +103,4 @@ r(doc_id, c) AS (SELECT doc_id, doc_id FROM g UNION SELECT e.b, r.c FROM r JOIN
 SELECT g.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM g JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c
   ON c.doc_id = g.doc_id"""
 
-ORACLE_SQL = {"op13_jaccard_join": OP13, "op12_fill_in_middle": OP12, "op2_quality_rules": OP2, "op7_chat_format": OP7, "op9_substring_dedup": OP9}
+ORACLE_SQL = {"op11_collocations": OP11, "op13_jaccard_join": OP13, "op12_fill_in_middle": OP12, "op2_quality_rules": OP2, "op7_chat_format": OP7, "op9_substring_dedup": OP9}

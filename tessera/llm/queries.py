@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    chat_format, decontaminate, fill_in_middle, golay_simhash, jaccard_join, oracles, packing, page_template, quality_classifier, quality_rules, sharding, substring_dedup,
+    chat_format, collocations, decontaminate, fill_in_middle, golay_simhash, jaccard_join, oracles, packing, page_template, quality_classifier, quality_rules, sharding, substring_dedup,
     url_filter)
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -83,6 +83,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_jaccard_join": op13_jaccard_join,
 }
