@@ -7,11 +7,9 @@ first of their common n-grams inside both *prefixes* (the first
 by the document frequency's power of two, then by hash.  Prefixes of rare
 n-grams meet few others, and an n-gram of one document meets none.
 
-1. Documents are cut into blocks (one packed row each).  Equal sets of a block
-   are kept once.  Frequencies are needed of a prefix's candidates only, so the
-   order puts the n-grams of a *band* (a quarter of hash space) first; a set
-   ships its band, and the smallest other hashes where its band is shorter than
-   its prefix.  Those others come after the band, by hash.
+1. Documents are cut into blocks, a packed row each: a word list and the word
+   codes of the block's distinct sets, which are smaller than n-gram hashes.
+   Equal sets of a block are kept once.
 2. Blocks send their distinct n-grams, with counts, to ranges of hash space;
    ranges answer with frequency classes.  A common n-gram is one entry a block,
    however many documents hold it.
@@ -53,8 +51,8 @@ from tessera.llm.components import connected_components
 SIZE = 3
 PERCENT = 90
 BLOCK_BYTES = 16 << 20  # text of one block
-RANGE_TOKENS = 1 << 21  # n-grams that one range of hash space answers for
-BAND = 4  # one hash in so many is in the band
+RANGE_TOKENS = 1 << 22  # n-grams that one range of hash space answers for
+PLACE_BITS = 27  # an n-gram's place in its range
 PARTS = 8  # parts of hash space for the suffix filter
 SIDE = 512  # pairs that read one copy of a set
 
@@ -65,10 +63,9 @@ def prefix_length(n, percent: int):
     return n + (percent * n) // -100 + 1
 
 
-def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
-    """The set of a text: sorted distinct hashes of its word n-grams."""
-    words = text.lower().split()  # bytes: A-Z only, ASCII white space
-    return np.unique(rolling(hashes.of(words), min(size, len(words)))) if words else np.empty(0, np.uint64)
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """The set of a text's word hashes: sorted distinct hashes of its word n-grams."""
+    return np.unique(rolling(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
 def _key(tokens: np.ndarray) -> bytes:
@@ -79,97 +76,106 @@ def _key(tokens: np.ndarray) -> bytes:
 
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("refs", pa.list_(pa.int32())),
                     ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("least", pa.list_(pa.int64())),
-                    ("shipped", pa.list_(pa.int32())), ("spread", pa.binary()), ("tokens", pa.binary()), ("n_tokens", pa.int64())])
+                    ("words", pa.binary()), ("codes", pa.binary()), ("lengths", pa.binary()), ("n_tokens", pa.int64())])
 _BLOCK_DDL = ("block long, ids array<long>, refs array<int>, keys array<binary>, sizes array<long>, least array<long>, "
-              "shipped array<int>, spread binary, tokens binary, n_tokens long")
+              "words binary, codes binary, lengths binary, n_tokens long")
 
 
 class _Block:
-    """The documents of one block and their distinct sets."""
+    """The documents of one block and their distinct sets, as word codes."""
 
-    def __init__(self, percent: int):
-        self.percent, self.bytes = percent, 0
-        self.ids, self.refs, self.known = [], [], {}
-        self.keys, self.sizes, self.least, self.shipped, self.spread = [], [], [], [], []
+    def __init__(self):
+        self.bytes, self.ids, self.refs, self.known, self.codes = 0, [], [], {}, {}
+        self.keys, self.sizes, self.least, self.coded = [], [], [], []
 
-    def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
+    def add(self, doc_id: int | None, text: bytes, size: int, hashes: WordHashes) -> None:
         self.ids.append(doc_id)
-        if not len(tokens):
+        self.bytes += len(text) + 64
+        words = text.lower().split()
+        if not words:
             self.refs.append(-1)
             return
-        key = _key(tokens)
-        ref = self.known.setdefault(key, len(self.keys))
+        tokens = _shingles(hashes.of(words), size)
+        ref = self.known.setdefault(_key(tokens), len(self.keys))
         self.refs.append(ref)
         if ref < len(self.keys):
             if doc_id is not None and (self.least[ref] is None or doc_id < self.least[ref]):
                 self.least[ref] = doc_id
             return
-        band = tokens % np.uint64(BAND) == 0
-        ship, short = tokens[band], prefix_length(len(tokens), self.percent) - int(band.sum())
-        if short > 0:
-            ship = np.concatenate([ship, tokens[~band][:short]])
-        self.keys.append(key)
+        self.keys.append(_key(tokens))
         self.sizes.append(len(tokens))
         self.least.append(doc_id)
-        self.shipped.append(ship)
-        self.spread.append(np.bincount((tokens >> _SHIFT).astype(np.int64), minlength=PARTS).astype("<i4"))
+        codes = self.codes
+        self.coded.append(np.fromiter((codes.setdefault(w, len(codes)) for w in words), "<u4", len(words)))
 
     def row(self, number: int) -> pa.RecordBatch:
-        tokens = np.concatenate([np.empty(0, np.uint64), *self.shipped])
-        spread = np.concatenate([np.empty(0, "<i4"), *self.spread])
         return pa.RecordBatch.from_pylist([{
             "block": number, "ids": self.ids, "refs": self.refs, "keys": self.keys, "sizes": self.sizes, "least": self.least,
-            "shipped": [len(s) for s in self.shipped], "spread": spread.tobytes(), "tokens": tokens.tobytes(),
-            "n_tokens": len(tokens)}], schema=_BLOCK)
+            "words": b" ".join(self.codes), "codes": np.concatenate([np.empty(0, "<u4"), *self.coded]).tobytes(),
+            "lengths": np.array([len(c) for c in self.coded], "<u4").tobytes(), "n_tokens": sum(self.sizes)}], schema=_BLOCK)
 
 
-def _to_blocks(size: int, percent: int, block_bytes: int):
+def _to_blocks(size: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block, number = WordHashes(), _Block(percent), TaskContext.get().partitionId() << 32
+        hashes, block, number = WordHashes(), _Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text"):
                 for doc_id, text in zip(part.column("id").to_pylist(), text_bytes(part.column("text"))):
-                    block.add(doc_id, shingles(text, size, hashes))
-                    block.bytes += len(text) + 64
+                    block.add(doc_id, text, size, hashes)
                     if block.bytes >= block_bytes:
                         yield block.row(number)
-                        block, number = _Block(percent), number + 1
+                        block, number = _Block(), number + 1
         if block.ids:
             yield block.row(number)
     return run
 
 
+def _block_sets(row: dict, size: int) -> list[np.ndarray]:
+    """The sets of a block, from its codes."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, row["words"].split()), np.uint64)
+    coded = hashes[np.frombuffer(row["codes"], "<u4")] if len(hashes) else hashes
+    ends = np.cumsum(np.frombuffer(row["lengths"], "<u4"), dtype=np.int64)
+    return [_shingles(h, size) for h in np.split(coded, ends[:-1])] if len(ends) else []
+
+
 # ---- document frequencies ----
 
 def _reduced(tokens: np.ndarray, bits: int) -> np.ndarray:
-    """The upper 32 + bits bits: the range, and an n-gram's place in it."""
-    return tokens >> np.uint64(32 - bits)
+    """The upper bits of hashes: the range, and an n-gram's place in it."""
+    return tokens >> np.uint64(64 - PLACE_BITS - bits)
 
 
-_ASK = pa.schema([("slot", pa.int64()), ("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary())])
+_ASK = pa.schema([("slot", pa.int64()), ("block", pa.int64()), ("places", pa.binary()), ("wide", pa.bool_()), ("counts", pa.binary())])
 
 
-def _ask(bits: int):
+def _ask(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, tokens in zip(batch.column("block").to_pylist(), batch.column("tokens")):
-                places, counts = np.unique(_reduced(np.frombuffer(tokens.as_buffer(), np.uint64), bits), return_counts=True)
+            for row in batch.to_pylist():
+                tokens = np.concatenate([np.empty(0, np.uint64), *_block_sets(row, size)])
+                places, counts = np.unique(_reduced(tokens, bits), return_counts=True)
                 counts = np.minimum(counts, 255).astype(np.uint8)
-                slots = (places >> np.uint64(32)).astype(np.int64)
+                slots = (places >> np.uint64(PLACE_BITS)).astype(np.int64)
+                places &= np.uint64((1 << PLACE_BITS) - 1)
                 cuts = np.flatnonzero(np.diff(slots)) + 1
-                rows = [{"slot": int(s[0]), "block": block, "places": p.astype("<u4").tobytes(), "counts": c.tobytes()}
-                        for s, p, c in zip(np.split(slots, cuts), np.split(places, cuts), np.split(counts, cuts)) if len(s)]
+                rows = []
+                for s, p, c in zip(np.split(slots, cuts), np.split(places, cuts), np.split(counts, cuts)):
+                    if len(s):
+                        steps = np.diff(p, prepend=np.uint64(0))
+                        wide = bool(steps.max() > 0xFFFF)
+                        rows.append({"slot": int(s[0]), "block": row["block"], "wide": wide,
+                                     "places": steps.astype("<u4" if wide else "<u2").tobytes(), "counts": c.tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, schema=_ASK)
     return run
 
 
 def _answer(group: pa.Table) -> pa.Table:
     """Frequency classes (power of two; 0: one set) of every block's n-grams in one range."""
-    asked = [np.frombuffer(p.as_buffer(), "<u4") for p in group.column("places")]
+    asked = [np.cumsum(np.frombuffer(p.as_buffer(), "<u4" if w else "<u2"), dtype=np.uint32)
+             for p, w in zip(group.column("places"), group.column("wide").to_pylist())]
     counts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint8) for c in group.column("counts")])
     _, at = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(at, counts)
-    classes = np.log2(total).astype(np.uint8)[at]
+    classes = np.log2(np.bincount(at, counts)).astype(np.uint8)[at]
     parts = np.split(classes, np.cumsum([len(a) for a in asked])[:-1])
     return pa.table({"block": group.column("block"), "slot": group.column("slot"),
                      "classes": pa.array([p.tobytes() for p in parts], pa.binary())})
@@ -182,36 +188,35 @@ _ENTRY = pa.schema([("token", pa.int64()), ("key", pa.binary()), ("n", pa.int64(
 _ENTRY_DDL = "token long, key binary, n long, pos long, " + ", ".join(f"s{i} int" for i in range(PARTS))
 
 
-def _entries(bits: int, percent: int):
+def _entries(size: int, bits: int, percent: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(blocks):
-            return _ENTRY.empty_table()
-        row = blocks.select(["keys", "sizes", "shipped", "spread", "tokens"]).to_pylist()[0]
-        tokens = np.frombuffer(row["tokens"], np.uint64)
-        if not len(tokens):
+        sets = _block_sets(row := blocks.to_pylist()[0], size) if len(blocks) else []
+        if not sets:
             return _ENTRY.empty_table()
         by_slot = sorted(zip(answers.column("slot").to_pylist(), answers.column("classes").to_pylist()))
         classes = np.frombuffer(b"".join(c for _, c in by_slot), np.uint8)
-        _, at = np.unique(_reduced(tokens, bits), return_inverse=True)
-        rank = classes[at]
-        rank[tokens % np.uint64(BAND) != 0] = 255  # outside the band: after it, by hash
-        sizes, shipped = np.array(row["sizes"]), np.array(row["shipped"])
-        owner = np.repeat(np.arange(len(sizes)), shipped)
-        order = np.lexsort((tokens, rank, owner))
-        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(shipped) - shipped, shipped)
-        inside = pos < prefix_length(sizes, percent)[owner]
-        tokens, rank, owner, pos = tokens[order][inside], rank[order][inside], owner[inside], pos[inside]
-        part = np.zeros((len(tokens), PARTS), np.int32)  # spread of the prefix up to each entry
-        part[np.arange(len(tokens)), (tokens >> _SHIFT).astype(np.int64)] = 1
-        part = np.cumsum(part, axis=0, dtype=np.int32)
-        first = np.searchsorted(owner, np.arange(len(sizes)))  # every set has a prefix
-        before = np.vstack([np.zeros((1, PARTS), np.int32), part])[first]
-        left = np.frombuffer(row["spread"], "<i4").reshape(-1, PARTS)[owner] - (part - before[owner])
-        shared = np.flatnonzero(rank > 0)
-        owner = owner[shared]
-        return pa.table([pa.array(tokens[shared].view(np.int64)), pa.array([row["keys"][k] for k in owner.tolist()], pa.binary()),
-                         pa.array(sizes[owner]), pa.array(pos[shared]),
-                         *[pa.array(np.ascontiguousarray(left[shared, i])) for i in range(PARTS)]], schema=_ENTRY)
+        places = np.unique(_reduced(np.concatenate(sets), bits))
+        out = []
+        for key, tokens in zip(row["keys"], sets):
+            rank = classes[np.searchsorted(places, _reduced(tokens, bits))].astype(np.uint64)
+            # rare first, then by hash; sets are sorted, so the order of equal upper bits is the same everywhere
+            order = np.argsort((rank << np.uint64(58)) | (tokens >> np.uint64(6)), kind="stable")[:prefix_length(len(tokens), percent)]
+            rank, prefix = rank[order], tokens[order]
+            shared = np.flatnonzero(rank)
+            if len(shared):
+                part = np.zeros((len(prefix), PARTS), np.int32)
+                part[np.arange(len(prefix)), (prefix >> _SHIFT).astype(np.int64)] = 1
+                whole = np.bincount((tokens >> _SHIFT).astype(np.int64), minlength=PARTS).astype(np.int32)
+                left = (whole - np.cumsum(part, axis=0, dtype=np.int32))[shared]
+                out.append((prefix[shared].view(np.int64), key, len(tokens), shared, left))
+        if not out:
+            return _ENTRY.empty_table()
+        times = [len(o[0]) for o in out]
+        left = np.concatenate([o[4] for o in out])
+        return pa.table([pa.array(np.concatenate([o[0] for o in out])),
+                         pa.array([o[1] for o, k in zip(out, times) for _ in range(k)], pa.binary()),
+                         pa.array(np.repeat([o[2] for o in out], times)), pa.array(np.concatenate([o[3] for o in out])),
+                         *[pa.array(np.ascontiguousarray(left[:, i])) for i in range(PARTS)]], schema=_ENTRY)
     return run
 
 
@@ -268,7 +273,7 @@ def _sets(size: int):
         hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingles(t, size, hashes) for t in text_bytes(part.column("text"))]
+                sets = [_shingles(hashes.of(t.lower().split()), size) for t in text_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()),
                                                   pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
     return run
@@ -302,13 +307,15 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col
                block_bytes: int = BLOCK_BYTES, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """(id, n, component_id): size of a document's set and the smallest id it is linked with, directly or not."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = written(arrow_map(rows, _to_blocks(size, percent, block_bytes), _BLOCK_DDL), "jaccard-blocks")
+    blocks = written(arrow_map(rows, _to_blocks(size, block_bytes), _BLOCK_DDL), "jaccard-blocks")
     total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    bits = min(32, max(0, int(total // range_tokens)).bit_length())
+    bits = min(64 - PLACE_BITS, int(total // range_tokens).bit_length())
 
-    asked = arrow_map(blocks.select("block", "tokens"), _ask(bits), "slot long, block long, places binary, counts binary")
+    asked = arrow_map(blocks.select("block", "words", "codes", "lengths"), _ask(size, bits),
+                      "slot long, block long, places binary, wide boolean, counts binary")
     answers = asked.groupBy("slot").applyInArrow(_answer, "block long, slot long, classes binary")
-    entries = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_entries(bits, percent), _ENTRY_DDL)
+    entries = blocks.select("block", "keys", "words", "codes", "lengths").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _entries(size, bits, percent), _ENTRY_DDL)
     entries = written(entries.distinct(), "jaccard-entries")  # sets that several blocks hold
 
     shared = entries.select("token", "key").join(
