@@ -14,8 +14,9 @@ per language.
    threshold is ever taken off a counter, so every n-gram that reaches it
    survives; memory is bounded by the range's mass, which the number of ranges
    keeps alike at every corpus size.  Blocks are told which of theirs survive.
-3. Blocks count the survivors exactly, by their words, and the counts are
-   summed: a false survivor (error or equal hash) falls below the threshold.
+3. Blocks count the survivors exactly, by their words, and send words and counts
+   packed to the same ranges, which sum them: a false survivor (error or equal
+   hash) falls below the threshold.
 4. A phrase inside a longer one of the same count is dropped; the others get the
    lowest of the scores of their cuts, in exact decimal arithmetic.
 
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -207,7 +209,8 @@ def _answer(threshold: int):
 
 # ---- pass two: exact counts ----
 
-_COUNT = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+_COUNT = pa.schema([("slot", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_TOTAL = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
 def _count(longest: int, bits: int):
@@ -228,27 +231,46 @@ def _count(longest: int, bits: int):
             slots, cuts = _slots(n, keys)
             alive = np.concatenate([np.unpackbits(np.frombuffer(told[int(s[0])], np.uint8), count=len(s)).astype(bool)
                                     for s in np.split(slots, cuts)])
-            starts = starts[alive[at]]
+            may = alive[at]
             if n > 1:  # a frequent n-gram begins and ends with frequent ones
-                starts = starts[known[starts] & known[starts + 1]]
+                may &= known[starts] & known[starts + 1]
+            starts, at = starts[may], at[may]
             known = np.zeros(len(grams.codes) + 1, bool)
             known[starts] = True
             if not len(starts):
                 break
             pair = ids[starts] * size + grams.codes[starts + n - 1]
-            _, first, at, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+            _, first, same, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
             ids = np.zeros(len(grams.codes), np.uint64)
-            ids[starts] = at
-            first = starts[first]
+            ids[starts] = same
+            slot, first = slots[at[first]], starts[first]
+            lang = grams.lang_at[first]
+            order = np.lexsort((lang, slot))
+            first, slot, lang, counts = first[order], slot[order], lang[order], counts[order]
             words = [[grams.words[c] for c in grams.codes[first + j].tolist()] for j in range(n)]
-            phrases = pa.array(list(map(b" ".join, zip(*words))), pa.binary())
-            langs = pa.array(row["langs"]).take(pa.array(grams.lang_at[first]))
-            out.append(pa.table([langs, pa.array(np.full(len(first), n, np.int32)), phrases.cast(pa.string()), pa.array(counts)],
-                                schema=_COUNT))
+            phrases = list(map(b" ".join, zip(*words)))
+            cuts = [0, *(np.flatnonzero((np.diff(slot) != 0) | (np.diff(lang) != 0)) + 1).tolist(), len(first)]
+            offsets = pa.array(cuts, pa.int32())
+            out.append(pa.table([slot[cuts[:-1]], pa.array(row["langs"], pa.string()).take(pa.array(lang[cuts[:-1]])),
+                                 pa.ListArray.from_arrays(offsets, pa.array(phrases, pa.binary()).cast(pa.string())),
+                                 pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))], schema=_COUNT))
         return pa.concat_tables(out) if out else _COUNT.empty_table()
     return run
 
 
+def _sum(threshold: int):
+    def run(group: pa.Table) -> pa.Table:
+        """The totals of one range and language that reach the threshold."""
+        flat = pa.table({c: pc.list_flatten(group.column(c).combine_chunks()) for c in ("phrases", "counts")})
+        total = flat.group_by("phrases").aggregate([("counts", "sum")])
+        total = total.filter(pc.greater_equal(total.column("counts_sum"), threshold))
+        size = len(total)
+        return pa.table([pa.array([group.column("lang")[0].as_py()] * size, pa.string()),
+                         pa.array([group.column("slot")[0].as_py() >> _LEVEL] * size, pa.int32()),
+                         total.column("phrases"), total.column("counts_sum")], schema=_TOTAL)
+    return run
+
+
 def frequent(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD, lang_col: str = "lang", text_col: str = "text",
              block_bytes: int = BLOCK_BYTES, range_mass: int = RANGE_MASS) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f): every phrase of 1 to ``longest`` words found ``threshold`` times or more; and (lang, n): words in all."""
@@ -261,8 +283,8 @@ def frequent(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD
     asked = arrow_map(blocks, _ask(longest, threshold, bits), _ASK_DDL)
     answers = asked.groupBy("slot").applyInArrow(_answer(threshold), "block long, slot long, bits binary")
     counts = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _count(longest, bits), "lang string, k int, phrase string, f long")
-    found = counts.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
+        _count(longest, bits), "slot long, lang string, phrases array<string>, counts array<long>")
+    found = counts.groupBy("slot", "lang").applyInArrow(_sum(threshold), "lang string, k int, phrase string, f long")
     return written(found, "phrase-counts"), words
 
 
