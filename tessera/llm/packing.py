@@ -7,10 +7,10 @@ two cuts the stream every ``length`` ids; each piece is a boundary record that
 tells its window, its place there and whether the document goes on before or
 after it.  Only the very last window is not full.
 
-The tokenizer (lower case; white space dropped; letters, digits and
-punctuation apart) works inside white space, so ids are looked up by word, and
-what is new is tokenized by its core and edges, once per worker (a bounded
-cache).  Only tokenizers of that kind fit; ``check`` tells.
+The tokenizer (lower case; white space dropped) works inside white space, so
+words are numbered, new ones are tokenized many at a time, and the ids of a
+slice of texts are gathered by number.  A worker keeps a bounded number of
+words.  Only tokenizers of that kind fit; ``check`` tells.
 
 Null and empty texts have only the end mark.  Repeated rows are packed again;
 an empty table gives no pieces; texts of any length are cut as often as
@@ -20,9 +20,9 @@ needed; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +34,30 @@ from tessera.llm.common import arrow_map, partition_starts, slices, text_bytes,
 
 LENGTH = 4096
 END_ID = 2
-CACHE_WORDS = 1 << 18  # whole words kept: cheap to put together again from their parts
-CACHE_PARTS = 1 << 20  # parts kept: dear to tokenize anew
-
+CACHE_WORDS = 1 << 19  # words whose ids a worker keeps; beyond them the older half goes
 
 _MARK = b"\x01"  # stands between words that are tokenized together
-_EDGE = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # split from letters and digits by the tokenizer
 _TOGETHER, _AT_ONCE = 128, 64  # words in one string, strings in one call
+_STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?][ \n])")  # the tokenizer parts a letter or digit from a lone sign behind it
+_END = b""  # no word is empty: stands for the end id
+
+
+class _Numbers(dict):
+    """word -> its number, given when it is first met; ``new`` lists those without ids yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
 
-class WordIds(dict):
-    """word bytes -> its ids as little-endian 16- or 32-bit bytes."""
+class WordIds:
+    """Ids by word: the numbered words' ids stand one after the other in ``flat``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,96 +65,100 @@ class WordIds(dict):
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         # a word's ids do not depend on its neighbours, so words go through in
         # strings of many, cut again at the id of a mark that is a word of its own
-        mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
+        mark = self.encode(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self.check()
+        self.numbers = _Numbers()
+        self.numbers[_END] = 0
+        self.flat, self.starts = np.array([end_id], self.dtype), np.array([0, 1])  # a word's ids end where the next one's begin
 
-        self.parts: dict[bytes, bytes] = {}  # of cores and edges of words
+    def encode(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
 
     def check(self) -> None:
         """Raise when the tokenizer does not work word by word and in lower case."""
-        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        for text in ("Ab cd", "(Abc), \u00e9t\u00e9. x--12;", "a\n\tB %%c"):
-            apart = [i for w in text.split() for p in _pieces(w.encode()) if p for i in whole(p.decode())]
-            if whole(text) != apart:
-                raise ValueError("this tokenizer does not split at white space and punctuation or keeps case")
-
-    def tokenize(self, words: list[bytes]) -> None:
-        """Put the ids of some cores, edges or whole words into ``parts``."""
-        joined = [words[i:i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
-        between, width = b" " + _MARK + b" ", self.dtype.itemsize
+        for text in (b"Ab cd", "(Abc), \u00e9t\u00e9. x--12;".encode(), b"a\n\tB %%c"):
+            if self.encode(text) != [i for w in text.lower().split() for i in self.encode(w)]:
+                raise ValueError("this tokenizer does not split at white space or keeps case")
+
+    def tokenize(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has."""
+        ids, counts = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        between, joined = b" " + _MARK + b" ", [words[i:i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
         for i in range(0, len(joined), _AT_ONCE):
-            part = joined[i:i + _AT_ONCE]
-            texts = [between.join(ws).decode("utf-8", "replace") for ws in part]
-            for ws, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, self.dtype)
-                cuts = (np.flatnonzero(ids == self.mark) * width).tolist()
-                data, begin = ids.tobytes(), 0
-                for w, end in zip(ws, [*cuts, len(data)], strict=True):
-                    self.parts[w] = data[begin:end]
-                    begin = end + width
-
-    def learn(self, words: set[bytes]) -> None:
-        cut = {w: _pieces(w) for w in words}
-        plain = {p for w, pieces in cut.items() if pieces for p in pieces if p and p not in self.parts}
-        if len(self.parts) + len(plain) > CACHE_PARTS:
-            self.parts.clear()
-            plain = {p for pieces in cut.values() if pieces for p in pieces if p}
-        if self.mark is not None:
-            self.tokenize(list(plain))
-        for w, pieces in cut.items():
-            if pieces and self.mark is not None:
-                self[w] = b"".join([self.parts[p] for p in pieces if p])
-            else:
-                ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-                self[w] = np.array(ids, self.dtype).tobytes()
-
-    def of_all(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of every text."""
-        words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self}
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = {w for ws in words for w in ws}
-        self.learn(new)
-        return [b"".join(map(self.__getitem__, ws)) for ws in words]
-
-
-def _pieces(word: bytes) -> tuple[bytes, bytes, bytes] | None:
-    """Punctuation before, core with A-Z lower-cased, punctuation after; None
-    where a word must be tokenized as it is (contractions, special tokens, the mark)."""
-    if b"'" in word or b"<|" in word or _MARK in word:
-        return None
-    core = word.strip(_EDGE)
-    if core and not core.isalnum():  # bytes: not all ASCII
-        text = normalize("NFC", core.decode("utf-8", "replace")).lower()
-        if not (text[0].isalnum() and text[-1].isalnum()):
-            return None  # e.g. a combining mark, which belongs to the punctuation beside it
-    at = word.find(core) if core else len(word)
-    return word[:at], core.lower(), word[at + len(core):]
+            texts = [between.join([*ws, b""]).decode("utf-8", "replace") for ws in joined[i:i + _AT_ONCE]]  # a mark after each
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                found = np.array(e.ids, self.dtype)
+                marks = found == self.mark
+                ids.append(found[~marks])
+                counts.append(np.diff(np.flatnonzero(marks), prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Add the ids of new words, which have the numbers that follow."""
+        alone = {k for k, w in enumerate(words) if self.mark is None or b"<|" in w or _MARK in w}  # special tokens, the mark
+        ids, counts = self.tokenize([w for k, w in enumerate(words) if k not in alone])
+        if alone:
+            rest, sizes, at = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []), [], []
+            for k, w in enumerate(words):
+                at.append(np.array(self.encode(w), self.dtype) if k in alone else next(rest))
+                sizes.append(len(at[-1]))
+            ids, counts = np.concatenate(at), np.array(sizes, np.int64)
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+
+    def evict(self) -> None:
+        """Forget the older half of the words."""
+        kept = [_END, *list(self.numbers)[len(self.numbers) // 2:]]
+        old = np.array([self.numbers[w] for w in kept])
+        self.numbers = _Numbers()
+        for w in kept:
+            self.numbers.setdefault(w, len(self.numbers))
+        self.flat, self.starts = self.gather(old)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, and where each word's begin, the end as last."""
+        counts = (self.starts[1:] - self.starts[:-1])[numbers]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return self.flat[np.repeat(self.starts[numbers] - ends[:-1], counts) + np.arange(ends[-1])], ends
+
+    def of_all(self, texts: list[bytes], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after the other (each with the end id behind it, if asked for), and
+        where each text's begin, the end as last.  A-Z go to lower case and signs at the end of a word
+        apart first, so that there are fewer words, but for texts that may hold a special token."""
+        if len(self.numbers) > CACHE_WORDS:
+            self.evict()
+        tail, words, ends = [_END] * end, [], [0]
+        for t in texts:
+            words += (t if b"<|" in t else _STOP.sub(b" ", t.lower())).split()
+            words += tail
+            ends.append(len(words))
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        self.learn(self.numbers.new)
+        self.numbers.new.clear()
+        ids, starts = self.gather(numbers)
+        return ids, starts[ends]
 
 
 @lru_cache(1)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def _word_ids(path: str, end_id: int) -> WordIds:
+    return WordIds(path, end_id)
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, pid, before = _word_ids(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], ids.dtype).tobytes()
+        words, pid, before = _word_ids(path, end_id), TaskContext.get().partitionId(), 0
+        width = words.dtype.itemsize
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = text_bytes(part.column("text"))
-                tokens = [t + end for t in ids.of_all(texts)]
-                counts = np.array([len(t) // ids.dtype.itemsize for t in tokens], np.int64)
-                ends = before + np.cumsum(counts)
+                ids, starts = words.of_all(text_bytes(part.column("text")), end=True)
+                size = part.num_rows
+                tokens = pa.Array.from_buffers(pa.large_binary(), size, [None, pa.py_buffer(starts * width), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(np.full(len(counts), pid, np.int32)), pa.array(ends - counts),
-                     pa.array(counts), pa.array(tokens, pa.binary()),
-                     pa.array(np.full(len(counts), ids.dtype.itemsize, np.int32))],
+                    [part.column("id"), pa.array(np.full(size, pid, np.int32)), pa.array(before + starts[:-1]),
+                     pa.array(np.diff(starts)), tokens.cast(pa.binary()), pa.array(np.full(size, width, np.int32))],
                     names=["id", "pid", "at", "n", "tokens", "width"])
-                before = int(ends[-1])
+                before += int(starts[-1])
     return run
 
 
