@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ustrip
+from tessera.operators import terms
 from tessera.operators.ordering import global_rank, with_previous
 
 # ---------------------------------------------------------------------------
@@ -22,6 +23,7 @@ COMPACT_INSTRUCTION = (
 HARD_WORDS = ("suponiendo, sorprendente, discretas, medida busca protegerla, conquistaron, "
               "relacionados, fuente, dispositivo, los aliados, ofrecer, conocida, fronterizo, apoyo, "
               "aparcamiento, señalar, además")
+TOKEN = r"[\p{L}\p{N}]+"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 HEADING = r"^(#+)\s+(.*)$"
 VOCAB_INTRO = ("I am going to provide a transcript of two speakers learning Spanish. Read it carefully. "
@@ -67,66 +69,28 @@ def token_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), TOKEN_SPLIT, " "))
 
 
-def _anchors(tt: Column) -> Column:
-    """Distinct single tokens and token pairs of a ``token_text``: a phrase can
-    only occur where its first two tokens (or its only one) do."""
-    t = F.split(tt, " ")
-    pairs = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t)),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(t, pairs))
-
-
-def _matches(docs: DataFrame, words: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    """(key, text, terms): per document the list terms (structs of term and
-    ``more``) whose anchor it holds.
-
-    One algorithm for every list size and phrase length: documents are reduced
-    to distinct anchors inside their own row, the anchors are equi-joined with
-    the list (Spark broadcasts it when it is small), and what is found goes
-    back to the document.  Terms are compared as tokens, so case, punctuation
-    and inner spaces do not matter.
-    """
-    terms = words.select(token_text(F.col("term")).alias("term"), *more).filter(F.col("term") != "")
-    if more:
-        terms = terms.groupBy("term").agg(*[F.min(m).alias(m) for m in more])
-    else:
-        terms = terms.distinct()
-    terms = terms.withColumn("_anchor", F.substring_index("term", " ", 2))
-    found = docs.select(key, F.explode(_anchors(token_text(F.col(text)))).alias("_anchor")) \
-        .join(terms, "_anchor").groupBy(key).agg(F.collect_set(F.struct("term", *more)).alias("terms"))
-    return docs.select(key, text).join(found, key)
-
-
 def hard_words(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, n): how often the terms of ``words(term)``, single words
-    or phrases of any length, occur in each document (overlaps count).  An
-    empty list finds nothing; ``key`` must be unique."""
-    # tokens with a space of their own on either side, so matches share none
-    spaced = F.concat(F.lit(" "), F.replace(token_text(F.col(text)), F.lit(" "), F.lit("  ")), F.lit(" "))
-    hits = _matches(docs, words, key, text).select(key, spaced.alias("_s"), F.explode("terms.term").alias("term"))
-    n = F.regexp_count("_s", F.concat(F.lit("(?= "), F.replace("term", F.lit(" "), F.lit("  ")), F.lit(" )")))
-    return hits.select(key, "term", n.cast("bigint").alias("n")).filter("n > 0")
+    or phrases of any length, occur in each document (overlaps count).  Terms
+    are compared as tokens, so case, punctuation and inner spaces do not
+    matter.  An empty list and null texts find nothing."""
+    listed = words.select(token_text(F.col("term")).alias("term")).filter(F.col("term") != "")
+    return terms.count_terms(docs, key, token_text(F.col(text)), listed)
 
 
-def gloss(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def gloss(docs: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
     """The text with ``||(gloss)||`` after every list term that has a gloss
-    in ``words(term, gloss)``; of overlapping terms the longest first one wins.
-    Documents without a term are returned unchanged; ``key`` must be unique."""
-    listed = words.filter(F.coalesce(ustrip(F.col("gloss")), F.lit("")) != "")
-    m = _matches(docs, listed, key, text, "gloss")
-    by_size = F.array_sort("terms", lambda a, b: F.when(F.length(a["term"]) > F.length(b["term"]), -1)
-                           .when(F.length(a["term"]) < F.length(b["term"]), 1)
-                           .when(a["term"] < b["term"], -1).otherwise(1))
-    any_term = F.array_join(F.transform(by_size, lambda t: F.replace(t["term"], F.lit(" "), F.lit(TOKEN_SPLIT))), "|")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), any_term, F.lit(r")(?![\p{L}\p{N}])"))
-    m = m.select(key, text, F.map_from_entries("terms").alias("_gloss"), pattern.alias("_p"))
-    m = m.select(key, "_gloss", F.regexp_extract_all(F.col(text), F.col("_p"), 1).alias("_hit"),
-                 F.split(F.col(text), F.col("_p"), -1).alias("_rest"))
-    marked = F.zip_with("_rest", F.transform("_hit", lambda h: F.concat(h, F.coalesce(F.concat(
-        F.lit(" ||("), F.element_at("_gloss", token_text(h)), F.lit(")||")), F.lit("")))),
-        lambda rest, hit: F.concat(rest, F.coalesce(hit, F.lit(""))))
-    found = m.select(key, F.array_join(marked, "").alias("_glossed"))
-    return docs.join(found, key, "left").withColumn(text, F.coalesce("_glossed", text)).select(*docs.columns)
+    in ``words(term, gloss)``; of overlapping terms the first, and of those that
+    begin together the longest, wins.  Documents without a term and null texts
+    are returned unchanged; of several glosses of a term the smallest counts."""
+    own = lambda t: F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
+    listed = words.filter(F.coalesce(ustrip(F.col("gloss")), F.lit("")) != "").select(
+        F.array_join(F.transform(own(F.col("term")), lambda t: F.lower(t)), " ").alias("term"), F.col("gloss").alias("note"))
+    return terms.annotate(docs, text, listed.filter(F.col("term") != ""), gloss_mark)
+
+
+def gloss_mark(note: str) -> str:
+    return f" ||({note})||"
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
