@@ -103,3 +103,75 @@ def stream_watermark(spark, sf_dir):
         d = jobs.dedup_within_watermark(stories, "3650 days").select("link")
         jobs._run(d.writeStream.format("parquet").option("path", out), ckpt)
     return spark.read.parquet(out)
+
+
+LATE_PARTS, LATE_HOURS = 4, 36
+_ARRIVES = "epoch_us(ts) + CASE WHEN event_id % 10 = 0 THEN 6 * 86400000000 ELSE 0 END"
+
+
+def _stories_sql() -> str:
+    """Micro-batch after micro-batch: watermark, late rows, state, closed stories."""
+    age = f"INTERVAL {LATE_HOURS} HOUR"
+    steps = [f"""WITH e AS (SELECT 'https://news.example/s/' || json_extract_string(props, '$.k') AS link, event_id, ts,
+  {_ARRIVES} AS arrives FROM events WHERE event_type = 'view'),
+r AS (SELECT min(arrives) AS lo, max(arrives) + 1 - min(arrives) AS span FROM e),
+b AS (SELECT e.*, CASE {' '.join(f'WHEN arrives < lo + span * {i + 1} // {LATE_PARTS} THEN {i}' for i in range(LATE_PARTS))} END AS batch FROM e, r),
+c0 AS (SELECT NULL::TIMESTAMP AS seen), o0 AS (SELECT link, ts AS first_ts, event_id AS first_event, ts AS last_ts, 1 AS n FROM b WHERE false)"""]
+    for i in range(LATE_PARTS):
+        steps.append(f"""
+l{i} AS (SELECT link, event_id, ts FROM b, c{i} WHERE batch = {i} AND ts < seen - {age}),
+s{i} AS (SELECT link, min(first_ts) AS first_ts, arg_min(first_event, (first_ts, first_event)) AS first_event, max(last_ts) AS last_ts, sum(n) AS n
+  FROM (SELECT * FROM o{i} UNION ALL SELECT link, ts, event_id, ts, 1 FROM b, c{i} WHERE batch = {i} AND (seen IS NULL OR ts >= seen - {age}))
+  GROUP BY link),
+c{i + 1} AS (SELECT greatest(max(last_ts), (SELECT seen FROM c{i})) AS seen FROM s{i}),
+d{i} AS (SELECT s{i}.* FROM s{i}, c{i + 1} WHERE last_ts < seen - {age}),
+o{i + 1} AS (SELECT s{i}.* FROM s{i}, c{i + 1} WHERE last_ts >= seen - {age})""")
+    parts = [f"SELECT 'late' AS kind, link, event_id AS first_event, ts AS last_ts, 1 AS n FROM l{i}" for i in range(LATE_PARTS)]
+    parts += [f"SELECT 'closed', link, first_event, last_ts, n FROM d{i}" for i in range(LATE_PARTS)]
+    parts += [f"SELECT 'open', link, first_event, last_ts, n FROM o{LATE_PARTS}"]
+    return ",".join(steps) + "\nSELECT kind, link, first_event, last_ts, n::BIGINT AS n FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("stream_late", oracle=_stories_sql())
+def stream_late(spark, sf_dir):
+    """T-4: stories by event time; every tenth event arrives six days late, the watermark is 36 hours."""
+    views = Tables(spark, sf_dir).events.where("event_type = 'view'").select(
+        F.concat(F.lit("https://news.example/s/"), F.get_json_object("props", "$.k")).alias("link"), "event_id", "ts",
+        (F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 10 == 0, 6 * 86_400_000_000).otherwise(0)).alias("arrives"))
+    out, ckpt = jobs.run_dirs(spark, "stream-late")
+    for stream in jobs.arrivals(views, shared_dir(spark, "late-files"), "arrives", parts=LATE_PARTS):
+        jobs.stream_stories(stream, out, ckpt, LATE_HOURS)
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    last = read("open").agg(F.max("batch_id")).first()[0]
+    late = read("late").select(F.lit("late").alias("kind"), "link", F.col("event_id").alias("first_event"), F.col("ts").alias("last_ts"),
+                               F.lit(1).cast("long").alias("n"))
+    closed = read("closed").select(F.lit("closed").alias("kind"), "link", "first_event", "last_ts", "n")
+    left = read("open").where(F.col("batch_id") == last).select(
+        F.lit("open").alias("kind"), "link", F.col("first.event_id").alias("first_event"), "last_ts", "n")
+    return late.unionByName(closed).unionByName(left)
+
+
+MAX_ATTEMPTS = 4
+
+
+def busy_send(payload: str, attempt: int) -> str:
+    """Stand-in for a message service: every seventh story is refused up to five times."""
+    story = int(payload)
+    if story % 7 == 0 and attempt <= story // 7 % 6:
+        raise ConnectionError("busy")
+    return "sent"
+
+
+@query("stream_retries", oracle=f"""WITH {_PAIRS},
+t AS (SELECT queue_id, enq_seq AS story, CASE WHEN enq_seq % 7 = 0 THEN enq_seq // 7 % 6 ELSE 0 END AS refused FROM pairs)
+SELECT queue_id, story, least(refused + 1, {MAX_ATTEMPTS})::INTEGER AS attempts, refused < {MAX_ATTEMPTS} AS delivered FROM t""")
+def stream_retries(spark, sf_dir):
+    """T-5: popped stories are delivered; refused ones are tried again, later each time, and given up after four attempts."""
+    popped = _run_fifo(spark, sf_dir)
+    schema = spark.read.parquet(popped).select("queue_id", "enq_seq").schema
+    stories = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(popped).select(
+        "queue_id", F.col("enq_seq").alias("story"), F.col("enq_seq").cast("string").alias("payload"))
+    out, ckpt = jobs.run_dirs(spark, "stream-retries")
+    jobs.stream_retry(stories, busy_send, out, ckpt, MAX_ATTEMPTS)
+    jobs.settle(spark, busy_send, out, MAX_ATTEMPTS)
+    return spark.read.parquet(f"{out}/settled").select("queue_id", "story", "attempts", "delivered")

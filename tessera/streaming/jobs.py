@@ -8,6 +8,8 @@
 * ``stream_fifo``: the shared queue (T-3) as ``foreachBatch`` over the batch
   operator's chunked scan, with the pending stories carried from micro-batch
   to micro-batch in a table.
+* ``stream_stories``: open stories with event-time timers, expiry and a side output of late events (T-4).
+* ``stream_retry``: deliveries tried again with an attempt ledger until each is settled (T-5).
 * ``stream_deliver``: deliveries, and re-queueing of those that fail (T-5).
 * ``dedup_within_watermark``: the bounded variant of never-send-twice: keeps
   the first event per link while the watermark (= maximum age) holds it (T-4).
@@ -164,6 +166,103 @@ def stream_deliver(popped: DataFrame, send, out_dir: str, ckpt: str, key: str =
     _run(popped.writeStream.foreachBatch(per_batch), ckpt)
 
 
+def _written(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """What a micro-batch wrote to its folder; None before the first one."""
+    return spark.read.parquet(f"{folder}/batch_id={batch_id}") if batch_id >= 0 else None
+
+
+# ---------------------------------------------------------------------------
+# T-4: event time, late rows and expiry
+# ---------------------------------------------------------------------------
+def stream_stories(events: DataFrame, out_dir: str, ckpt: str, max_age_hours: float) -> None:
+    """Follow every link of a stream of ``link, event_id, ts`` from its first event until
+    it has been silent for ``max_age_hours`` of event time.
+
+    The watermark of a micro-batch is the latest event time of the earlier
+    ones less the age.  Events before it are late: they go to ``out_dir/late``
+    and change nothing else.  The others update the open stories (link, first
+    event, last event time, number of events); when a micro-batch has moved
+    the watermark past a story's last event, the story's timer fires: it
+    leaves the state for ``out_dir/closed``.  A link that comes back later is a
+    new story.  ``out_dir/open`` holds the state after each micro-batch and
+    ``out_dir/clock`` its event time.  State, outputs and clock belong to the
+    micro-batch, so a retry rewrites the same rows; the state holds one row a
+    link, and only links younger than the age.
+    """
+    from tessera.session import materialize
+
+    spark = events.sparkSession
+    age = F.expr(f"make_dt_interval(0, 0, 0, {max_age_hours * 3600})")
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        clock, held = (_written(spark, f"{out_dir}/{name}", batch_id - 1) for name in ("clock", "open"))
+        before = clock.first()["seen"] if clock is not None else None  # one value a micro-batch
+        rows = batch.select("link", "event_id", "ts")
+        late = F.lit(False) if before is None else F.coalesce(F.col("ts") < F.lit(before) - age, F.lit(False))
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
+        put(rows.where(late), "late")
+        new = rows.where(~late & F.col("ts").isNotNull()).select(
+            "link", F.struct("ts", "event_id").alias("first"), F.col("ts").alias("last_ts"), F.lit(1).cast("long").alias("n"))
+        both = new if held is None else held.unionByName(new)
+        state = materialize(both.groupBy("link").agg(F.min("first").alias("first"), F.max("last_ts").alias("last_ts"),
+                                                     F.sum("n").alias("n")), "open-stories")
+        put(state.agg(F.greatest(F.max("last_ts"), F.lit(before).cast(state.schema["last_ts"].dataType)).alias("seen")), "clock")
+        seen = _written(spark, f"{out_dir}/clock", batch_id).first()["seen"]
+        silent = F.lit(False) if seen is None else F.col("last_ts") < F.lit(seen) - age
+        put(state.where(silent).select("link", F.col("first.event_id").alias("first_event"), "last_ts", "n"), "closed")
+        put(state.where(~silent), "open")
+
+    _run(events.writeStream.foreachBatch(per_batch), ckpt)
+
+
+# ---------------------------------------------------------------------------
+# T-5: deliveries that are tried again
+# ---------------------------------------------------------------------------
+def deliver_due(new: DataFrame | None, spark: SparkSession, send, out_dir: str, round_id: int, max_attempts: int) -> None:
+    """One round of deliveries with an attempt ledger.
+
+    The ledger after a round (``out_dir/ledger``) holds each story (a unique id)
+    that is not settled: ``queue_id, story, payload, attempts, next_round``.  A round adds
+    ``new`` stories, tries those that are due with ``send(payload, attempt)``,
+    and settles what was delivered or has been tried ``max_attempts`` times
+    (``out_dir/settled``: ``queue_id, story, attempts, delivered``).  What failed is due
+    again after 1, 2, 4, ... rounds.  A round reads the ledger before it and
+    writes folders of its own, so a round that is run again gives the same rows.
+    """
+    from tessera.operators.complete import batch_complete
+    from tessera.session import materialize
+
+    spark.range(1).write.mode("overwrite").parquet(f"{out_dir}/rounds/batch_id={round_id}")
+    ledger = _written(spark, f"{out_dir}/ledger", round_id - 1)
+    if new is not None:
+        new = new.select("queue_id", "story", "payload", F.lit(0).alias("attempts"), F.lit(round_id).alias("next_round"))
+        ledger = new if ledger is None else ledger.unionByName(new)
+    due = ledger.where(F.col("next_round") <= round_id)
+    call = due.select("story", F.concat_ws("\n", F.col("attempts") + 1, "payload").alias("call"))
+    sent = materialize(batch_complete(call, "story", "call", lambda c: send(c.partition("\n")[2], int(c.partition("\n")[0]))), "attempts")
+    tried = due.join(sent.select("story", F.col("error").isNull().alias("delivered")), "story").withColumn("attempts", F.col("attempts") + 1)
+    done = F.col("delivered") | (F.col("attempts") >= max_attempts)
+    tried.where(done).select("queue_id", "story", "attempts", "delivered").write.mode("overwrite") \
+        .parquet(f"{out_dir}/settled/batch_id={round_id}")
+    again = tried.where(~done).withColumn("next_round", (F.lit(round_id) + F.pow(F.lit(2), F.col("attempts") - 1)).cast("int"))
+    ledger.where(F.col("next_round") > round_id).unionByName(again.drop("delivered")).write.mode("overwrite") \
+        .parquet(f"{out_dir}/ledger/batch_id={round_id}")
+
+
+def stream_retry(popped: DataFrame, send, out_dir: str, ckpt: str, max_attempts: int = 4) -> None:
+    """Deliver the stories of a stream of ``queue_id, story, payload``; see ``deliver_due``: a micro-batch is a round."""
+    spark = popped.sparkSession
+    _run(popped.writeStream.foreachBatch(lambda batch, i: deliver_due(batch, spark, send, out_dir, i, max_attempts)), ckpt)
+
+
+def settle(spark: SparkSession, send, out_dir: str, max_attempts: int = 4) -> None:
+    """For a stream that has ended: rounds without new stories until the ledger is empty."""
+    last = spark.read.parquet(f"{out_dir}/rounds").agg(F.max("batch_id")).first()[0]
+    while not _written(spark, f"{out_dir}/ledger", last).isEmpty():
+        last += 1
+        deliver_due(None, spark, send, out_dir, last, max_attempts)
+
+
 def run_dirs(spark: SparkSession, purpose: str) -> tuple[str, str]:
     """Fresh sink and checkpoint folders under the shared checkpoint folder."""
     base = shared_dir(spark, purpose)
