@@ -34,7 +34,7 @@ from tessera.llm.common import arrow_map, partition_starts, slices, text_bytes,
 
 LENGTH = 4096
 END_ID = 2
-CACHE_WORDS = 1 << 19  # words whose ids a worker keeps; beyond them the older half goes
+CACHE_WORDS = 1 << 20  # words whose ids a worker keeps; beyond them the older half goes
 
 _MARK = b"\x01"  # stands between words that are tokenized together
 _TOGETHER, _AT_ONCE = 128, 64  # words in one string, strings in one call
