@@ -7,10 +7,11 @@ two cuts the stream every ``length`` ids; each piece is a boundary record that
 tells its window, its place there and whether the document goes on before or
 after it.  Only the very last window is not full.
 
-The tokenizer (lower case; white space dropped) works inside white space, so
-words are numbered, new ones are tokenized many at a time, and the ids of a
-slice of texts are gathered by number.  A worker keeps a bounded number of
-words.  Only tokenizers of that kind fit; ``check`` tells.
+The tokenizer (lower case; white space dropped) works inside white space and
+parts letters and digits from signs.  So texts are cut at both, the distinct
+words of a slice of texts are numbered, new ones are tokenized many at a time,
+and the ids of the slice are gathered by number.  A worker keeps a bounded
+number of words.  Only tokenizers of that kind fit; ``check`` tells.
 
 Null and empty texts have only the end mark.  Repeated rows are packed again;
 an empty table gives no pieces; texts of any length are cut as often as
@@ -20,7 +21,6 @@ needed; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,9 +38,45 @@ CACHE_WORDS = 1 << 20  # words whose ids a worker keeps; beyond them the older h
 
 _MARK = b"\x01"  # stands between words that are tokenized together
 _TOGETHER, _AT_ONCE = 128, 64  # words in one string, strings in one call
-_STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?][ \n])")  # the tokenizer parts a letter or digit from a lone sign behind it
 _END = b""  # no word is empty: stands for the end id
 
+_SPACE, _SIGN, _WORD = 1, 2, 3  # kinds of bytes; 0: control characters, parts of other characters
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = _WORD
+_KIND[list(b" \t\n\v\f\r")] = _SPACE
+_LATIN = np.zeros(256, bool)  # behind the byte C3: the letters U+00C0 to U+00FF, all but the signs U+00D7 and U+00F7
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts, one text after the other, and how many stand before the end of each text.
+
+    A-Z go to lower case.  A word ends at white space, between a letter or
+    digit and a sign behind it, and between a sign (but no apostrophe, which
+    may begin a contraction) and a letter or digit behind it; only ASCII and
+    Latin-1 letters count, since no mark behind a sign changes those.  Texts
+    that may hold a special token stay as they are and are cut at white space alone.
+    """
+    special = [b"<|" in t for t in texts]
+    data = np.frombuffer(b" ".join([b"", *(t if odd else t.lower() for t, odd in zip(texts, special)), b""]), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)  # the byte behind a text's last one
+    kind = _KIND[data]
+    space, sign, opens = kind == _SPACE, kind == _SIGN, kind == _WORD
+    closes, latin = opens.copy(), (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    opens[:-1] |= latin
+    closes[1:] |= latin
+    cut = (closes[:-1] & sign[1:]) | (sign[:-1] & (data[:-1] != ord("'")) & opens[1:])
+    for k in np.flatnonzero(special):
+        cut[ends[k] - len(texts[k]) - 1:ends[k]] = False
+    begins = ~space
+    begins[1:] &= space[:-1] | cut
+    held = data[~space]
+    starts = np.append(np.flatnonzero(begins[~space]), len(held))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(held)])
+    return words, np.searchsorted(np.flatnonzero(begins), ends)
+
 
 class _Numbers(dict):
     """word -> its number, given when it is first met; ``new`` lists those without ids yet."""
@@ -77,9 +113,9 @@ class WordIds:
 
     def check(self) -> None:
         """Raise when the tokenizer does not work word by word and in lower case."""
-        for text in (b"Ab cd", "(Abc), \u00e9t\u00e9. x--12;".encode(), b"a\n\tB %%c"):
-            if self.encode(text) != [i for w in text.lower().split() for i in self.encode(w)]:
-                raise ValueError("this tokenizer does not split at white space or keeps case")
+        for text in (b"Ab cd", "(Abc), \u00c9t\u00e9. x--12;".encode(), b"a\n\tB %%c", "it's 'tis \"x'll\" a.b,##\u00fc 3%$4'd".encode()):
+            if self.encode(text) != [i for w in _words([text])[0].to_pylist() for i in self.encode(w)]:
+                raise ValueError("this tokenizer keeps case, or does not split at white space and between letters and signs")
 
     def tokenize(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
@@ -96,8 +132,10 @@ class WordIds:
 
     def learn(self, words: list[bytes]) -> None:
         """Add the ids of new words, which have the numbers that follow."""
-        alone = {k for k, w in enumerate(words) if self.mark is None or b"<|" in w or _MARK in w}  # special tokens, the mark
-        ids, counts = self.tokenize([w for k, w in enumerate(words) if k not in alone])
+        alone = set()  # special tokens, the mark
+        if self.mark is None or any(x in b" ".join(words) for x in (b"<|", _MARK)):
+            alone = {k for k, w in enumerate(words) if self.mark is None or b"<|" in w or _MARK in w}
+        ids, counts = self.tokenize([w for k, w in enumerate(words) if k not in alone] if alone else words)
         if alone:
             rest, sizes, at = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []), [], []
             for k, w in enumerate(words):
@@ -124,20 +162,19 @@ class WordIds:
 
     def of_all(self, texts: list[bytes], end: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after the other (each with the end id behind it, if asked for), and
-        where each text's begin, the end as last.  A-Z go to lower case and signs at the end of a word
-        apart first, so that there are fewer words, but for texts that may hold a special token."""
+        where each text's begin, the end as last."""
         if len(self.numbers) > CACHE_WORDS:
             self.evict()
-        tail, words, ends = [_END] * end, [], [0]
-        for t in texts:
-            words += (t if b"<|" in t else _STOP.sub(b" ", t.lower())).split()
-            words += tail
-            ends.append(len(words))
-        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        words, ends = _words(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        if end:
+            numbers, ends = np.insert(numbers, ends, self.numbers[_END]), ends + np.arange(1, len(ends) + 1)
         self.learn(self.numbers.new)
         self.numbers.new.clear()
         ids, starts = self.gather(numbers)
-        return ids, starts[ends]
+        return ids, starts[np.concatenate([[0], ends])]
 
 
 @lru_cache(1)

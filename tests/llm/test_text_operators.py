@@ -240,7 +240,7 @@ def test_pieces_rebuild_every_document(docs, rows, empty):
 def test_word_ids_equal_the_tokenizer_on_odd_texts(monkeypatch):
     ids = packing.WordIds(TOKENS)
     rng = random.Random(1)
-    odd = "abAB.,'\u2019!%e\u0301\u00c9\u00df\u03a3\u03c21\u0663\u00b2\u4e2d \u00a0\u3000<|>\x01\x85-_`$\u0130\u0131\u01c5\u0345\u0958\u2126"
+    odd = "abAB.,'\u2019!%e\u0301\u0338=\u00c9\u00df\u00d7\u00f7std'#\u03a3\u03c21\u0663\u00b2\u4e2d \u00a0\u3000<|>\x01\x85-_`$\u0130\u0131\u01c5\u0345\u0958\u2126"
     texts = ["".join(rng.choices(odd, k=rng.randint(1, 14))) + rng.choice(["", "", "<|endoftext|>", "<|ENDOFTEXT|>"]) for _ in range(6000)]
     monkeypatch.setattr(packing, "CACHE_WORDS", 900)  # words are forgotten on the way
     for k in range(0, len(texts), 100):
