@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import fifo
+from tessera.plans import sqltext as S
 from tessera.plans.registry import query
+from tessera.plans.source_plans import _xml
 from tessera.session import shared_dir
 from tessera.sources.tables import Tables
 from tessera.streaming import jobs
@@ -175,3 +177,48 @@ def stream_retries(spark, sf_dir):
     jobs.stream_retry(stories, busy_send, out, ckpt, MAX_ATTEMPTS)
     jobs.settle(spark, busy_send, out, MAX_ATTEMPTS)
     return spark.read.parquet(f"{out}/settled").select("queue_id", "story", "attempts", "delivered")
+
+
+FEED_SIZE, FEED_ROUNDS, FEED_HOURS = 20, 3, 60
+_FEED = f"(doc_id // {FEED_SIZE})"
+
+
+@query("stream_feeds", oracle=f"""
+WITH d AS (SELECT {_FEED} AS feed, CASE WHEN {_FEED} % 4 = 3 THEN 2 ELSE {_FEED} % 3 END AS round,
+  'https://news.example/doc/' || cast(doc_id AS varchar) AS link, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'Story ' || cast(doc_id AS varchar) END AS title,
+  {S.ustrip("regexp_replace(coalesce(text, ''), '[[:cntrl:]]+', ' ', 'g')")} AS description,
+  CASE WHEN doc_id % 11 <> 4 THEN TIMESTAMP '2026-05-01 06:30:00' + INTERVAL (CASE WHEN {_FEED} % 4 = 3 THEN 0 WHEN doc_id % 13 = 5 THEN 2
+    ELSE 9 + 2 * ({_FEED} % 3) + doc_id % 3 END) DAY END AS pub_ts FROM documents),
+i AS (SELECT *, CASE WHEN title = '' THEN 'no title or link' WHEN pub_ts IS NULL THEN 'bad date' END AS bad FROM d WHERE feed % 5 <> 2),
+c AS (SELECT r, (SELECT max(pub_ts) FROM i WHERE bad IS NULL AND round < r) - INTERVAL {FEED_HOURS} HOUR AS oldest FROM range({FEED_ROUNDS}) t(r))
+SELECT CASE WHEN bad IS NOT NULL THEN 'rejected' WHEN pub_ts < oldest THEN 'late' ELSE 'item' END AS kind, feed, link, title, description, pub_ts, bad AS reason
+FROM i JOIN c ON round = r
+UNION ALL SELECT DISTINCT 'corrupt', feed, NULL, NULL, NULL, NULL::TIMESTAMP, NULL FROM d WHERE feed % 5 = 2""")
+def stream_feeds(spark, sf_dir):
+    """T-1: XML files come in three rounds and are archived when read; broken files, late and bad items go aside."""
+    n = F.col("doc_id")
+    feed = F.floor(n / FEED_SIZE)
+    day = F.when(feed % 4 == 3, 1).when(n % 13 == 5, 3).otherwise(10 + 2 * (feed % 3) + n % 3)
+    date = F.when(n % 11 == 4, "soon").otherwise(F.concat(F.lpad(day.cast("string"), 2, "0"), F.lit(" May 2026 06:30:00 GMT")))
+    item = F.concat(F.lit("<item><title>"), F.when(n % 9 == 0, " ").otherwise(F.concat(F.lit("Story "), n.cast("string"))),
+                    F.lit("</title><link>https://news.example/doc/"), n.cast("string"), F.lit("</link><description>"),
+                    _xml(F.regexp_replace(F.coalesce("text", F.lit("")), r"\p{Cntrl}+", " ")), F.lit("</description><pubDate>"), date,
+                    F.lit("</pubDate></item>"))
+    end = F.when(F.col("feed") % 5 == 2, "").otherwise("</channel></rss>")
+    docs = Tables(spark, sf_dir).documents.groupBy(feed.alias("feed")).agg(F.array_join(F.collect_list(item), "").alias("items")) \
+        .select("feed", F.concat(F.lit("<rss><channel><title>Feed</title>"), "items", end).alias("value"),
+                F.when(F.col("feed") % 4 == 3, 2).otherwise(F.col("feed") % 3).alias("round"))
+    folder, archive = shared_dir(spark, "feeds-in"), shared_dir(spark, "feeds-read")
+    out, ckpt = jobs.run_dirs(spark, "stream-feeds")
+    for i in range(FEED_ROUNDS):
+        docs.where(F.col("round") == i).drop("round").repartition("feed").write.partitionBy("feed").text(f"{folder}/round-{i}")
+        jobs.stream_feeds(jobs.feed_documents(spark, folder, "*.txt", archive), out, ckpt, FEED_HOURS)
+    found = None
+    for kind, name in (("item", "items"), ("late", "late"), ("rejected", "rejected"), ("corrupt", "corrupt")):
+        rows = spark.read.parquet(f"{out}/{name}")
+        rows = rows.select(F.lit(kind).alias("kind"), F.regexp_extract("feed", r"feed=(\d+)", 1).cast("long").alias("feed"),
+                           *[(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in ("link", "title", "description")],
+                           (F.col("pub_ts") if kind != "corrupt" else F.lit(None).cast("timestamp")).cast("timestamp_ntz").alias("pub_ts"),
+                           (F.col("reason") if kind == "rejected" else F.lit(None).cast("string")).alias("reason"))
+        found = rows if found is None else found.unionByName(rows)
+    return found

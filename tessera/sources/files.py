@@ -42,7 +42,12 @@ def read_feeds(spark: SparkSession, paths: list[str]) -> DataFrame:
 def feed_items(channels: DataFrame) -> DataFrame:
     """Items of the channels that an XML read or stream yields.  ``feed`` is
     the file's path; the metadata give it URL-encoded, so it is decoded."""
-    items = channels.withColumn("feed", _decoded(F.col("_metadata.file_path"))).select(
+    return channel_items(channels.withColumn("feed", _decoded(F.col("_metadata.file_path"))))
+
+
+def channel_items(channels: DataFrame) -> DataFrame:
+    """Items of ``feed, title, item`` rows, stripped, with their place in the feed."""
+    items = channels.select(
         "feed", F.coalesce(ustrip(F.col("title")), F.col("feed")).alias("source"),
         F.posexplode("item").alias("item_pos", "it"))
     text = lambda name: F.coalesce(ustrip(F.col(f"it.{name}")), F.lit("")).alias(name)
@@ -50,6 +55,22 @@ def feed_items(channels: DataFrame) -> DataFrame:
                         F.col("it.pubDate").alias("pub_date_raw"))
 
 
+RSS = StructType([StructField("channel", CHANNEL), StructField("_corrupt_record", StringType())])
+
+
+def parse_feeds(docs: DataFrame) -> DataFrame:
+    """Whole feed files (``feed``, ``text``) parsed: ``feed, text, broken, title, item``.
+
+    A file is ``broken`` when it is not well-formed XML, as one cut off on its
+    way, or has no channel; none of its items are used then, so that the file
+    can be taken whole when it comes again.
+    """
+    rss = F.from_xml("text", RSS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    whole = F.col("rss._corrupt_record").isNull() & F.col("rss.channel").isNotNull()
+    return docs.select("feed", "text", rss.alias("rss")).select(
+        "feed", "text", (~F.coalesce(whole, F.lit(False))).alias("broken"), "rss.channel.title", "rss.channel.item")
+
+
 def _decoded(path):
     """URL-decoded path (``url_decode`` alone would turn ``+`` into a space)."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))

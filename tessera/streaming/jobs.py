@@ -8,6 +8,8 @@
 * ``stream_fifo``: the shared queue (T-3) as ``foreachBatch`` over the batch
   operator's chunked scan, with the pending stories carried from micro-batch
   to micro-batch in a table.
+* ``stream_feeds``: whole feed files (T-1) into fresh, late and rejected items, broken files aside;
+  the source moves read files to an archive (``feed_documents``).
 * ``stream_stories``: open stories with event-time timers, expiry and a side output of late events (T-4).
 * ``stream_retry``: deliveries tried again with an attempt ledger until each is settled (T-5).
 * ``stream_deliver``: deliveries, and re-queueing of those that fail (T-5).
@@ -285,3 +287,60 @@ def feed_stream(spark: SparkSession, folder: str, glob: str = "*.xml",
         r = r.option("maxFilesPerTrigger", max_files)
     items = valid_items(feed_items(r.load(folder))).withColumn("pub_ts", parse_rfc822(F.col("pub_date_raw")))
     return items.filter(F.col("pub_ts").isNotNull())
+
+
+def feed_documents(spark: SparkSession, folder: str, glob: str = "*", archive: str | None = None,
+                   max_files: int | None = None) -> DataFrame:
+    """T-1: feed files arriving anywhere below ``folder``, whole: ``feed`` (path), ``text``.
+
+    With ``archive`` a file is moved there once the micro-batch that read it
+    has been committed, so the folder to be listed stays short.  An empty file
+    gives no row.
+    """
+    from tessera.sources.files import _decoded
+
+    r = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True) \
+        .option("pathGlobFilter", glob)
+    if archive:
+        r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.load(folder).select(_decoded(F.col("_metadata.file_path")).alias("feed"), F.col("value").alias("text"))
+
+
+def stream_feeds(docs: DataFrame, out_dir: str, ckpt: str, max_age_hours: float) -> None:
+    """T-1: items of a stream of feed files, every file and item accounted for.
+
+    ``out_dir`` gets per micro-batch: ``corrupt`` (feed, text) for files that do not parse
+    as a whole, ``items`` (F1, F2 and age passed), ``late`` and ``rejected``
+    with the ``reason`` of an item without title or link, or of a bad date.
+    An item is late when its date is more than ``max_age_hours`` before the
+    latest valid date of the earlier micro-batches (``clock``); late items
+    move the clock no further.  All folders belong to the micro-batch, so a
+    retry rewrites the same rows.
+    """
+    from tessera.functions.dates import parse_rfc822
+    from tessera.functions.text import ustrip
+    from tessera.session import materialize
+    from tessera.sources.files import channel_items, parse_feeds
+
+    spark = docs.sparkSession
+    empty = lambda name: F.coalesce(ustrip(F.col(name)), F.lit("")) == ""
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
+        clock = _written(spark, f"{out_dir}/clock", batch_id - 1)
+        before = clock.first()["seen"] if clock is not None else None  # one value a micro-batch
+        parsed = materialize(parse_feeds(batch), "feed-files")
+        put(parsed.where("broken").select("feed", "text"), "corrupt")
+        items = channel_items(parsed.where("NOT broken")).withColumn("pub_ts", parse_rfc822(F.col("pub_date_raw")))
+        oldest = F.lit(None).cast("timestamp") if before is None else F.lit(before) - F.expr(f"make_dt_interval(0, 0, 0, {max_age_hours * 3600})")
+        items = materialize(items.withColumn("reason", F.when(empty("title") | empty("link"), "no title or link")
+                                             .when(F.col("pub_ts").isNull(), "bad date").when(F.col("pub_ts") < oldest, "late")), "feed-items")
+        fresh = items.where("reason IS NULL")
+        put(fresh.drop("reason"), "items")
+        put(items.where("reason = 'late'").drop("reason"), "late")
+        put(items.where("reason <> 'late'"), "rejected")
+        put(fresh.agg(F.greatest(F.max("pub_ts"), F.lit(before).cast("timestamp")).alias("seen")), "clock")
+
+    _run(docs.writeStream.foreachBatch(per_batch), ckpt)

@@ -74,3 +74,52 @@ def test_every_story_is_settled_once_and_a_killed_round_changes_nothing(spark, t
     got = Counter((r["queue_id"], r["story"], r["attempts"], r["delivered"]) for r in spark.read.parquet(f"{out}/settled").collect())
     assert got == Counter((q, k, min(refused(k) + 1, 4), refused(k) < 4) for q, k, _ in stories)
     assert spark.read.parquet(f"{out}/ledger").where(F.col("batch_id") == 0).count() > 0
+
+
+def _feed(title, *items, end="</channel></rss>"):
+    return f"<rss><channel><title>{title}</title>" + "".join(
+        f"<item><title>{t}</title><link>{u}</link><pubDate>{d}</pubDate></item>" for t, u, d in items) + end
+
+
+def _feed_rounds(folder, run):
+    day = "{:02d} May 2026 08:00:00 GMT".format
+    rounds = [{"a": _feed("A", ("one", "u1", day(10)), (" ", "u2", day(10)), ("three", "u3", "soon"))},
+              {"b": _feed("B", ("cut", "u4", day(20)), end=""), "c": "no xml", "d": "<html><body/></html>", "e": "", "f": _feed("F")},
+              {"sub/g": _feed("G", ("five", "u5", day(14)), ("&lt;six&gt;", "u6", day(9)), ("seven", "u7", day(8)))}]
+    for files in rounds:
+        for name, text in files.items():
+            path = os.path.join(folder, f"{name}.xml")
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w") as f:
+                f.write(text)
+        run()
+
+
+def _feed_state(spark, out):
+    read = lambda name, *cols: sorted(map(tuple, spark.read.parquet(f"{out}/{name}").select(*cols).collect()))
+    return (read("items", "source", "title", "link"), read("late", "link"), read("rejected", "link", "reason"),
+            sorted((os.path.basename(f), len(t)) for f, t in read("corrupt", "feed", "text")))
+
+
+_FEED_WANT = ([("A", "one", "u1"), ("G", "<six>", "u6"), ("G", "five", "u5")], [("u7",)],
+              [("u2", "no title or link"), ("u3", "bad date")],
+              [("b.xml", len(_feed("B", ("cut", "u4", "20 May 2026 08:00:00 GMT"), end=""))), ("c.xml", 6), ("d.xml", 20)])
+
+
+def test_feed_files_are_accounted_for_and_a_killed_round_changes_nothing(spark, tmp_path):
+    folder, out, ckpt = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ckpt"
+    run = lambda: jobs.stream_feeds(jobs.feed_documents(spark, folder, "*.xml"), out, ckpt, 36)
+    _feed_rounds(folder, run)
+    assert _feed_state(spark, out) == _FEED_WANT
+    _uncommit(ckpt)
+    run()
+    assert _feed_state(spark, out) == _FEED_WANT
+
+
+def test_read_feed_files_go_to_the_archive(spark, tmp_path):
+    folder, archive, out, ckpt = (f"{tmp_path}/{n}" for n in ("in", "read", "out", "ckpt"))
+    left = lambda top: {n for _, _, names in os.walk(top) for n in names if n.endswith(".xml")}
+    _feed_rounds(folder, lambda: jobs.stream_feeds(jobs.feed_documents(spark, folder, "*.xml", archive), out, ckpt, 36))
+    assert _feed_state(spark, out) == _FEED_WANT
+    assert "a.xml" in left(archive) and "a.xml" not in left(folder)
+    assert left(folder) | left(archive) == {f"{n}.xml" for n in "abcdefg"}
