@@ -295,6 +295,57 @@ def test_speakers_of_a_long_dense_track(spark):
         assert got[k] == (("A", want) if want else ("UNKNOWN", 0)), k
 
 
+def test_speakers_of_long_and_nested_intervals(spark):
+    """Intervals over many chunks, ties, several intervals of one seg_id: as by brute force."""
+    import random
+    from tessera.operators import speech
+    rnd = random.Random(8)
+    segs, turns = [], []
+    for tr in range(2):
+        for i in range(60):
+            s = rnd.randrange(0, 4000)
+            turns.append((tr, rnd.choice("ABCDEF"), s, s + rnd.choice([5, 40, 300, 2500])))
+        for i in range(50):
+            s = rnd.randrange(0, 3000)
+            segs.append((tr, 100 * tr + i, s, s + rnd.choice([3, 100, 900, 3000])))
+        segs += [(tr, 100 * tr + 80, 10 + i, 6000 - i) for i in range(3)]  # nested
+        segs += [(tr, 100 * tr + 81, 100, 1500), (tr, 100 * tr + 81, 2000, 3900), (tr, 100 * tr + 81, 2000, 3900)]
+        turns += [(tr, "Y", 0, 5000), (tr, "X", 0, 5000), (tr, "X", 1, 2)]
+    want = {}
+    for tr, sid, s, e in segs:
+        ov = want.setdefault(sid, {})
+        for tr2, spk, s2, e2 in turns:
+            if tr2 == tr and min(e, e2) > max(s, s2):
+                ov[spk] = ov.get(spk, 0) + min(e, e2) - max(s, s2)
+    want = {k: min(ov.items(), key=lambda kv: (-kv[1], kv[0])) if ov else ("UNKNOWN", 0) for k, ov in want.items()}
+    sdf = spark.createDataFrame(segs, "track long, seg_id long, start_us long, end_us long")
+    tdf = spark.createDataFrame(turns, "track long, speaker string, start_us long, end_us long")
+    for rows in (4, 9):
+        got = {r.seg_id: (r.speaker, r.overlap_us) for r in speech.assign_speakers(sdf, tdf, chunk_rows=rows).collect()}
+        assert got == want
+
+
+def test_nested_segments_cost_linear_rows(spark):
+    """100,000 segments, each around the next, over 2,000 turns: a segment has two pieces, not one for each chunk."""
+    from pyspark.sql import functions as F
+    from tessera import session
+    from tessera.operators import speech
+    n = 100_000
+    segs = spark.range(n).select(F.lit(1).cast("long").alias("track"), F.col("id").alias("seg_id"),
+                                 F.col("id").alias("start_us"), (2 * n + 2000 * 50 - F.col("id")).alias("end_us"))
+    turns = spark.range(2000).select(F.lit(1).cast("long").alias("track"), F.when(F.col("id") % 5 < 3, "B").otherwise("A").alias("speaker"),
+                                     (n + F.col("id") * 50).alias("start_us"), (n + F.col("id") * 50 + 40).alias("end_us"))
+    written = []
+    session.ON_MATERIALIZE.append(written.append)
+    try:
+        got = speech.assign_speakers(segs, turns, chunk_rows=1024)
+        sizes = [df.count() for df in written]
+    finally:
+        session.ON_MATERIALIZE.remove(written.append)
+    assert got.select("speaker", "overlap_us").distinct().collect() == [("B", 1200 * 40)]
+    assert max(sizes) <= 2 * (n + 2000)
+
+
 def test_feed_order_on_encoded_paths(spark):
     d = tempfile.mkdtemp(prefix="feeds with spaces + 100%25 é-")
     paths = [_write(d, f"f {i}.xml", RSS.format(src=f"S{i}", t1=f"A{i}", t2="B")) for i in range(3)]
