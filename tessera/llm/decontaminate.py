@@ -10,10 +10,12 @@ Scores are BM25 with the item's score against itself scaled to 1, so one
 threshold holds for all items.  Items are kept in blocks, and every (term,
 block) posting has its largest impact.  As in block-max WAND, terms are split
 at a pivot: the most common terms, which together can add at most half the
-threshold to any item, are never traversed on their own.  The others are
-looked up for all passages at once; a (passage, block) pair is scored in full
-only when its bound reaches the threshold.  Nothing above the threshold is
-missed.
+threshold to any item, are never traversed on their own.  Of the others, a
+passage's longest lists that cannot reach the threshold together are not walked
+either, only looked up in the (passage, block) pairs that its other terms
+open; a pair is scored in full only when its bound reaches the threshold.
+Passages go through in groups of a bounded number of postings.  Nothing above
+the threshold is missed.
 
 Every passage that reaches the threshold is verified: the share of the question's
 5-word shingles and of the answer's words that it holds; the best of those that
@@ -52,6 +54,7 @@ SHINGLE = 5
 BLOCK = 4
 STEP = 64
 PART_BYTES = 8 << 20
+POSTINGS = 1 << 21  # postings that are looked at together
 
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
@@ -152,6 +155,9 @@ class Index:
         self.post_impact = np.array([v for _, v in posts])
         counts = np.bincount([t for (t, _), _ in posts], minlength=len(self.terms)) if posts else np.zeros(len(self.terms), int)
         self.post_start = np.r_[0, np.cumsum(counts)].astype(np.int64)
+        self.post_key = np.array([t * self.n_blocks + b for (t, b), _ in posts], np.int64)
+        self.most = np.zeros(len(self.terms))  # largest impact of a term in any block
+        np.maximum.at(self.most, self.post_key // max(1, self.n_blocks), self.post_impact)
         self.shingles = [_shingles(q) for q in self.questions]
 
 
@@ -222,12 +228,8 @@ def _matches(docs: list[np.ndarray], index: Index, step: int) -> Iterator[tuple]
     t = np.r_[terms, terms[inner > 0]]
     pairs = np.unique(w * len(index.terms) + t)  # a term counts once per window
     w, t = np.divmod(pairs, len(index.terms))
-    n = index.post_start[t + 1] - index.post_start[t]
-    post = np.repeat(index.post_start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    cell, back = np.unique(np.repeat(w, n) * index.n_blocks + index.post_block[post], return_inverse=True)
-    bound = np.bincount(back, index.post_impact[post]) + index.floor[cell % index.n_blocks]
     best: dict[tuple[int, int], tuple] = {}
-    for c in cell[bound >= index.threshold - 1e-9]:
+    for c in _cells(w, t, index):
         window, block = divmod(int(c), index.n_blocks)
         d = int(np.searchsorted(base, window, side="right")) - 1
         first = (window - int(base[d])) * step
@@ -252,6 +254,54 @@ def _matches(docs: list[np.ndarray], index: Index, step: int) -> Iterator[tuple]
         yield d, k, score, q, a, first
 
 
+def _cells(w: np.ndarray, t: np.ndarray, index: Index) -> Iterator[int]:
+    """Cells (window * blocks + block) whose bound reaches the threshold, of windows ``w`` with terms ``t``.
+
+    In each window the terms of the longest lists, as long as they cannot reach
+    the threshold together, open no cell: their lists are not walked, they are
+    looked up in the cells that the other terms have opened and that may still
+    reach the threshold.  Windows go through in groups of ``POSTINGS`` postings,
+    at least one window at a time, so memory does not grow with the benchmark's lists.
+    """
+    reach = index.threshold - 1e-9
+    n = index.post_start[t + 1] - index.post_start[t]
+    order = np.lexsort((t, -n, w))
+    w, t, n = w[order], t[order], n[order]
+    starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])  # of the windows
+    ends = np.r_[starts[1:], len(w)]
+    run = np.cumsum(index.most[t])
+    run -= np.repeat((run - index.most[t])[starts], ends - starts)
+    opens = run + index.floor.max() >= reach  # from the first such term on, lists are walked
+    splits = ends - np.add.reduceat(opens, starts)
+    rest = np.where(splits > starts, run[splits - 1], 0.0)  # what the looked-up terms add at most
+    walked = np.add.reduceat(np.where(opens, n, 0), starts)
+    group = (np.cumsum(walked) - walked) // POSTINGS
+    cuts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(starts)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        mine = slice(starts[lo], ends[hi - 1])
+        go = opens[mine]
+        gw, gt, gn = w[mine][go], t[mine][go], n[mine][go]
+        post = np.repeat(index.post_start[gt] - (np.cumsum(gn) - gn), gn) + np.arange(gn.sum())
+        cell, back = np.unique(np.repeat(gw, gn) * index.n_blocks + index.post_block[post], return_inverse=True)
+        bound = np.bincount(back, index.post_impact[post], len(cell)) + index.floor[cell % index.n_blocks]
+        at = lo + np.searchsorted(w[starts[lo:hi]], cell // index.n_blocks)
+        alive = bound + rest[at] >= reach
+        cell, bound, at = cell[alive], bound[alive], at[alive]
+        for k in range(0, len(cell), POSTINGS >> 8):
+            some = slice(k, k + (POSTINGS >> 8))
+            yield from cell[some][_looked_up(cell[some], bound[some], starts[at[some]], splits[at[some]], t, index) >= reach].tolist()
+
+
+def _looked_up(cell: np.ndarray, bound: np.ndarray, first: np.ndarray, last: np.ndarray, t: np.ndarray, index: Index) -> np.ndarray:
+    """The cells' bounds with the impacts of the terms t[first:last] in them."""
+    n = last - first
+    term = t[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    of = np.repeat(np.arange(len(cell)), n)
+    key = term * index.n_blocks + cell[of] % index.n_blocks
+    place = np.minimum(np.searchsorted(index.post_key, key), len(index.post_key) - 1)
+    return bound + np.bincount(of, np.where(index.post_key[place] == key, index.post_impact[place], 0.0), len(cell))
+
+
 _HIT = "id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 

@@ -349,6 +349,35 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, empty):
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_long_posting_lists_in_bounded_memory(monkeypatch):
+    """10,000 items of few words against long texts: groups of windows give the same cells as all pairs do, in little memory."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=14)) + "? " + " ".join(rng.choices(vocabulary, k=6)) + ".") for k in range(10_000)]
+    index = decontaminate.Index(items)
+    texts = [" ".join(rng.choices(vocabulary, k=3000)) + " " + items[7][1] + " " + items[9_999][1]]
+    docs = decontaminate._numbered([t.encode() for t in texts], decontaminate._TermNumbers(index.terms))
+    whole = list(decontaminate._matches(docs, index, decontaminate.STEP))
+    monkeypatch.setattr(decontaminate, "POSTINGS", 1 << 16)
+    tracemalloc.start()
+    grouped = list(decontaminate._matches(docs, index, decontaminate.STEP))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert grouped == whole and {index.ids[k] for _, k, *_ in whole} >= {7, 9_999}
+    assert peak < 60 << 20, peak
+    w, t = np.repeat(np.arange(3), 40), np.concatenate([np.sort(np.array(rng.sample(range(len(index.terms)), 40))) for _ in range(3)])
+    want = []
+    for window in range(3):
+        bound = index.floor.copy()
+        for term in t[w == window]:
+            of = slice(index.post_start[term], index.post_start[term + 1])
+            bound[index.post_block[of]] += index.post_impact[of]
+        want += [window * index.n_blocks + int(b) for b in np.flatnonzero(bound >= index.threshold - 1e-9)]
+    assert sorted(decontaminate._cells(w, t, index)) == want
+
+
 def test_block_max_pruning_misses_nothing_above_the_threshold():
     rng = random.Random(11)
     vocab = ["w%d" % int(rng.paretovariate(0.6)) for _ in range(3000)]
