@@ -77,3 +77,19 @@ def test_json_is_strict_like_the_standard_parser(spark):
         except ValueError:
             want = None
         assert got[i] == want, x[:40]
+
+
+def test_usual_dates_are_read_alike_by_position_and_by_the_general_steps(spark):
+    import random
+    from pyspark.sql import functions as F
+    from tessera.functions import dates
+    rnd = random.Random(2)
+    zones = [*dates.ZONES, "+0200", "-0330", "-0000", "+1759", "+2359", "+2400", "+0060", "gmt", ""]
+    rows = [(f"{rnd.choice(['Mon, ', 'Fri, ', '', 'Xyz, '])}{rnd.randrange(34):02d} {rnd.choice(dates.MONTHS)[:3].title()} "
+             f"{rnd.choice([1970, 2024, 1900, 23, 1582, 9999])} {rnd.randrange(26):02d}:{rnd.randrange(62):02d}:{rnd.randrange(62):02d} "
+             f"{rnd.choice(zones)}",) for _ in range(5000)] + [(None,), ("",)]
+    got = spark.createDataFrame(rows, "s string").select(
+        "s", F.coalesce(F.col("s").rlike(dates._USUAL), F.lit(False)).alias("usual"), dates.parse_rfc822(F.col("s")).alias("a"),
+        dates._general(F.col("s"), "+0000").alias("b"))
+    assert got.where("NOT (a <=> b)").count() == 0
+    assert got.where("usual AND a IS NOT NULL").count() > 1500 and got.where("NOT usual AND a IS NOT NULL").count() > 200
