@@ -129,11 +129,14 @@ def materialize(df, purpose: str):
 
 ON_MATERIALIZE: list = []  # called with every DataFrame that ``materialize`` writes (plan report)
 _WRITTEN: list[str] = []  # folders written by ``materialize`` in this process
+_TABLES: list[str] = []  # tables of the session's catalog that lie in such folders
 
 
-def track(path: str) -> None:
-    """Count a folder among what ``drop_materialized`` deletes."""
+def track(path: str, table: str | None = None) -> None:
+    """Count a folder, and a table that lies in it, among what ``drop_materialized`` deletes."""
     _WRITTEN.append(path)
+    if table is not None:
+        _TABLES.append(table)
 
 
 def drop_materialized(spark: SparkSession) -> int:
@@ -148,6 +151,8 @@ def drop_materialized(spark: SparkSession) -> int:
     jvm = sc._jvm
     conf = sc._jsc.hadoopConfiguration()
     removed = 0
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         removed += bool(path.getFileSystem(conf).delete(path, True))
