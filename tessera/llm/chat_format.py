@@ -21,7 +21,8 @@ string that cover the assistant texts and nothing between them.
 Ties on ``turn`` are ordered by role, then text; repeated rows stay repeated
 turns.  A null conversation id is a conversation of its own; an empty table
 gives no rows.  The output row *is* the conversation, so a conversation is
-the unit that must fit a task; extra input columns are ignored.
+the unit that must fit a task, and its cost grows with its turns and its text,
+not with their square; extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 TURN, TEXT, PART, END = "<|turn|>", "<|text|>", "<|part|>", "<|end|>"
 _CONTROL = r"\||s>|/s>|INST\]|/INST\]"  # what may follow < or [ in a control string
 LOSS_ROLE = "assistant"
+RUN = 256  # turns whose positions are summed in one go
+PIECE = 1024  # code points of a piece of a formatted string
 
 
 def escape(c: Column) -> Column:
@@ -63,21 +66,32 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             t["text"].alias("text"), F.when(last, F.lit(END)).otherwise(F.lit("")).alias("after"),
             (t["role"] == loss_role).alias("loss"))
 
-    chats = chats.withColumn("_parts", F.transform("_escaped", segment))
-    spans_type = "struct<pos:int,spans:array<struct<start:int,len:int>>>"
-    start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<struct<start:int,len:int>>").alias("spans")).cast(spans_type)
+    # Positions are sums over the turns before: first inside runs of RUN turns, then over
+    # the runs, since an array that grows turn by turn is copied for every turn.  (Spark
+    # keeps a column that is used twice apart, so a run does not repeat what made it.)
+    chats = chats.select("conv_id", F.transform("_escaped", segment).alias("_parts")).select(
+        "conv_id",
+        F.array_join(F.transform("_parts", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
+        F.transform("_parts", lambda p: F.struct(F.length(p["before"]).alias("before"), F.length(p["text"]).alias("text"),
+                                                 F.length(p["after"]).alias("after"), p["loss"])).alias("_sizes"))
+    spans = "array<struct<start:int,len:int>>"
+    run_type = f"struct<size:int,spans:{spans}>"
+    empty = F.struct(F.lit(0).alias("size"), F.array().cast(spans).alias("spans")).cast(run_type)
 
     def add(acc: Column, p: Column) -> Column:
-        at = acc["pos"] + F.length(p["before"])
-        size = F.length(p["text"])
-        return F.struct((at + size + F.length(p["after"])).alias("pos"),
-                        F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(at.alias("start"), size.alias("len")))))
-                        .otherwise(acc["spans"]).alias("spans")).cast(spans_type)
+        at = acc["size"] + p["before"]
+        span = F.array(F.struct(at.alias("start"), p["text"].alias("len")))
+        return F.struct((at + p["text"] + p["after"]).alias("size"),
+                        F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")).cast(run_type)
 
-    return chats.select(
-        "conv_id",
-        F.array_join(F.transform("_parts", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
-        F.aggregate("_parts", start, add, lambda acc: acc["spans"]).alias("loss_spans"))
+    last = F.floor((F.size("_sizes") - 1) / RUN).cast("int")
+    chats = chats.withColumn("_runs", F.transform(F.sequence(F.lit(0), last), lambda r: F.aggregate(
+        F.slice("_sizes", r * RUN + 1, RUN), empty, add)))
+    starts = F.aggregate("_runs", F.array(F.lit(1)), lambda acc, r: F.concat(
+        acc, F.array(F.element_at(acc, -1) + r["size"])))
+    return chats.select("conv_id", "formatted", F.flatten(F.zip_with(
+        F.slice(starts, 1, F.size("_runs")), "_runs", lambda at, r: F.transform(
+            r["spans"], lambda s: F.struct((at + s["start"]).alias("start"), s["len"].alias("len"))))).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -93,15 +107,27 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, parts))
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped, in order, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"], s["len"]))), "")
+def pieces(formatted: Column) -> Column:
+    """The string in pieces of PIECE code points, to reach a position without walking there."""
+    return F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+
+
+def loss_text(pieces: Column, spans: Column) -> Column:
+    """All text under the mask, unescaped, in order, with nothing between.
+
+    ``pieces`` must be a column, not an expression, or every span cuts the string again."""
+    def cut(s: Column) -> Column:
+        first = F.floor((s["start"] - 1) / PIECE).cast("int")
+        upto = F.least(F.ceil((s["start"] - 1 + s["len"]) / PIECE).cast("int"), F.size(pieces))
+        held = F.array_join(F.slice(pieces, first + 1, F.greatest(upto - first, F.lit(0))), "")
+        return unescape(F.substring(held, F.pmod(s["start"] - 1, F.lit(PIECE)) + 1, s["len"]))
+    return F.array_join(F.transform(spans, cut), "")
 
 
 def digest(chats: DataFrame) -> DataFrame:
     """Counts and hashes of what ``read_back`` and the loss mask give."""
-    c = chats.withColumn("_turns", read_back(F.col("formatted"))).withColumn(
-        "_loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    c = chats.withColumns({"_turns": read_back(F.col("formatted")), "_pieces": pieces(F.col("formatted"))}).withColumn(
+        "_loss", loss_text(F.col("_pieces"), F.col("loss_spans")))
     lines = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return c.select("conv_id", F.size("_turns").cast("long").alias("n_turns"),
                     F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
