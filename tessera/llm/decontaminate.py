@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHE_WORDS, arrow_map, materialize, slices, text_bytes
+from tessera.llm.common import CACHE_WORDS, arrow_map, materialize, neutral, slices, text_bytes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -53,6 +53,7 @@ QUESTION, ANSWER = 0.6, 0.6
 SHINGLE = 5
 BLOCK = 4
 STEP = 64
+BROADCAST_HASHES = 1 << 21  # 16 MB of text hashes; more are joined by a shuffle
 PART_BYTES = 8 << 20
 POSTINGS = 1 << 21  # postings that are looked at together
 
@@ -365,7 +366,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with the input's columns (null ids stay)."""
-    found = leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that hold no benchmark item, with the input's columns.
+
+    A document is found again by a 64-bit hash of its text, so null ids, ids of
+    any type and ids that repeat with different texts are judged by their texts.
+    The hashes found are written and counted: up to ``BROADCAST_HASHES`` of them
+    are broadcast, so that no text is shuffled; more are joined by a shuffle.
+    """
+    names = docs.columns
+    docs, (text_col,) = neutral(docs, text_col)
+    docs = docs.withColumn("text_hash", F.xxhash64(text_col))
+    found = materialize(leaks(docs, benchmark, "text_hash", text_col).select(F.col("id").alias("text_hash")).distinct(),
+                        "leak-hashes")
+    if found.count() <= BROADCAST_HASHES:
+        found = F.broadcast(found)
+    return docs.join(found, "text_hash", "left_anti").drop("text_hash").toDF(*names)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, materialize, prepare, text_bytes
+from tessera.llm.common import arrow_map, materialize, neutral, prepare, text_bytes
 from tessera.llm.components import connected_components
 
 SHINGLE = 4
@@ -219,28 +219,37 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return arrow_map(ordered, _verify(max_bits), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, fp, component_id) of every row; ``component_id`` is the smallest id of the group."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, **extra: Column) -> DataFrame:
+    """(id, fp, component_id) and further columns of every row."""
     prepare(docs.sparkSession)
-    rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")),
-                       "simhash-rows")
+    rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp"),
+                                   *[c.alias(n) for n, c in extra.items()]), "simhash-rows")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
     roots = connected_components(links(nodes, max_bits)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     groups = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(groups, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    return rows.join(named, "fp").select("id", "fp", "component_id", *extra)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """(id, fp, component_id) of every row; ``component_id`` is the smallest id of the group."""
+    return _grouped(docs, id_col, text_col, shingle, max_bits)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group: that of the smallest id, with the input's columns.
 
-    Rows that repeat an id are one document.  Rows with a null id cannot be
-    told apart by id and all stay.
+    Rows that repeat an id and a text are one document.  Rows that repeat an id
+    with different texts are judged one by one, and all of them stay whose group
+    has no smaller id.  Rows with a null id cannot be told apart by id and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    kept = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    names = docs.columns
+    docs, (id_col, text_col) = neutral(docs, id_col, text_col)
+    docs = docs.withColumn("text_hash", F.xxhash64(text_col))
+    found = _grouped(docs, id_col, text_col, shingle, max_bits, text_hash=F.col("text_hash"))
+    kept = found.where("id = component_id").select(F.col("id").alias(id_col), "text_hash").distinct()
+    named = docs.join(kept, [id_col, "text_hash"], "left_semi").dropDuplicates([id_col, "text_hash"])
+    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull())).drop("text_hash").toDF(*names)

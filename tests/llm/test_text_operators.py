@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import (
     components, decontaminate, golay_simhash, packing, quality_classifier, quality_rules, sharding, substring_dedup)
@@ -164,6 +165,16 @@ def test_near_duplicates_match_brute_force(docs, rows, empty):
     assert ids.count(None) == 2  # rows without an id all stay
 
 
+def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
+    """Of equal rows one stays; a text goes only if its own group has a smaller id."""
+    a, b, c = ("one two three four five six", "red green blue black white grey", "north south east west up down")
+    docs = spark.createDataFrame([(7, a, 0), (7, a, 0), (7, b, 1), (7, c, 2), (3, c, 3), (None, c, 4), (8, None, 5), (8, None, 5)],
+                                 "doc_id long, text string, text_hash int")
+    kept = golay_simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(7, a), (7, b), (3, c), (None, c), (8, None)])
+
+
 def test_golay_keys_cover_every_pair_within_four_bits():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 2**64, 4000, dtype=np.uint64)
@@ -322,7 +333,7 @@ def test_slices_cover_the_batch():
 
 # ---- decontamination ----
 
-def test_leaks_are_found_and_clean_documents_left_alone(spark, empty):
+def test_leaks_are_found_and_clean_documents_left_alone(spark, empty, monkeypatch):
     rng = random.Random(9)
     vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(600)]
     prose = lambda n: " ".join(rng.choices(vocab, k=n))
@@ -344,7 +355,11 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, empty):
     assert {(r["id"], r["item_id"]) for r in found} == want
     clean = decontaminate.keep_clean(frame, bench)
     assert clean.columns == frame.columns
-    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want if d is not None}
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}  # the null id leaks too
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)
+    assert sorted(map(str, decontaminate.keep_clean(frame, bench).collect())) == sorted(map(str, clean.collect()))
+    named = decontaminate.keep_clean(frame.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"), bench)
+    assert {r["doc_id"] for r in named.collect()} == {f"d{d}" for d, _ in docs if d is not None} - {f"d{d}" for d, _ in want}
     assert decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
