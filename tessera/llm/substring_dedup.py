@@ -11,8 +11,10 @@ and the covered words merge into maximal repeats.
 
 Steps, all keyed by *chunk* (a run of about 4 MB of texts from one task):
 
-1. Documents are written once, bucketed by chunk, so later passes over the
-   texts meet their hits without shuffling a text again.
+1. Documents are dealt by chunk once and written bucketed by it, one file a
+   bucket, so later passes over the texts meet their hits without shuffling a
+   text again.  ``spark.sql.shuffle.partitions`` sets the number of buckets, and
+   so of files.  ``drop_materialized`` drops the table with its folder.
 2. Exact copies (equal word sequences) are found by hash; all but the smallest
    id are wholly repeated and take no further part.  A hot group of copies is
    so reduced by a map-side minimum before anything is compared.
@@ -100,9 +102,9 @@ def _write_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     path = shared_dir(spark, "substring-chunks")
     name = "substring_" + path.rsplit("-", 1)[-1]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (rows.write.format("parquet").option("compression", "zstd").option("path", path)
+    (rows.repartition(n, "_chunk").write.format("parquet").option("compression", "zstd").option("path", path)
      .bucketBy(n, "_chunk").saveAsTable(name))
-    track(path)
+    track(path, name)
     return spark.table(name)
 
 
