@@ -42,3 +42,20 @@ def test_row_based_skip_equals_fold(spark):
     texts = spark.createDataFrame([(i, "\n".join(lines)) for i, lines in docs], "doc_id long, text string")
     want = {r.doc_id: r.k for r in texts.select("doc_id", clean_lines(F.col("text")).alias("k")).collect() if r.k}
     assert got == want
+
+
+def test_long_texts_of_rows_equal_the_fold_whatever_the_chunk(spark):
+    """States that run through whole chunks; lines without a key or a text are left out."""
+    from tessera.operators.pagetext import skip_blocks
+    rnd = random.Random(13)
+    docs = [(i, [rnd.choice(VOCAB if rnd.random() < 0.3 else VOCAB[10:14] + VOCAB[15:]) for _ in range(120)]) for i in range(30)]
+    rows = [(i, p, ln) for i, lines in docs for p, ln in enumerate(lines)]
+    frame = spark.createDataFrame(rows + [(None, 0, "texto uno"), (0, 500, None)], "doc_id long, pos long, line string")
+    texts = spark.createDataFrame([(i, "\n".join(lines)) for i, lines in docs], "doc_id long, text string")
+    want = {r.doc_id: r.k for r in texts.select("doc_id", clean_lines(F.col("text")).alias("k")).collect() if r.k}
+    for chunk in (1, 7, 1000):
+        got = {}
+        for r in sorted(skip_blocks(frame, "doc_id", "pos", "line", chunk=chunk).collect(), key=lambda r: (r.doc_id, r.pos)):
+            got.setdefault(r.doc_id, []).append(r.line)
+        assert got == want, chunk
+    assert skip_blocks(frame.limit(0), "doc_id", "pos", "line").count() == 0
