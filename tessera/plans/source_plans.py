@@ -179,8 +179,9 @@ def feed_files(spark, sf_dir):
     one = d.groupBy(feed.alias("feed")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(n, item.alias("x"))))["x"], "").alias("items"))
     one.select("feed", F.concat(F.lit("<rss><channel><title>Feed "), F.col("feed").cast("string"), F.lit("</title>"), "items",
                                 F.lit("</channel></rss>")).alias("value")).repartition("feed").write.partitionBy("feed").text(path)
-    names = [r["feed"] for r in one.select("feed").distinct().orderBy("feed").collect()]  # the configured feed list
-    items = files.read_feeds(spark, [f"{path}/feed={k}" for k in names])
+    listed = d.select(feed.alias("feed_pos")).distinct()  # the configured feed list
+    items = files.read_listed_feeds(spark, path, listed.select(
+        F.concat(F.lit(f"{path}/feed="), F.col("feed_pos").cast("string")).alias("path"), "feed_pos"))
     out = feeds.with_pub_ts(feeds.valid_items(items))
     return out.select("feed_pos", "item_pos", "source", "title", "link", "description",
                       F.col("pub_ts").cast("timestamp_ntz").alias("pub_ts"))

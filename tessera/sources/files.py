@@ -24,19 +24,41 @@ CHANNEL = StructType([StructField("title", StringType()), StructField("item", Ar
 def read_feeds(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per ``<item>`` of every feed, in feed order and item order.
 
-    ``feed_pos`` is the position of the feed in ``paths`` (the fixed feed
+    ``feed_pos`` is the (first) position of the feed in ``paths`` (the fixed feed
     order), ``item_pos`` the position inside the feed.  The channel title is
     the ``source``, falling back to the feed path.  A file that is not XML
     produces a row without items and so contributes nothing (U1: no dedup
     across feeds).  Title/link/description are stripped; the date stays raw.
     """
-    order = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(_local(p)), F.lit(i))])
-    raw = spark.read.format("xml").option("rowTag", "channel").schema(CHANNEL).load(paths)
-    items = feed_items(raw)
+    first = {}
+    for i, p in enumerate(paths):
+        first.setdefault(_local(p), i)
+    table = spark.createDataFrame(list(first.items()), "path string, feed_pos int")
+    raw = _channels(spark).load(list(dict.fromkeys(paths)))
+    return _in_feed_order(raw, F.broadcast(table))  # the driver holds the list as it is
+
+
+def read_listed_feeds(spark: SparkSession, folder: str, feeds: DataFrame) -> DataFrame:
+    """As ``read_feeds``, for a feed list that is a table: ``path`` (a file, or the
+    folder of a feed's files, below ``folder``; unique) and ``feed_pos``.  Files of
+    feeds that are not listed are left out; the list never passes the driver."""
+    path = F.regexp_replace("path", "^file:/+", "/")
+    raw = _channels(spark).option("recursiveFileLookup", "true").load(folder)
+    table = feeds.select(path.alias("path"), F.col("feed_pos").cast("int").alias("feed_pos"))
+    return _in_feed_order(raw, table).filter(F.col("feed_pos").isNotNull())
+
+
+def _channels(spark: SparkSession):
+    return spark.read.format("xml").option("rowTag", "channel").schema(CHANNEL)
+
+
+def _in_feed_order(raw: DataFrame, table: DataFrame) -> DataFrame:
     path = F.regexp_replace("feed", "^file:/+", "/")
-    pos = F.coalesce(order[path], order[F.regexp_replace(path, "/[^/]*$", "")])  # a path is a file or its folder
-    return items.select(pos.alias("feed_pos"),
-                        "item_pos", "feed", "source", "title", "link", "description", "pub_date_raw")
+    items = feed_items(raw).withColumns({"_file": path, "_folder": F.regexp_replace(path, "/[^/]*$", "")})
+    for kind in ("_file", "_folder"):  # a path is a file or its folder
+        items = items.join(table.select(F.col("path").alias(kind), F.col("feed_pos").alias(f"_pos{kind}")), kind, "left")
+    return items.select(F.coalesce("_pos_file", "_pos_folder").alias("feed_pos"), "item_pos", "feed", "source", "title",
+                        "link", "description", "pub_date_raw")
 
 
 def feed_items(channels: DataFrame) -> DataFrame:

@@ -353,6 +353,19 @@ def test_feed_order_on_encoded_paths(spark):
     assert sorted((r.feed_pos, r.title) for r in rows) == [(0, "A2"), (1, "A1"), (2, "A0")]
 
 
+def test_listed_feeds_follow_the_table(spark):
+    """A file or a folder may be listed; what is not listed is left out."""
+    d = tempfile.mkdtemp(prefix="feeds listed-")
+    paths = [_write(d, f"f{i}.xml", RSS.format(src=f"S{i}", t1=f"A{i}", t2="B")) for i in range(3)]
+    os.makedirs(os.path.join(d, "sub"))
+    _write(os.path.join(d, "sub"), "g.xml", RSS.format(src="G", t1="AG", t2="B"))
+    table = spark.createDataFrame([(7, "file://" + paths[2]), (3, os.path.join(d, "sub")), (1, d + "/gone.xml")],
+                                  "feed_pos long, path string")
+    rows = files.read_listed_feeds(spark, d, table).where("link <> ''").collect()
+    assert sorted((r.feed_pos, r.title) for r in rows) == [(3, "AG"), (7, "A2")]
+    assert files.read_listed_feeds(spark, d, table.limit(0)).count() == 0
+
+
 def test_session_keeps_submitted_values_and_wants_a_shared_folder(spark, monkeypatch):
     from tessera import session
     class Elsewhere:
