@@ -8,6 +8,7 @@ shuffle partitions, checkpoint folder, ...) always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -169,6 +170,41 @@ def intermediates(spark: SparkSession):
         drop_materialized(spark)
 
 
+# Many small files: Spark's own values start a task for each folder to be listed (up to 10,000) and
+# one for every few files to be read, each far longer to start than to run.
+_SMALL_FILES_OPEN_COST = 256 << 10
+_CLEANER_THREADS = 8
+
+
+def _bytes(size: str | None) -> int:
+    """A size as in Spark's settings (``4194304``, ``4194304b``, ``4m``); plain numbers are bytes."""
+    found = re.fullmatch(r"(\d+)([kmgtp]?)b?", (size or "").strip().lower())
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else _SMALL_FILES_OPEN_COST
+
+
+@contextmanager
+def small_files(spark: SparkSession):
+    """Settings for folders of many small files, inside the block: a listing task takes many folders,
+    a read task as many files as its bytes allow, and read files are archived by several threads.
+
+    Reads list their files when they are loaded, streams take the settings
+    when they are started; values that go further already are kept."""
+    sc = _context(spark)
+    tasks = 4 * sc.defaultParallelism if sc is not None else 200
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.sources.parallelPartitionDiscovery.parallelism",
+                                                "spark.sql.files.openCostInBytes", "spark.sql.streaming.fileSource.cleaner.numThreads")}
+    listing, opening, cleaning = old
+    new = {listing: min(tasks, int(old[listing] or tasks)), cleaning: max(_CLEANER_THREADS, int(old[cleaning] or 1)),
+           opening: min(_SMALL_FILES_OPEN_COST, _bytes(old[opening]))}
+    for k, v in new.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 _SHIPPED: set[str] = set()
 
 

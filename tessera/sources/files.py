@@ -13,6 +13,7 @@ from pyspark.sql.types import (ArrayType, StringType, StructField, StructType)
 
 from tessera.functions.jsonx import json_kind
 from tessera.functions.text import ustrip
+from tessera.session import small_files
 
 # ---------------------------------------------------------------------------
 # RSS feeds
@@ -43,7 +44,8 @@ def read_listed_feeds(spark: SparkSession, folder: str, feeds: DataFrame) -> Dat
     folder of a feed's files, below ``folder``; unique) and ``feed_pos``.  Files of
     feeds that are not listed are left out; the list never passes the driver."""
     path = F.regexp_replace("path", "^file:/+", "/")
-    raw = _channels(spark).option("recursiveFileLookup", "true").load(folder)
+    with small_files(spark):
+        raw = _channels(spark).option("recursiveFileLookup", "true").load(folder)
     table = feeds.select(path.alias("path"), F.col("feed_pos").cast("int").alias("feed_pos"))
     return _in_feed_order(raw, table).filter(F.col("feed_pos").isNotNull())
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import shared_dir, small_files
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -285,7 +285,8 @@ def feed_stream(spark: SparkSession, folder: str, glob: str = "*.xml",
          .option("pathGlobFilter", glob))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    items = valid_items(feed_items(r.load(folder))).withColumn("pub_ts", parse_rfc822(F.col("pub_date_raw")))
+    with small_files(spark):
+        items = valid_items(feed_items(r.load(folder))).withColumn("pub_ts", parse_rfc822(F.col("pub_date_raw")))
     return items.filter(F.col("pub_ts").isNotNull())
 
 
@@ -305,7 +306,8 @@ def feed_documents(spark: SparkSession, folder: str, glob: str = "*", archive: s
         r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.load(folder).select(_decoded(F.col("_metadata.file_path")).alias("feed"), F.col("value").alias("text"))
+    with small_files(spark):
+        return r.load(folder).select(_decoded(F.col("_metadata.file_path")).alias("feed"), F.col("value").alias("text"))
 
 
 def stream_feeds(docs: DataFrame, out_dir: str, ckpt: str, max_age_hours: float) -> None:
@@ -331,7 +333,7 @@ def stream_feeds(docs: DataFrame, out_dir: str, ckpt: str, max_age_hours: float)
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
         clock = _written(spark, f"{out_dir}/clock", batch_id - 1)
         before = clock.first()["seen"] if clock is not None else None  # one value a micro-batch
-        parsed = materialize(parse_feeds(batch), "feed-files")
+        parsed = materialize(parse_feeds(batch).withColumn("text", F.when(F.col("broken"), F.col("text"))), "feed-files")
         put(parsed.where("broken").select("feed", "text"), "corrupt")
         items = channel_items(parsed.where("NOT broken")).withColumn("pub_ts", parse_rfc822(F.col("pub_date_raw")))
         oldest = F.lit(None).cast("timestamp") if before is None else F.lit(before) - F.expr(f"make_dt_interval(0, 0, 0, {max_age_hours * 3600})")
@@ -343,4 +345,5 @@ def stream_feeds(docs: DataFrame, out_dir: str, ckpt: str, max_age_hours: float)
         put(items.where("reason <> 'late'"), "rejected")
         put(fresh.agg(F.greatest(F.max("pub_ts"), F.lit(before).cast("timestamp")).alias("seen")), "clock")
 
-    _run(docs.writeStream.foreachBatch(per_batch), ckpt)
+    with small_files(spark):
+        _run(docs.writeStream.foreachBatch(per_batch), ckpt)

@@ -123,3 +123,27 @@ def test_read_feed_files_go_to_the_archive(spark, tmp_path):
     assert _feed_state(spark, out) == _FEED_WANT
     assert "a.xml" in left(archive) and "a.xml" not in left(folder)
     assert left(folder) | left(archive) == {f"{n}.xml" for n in "abcdefg"}
+
+
+def test_listing_takes_few_tasks_however_many_feed_folders_there_are(spark, tmp_path):
+    folder, archive, out, ckpt = (f"{tmp_path}/{n}" for n in ("in", "read", "out", "ckpt"))
+    day = "10 May 2026 08:00:00 GMT"
+    for k in range(100):
+        os.makedirs(f"{folder}/feed={k}")
+        with open(f"{folder}/feed={k}/part.xml", "w") as f:
+            f.write(_feed("A", (f"story {k}", f"u{k}", day), end="" if k % 10 == 0 else "</channel></rss>"))
+    sc, names = spark.sparkContext, ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes",
+                                     "spark.sql.streaming.fileSource.cleaner.numThreads")
+    before = [spark.conf.get(n, None) for n in names]
+    sc.setJobGroup("feed-listing", "")
+    try:
+        docs = jobs.feed_documents(spark, folder, "*.xml", archive)
+        track = sc.statusTracker()
+        tasks = [track.getStageInfo(s).numTasks for j in track.getJobIdsForGroup("feed-listing") for s in track.getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < max(tasks) <= 4 * sc.defaultParallelism < 100
+    jobs.stream_feeds(docs, out, ckpt, 36)
+    assert [spark.conf.get(n, None) for n in names] == before
+    items, _, rejected, corrupt = _feed_state(spark, out)
+    assert (len(items), rejected, len(corrupt)) == (90, [], 10) and all(n > 0 for _, n in corrupt)
