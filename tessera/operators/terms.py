@@ -5,7 +5,9 @@ they go into an Aho-Corasick automaton, which finds every occurrence of every
 term in one pass over a text's tokens, whatever the number and length of the terms.
 The list is measured first: up to ``PART_BYTES`` of term text make one broadcast
 part; a longer list is dealt by hash into as many parts as that takes, each with
-an automaton of its own.  Texts are never shuffled.
+an automaton of its own.  Texts are never shuffled.  A task goes through an Arrow
+batch text by text and hands its rows on in pieces of bounded size, so its memory
+does not grow with the rows of a batch.
 """
 
 from __future__ import annotations
@@ -14,19 +16,32 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import ship_package
 
-TOKEN = re.compile(r"([^\W_]+)")  # letters and digits
+TOKEN = re.compile(r"[^\W_]+")  # letters and digits
+BETWEEN = re.compile(r"[\W_]+")
 PART_BYTES = 64 << 20  # term text of one automaton
+PIECE_BYTES = 1 << 20  # text of the rows that a task takes up at once, a longer text by itself
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces with up to ``size`` bytes of text in ``column``."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+        first, before = 0, 0
+        while first < batch.num_rows:
+            until = max(first + 1, int(np.searchsorted(ends, before + (size or PIECE_BYTES), "right")))
+            yield batch.slice(first, until - first)
+            first, before = until, ends[until - 1]
 
 
 class Automaton:
@@ -44,13 +59,14 @@ class Automaton:
         """(where its last token ends, number of the term) of every occurrence in tokens joined by single spaces."""
         return ((end - 1, k) for end, k in self._found.iter(f" {text} ")) if self.terms else iter(())
 
-    def by_token(self, tokens: list[str]) -> list[tuple[int, int]]:
+    def by_token(self, text: str) -> list[tuple[int, int]]:
         """(place of its last token, number of the term) of every occurrence."""
-        found = list(self.occurrences(" ".join(tokens)))
-        if not found:
-            return found
-        place = {end: i for i, end in enumerate(accumulate(len(t) + 1 for t in tokens))}
-        return [(place[end + 1], k) for end, k in found]
+        found, place, at = [], 0, 0
+        for end, k in self.occurrences(text):  # ends never go back
+            place += text.count(" ", at, end)
+            at = end
+            found.append((place, k))
+        return found
 
 
 class Part:
@@ -91,11 +107,11 @@ def count_terms(texts: DataFrame, key: str, tokens: Column, terms: DataFrame, pa
 
     def run(part: Part):
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _pieces(batches, "_tokens"):
                 found = part.automaton()
                 rows, hits, counts = [], [], []
-                for row, text in enumerate(batch.column(1).to_pylist()):
-                    for term, n in Counter(t for _, t in found.occurrences(text or "")).items():
+                for row, text in enumerate(batch.column(1)):
+                    for term, n in Counter(t for _, t in found.occurrences(text.as_py() or "")).items():
                         rows.append(row)
                         hits.append(found.terms[term])
                         counts.append(n)
@@ -124,6 +140,16 @@ def _earlier(place: bytes, notes: list[str]) -> list[tuple[int, int, int, str]]:
     return [(*p, note) for p, note in zip(np.frombuffer(place, "<i4").reshape(-1, 3).tolist(), notes)]
 
 
+def _marked(text: str, notes: dict[int, str], mark) -> str:
+    """``text`` with the marks of ``notes`` behind its tokens of those places."""
+    out, at = [], 0
+    for place, token in enumerate(TOKEN.finditer(text)):
+        if place in notes:
+            out += [text[at:token.end()], mark(notes[place])]
+            at = token.end()
+    return "".join([*out, text[at:]])
+
+
 def annotate(texts: DataFrame, text: str, terms: DataFrame, mark, part_bytes: int = PART_BYTES) -> DataFrame:
     """``texts`` with ``mark(note)`` behind the occurrences of ``terms(term, note)`` in column ``text``.
 
@@ -137,37 +163,33 @@ def annotate(texts: DataFrame, text: str, terms: DataFrame, mark, part_bytes: in
     col = kept[texts.columns.index(text)]
     rows = plain
 
-    def found_in(part: Part, batch: pa.RecordBatch, pieces: list[list[str]]) -> list[list[tuple[int, int, int, str]]]:
-        """(first token, -length of the term, last token, note) of each row's occurrences so far."""
+    def found_in(part: Part, batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[tuple[int, int, int, str]]]]:
+        """Text and (first token, -length of the term, last token, note) of its occurrences so far, of each row."""
         auto, listed = part.automaton(), part.broadcast.value
-        held = [[] for _ in range(batch.num_rows)]
-        if "place" in batch.schema.names:
-            held = [_earlier(p, n) for p, n in zip(batch.column("place").to_pylist(), batch.column("notes").to_pylist())]
-        for own, cut in zip(held, pieces):
+        held = "place" in batch.schema.names
+        for row, value in enumerate(batch.column(col)):
+            now = value.as_py()
+            own = _earlier(batch.column("place")[row].as_py(), batch.column("notes")[row].as_py()) if held else []
             own += [(last - auto.sizes[k] + 1, -len(auto.terms[k]), last, listed[k][1])
-                    for last, k in auto.by_token([t.lower() for t in cut[1::2]])]
-        return held
+                    for last, k in auto.by_token(BETWEEN.sub(" ", now or "").strip(" ").lower())]
+            yield now, own
 
     def search(part: Part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = found_in(part, batch, [TOKEN.split(t or "") for t in batch.column(col).to_pylist()])
-                place = pa.array([np.array([f[:3] for f in fs], "<i4").tobytes() for fs in found], pa.binary())
-                notes = pa.array([[f[3] for f in fs] for fs in found], pa.list_(pa.string()))
+            for batch in _pieces(batches, col):
+                place, notes = [], []
+                for _, found in found_in(part, batch):
+                    place.append(np.array([f[:3] for f in found], "<i4").tobytes())
+                    notes.append([f[3] for f in found])
                 own = [n for n in batch.schema.names if n not in ("place", "notes")]
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in own], place, notes], names=[*own, "place", "notes"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in own], pa.array(place, pa.binary()), pa.array(notes, pa.list_(pa.string()))],
+                                                 names=[*own, "place", "notes"])
         return run
 
     def finish(part: Part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                now = batch.column(col).to_pylist()
-                pieces = [TOKEN.split(t or "") for t in now]
-                for row, fs in enumerate(found_in(part, batch, pieces)):
-                    if fs:
-                        for last, note in _chosen(fs).items():
-                            pieces[row][2 * last + 1] += mark(note)
-                        now[row] = "".join(pieces[row])
+            for batch in _pieces(batches, col):
+                now = [_marked(t, _chosen(found), mark) if found else t for t, found in found_in(part, batch)]
                 yield pa.RecordBatch.from_arrays([pa.array(now, pa.string()) if n == col else batch.column(n) for n in kept], names=kept)
         return run
 
