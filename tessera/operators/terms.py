@@ -27,8 +27,7 @@ from pyspark.sql import types as T
 
 from tessera.session import ship_package
 
-TOKEN = re.compile(r"[^\W_]+")  # letters and digits
-BETWEEN = re.compile(r"[\W_]+")
+TOKEN = re.compile(r"([^\W_]+)")  # letters and digits
 PART_BYTES = 64 << 20  # term text of one automaton
 PIECE_BYTES = 1 << 20  # text of the rows that a task takes up at once, a longer text by itself
 
@@ -140,16 +139,6 @@ def _earlier(place: bytes, notes: list[str]) -> list[tuple[int, int, int, str]]:
     return [(*p, note) for p, note in zip(np.frombuffer(place, "<i4").reshape(-1, 3).tolist(), notes)]
 
 
-def _marked(text: str, notes: dict[int, str], mark) -> str:
-    """``text`` with the marks of ``notes`` behind its tokens of those places."""
-    out, at = [], 0
-    for place, token in enumerate(TOKEN.finditer(text)):
-        if place in notes:
-            out += [text[at:token.end()], mark(notes[place])]
-            at = token.end()
-    return "".join([*out, text[at:]])
-
-
 def annotate(texts: DataFrame, text: str, terms: DataFrame, mark, part_bytes: int = PART_BYTES) -> DataFrame:
     """``texts`` with ``mark(note)`` behind the occurrences of ``terms(term, note)`` in column ``text``.
 
@@ -163,22 +152,24 @@ def annotate(texts: DataFrame, text: str, terms: DataFrame, mark, part_bytes: in
     col = kept[texts.columns.index(text)]
     rows = plain
 
-    def found_in(part: Part, batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[tuple[int, int, int, str]]]]:
-        """Text and (first token, -length of the term, last token, note) of its occurrences so far, of each row."""
+    def found_in(part: Part, batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[str], list[tuple[int, int, int, str]]]]:
+        """Of each row in turn: text, what is between its tokens and the tokens, and (first token, -length
+        of the term, last token, note) of its occurrences so far."""
         auto, listed = part.automaton(), part.broadcast.value
         held = "place" in batch.schema.names
         for row, value in enumerate(batch.column(col)):
             now = value.as_py()
+            cut = TOKEN.split(now or "")
             own = _earlier(batch.column("place")[row].as_py(), batch.column("notes")[row].as_py()) if held else []
             own += [(last - auto.sizes[k] + 1, -len(auto.terms[k]), last, listed[k][1])
-                    for last, k in auto.by_token(BETWEEN.sub(" ", now or "").strip(" ").lower())]
-            yield now, own
+                    for last, k in auto.by_token(" ".join(cut[1::2]).lower())]
+            yield now, cut, own
 
     def search(part: Part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _pieces(batches, col):
                 place, notes = [], []
-                for _, found in found_in(part, batch):
+                for _, _, found in found_in(part, batch):
                     place.append(np.array([f[:3] for f in found], "<i4").tobytes())
                     notes.append([f[3] for f in found])
                 own = [n for n in batch.schema.names if n not in ("place", "notes")]
@@ -189,7 +180,13 @@ def annotate(texts: DataFrame, text: str, terms: DataFrame, mark, part_bytes: in
     def finish(part: Part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _pieces(batches, col):
-                now = [_marked(t, _chosen(found), mark) if found else t for t, found in found_in(part, batch)]
+                now = []
+                for text, cut, found in found_in(part, batch):
+                    if found:
+                        for last, note in _chosen(found).items():
+                            cut[2 * last + 1] += mark(note)
+                        text = "".join(cut)
+                    now.append(text)
                 yield pa.RecordBatch.from_arrays([pa.array(now, pa.string()) if n == col else batch.column(n) for n in kept], names=kept)
         return run
 
